@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import class_model, decontaminate, pieces, quality, secrets, simhash, token_counts, url_rules, webp
+from . import class_model, decontaminate, pieces, quality, secrets, simhash, suffix_dedup, token_counts, url_rules, webp
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ REGISTERED = (
     op5_quality_classifier,
     op6_benchmark_decontamination,
     op7_sentencepiece,
+    op8_suffix_array_dedup,
     op9_simhash_near_dedup,
     op10_token_counts,
 )
