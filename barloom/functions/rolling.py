@@ -129,3 +129,8 @@ def run_start(x: Column | str) -> Column:
 def average_rank(x: Column, window: WindowSpec, ties: WindowSpec) -> Column:
     """Rank with ties sharing their mean; ``ties`` partitions by the value too."""
     return F.rank().over(window) + (F.count(F.lit(1)).over(ties) - 1) / 2
+
+
+def count_equal(values: Column, value: float) -> Column:
+    """How many elements of an array equal ``value``."""
+    return F.size(F.filter(values, lambda v: v == value))

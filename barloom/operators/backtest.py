@@ -118,7 +118,7 @@ def distribution(daily: DataFrame, pnl: str) -> DataFrame:
 def exposure(rows: DataFrame, name: str) -> DataFrame:
     """Mean |position|, shares of long, short and flat bars, and trades per 365 days of the span."""
     p = F.col(f"{name}_position")
-    days = F.timestampdiff("SECOND", F.min("ts"), F.max("ts")) / 86_400
+    days = F.expr("timestampdiff(SECOND, min(ts), max(ts))") / 86_400
     return rows.groupBy("symbol").agg(
         F.avg(F.abs(p)).alias("mean_exposure"), F.avg((p > 0).cast("double")).alias("share_long"), F.avg((p < 0).cast("double")).alias("share_short"), F.avg((p == 0).cast("double")).alias("share_flat"),
         F.try_divide(F.sum(f"{name}_trade"), days / 365).alias("turnover"),

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rolling import EPS, after, before, by_symbol, full, high, mean, running, std, trailing, whole
+from ..functions.rolling import EPS, after, before, by_symbol, count_equal, full, high, mean, running, std, trailing, whole
 from .scan import ewm_std, scan
 
 TINY = 1e-12
@@ -200,7 +200,7 @@ def consensus(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Sign of the sum of the directions, and the share of the commonest one (the smallest on a tie)."""
     value = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in columns), F.lit(0.0))
     votes = F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in columns])
-    most = F.greatest(*[F.size(F.filter(votes, lambda v, s=s: v == s)) for s in (-1.0, 0.0, 1.0)])
+    most = F.greatest(*[count_equal(votes, s) for s in (-1.0, 0.0, 1.0)])
     return rows.withColumns({"horizon_consensus": F.signum(value), "horizon_agreement": most / len(columns)})
 
 
@@ -244,7 +244,7 @@ def stability_weighted(rows: DataFrame, label: str, stability: str) -> DataFrame
 def agreement(columns: list[str], values: tuple[float, ...] = (-1.0, 0.0, 1.0)) -> Column:
     """Share of the commonest of ``values`` among the columns, unknown counting 0."""
     votes = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns])
-    return F.greatest(*[F.size(F.filter(votes, lambda v, s=s: v == s)) for s in values]) / len(columns)
+    return F.greatest(*[count_equal(votes, s) for s in values]) / len(columns)
 
 
 def ensemble_sources(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -109,10 +109,13 @@ def rejection(rows: DataFrame, times: float = 2.0) -> DataFrame:
 
 
 def structure_regime(rows: DataFrame, windows: tuple[int, ...] = (20, 50)) -> DataFrame:
-    """Sign of the change of the mean range, 0 where unknown; needs ``candles``."""
-    rows = rows.withColumns({f"__m{w}": mean("Range", w) for w in windows})
-    out = {f"StructureRegime_{w}": F.coalesce(F.signum(F.col(f"__m{w}") - before(f"__m{w}")), F.lit(0.0)) for w in windows}
-    return rows.withColumns(out).drop(*[f"__m{w}" for w in windows])
+    """Sign of the change of the mean range, 0 where unknown; needs ``candles``.
+
+    Two neighbouring means over w bars differ by the newest value less the one w bars back,
+    which tells the sign without rounding errors.
+    """
+    out = {f"StructureRegime_{w}": F.coalesce(F.signum(F.col("Range") - before("Range", w)), F.lit(0.0)) for w in windows}
+    return rows.withColumns(out)
 
 
 # ---- fractals

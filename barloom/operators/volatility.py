@@ -41,7 +41,7 @@ def _rs() -> Column:
 
 def rogers_satchell(bars: DataFrame, windows: tuple[int, ...] = (10, 20, 50), floor: bool = True) -> DataFrame:
     rows = bars.withColumn("__r", _rs())
-    return rows.withColumns({f"RS_{w}": F.sqrt(F.greatest(mean("__r", w), F.lit(0.0))) if floor else _root(mean("__r", w)) for w in windows}).drop("__r")
+    return rows.withColumns({f"RS_{w}": F.when(mean("__r", w).isNotNull(), F.sqrt(F.greatest(mean("__r", w), F.lit(0.0)))) if floor else _root(mean("__r", w)) for w in windows}).drop("__r")
 
 
 def yang_zhang(bars: DataFrame, windows: tuple[int, ...] = (10, 20, 50)) -> DataFrame:

@@ -1 +1,13 @@
+"""Registered queries by group."""
 
+from __future__ import annotations
+
+import importlib
+
+GROUPS = ("feature_queries", "research_queries")
+
+
+def load() -> None:
+    """Import every group, which registers its queries."""
+    for group in GROUPS:
+        importlib.import_module(f"{__name__}.{group}")
