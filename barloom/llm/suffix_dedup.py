@@ -14,7 +14,7 @@ A byte goes if it lies in a string of ``SIZE`` bytes that also starts anywhere e
    (``kasai`` is the sequential form, too slow in Python for whole shards.)
 4. All windows of a key are in one shard, unless the key has over ``SPLIT`` pieces: then
    it is dealt over several. Each hands on its distinct windows as sorted fingerprints,
-   and those are merged across shards by binary search in each fingerprint range.
+   packed by ranges, and those are merged across shards by binary search.
 5. The repeats of a document are united and cut out.
 
 Defined cases: null text counts as empty; texts under SIZE bytes lose nothing; a text
@@ -251,20 +251,31 @@ def _fingerprints(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarr
         return out[0], out[1]
 
 
-_FOUND = "uid long, start long, stop long, fp1 long, fp2 long, alone boolean"
-_FOUND_NAMES = ["uid", "start", "stop", "fp1", "fp2", "alone"]
+_FOUND = "uid long, start long, stop long, key long, slot int, packed binary"
+_FOUND_NAMES = ["uid", "start", "stop", "key", "slot", "packed"]
+
+
+def _spans(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    n = len(rows)
+    return pa.record_batch([*(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=_FOUND_NAMES)
 
 
 def settle(group: list[tuple], size: int) -> Iterator[pa.RecordBatch]:
-    """Repeats of some whole keys: spans of repeated windows; of split keys also a fingerprint of each class."""
+    """Repeats of some whole keys: spans of repeated windows; of split keys also their distinct windows.
+
+    Those go packed: for each slot of fingerprints one row with the sorted fingerprints,
+    a place of each, and whether its window was alone here. A key of p parts has p slots,
+    so a slot gathers about as much as a part holds.
+    """
     of: dict[bytes, int] = {}
     refs: list[list[tuple[int, int]]] = []
-    split: list[bool] = []
-    for _, _, parts, uid, start, _, piece in group:
+    key_of, parts_of = [], []
+    for key, _, parts, uid, start, _, piece in group:
         i = of.setdefault(piece, len(refs))
         if i == len(refs):
             refs.append([])
-            split.append(parts > 1)
+            key_of.append(key)
+            parts_of.append(parts)
         refs[i].append((uid, start))
     pieces = list(of)
     windows = np.array([len(p) - size + 1 for p in pieces], np.int64)
@@ -281,17 +292,26 @@ def settle(group: list[tuple], size: int) -> Iterator[pa.RecordBatch]:
     for i, a, b in zip(owner[first].tolist(), inside[first].tolist(), (inside[last] + size).tolist(), strict=True):
         rows += [(uid, start + a, start + b) for uid, start in refs[i]]
     if rows:
-        uid, start, stop = (pa.array(c, pa.int64()) for c in zip(*rows, strict=True))
-        yield pa.record_batch([uid, start, stop, pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.bool_())], names=_FOUND_NAMES)
-    pick = np.flatnonzero(np.array(split)[owner])
-    if len(pick):
-        _, one = np.unique(classes[pick], return_index=True)
-        pick = pick[one]
-        data = np.frombuffer(b"".join(pieces), np.uint8)
-        fp1, fp2 = _fingerprints(data, at[pick], size)
-        uid = np.array([refs[i][0][0] for i in owner[pick].tolist()], np.int64)
-        start = np.array([refs[i][0][1] for i in owner[pick].tolist()], np.int64) + inside[pick]
-        yield pa.record_batch([pa.array(uid), pa.array(start), pa.array(start + size), pa.array(fp1), pa.array(fp2), pa.array(~again[pick])], names=_FOUND_NAMES)
+        yield _spans(rows)
+    parts = np.array(parts_of, np.int64)
+    pick = np.flatnonzero(parts[owner] > 1)
+    if not len(pick):
+        return
+    _, one = np.unique(classes[pick], return_index=True)
+    pick = pick[one]
+    fp1, fp2 = _fingerprints(np.frombuffer(b"".join(pieces), np.uint8), at[pick], size)
+    piece = owner[pick]
+    keys = np.array(key_of, np.int64)[piece]
+    slot = ((fp1.view(np.uint64) >> np.uint64(32)) * parts[piece].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+    place = np.array([refs[i][0] for i in piece.tolist()], np.int64)
+    cells = np.stack([fp1, fp2, place[:, 0], place[:, 1] + inside[pick], (~again[pick]).astype(np.int64)])
+    order = np.lexsort((fp2, fp1, slot, keys))
+    keys, slot, cells = keys[order], slot[order], cells[:, order]
+    fresh = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (slot[1:] != slot[:-1]))))
+    ends = np.append(fresh[1:], len(keys))
+    packed = [np.ascontiguousarray(cells[:, a:b]).tobytes() for a, b in zip(fresh.tolist(), ends.tolist(), strict=True)]
+    none = pa.nulls(len(fresh), pa.int64())
+    yield pa.record_batch([none, none, none, pa.array(keys[fresh]), pa.array(slot[fresh].astype(np.int32)), pa.array(packed, pa.binary())], names=_FOUND_NAMES)
 
 
 def search_shards(pieces: DataFrame, size: int, block: int) -> DataFrame:
@@ -315,38 +335,47 @@ def search_shards(pieces: DataFrame, size: int, block: int) -> DataFrame:
     return pieces.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run, _FOUND)
 
 
-def merge_shards(found: DataFrame) -> DataFrame:
-    """Windows that were alone in their shard and whose fingerprint another shard has too: (uid, start, stop).
+def merge_slot(packed: list[bytes], size: int) -> list[tuple[int, int, int]]:
+    """Windows that were alone in their shard but are in another one too: each shard's sorted fingerprints are searched in the others'."""
+    shards = [np.frombuffer(p, np.int64).reshape(5, -1) for p in packed]
+    every = np.concatenate(shards, axis=1)
+    ordered = np.sort(every[0])
+    out = []
+    # a fingerprint's first half that several shards hold, by binary search among all
+    several = np.searchsorted(ordered, every[0], side="right") - np.searchsorted(ordered, every[0], side="left") > 1
+    close = every[:, several]
+    order = np.lexsort((close[1], close[0]))
+    close = close[:, order]
+    equal = (close[:2, 1:] == close[:2, :-1]).all(axis=0)
+    shared = np.zeros(close.shape[1], bool)
+    shared[1:] |= equal
+    shared[:-1] |= equal
+    for uid, start in close[2:4, shared & (close[4] == 1)].T.tolist():
+        out.append((uid, start, start + size))
+    return out
 
-    Each task holds a range of fingerprints in order; equal ones are found by binary search.
-    """
+
+def merge_shards(found: DataFrame, size: int) -> DataFrame:
+    """(uid, start, stop) of windows of split keys that only another shard repeats; a task merges whole (key, slot) groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: list[pa.RecordBatch] = []
+        held: list[bytes] = []
+        now = None
 
-        def merged(table: pa.Table) -> pa.RecordBatch:
-            fp1, fp2 = (table.column(c).to_numpy() for c in ("fp1", "fp2"))
-            fresh = np.ones(len(fp1), bool)
-            fresh[1:] = (fp1[1:] != fp1[:-1]) | (fp2[1:] != fp2[:-1])
-            begin = np.flatnonzero(fresh)
-            group = np.searchsorted(begin, np.arange(len(fp1)), side="right") - 1
-            several = np.diff(np.append(begin, len(fp1)))[group] > 1
-            return table.filter(pa.array(several & table.column("alone").to_numpy())).select(["uid", "start", "stop"]).combine_chunks()
+        def batch_of(rows):
+            return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["uid", "start", "stop"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            end = (batch.column(3)[-1].as_py(), batch.column(4)[-1].as_py())
-            fp1, fp2 = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-            tail = int(((fp1 == end[0]) & (fp2 == end[1])).sum())
-            if tail < batch.num_rows:
-                yield from merged(pa.Table.from_batches([*carry, batch.slice(0, batch.num_rows - tail)])).to_batches()
-                carry = []
-            carry.append(batch.slice(batch.num_rows - tail))
-        if carry:
-            yield from merged(pa.Table.from_batches(carry)).to_batches()
-
-    dealt = found.where("fp1 is not null").repartition("fp1").sortWithinPartitions("fp1", "fp2")
+            for key, slot, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, slot) != now:
+                    if len(held) > 1 and (rows := merge_slot(held, size)):
+                        yield batch_of(rows)
+                    held, now = [], (key, slot)
+                held.append(packed)
+        if len(held) > 1 and (rows := merge_slot(held, size)):
+            yield batch_of(rows)
+
+    dealt = found.where("packed is not null").select("key", "slot", "packed").repartition("key", "slot").sortWithinPartitions("key", "slot")
     return dealt.mapInArrow(run, "uid long, start long, stop long")
 
 
@@ -391,7 +420,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, split: i
     wanted = rows.select("uid", "text").join(lists, "uid").select("uid", "text", F.col("x.key").alias("keys"), F.col("x.n").alias("counts"))
     wanted = materialize(wanted, "candidates")
     found = materialize(search_shards(cut_pieces(wanted, size, gram, split), size, block), "repeats")
-    spans = found.where("fp1 is null").select("uid", "start", "stop").union(merge_shards(found))
+    spans = found.where("packed is null").select("uid", "start", "stop").union(merge_shards(found, size))
     spans = spans.groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     cut = cut_out(wanted.select("uid", "text").join(spans, "uid"))
     more = ["kept"] if keep_bytes else []
