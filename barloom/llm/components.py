@@ -9,7 +9,7 @@ from .common import materialize
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(a, b) links of long ids -> (node, root): root is the smallest id of the component.
+    """(a, b) links of long ids -> (node, root): the smallest id of the component, for each of its other nodes.
 
     Alternates the two star contractions: every node hands its neighbours to the smallest
     one it knows, first for larger neighbours, then for smaller ones. The rounds grow with
