@@ -206,3 +206,56 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+
+
+def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
+    """(word, start, stop, piece): substrings of bounded length that are pieces, and every single character."""
+    starts = words.select("word", F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("start"))
+    spans = starts.select("word", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + longest, F.char_length("word")))).alias("stop"))
+    edges = spans.select("word", "start", "stop", F.col("word").substr(F.col("start") + 1, F.col("stop") - F.col("start")).alias("piece"))
+    single = edges.where("stop = start + 1")
+    return edges.where("stop > start + 1").join(F.broadcast(table), "piece", "left_semi").select(single.columns).union(single)
+
+
+def lattice_encode(words: DataFrame, path: str | None = None) -> DataFrame:
+    """(word, pieces) of distinct words by relations alone but for one check of piece pairs.
+
+    The piece table is broadcast: a model file bounds it. Neighbouring edges give the pairs
+    whose staying apart decides; the distinct pairs are checked once each. Edges and pairs
+    are grouped by word, and a fold over the edges in order of their ends keeps one edge an
+    end, as the worker's fold does.
+    """
+    path = path or model_path()
+    spark: SparkSession = words.sparkSession
+    pieces = load(path)
+    table = spark.createDataFrame([(p,) for p in pieces.ids], "piece string")
+    words = words.where("word is not null and word <> ''").select("word").distinct()
+    edges = lattice(words, table, pieces.longest)
+    left, right = edges.select("word", F.col("piece").alias("a"), F.col("stop").alias("mid")), edges.select("word", F.col("piece").alias("b"), F.col("start").alias("mid"))
+    met = left.join(right, ["word", "mid"]).select("word", "a", "b").distinct()
+
+    def check(batches):
+        fold = folder(path)
+        for batch in batches:
+            apart = [fold.stays_apart(pair) for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield batch.filter(pa.array(apart, pa.bool_()))
+
+    apart = met.select("a", "b").distinct().mapInArrow(check, "a string, b string")
+    good = met.join(apart, ["a", "b"]).groupBy("word").agg(F.collect_set(F.struct("a", "b")).alias("good"))
+    grouped = edges.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("stop", "start", "piece"))).alias("edges"))
+
+    def step(last: Column, edge: Column, known: Column) -> Column:
+        """last: piece that ends at each position so far, the empty string at 0."""
+        before = F.try_element_at(last, edge["start"])
+        fits = before.isNotNull() & ~F.map_contains_key(last, edge["stop"]) & ((edge["start"] == 0) | F.array_contains(known, F.struct(before.alias("a"), edge["piece"].alias("b"))))
+        return F.when(fits, F.map_concat(last, F.create_map(edge["stop"], edge["piece"]))).otherwise(last)
+
+    empty = F.create_map(F.lit(0), F.lit("")).cast("map<int,string>")
+    known = F.coalesce("good", F.array().cast("array<struct<a:string,b:string>>"))
+    folded = grouped.join(good, "word", "left").select("word", F.aggregate("edges", empty, lambda last, e: step(last, e, known)).alias("last"))
+    # walk back from the end: at most one piece a character
+    walk = F.aggregate(
+        F.sequence(F.lit(1), F.char_length("word")), F.struct(F.char_length("word").alias("at"), F.array().cast("array<string>").alias("out")),
+        lambda s, _: F.when(s["at"] > 0, F.struct((s["at"] - F.char_length(F.element_at("last", s["at"]))).alias("at"), F.concat(F.array(F.element_at("last", s["at"])), s["out"]).alias("out"))).otherwise(s),
+    )
+    return folded.select("word", walk["out"].alias("pieces"))
