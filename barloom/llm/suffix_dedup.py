@@ -119,13 +119,14 @@ def read_keys(rows: DataFrame, size: int, gram: int) -> DataFrame:
                 digests = [hashlib.sha256(block.bytes[a:b]) for a, b in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True)]
                 yield pa.record_batch(
                     [
-                        batch.column(0), batch.column(1), pa.array(np.diff(block.offsets)), pa.array([d.hexdigest() for d in digests], pa.string()),
+                        batch.column(0), batch.column(3), batch.column(1), pa.array(np.diff(block.offsets)), pa.array([d.hexdigest() for d in digests], pa.string()),
                         pa.array([d.digest()[:16] for d in digests], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys << 1 | double)),
                     ],
-                    names=["uid", "doc_id", "n_bytes", "sha256", "same", "keys"],
+                    names=["uid", "row_key", "doc_id", "n_bytes", "sha256", "same", "keys"],
                 )
 
-    return rows.mapInArrow(run, "uid long, doc_id long, n_bytes long, sha256 string, same binary, keys array<long>")
+    numbered = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", "row_key")
+    return numbered.mapInArrow(run, "uid long, row_key binary, doc_id long, n_bytes long, sha256 string, same binary, keys array<long>")
 
 
 def cut_pieces(rows: DataFrame, size: int, gram: int, split: int) -> DataFrame:
@@ -409,21 +410,29 @@ def cut_out(rows: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, split: int = SPLIT, block: int = BLOCK, keep_bytes: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per document; ``kept`` (bytes) on demand."""
-    rows = texts(docs).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per document; ``kept`` (bytes) on demand.
+
+    Rows are numbered once, in a written table. Texts are found again by a 128-bit digest of
+    id and text, so it doesn't matter in which order the input is computed a second time.
+    """
+    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit(""))))
+    rows = texts(docs).withColumn("row_key", F.unhex(digest))
     read = materialize(read_keys(rows, size, gram), "keys")
     groups = read.groupBy("same").agg(F.min("uid").alias("uid"), F.count("*").alias("copies"))
-    own = read.join(groups.select("uid"), "uid", "left_semi").select("uid", F.explode("keys").alias("x"))
+    first = read.join(groups.select("uid"), "uid", "left_semi")
+    own = first.select("uid", F.explode("keys").alias("x"))
     own = own.select("uid", F.shiftright("x", 1).alias("key"), (1 + F.col("x").bitwiseAND(1)).alias("n"))
     often = own.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
     lists = own.select("uid", "key").distinct().join(often, "key").groupBy("uid").agg(F.collect_list(F.struct("key", "n")).alias("x"))
-    wanted = rows.select("uid", "text").join(lists, "uid").select("uid", "text", F.col("x.key").alias("keys"), F.col("x.n").alias("counts"))
-    wanted = materialize(wanted, "candidates")
+    lists = first.select("uid", "row_key").join(lists, "uid")
+    wanted = rows.select("row_key", "text").join(lists, "row_key").dropDuplicates(["row_key"])
+    wanted = materialize(wanted.select("uid", "text", F.col("x.key").alias("keys"), F.col("x.n").alias("counts")), "candidates")
     found = materialize(search_shards(cut_pieces(wanted, size, gram, split), size, block), "repeats")
     spans = found.where("packed is null").select("uid", "start", "stop").union(merge_shards(found, size))
     spans = spans.groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     cut = cut_out(wanted.select("uid", "text").join(spans, "uid"))
     more = ["kept"] if keep_bytes else []
+    # a text that stands for its copies may be cut; copies of a text too short to be cut are left as they are
     full = read.drop("keys").join(groups.select("same", "copies"), "same").join(cut.select("uid", "n_removed", "n_spans", F.col("kept_sha256").alias("cut_sha256"), *more), "uid", "left")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= size)
     nothing = hashlib.sha256(b"").hexdigest()
@@ -434,5 +443,5 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, split: i
     ]
     if not keep_bytes:
         return full.select(*out)
-    whole = full.join(rows.select("uid", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("raw")), "uid")
-    return whole.select(*out, F.when(gone, F.lit(b"")).otherwise(F.coalesce("kept", "raw")).alias("kept"))
+    plain = rows.select("row_key", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("raw")).dropDuplicates(["row_key"])
+    return full.join(plain, "row_key").select(*out, F.when(gone, F.lit(b"")).otherwise(F.coalesce("kept", "raw")).alias("kept"))
