@@ -67,3 +67,12 @@ def by_regime(preds: DataFrame, regime: str, least: int = 30) -> DataFrame:
         F.count("*").alias("n"), F.avg((F.col("pred") == F.col("true")).cast("double")).alias("accuracy"), F.mode("pred", True).alias("common_pred"), F.avg(top).alias("mean_prob"), F.stddev_samp(top).alias("std_prob"),
         F.greatest(*[F.count_if(F.col("pred") == c) for c in (-1, 0, 1)]).alias("n_common"),
     ).where(F.col("n") >= least).withColumn("common_share", F.col("n_common") / F.col("n")).drop("n_common")
+
+
+def compare_runs(runs: DataFrame, metrics: list[str], run: str = "run_id", limit: float = 0.05) -> DataFrame:
+    """(metric, latest, before, change, stable): the newest run's mean of each metric against the run before it."""
+    order = runs.select(run).distinct().orderBy(F.desc(run)).limit(2)
+    means = runs.join(F.broadcast(order), run).groupBy(run).agg(*[F.avg(m).alias(m) for m in metrics])
+    both = means.agg(*[x for m in metrics for x in (F.max_by(m, run).alias(f"l_{m}"), F.min_by(m, run).alias(f"b_{m}"))])
+    rows = both.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"l_{m}").cast("double").alias("latest"), F.col(f"b_{m}").cast("double").alias("before")) for m in metrics])).alias("x")).select("x.*")
+    return rows.withColumn("change", F.col("latest") - F.col("before")).withColumn("stable", F.abs("change") < limit)

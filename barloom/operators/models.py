@@ -11,8 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .evaluate import scores
-from .splits import as_pairs
+from .evaluate import auc_one_vs_rest, scores
+from .splits import as_pairs, walk_forward
 
 
 def assembled(rows: DataFrame, features: list[str], label: str) -> DataFrame:
@@ -107,6 +107,45 @@ def stacked(parts: dict[str, DataFrame], key: str = "row_id", splits: DataFrame
     return predict(logistic().fit(ready), ready, (key,))
 
 
+def walk_forward_regimes(rows: DataFrame, frame, estimator: Estimator, spans: DataFrame, regimes: tuple[str, ...] = ("reversion", "balanced", "momentum")) -> DataFrame:
+    """Out-of-sample predictions of each walk-forward regime of a timeframe, with ``regime`` and ``split_id``.
+
+    spans: (row_id, t0, t1); a regime whose windows are longer than the data gives no rows.
+    """
+    parts = []
+    for name in regimes:
+        train, test, step = frame.walk(name)
+        table = walk_forward(spans, train, test, step)
+        if table.limit(1).count():
+            parts.append(out_of_fold(rows, table, estimator).withColumn("regime", F.lit(name)))
+    if not parts:
+        raise ValueError("no walk-forward window fits the data")
+    return reduce(DataFrame.union, parts)
+
+
+def regime_scores(preds: DataFrame) -> DataFrame:
+    """Accuracy, macro F1, count, and mean one-vs-rest AUC of each regime."""
+    each = auc_one_vs_rest(preds, ("regime",)).groupBy("regime").agg(F.avg("auc").alias("auc"))
+    return scores(preds, ("regime",)).join(each, "regime")
+
+
+def meta_model(preds: DataFrame, share: float = 0.7, keep: float = 0.5) -> DataFrame:
+    """Rows of ``preds`` (with confidence, entropy, pred_vol) and ``meta_prob``: how likely the prediction is right.
+
+    ``meta_prob`` is out of sample: the model learns from the first ``share`` of each
+    series and scores the rest, of which the likeliest ``keep`` are marked ``kept``.
+    """
+    columns = ["confidence", "entropy", "pred_vol"]
+    rows = preds.na.drop(subset=columns).withColumn("y", (F.col("pred") == F.col("true")).cast("double")).withColumn("weight", F.lit(1.0))
+    place = F.percent_rank().over(Window.partitionBy("symbol").orderBy("ts"))
+    ready = VectorAssembler(inputCols=columns, outputCol="features").transform(rows.withColumn("__place", place)).persist()
+    model = logistic().fit(ready.where(F.col("__place") < share))
+    late = model.transform(ready.where(F.col("__place") >= share)).withColumn("meta_prob", F.get(vector_to_array("probability"), 1))
+    late = late.select(*preds.columns, "meta_prob")
+    edge = late.agg(F.percentile("meta_prob", F.lit(1 - keep)).alias("__e"))
+    return late.crossJoin(F.broadcast(edge)).withColumn("kept", F.col("meta_prob") >= F.col("__e")).drop("__e")
+
+
 def permutation_importance(model, rows: DataFrame, features: list[str], repeats: int = 20, seed: int = 42) -> DataFrame:
     """(feature, importance, deviation): accuracy lost when one column is dealt anew.
 

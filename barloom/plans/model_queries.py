@@ -14,7 +14,8 @@ from ..operators import splits as C
 from ..operators import trend as T
 from ..operators import unsupervised as U
 from ..operators import volatility as V
-from .pipeline import Settings, build_features
+from .config import timeframe
+from .pipeline import Settings, build_features, research_run
 from .registry import hourly, query, rounded
 
 FEATURES = ["Return", "ATR_14", "VolRet", "RegSlope_20", "ROC_10", "Vol_20"]
@@ -76,3 +77,29 @@ def _contributions(spark: SparkSession, d: str) -> DataFrame:
 
 query("path_contributions")(_contributions)
 query("feature_table")(lambda spark, d: build_features(hourly(spark, d), Settings(structure=False, seasonality=False)))
+
+
+def _regime_walks(spark: SparkSession, d: str) -> DataFrame:
+    spans = C.numbered(hourly(spark, d).where("symbol = 'click'")).drop("symbol")
+    return M.regime_scores(M.walk_forward_regimes(model_rows(spark, d), timeframe("1H"), M.logistic(), spans, ("balanced",)).persist())
+
+
+query("walk_forward_regimes")(lambda spark, d: rounded(_regime_walks(spark, d), keys=("regime",)))
+
+
+def _research(spark: SparkSession, d: str) -> DataFrame:
+    bars = hourly(spark, d).where("symbol = 'click'")
+    table = V.basic(T.roc(T.reg_slope(T.prelim(bars), (20,)), (10,)), (20,))
+    return research_run(bars, FEATURES, table, folds=3, estimator=M.logistic()).risk
+
+
+query("research_run")(lambda spark, d: rounded(_research(spark, d), keys=("symbol",)))
+
+
+def _meta(spark: SparkSession, d: str) -> DataFrame:
+    from .research_queries import preds
+
+    return M.meta_model(E.meta_features(preds(spark, d))).groupBy("kept").agg(F.count("*").alias("n"), F.avg((F.col("pred") == F.col("true")).cast("double")).alias("hit_rate"))
+
+
+query("meta_model")(lambda spark, d: rounded(_meta(spark, d), keys=("kept",)))

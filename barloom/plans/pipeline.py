@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.ml import Estimator
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rolling import EPS
-from ..operators import calendar, complexity, normalize, regimes, structure, trend, unsupervised, volatility
+from ..functions.rolling import EPS, row_id
+from ..operators import backtest, calendar, complexity, evaluate, labels, models, normalize, regimes, splits, structure, trend, unsupervised, volatility
 
 
 @dataclass(frozen=True)
@@ -72,6 +73,31 @@ def split_groups(rows: DataFrame, by: str = "time", n: int = 5) -> DataFrame:
     columns = {"regime": "Regime_Combo", "hmm": "HMM_State", "cluster": "KM_Cluster"}
     if by in columns:
         return rows.withColumn("group", F.col(columns[by]))
-    from pyspark.sql import Window
-
     return rows.withColumn("group", F.ntile(n).over(Window.partitionBy("symbol").orderBy("ts")) - 1)
+
+
+@dataclass(frozen=True)
+class Run:
+    """What a research run leaves: predictions, their scores, the backtest and its figures, all lazy tables."""
+
+    predictions: DataFrame
+    scores: DataFrame
+    trades: DataFrame
+    risk: DataFrame
+    audit: DataFrame
+
+
+def research_run(bars: DataFrame, columns: list[str], features: DataFrame, horizon: int = 5, folds: int = 5, embargo: int = 5, estimator: Estimator | None = None) -> Run:
+    """Labels, purged folds, out-of-fold predictions, signals, backtest and audit of one series.
+
+    features: (symbol, ts, columns...). Folds are purged by the labels' horizon, so no
+    training label reaches into a test fold.
+    """
+    rows = labels.trend_label(bars, horizon, "label").withColumn("row_id", row_id().cast("long"))
+    spans = rows.select("symbol", "ts", "row_id", F.col("ts").alias("t0"), F.coalesce(F.lead("ts", horizon).over(Window.partitionBy("symbol").orderBy("ts")), F.col("ts")).alias("t1"))
+    ready = models.balanced(models.assembled(rows.join(features.select("symbol", "ts", *columns), ["symbol", "ts"]), columns, "label"))
+    ready = ready.select("row_id", "symbol", "ts", "features", "y", "weight").persist()
+    table = splits.purged_kfold(spans.select("row_id", "t0", "t1"), folds, embargo)
+    preds = models.out_of_fold(ready, table, estimator or models.forest(50, 5), ("symbol", "ts", "row_id")).persist()
+    traded = backtest.backtest(backtest.with_market(backtest.signals(preds), bars), "signal_net", "net")
+    return Run(preds, evaluate.scores(preds, ("split_id",)), traded, backtest.risk_metrics(traded, "net"), splits.audit(table, spans.select("row_id", "t0", "t1"), strict=True))
