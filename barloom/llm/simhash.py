@@ -230,13 +230,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint touch; zero means that no different text is near.
     """
     prints = materialize(fingerprint(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     found = materialize(links(nodes.select("fp"), radius, bands).distinct(), "near")
     roots = connected_components(found)
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     touch = found.select(F.col("a").alias("fp")).union(found.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count("*").alias("n_links"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = named.join(least, "root").join(touch, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # from a written table both sides of the last join are plain shuffles, which Spark splits where a fingerprint is hot
+    classes = materialize(classes, "classes")
     return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
 
 
