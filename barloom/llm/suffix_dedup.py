@@ -418,7 +418,8 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, split: i
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit(""))))
     rows = texts(docs).withColumn("row_key", F.unhex(digest))
     read = materialize(read_keys(rows, size, gram), "keys")
-    groups = read.groupBy("same").agg(F.min("uid").alias("uid"), F.count("*").alias("copies"))
+    # written, so that the last join has plain shuffles on both sides, which Spark splits where a text is hot
+    groups = materialize(read.groupBy("same").agg(F.min("uid").alias("uid"), F.count("*").alias("copies")), "groups")
     first = read.join(groups.select("uid"), "uid", "left_semi")
     own = first.select("uid", F.explode("keys").alias("x"))
     own = own.select("uid", F.shiftright("x", 1).alias("key"), (1 + F.col("x").bitwiseAND(1)).alias("n"))
