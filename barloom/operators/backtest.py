@@ -163,7 +163,7 @@ def drift_check(rows: DataFrame, stats: DataFrame, columns: list[str], limit: fl
     sums = rows.agg(*[F.avg(c).alias(c) for c in columns])
     turned = sums.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select("x.*")
     z = (F.col("value") - F.col("mean")) / (F.col("std") + 1e-9)
-    return turned.join(F.broadcast(stats), "feature").select("feature", z.alias("z"), (F.abs(z) > limit).alias("drifted"))
+    return turned.join(F.broadcast(stats), "feature").select("feature", z.alias("z"), F.coalesce(F.abs(z) > limit, F.lit(False)).alias("drifted"))
 
 
 def training_stats(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -226,8 +226,8 @@ query("comparison", psql(
     lambda spark, d: rounded(P.comparison(_series(spark, d)), ["total_return", "benchmark_return", "sharpe", "value_at_risk", "tracking_error", "information_ratio"], 5, ("symbol",)))
 panel("buy_and_hold", P.buy_and_hold, ["growth"], sql(out={"growth": f"close / first(close) OVER {RUN}"}))
 query("inference", psql(out={"signal": "CASE WHEN p_bull >= 0.55 THEN 1 WHEN p_bull <= 0.45 THEN -1 ELSE 0 END", "confidence": "abs(p_bull - 0.5) * 2"}))(lambda spark, d: rounded(P.inference(preds(spark, d), "p_bull"), ["signal", "confidence"]))
-query("drift_check", sql(RET, out={"z": "z"}, keys=("feature", "drifted"), source="(SELECT feature, z, abs(z) > 3 AS drifted FROM (SELECT unnest(['close', 'high']) AS feature, unnest([(avg(close) FILTER (rn >= 300) - avg(close)) / (stddev_samp(close) + 1e-9), (avg(high) FILTER (rn >= 300) - avg(high)) / (stddev_samp(high) + 1e-9)]) AS z FROM s1))"))(
-    lambda spark, d: rounded(P.drift_check(hourly(spark, d).withColumn("rn", row_id()).where("rn >= 300"), P.training_stats(hourly(spark, d), ["close", "high"]), ["close", "high"]), ["z"], keys=("feature", "drifted")))
+query("drift_check", sql(RET, out={"z": "z"}, keys=("feature", "drifted"), source="(SELECT feature, z, coalesce(abs(z) > 3, false) AS drifted FROM (SELECT unnest(['close', 'high']) AS feature, unnest([(avg(close) FILTER (rn >= 100) - avg(close)) / (stddev_samp(close) + 1e-9), (avg(high) FILTER (rn >= 100) - avg(high)) / (stddev_samp(high) + 1e-9)]) AS z FROM s1))"))(
+    lambda spark, d: rounded(P.drift_check(hourly(spark, d).withColumn("rn", row_id()).where("rn >= 100"), P.training_stats(hourly(spark, d), ["close", "high"]), ["close", "high"]), ["z"], keys=("feature", "drifted")))
 
 
 # ---- extensions
@@ -296,7 +296,7 @@ query("best_by_regime")(lambda spark, d: rounded(E.best_by_regime(preds(spark, d
 # ---- checks and diagnostics
 query("class_balance", psql(out={"n": "count(*)", "share": "count(*) / (SELECT count(*) FROM s4)"}, keys=('CAST(t AS INT) AS "true"',), where="GROUP BY t"))(lambda spark, d: rounded(H.class_balance(preds(spark, d), "true"), keys=("true",)))
 query("validation", psql(out={"value": "v"}, keys=('"check"', "ok"), source="(SELECT unnest(['null_cells', 'repeated_keys', 'bad_probability_sums']) AS \"check\", unnest([0, 0, 0]) AS v, unnest([true, true, true]) AS ok)"))(lambda spark, d: rounded(H.validate(preds(spark, d)), ["value"], keys=("check", "ok")))
-query("regime_validation", psql(out={"n": "count(*)", "accuracy": "avg(CASE WHEN t = pred THEN 1.0 ELSE 0 END)", "common_pred": "mode(pred)", "mean_prob": "avg(best)", "std_prob": "stddev_samp(best)"}, keys=("CAST(fold AS INT) AS fold",), where="GROUP BY fold"))(
+query("regime_validation", psql(out={"n": "count(*)", "accuracy": "avg(CASE WHEN t = pred THEN 1.0 ELSE 0 END)", "common_pred": "CASE WHEN count(*) FILTER (pred = -1) >= greatest(count(*) FILTER (pred = 0), count(*) FILTER (pred = 1)) THEN -1 WHEN count(*) FILTER (pred = 0) >= count(*) FILTER (pred = 1) THEN 0 ELSE 1 END", "mean_prob": "avg(best)", "std_prob": "stddev_samp(best)"}, keys=("CAST(fold AS INT) AS fold",), where="GROUP BY fold"))(
     lambda spark, d: rounded(H.by_regime(preds(spark, d), "fold"), ["n", "accuracy", "common_pred", "mean_prob", "std_prob"], keys=("fold",)))
 query("pattern_stability", psql(out={"distance": "sum(abs(a * 1.0 / ta - b * 1.0 / tb))"}, keys=(), source="(SELECT *, sum(a) OVER () AS ta, sum(b) OVER () AS tb FROM (SELECT pred, count(*) FILTER (fold = 0) AS a, count(*) FILTER (fold = 1) AS b FROM s4 WHERE fold IN (0, 1) GROUP BY 1))"))(
     lambda spark, d: rounded(H.pattern_stability(preds(spark, d).withColumn("fold", F.col("fold").cast("string")), "fold", "0", "1"), keys=()))
