@@ -9,9 +9,9 @@ A byte goes if it lies in a string of ``SIZE`` bytes that also starts anywhere e
    become pieces: the run's bytes and the SIZE - 1 after it, sent to the shard of their key.
 3. A shard sorts the suffixes of its distinct pieces in blocks: Larsson-Sadakane
    refinement in numpy (only groups that are not yet sorted are refined, the compared
-   length doubles each round). Neighbours in the array that have SIZE bytes in common are
-   repeats; the common prefixes come from the ranks of the rounds, all neighbours at once.
-   (``kasai`` is the sequential form, too slow in Python for whole shards.)
+   length doubles each round). Kasai's pass gives the common prefixes of neighbours in the
+   array, in numpy too: many chains of positions advance together. Windows between which
+   all common prefixes reach SIZE are repeats.
 4. All windows of a key are in one shard, unless the key has over ``SPLIT`` pieces: then
    it is dealt over several. Each hands on its distinct windows as sorted fingerprints,
    packed by ranges, and those are merged across shards by binary search.
@@ -39,6 +39,7 @@ SPLIT = 4_000
 BLOCK = 3 << 20
 _PLACE = 22  # bits for a position in a chunk; the others of a word are the key's
 _CHUNK = 1 << 21
+CHAIN = 256
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -160,28 +161,34 @@ _PIECE_NAMES = ["key", "part", "parts", "uid", "start", "windows", "piece"]
 _PIECE_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
 
-def refine(data: np.ndarray, depth: int) -> np.ndarray:
-    """Rank of each suffix by its first ``depth`` bytes (8 times a power of two); equal prefixes share a rank.
+def eight_bytes(data: np.ndarray, more: int = 0) -> np.ndarray:
+    """The eight bytes from each position, the first the highest; bytes past the end are zero."""
+    eight = np.concatenate((data, np.zeros(8 + more, np.uint8))).astype(np.uint64)
+    for step in (1, 2, 4):
+        eight = (eight[:-step] << np.uint64(8 * step)) | eight[step:]
+    return eight[: len(data) + more]
+
+
+def refine(data: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Rank of each suffix by its first ``depth`` bytes (8 times a power of two), or by all of them; equal prefixes share a rank.
 
     A rank is the place of the group's first suffix in sorted order. Bytes past the end are zero.
     """
     n = len(data)
-    eight = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
-    for step in (1, 2, 4):
-        eight = (eight[:-step] << np.uint64(8 * step)) | eight[step:]
-    eight = eight[:n]
+    depth = depth or n
+    eight = eight_bytes(data)
     order = np.argsort(eight)
     ordered = eight[order]
     fresh = np.ones(n, bool)
     fresh[1:] = ordered[1:] != ordered[:-1]
     place = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    rank = np.zeros(n + depth, np.int64)
+    rank = np.zeros(n + 1, np.int64)
     rank[order] = place + 1
     single = fresh & np.append(fresh[1:], True)
     rest = order[~single]  # suffixes in groups that are not sorted yet
     h = 8
     while h < depth and len(rest):
-        key = rank[rest] << np.int64(32) | rank[rest + h]
+        key = rank[rest] << np.int64(32) | rank[np.minimum(rest + h, n)]
         by = np.argsort(key)
         rest, key = rest[by], key[by]
         new = np.ones(len(rest), bool)
@@ -196,48 +203,92 @@ def refine(data: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def kasai(data: bytes, array: list[int]) -> list[int]:
-    """Common prefix of each suffix with the one before it in the suffix array."""
-    place = [0] * len(array)
-    for i, s in enumerate(array):
-        place[s] = i
-    out, h = [0] * len(array), 0
-    for s in range(len(array)):
-        if not place[s]:
-            h = 0
-            continue
-        t = array[place[s] - 1]
-        while s + h < len(data) and t + h < len(data) and data[s + h] == data[t + h]:
-            h += 1
-        out[place[s]] = h
-        h = max(0, h - 1)
+def suffix_array(data: np.ndarray) -> np.ndarray:
+    """Starts of all suffixes in sorted order."""
+    n = len(data)
+    rank = refine(data)[:n]
+    # only a suffix and the same with zero bytes after it are still equal: the shorter one comes first
+    return n - 1 - np.argsort(rank[::-1], kind="stable")
+
+
+def kasai(data: bytes | np.ndarray, array: list[int] | np.ndarray, most: int | None = None, chain: int = CHAIN) -> np.ndarray:
+    """Common prefix of each suffix with the one before it in the suffix array, up to ``most``.
+
+    Going from a suffix to the next one in the text, a common prefix shrinks by one byte at
+    most, so only bytes beyond that are compared. The text is cut into chains of ``chain``
+    positions that start afresh, and all chains take a step together.
+    """
+    data = np.frombuffer(data, np.uint8) if isinstance(data, bytes) else data
+    array = np.asarray(array, np.int64)
+    n = len(data)
+    most = n if most is None else min(most, n)
+    place = np.empty(n, np.int64)
+    place[array] = np.arange(n)
+    eight = eight_bytes(data, most + 16)
+    wide = 8 * np.arange(1, 9)
+    out = np.zeros(n, np.int64)
+    starts = np.arange(0, n, chain)
+    h = np.zeros(len(starts), np.int64)
+    for step in range(min(chain, n)):
+        s = starts + step
+        if s[-1] >= n:
+            starts, s, h = starts[:-1], s[:-1], h[:-1]
+        here = place[s]
+        t = array[here - 1]  # for the first suffix the last one, put right below
+        differ = eight[s + h] ^ eight[t + h]
+        h += _equal_bytes(differ)
+        left = np.flatnonzero((differ == 0) & (h < most))
+        while len(left):
+            a, b = s[left], t[left]
+            at = h[left, None] + wide - 8
+            differ = eight[np.minimum(a[:, None] + at, n + most)] ^ eight[np.minimum(b[:, None] + at, n + most)]
+            whole = (differ == 0).all(axis=1)
+            word = np.where(whole, 7, (differ != 0).argmax(axis=1))
+            h[left] += 8 * word + _equal_bytes(differ[np.arange(len(left)), word])
+            left = left[whole & (h[left] < most)]
+        h = np.minimum(h, np.minimum(n - np.maximum(s, t), most))
+        h[here == 0] = 0
+        out[here] = h
+        h = np.maximum(h - 1, 0)
+    return out
+
+
+def _equal_bytes(differ: np.ndarray) -> np.ndarray:
+    """How many of the eight bytes are equal, from the first on."""
+    out = np.full(len(differ), 8, np.int64)
+    some = differ != 0
+    # the byte of the highest bit that differs, by halving
+    x = differ[some]
+    top = np.zeros(len(x), np.int64)
+    for bits in (32, 16, 8):
+        high = x >> np.uint64(bits) != 0
+        top[high] += bits
+        x = np.where(high, x >> np.uint64(bits), x)
+    out[some] = 7 - (top >> 3)
     return out
 
 
 def repeated_windows(pieces: list[bytes], windows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all windows of all pieces, in order: position in the joined pieces, class, and how many share the class.
 
-    Two windows have one class if, and only if, their bytes are equal.
+    Two windows have one class if, and only if, their bytes are equal: no common prefix
+    between their places in the suffix array is under ``size``.
     """
     data = np.frombuffer(b"".join(pieces), np.uint8)
     length = windows + size - 1
     base = np.cumsum(length) - length
     at = np.repeat(base - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
-    depth = 8
-    while depth * 2 <= size:
-        depth *= 2
-    rank = refine(data, depth)
-    # size bytes are equal where the first and the last ``depth`` of them are
-    key = rank[at] << np.int64(32) | rank[at + size - depth]
-    order = np.argsort(key, kind="stable")
-    ordered = key[order]
-    fresh = np.ones(len(ordered), bool)
-    fresh[1:] = ordered[1:] != ordered[:-1]
-    kind = np.cumsum(fresh) - 1
+    array = suffix_array(data)
+    common = kasai(data, array, size)
+    is_window = np.zeros(len(data), bool)
+    is_window[at] = True
+    place = np.flatnonzero(is_window[array])  # suffixes that run on into the next piece lie between windows
+    fresh = np.minimum.reduceat(common[: place[-1] + 1], place[:-1] + 1) < size if len(place) > 1 else np.zeros(0, bool)
+    kind = np.concatenate(([0], np.cumsum(fresh)))
     count = np.bincount(kind)
-    classes = np.empty(len(at), np.int64)
-    classes[order] = kind
-    return at, classes, count[classes]
+    classes = np.empty(len(data), np.int64)
+    classes[array[place]] = kind
+    return at, classes[at], count[classes[at]]
 
 
 def _fingerprints(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -409,6 +409,28 @@ def test_ranks_and_common_prefixes():
         assert common[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
+@pytest.mark.parametrize("letters", [b"a", b"ab", b"\0a", b"abc"])
+def test_chained_common_prefixes_and_window_classes(letters):
+    rng = random.Random(letters)
+    for n in (1, 2, 30, 300):
+        data = bytes(rng.choice(letters) for _ in range(n)) * rng.choice([1, 3])
+        array = suffix_dedup.suffix_array(np.frombuffer(data, np.uint8))
+        assert array.tolist() == sorted(range(len(data)), key=lambda i: data[i:])
+        whole = suffix_dedup.kasai(data, array)
+        for most, chain in ((1, 256), (20, 7), (20, 256), (400, 64)):
+            assert suffix_dedup.kasai(data, array, most, chain).tolist() == np.minimum(whole, most).tolist()
+        size = 5
+        pieces_of = [p for p in dict.fromkeys(data[i : i + size + rng.randrange(9)] for i in range(0, len(data), 4)) if len(p) >= size]
+        if not pieces_of:
+            continue
+        at, kinds, count = suffix_dedup.repeated_windows(pieces_of, np.array([len(p) - size + 1 for p in pieces_of]), size)
+        joined = b"".join(pieces_of)
+        windows = [joined[i : i + size] for i in at.tolist()]
+        often = collections.Counter(windows)
+        assert count.tolist() == [often[w] for w in windows]
+        assert len(set(zip(windows, kinds.tolist()))) == len(often) == len(set(kinds.tolist()))
+
+
 # ---- operator 9
 
 
