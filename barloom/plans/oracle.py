@@ -68,5 +68,5 @@ def sql(*steps: dict[str, str], out: dict[str, str] | list[str], digits: int = 6
     for i, step in enumerate(steps):
         ctes.append(f"s{i + 1} AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in step.items())} FROM s{i})")
     named = out if isinstance(out, dict) else {n: n for n in out}
-    columns = [*keys, *(f'round(CAST({e} AS DOUBLE), {digits}) AS "{n}"' for n, e in named.items())]
+    columns = [*keys, *(f'round(CAST({e} AS DOUBLE), {digits}) + 0.0 AS "{n}"' for n, e in named.items())]
     return f"WITH RECURSIVE {', '.join(ctes)} SELECT {', '.join(columns)} FROM {source or f's{len(steps)}'} {where}"

@@ -37,9 +37,9 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, columns: list[str] | None = None, digits: int = 6, keys: tuple[str, ...] = ("symbol", "ts")) -> DataFrame:
-    """Keys and the chosen columns as rounded doubles, the form both sides of a comparison take."""
+    """Keys and the chosen columns as rounded doubles without negative zeros, the form both sides of a comparison take."""
     columns = columns if columns is not None else [c for c in df.columns if c not in keys]
-    return df.select(*keys, *[F.round(F.col(c).cast("double"), digits).alias(c) for c in columns])
+    return df.select(*keys, *[(F.round(F.col(c).cast("double"), digits) + F.lit(0.0)).alias(c) for c in columns])
 
 
 def panel(name: str, op: Callable[[DataFrame], DataFrame], columns: list[str], oracle: str | None = None, digits: int = 6) -> None:
