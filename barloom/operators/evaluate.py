@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import count_equal
+from ..functions.running import running_sums, unit_bins
 
 CLASSES = (-1, 0, 1)
 
@@ -49,11 +50,11 @@ def scores(preds: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def auc(preds: DataFrame, score: str, positive: Column, by: tuple[str, ...] = ()) -> DataFrame:
     """Area under the ROC curve by rank sums, ties sharing their mean rank.
 
-    Rows are first counted by distinct score, so the ordered window holds one row a score.
+    Rows are first counted by distinct score; the ordered sums over scores run bin by bin
+    (balanced for scores from 0 to 1, right for any).
     """
     counts = preds.groupBy(*by, F.col(score).alias("s")).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
-    order = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    below = counts.withColumn("below", F.coalesce(F.sum("neg").over(order), F.lit(0)))
+    below = running_sums(counts, "s", {"below": F.col("neg")}, by, here=False, bin_of=unit_bins(F.col("s")))
     return below.groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
 
@@ -64,11 +65,10 @@ def auc_one_vs_rest(preds: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def roc_curve(preds: DataFrame, score: str, positive: Column) -> DataFrame:
-    """(threshold, tpr, fpr, precision): cumulative counts down the distinct scores."""
+    """(threshold, tpr, fpr, precision): cumulative counts down the distinct scores, bin by bin."""
     counts = preds.groupBy(F.col(score).alias("threshold")).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
     totals = counts.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    rows = counts.select("threshold", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp")).crossJoin(F.broadcast(totals))
+    rows = running_sums(counts, "threshold", {"tp": F.col("pos"), "fp": F.col("neg")}, descending=True, bin_of=unit_bins(F.col("threshold"))).crossJoin(F.broadcast(totals))
     return rows.select("threshold", F.try_divide("tp", "all_pos").alias("tpr"), F.try_divide("fp", "all_neg").alias("fpr"), F.try_divide("tp", F.col("tp") + F.col("fp")).alias("precision"))
 
 

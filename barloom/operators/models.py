@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .evaluate import auc_one_vs_rest, scores
 from .splits import as_pairs, walk_forward
 
+DEALT = 100_000  # rows that are dealt anew together
+
 
 def assembled(rows: DataFrame, features: list[str], label: str) -> DataFrame:
     """``features`` vector and ``y`` (0, 1, 2 for -1, 0, 1); incomplete rows are left out."""
@@ -149,19 +151,24 @@ def meta_model(preds: DataFrame, share: float = 0.7, keep: float = 0.5) -> DataF
 def permutation_importance(model, rows: DataFrame, features: list[str], repeats: int = 20, seed: int = 42) -> DataFrame:
     """(feature, importance, deviation): accuracy lost when one column is dealt anew.
 
-    A column is dealt anew by joining row numbers in order with row numbers in random
-    order, both by the same key; all repeats of a feature are one job.
+    Rows fall into random groups of about ``DEALT`` (one group, if there are fewer rows), anew
+    for each repeat. A group numbers its rows in two random orders, and joining one numbering
+    with the other deals the column anew; all repeats of a feature are one job.
     """
-    base = model.transform(rows).agg(F.avg((F.col("prediction") == F.col("y")).cast("double"))).first()[0]
+    base, n = model.transform(rows).agg(F.avg((F.col("prediction") == F.col("y")).cast("double")), F.count("*")).first()
     spark = rows.sparkSession
-    numbered = rows.select("y", *features).withColumn("__u", F.monotonically_increasing_id())
-    placed = numbered.withColumn("__k", F.row_number().over(Window.orderBy("__u"))).drop("features")
+    named = rows.select("y", *features).withColumn("__u", F.monotonically_increasing_id())
+    groups = max(1, -(-n // DEALT))
     out = []
     for j, f in enumerate(features):
         dealt = []
         for r in range(repeats):
-            other = placed.select(F.row_number().over(Window.orderBy(F.xxhash64("__k", F.lit(seed + 1000 * j + r)))).alias("__k"), F.col(f).alias("__new"))
-            dealt.append(placed.join(other, "__k").withColumn(f, F.col("__new")).drop("__new").withColumn("__rep", F.lit(r)))
+            salts = [F.lit(3 * (seed + 1000 * j + r) + i) for i in range(3)]
+            placed = named.withColumn("__g", F.pmod(F.xxhash64("__u", salts[0]), F.lit(groups)))
+            one, two = (F.row_number().over(Window.partitionBy("__g").orderBy(F.xxhash64("__u", salt), "__u")) for salt in salts[1:])
+            placed = placed.withColumns({"__k": one, "__to": two})
+            other = placed.select("__g", F.col("__to").alias("__k"), F.col(f).alias("__new"))
+            dealt.append(placed.join(other, ["__g", "__k"]).withColumn(f, F.col("__new")).drop("__new", "__g", "__k", "__to", "__u").withColumn("__rep", F.lit(r)))
         every = VectorAssembler(inputCols=features, outputCol="features").transform(reduce(DataFrame.union, dealt))
         lost = model.transform(every).groupBy("__rep").agg((F.lit(base) - F.avg((F.col("prediction") == F.col("y")).cast("double"))).alias("d"))
         row = lost.agg(F.avg("d"), F.stddev_pop("d")).first()

@@ -356,3 +356,24 @@ def test_streamed_ema(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     out = live_bars.run_to_table(live_bars.stream_ema(stream, 10), "ema", str(tmp_path / "c2")).orderBy("ts").collect()
     assert [r.ema for r in out] == pytest.approx(pd.Series(closes).ewm(span=10, adjust=False).mean().tolist())
+
+
+def test_running_sums_match_one_window(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from barloom.functions.running import running_sums, unit_bins
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), v, rng.randrange(5)) for v in rng.sample(range(2000), 700)]
+    frame = spark.createDataFrame([(g, float(v), n) for g, v, n in rows], "g string, v double, n int")
+    for by, descending, here in (((), False, True), ((), True, True), (("g",), False, False), (("g",), True, False)):
+        got = running_sums(frame, "v", {"s": F.col("n")}, by, descending, here).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            peers = [x for x in rows if not by or x[0] == r.g]
+            assert r.s == sum(x[2] for x in peers if (x[1] > r.v if descending else x[1] < r.v) or (here and x[1] == r.v))
+    unit = running_sums(frame, "v", {"s": F.col("n")}, bin_of=unit_bins(F.col("v") / 1000)).collect()
+    assert all(r.s == sum(x[2] for x in rows if x[1] <= r.v) for r in unit)
+    assert running_sums(frame.where("false"), "v", {"s": F.col("n")}).count() == 0
