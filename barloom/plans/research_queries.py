@@ -210,7 +210,21 @@ def _strategies(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.union, [P.risk_metrics(rows, s).withColumn("strategy", F.lit(s)) for s in names])
 
 
-query("strategy_rank")(lambda spark, d: rounded(P.rank_strategies(_strategies(spark, d)), ["mean_rank", "rank_sharpe", "total_pnl"], keys=("symbol", "strategy")))
+_three = ("direct", "thresh", "net")
+_rank_steps = (
+    *_sig, {"returns": f"coalesce({RET['r']}, 0)", "day": "CAST(ts AS DATE)"} | {f"ex_{s}": f"coalesce({lag(f'signal_{s}')}, 0)" for s in _three}, {f"tr_{s}": f"abs(coalesce(ex_{s} - {lag(f'ex_{s}')}, 0))" for s in _three},
+    {f"pn_{s}": f"ex_{s} * returns * close * 20 - tr_{s} * 27.5" for s in _three}, {f"eq_{s}": f"sum(pn_{s}) OVER {RUN}" for s in _three}, {f"dd_{s}": f"eq_{s} - max(eq_{s}) OVER {RUN}" for s in _three},
+)
+_nr = len(_pp) + len(_rank_steps)
+_one_strategy = (
+    "SELECT symbol, '{s}' AS strategy, total_pnl, max_drawdown, win_rate, sharpe, sortino FROM (SELECT symbol, sum(pn_{s}) AS total_pnl, min(dd_{s}) AS max_drawdown, avg(CASE WHEN pn_{s} > 0 THEN 1.0 ELSE 0 END) AS win_rate FROM s{n} GROUP BY 1)"
+    " JOIN (SELECT symbol, sqrt(252) * avg(p) / nullif(stddev_samp(p), 0) AS sharpe, sqrt(252) * avg(p) / nullif(stddev_samp(p) FILTER (p < 0), 0) AS sortino FROM (SELECT k.symbol, k.day, coalesce(sum(pn_{s}), 0) AS p FROM"
+    " (SELECT symbol, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM s{n} GROUP BY symbol) k LEFT JOIN s{n} ON s{n}.symbol = k.symbol AND s{n}.day = k.day GROUP BY 1, 2) GROUP BY 1) USING (symbol)"
+)
+_shared_rank = "rank() OVER (PARTITION BY symbol ORDER BY {m} DESC NULLS LAST) + (count(*) OVER (PARTITION BY symbol, {m}) - 1) / 2.0"
+query("strategy_rank", psql(
+    *_rank_steps, out={"mean_rank": " + ".join(f"r_{m}" for m in ("total_pnl", "sharpe", "sortino", "max_drawdown", "win_rate")).join(("(", ") / 5")), "rank_sharpe": "r_sharpe", "total_pnl": "total_pnl"}, keys=("symbol", "strategy"),
+    source="(SELECT *, " + ", ".join(f"{_shared_rank.format(m=m)} AS r_{m}" for m in ("total_pnl", "sharpe", "sortino", "max_drawdown", "win_rate")) + " FROM (" + " UNION ALL ".join(_one_strategy.format(s=s, n=_nr) for s in _three) + "))"))(lambda spark, d: rounded(P.rank_strategies(_strategies(spark, d)), ["mean_rank", "rank_sharpe", "total_pnl"], keys=("symbol", "strategy")))
 
 
 def _series(spark: SparkSession, d: str) -> DataFrame:
@@ -268,7 +282,9 @@ query("class_scores", psql(out={"precision": "pr", "recall": "rc", "f1": "coales
 query("fold_scores", psql(out={"accuracy": "avg(CASE WHEN t = pred THEN 1.0 ELSE 0 END)", "n": "count(*)"}, keys=("CAST(fold AS INT) AS fold",), where="GROUP BY fold"))(lambda spark, d: rounded(E.scores(preds(spark, d), ("fold",)), ["accuracy", "n"], keys=("fold",)))
 query("auc_rank", psql({"k": "rank() OVER (ORDER BY p_bull) + (count(*) OVER (PARTITION BY p_bull) - 1) / 2.0", "y": "CASE WHEN t = 1 THEN 1 ELSE 0 END"}, out={"auc": "(sum(k * y) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y))", "n_pos": "sum(y)", "n_neg": "sum(1 - y)"}, keys=(), source="s5"))(
     lambda spark, d: rounded(E.auc(preds(spark, d), "p_bull", F.col("true") == 1), keys=()))
-query("auc_one_vs_rest")(lambda spark, d: rounded(E.auc_one_vs_rest(preds(spark, d), ("fold",)), ["auc"], keys=("fold", "class")))
+query("auc_one_vs_rest", psql(
+    out={"auc": "(sum(k * y) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y))"}, keys=("CAST(fold AS INT) AS fold", 'c AS "class"'), where="GROUP BY fold, c",
+    source="(SELECT fold, c, CASE WHEN t = c THEN 1 ELSE 0 END AS y, rank() OVER (PARTITION BY fold, c ORDER BY p) + (count(*) OVER (PARTITION BY fold, c, p) - 1) / 2.0 AS k FROM (SELECT fold, t, unnest([-1, 0, 1]) AS c, unnest([p_bear, p_neutral, p_bull]) AS p FROM s4))"))(lambda spark, d: rounded(E.auc_one_vs_rest(preds(spark, d), ("fold",)), ["auc"], keys=("fold", "class")))
 query("roc_curve", psql({"y": "CASE WHEN t = 1 THEN 1.0 ELSE 0 END"}, out={"tpr": "sum(a) OVER w / sum(a) OVER ()", "fpr": "sum(b) OVER w / sum(b) OVER ()", "precision": "sum(a) OVER w / (sum(a) OVER w + sum(b) OVER w)"}, keys=("threshold",), source="(SELECT floor(p_bull * 1000) AS threshold, sum(y) AS a, sum(1 - y) AS b FROM s5 GROUP BY 1)", where="WINDOW w AS (ORDER BY threshold DESC)"))(
     lambda spark, d: rounded(E.roc_curve(preds(spark, d).withColumn("p", F.floor(F.col("p_bull") * 1000).cast("double")), "p", F.col("true") == 1), ["tpr", "fpr", "precision"], keys=("threshold",)))
 query("calibration", psql(out={"mean_prob": "avg(p_bull)", "share": "avg(CASE WHEN t = 1 THEN 1.0 ELSE 0 END)", "n": "count(*)"}, keys=('CAST(least(floor(p_bull * 10), 9) AS INT) AS "bin"',), where="GROUP BY 1"))(
@@ -291,7 +307,9 @@ query("conditional_effects", psql({"mh": "median(high) OVER ()", "ml": "median(l
 ppanel("vote", lambda p: E.vote(p.withColumns({"m1": F.col("pred"), "m2": F.col("true"), "m3": (F.col("rn") % 3 - 1).cast("int")}), ["m1", "m2", "m3"]), ["vote"], psql(
     {"x": "[pred, CAST(t AS INT), CAST(rn % 3 - 1 AS INT)]"}, {f"c{i}": f"len(list_filter(x, lambda v: v = {v}))" for i, v in enumerate((-1, 0, 1))}, out={"vote": "CASE WHEN c0 >= c1 AND c0 >= c2 THEN -1 WHEN c1 >= c2 THEN 0 ELSE 1 END"}))
 ppanel("meta_features", E.meta_features, ["confidence", "entropy", "pred_vol"], psql(out={"confidence": "best", "entropy": "-(p_bear * ln(p_bear + 1e-12) + p_neutral * ln(p_neutral + 1e-12) + p_bull * ln(p_bull + 1e-12))", "pred_vol": std("pred", 20)}))
-query("best_by_regime")(lambda spark, d: rounded(E.best_by_regime(preds(spark, d).withColumn("m2", (F.col("rn") % 3 - 1).cast("int")), ["pred", "m2"], "fold"), ["regime_pred"], keys=("symbol", "ts", "best_model")))
+query("best_by_regime", psql(
+    {"m2": "rn % 3 - 1"}, {"a1": "avg(CASE WHEN pred = t THEN 1.0 ELSE 0 END) OVER (PARTITION BY fold)", "a2": "avg(CASE WHEN m2 = t THEN 1.0 ELSE 0 END) OVER (PARTITION BY fold)"}, {"best_model": "CASE WHEN a2 >= a1 THEN 'm2' ELSE 'pred' END"},
+    out={"regime_pred": "CASE best_model WHEN 'm2' THEN m2 ELSE pred END"}, keys=("symbol", "ts", "best_model")))(lambda spark, d: rounded(E.best_by_regime(preds(spark, d).withColumn("m2", (F.col("rn") % 3 - 1).cast("int")), ["pred", "m2"], "fold"), ["regime_pred"], keys=("symbol", "ts", "best_model")))
 
 # ---- checks and diagnostics
 query("class_balance", psql(out={"n": "count(*)", "share": "count(*) / (SELECT count(*) FROM s4)"}, keys=('CAST(t AS INT) AS "true"',), where="GROUP BY t"))(lambda spark, d: rounded(H.class_balance(preds(spark, d), "true"), keys=("true",)))
