@@ -49,7 +49,7 @@ panel("trend_labels", lambda b: L.regime_label(L.vol_trend_label(L.trend_label(G
     *_reg, RET, out={"trend_label": f"sign({_fwd(20)})", "vol_trend_label": f"sign({_fwd(20)} / (({std('r', 20)}) + 1e-10))", "regime_label": f"sign({_fwd(20)}) * CASE WHEN c = 0 THEN 1 ELSE c END"}))
 panel("ensemble_labels", lambda b: L.ensemble_sources(L.ensemble(L.horizon_matrix(b), {"dir_1": 2.0, "dir_5": 1.0, "dir_10": 1.5, "dir_20": 1.0}), [f"dir_{h}" for h in HS]), ["ensemble_label", "ensemble_conf", "ensemble_vote", "ensemble_strength", "ensemble_agreement"], sql(
     _dirs, {"t": "d1 + d5 + d10 + d20"}, out={"ensemble_label": "sign(2 * d1 + d5 + 1.5 * d10 + d20)", "ensemble_conf": "(" + " + ".join(f"(CASE WHEN d{h} = sign(t) THEN 1 ELSE 0 END)" for h in HS) + ") / 4.0", "ensemble_vote": "sign(t)", "ensemble_strength": "t", "ensemble_agreement": _most}))
-query("vertical_barrier", f"""{sql(out=['close'])[:-len(' SELECT symbol, ts, round(CAST(close AS DOUBLE), 6) AS "close" FROM s0 ')]}
+query("vertical_barrier", f"""{sql(out=['close']).rsplit(' SELECT symbol', 1)[0]}
   SELECT a.symbol, a.ts, (SELECT min(b.ts) FROM s0 b WHERE b.symbol = a.symbol AND b.ts >= a.ts + INTERVAL 5 HOUR) AS t1 FROM s0 a""")(
     lambda spark, d: L.vertical_barrier(hourly(spark, d), 5 * 3600).select("symbol", "ts", "t1"))
 
