@@ -38,14 +38,13 @@ BANDS = 6
 SEED = 42
 
 
-def fingerprints_of(block: TextBlock, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """Unsigned 64-bit SimHash of each document of the block."""
+def shingle_hashes(block: TextBlock, shingle: int = SHINGLE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of every shingle, document by document, and how many each document has."""
     inside = ~SPACE[block.bytes]
     starts, ends = block.runs(inside)
     doc = block.owner(starts)
-    out = np.zeros(block.n, np.uint64)
     if not len(starts):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(block.n, np.int64)
     # words with one blank after each
     lengths = ends - starts
     new_start = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
@@ -59,6 +58,15 @@ def fingerprints_of(block: TextBlock, shingle: int = SHINGLE, seed: int = SEED)
     view = memoryview(flat.tobytes())
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(view[a:b], seed) for a, b in zip(new_start[at].tolist(), (new_start[last] + lengths[last]).tolist(), strict=True)), np.uint64, len(at))
+    return hashes, count
+
+
+def fingerprints_of(block: TextBlock, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Unsigned 64-bit SimHash of each document of the block."""
+    hashes, count = shingle_hashes(block, shingle, seed)
+    out = np.zeros(block.n, np.uint64)
+    if not len(hashes):
+        return out
     some = np.flatnonzero(count)
     begin = (np.cumsum(count) - count)[some]
     step = 1 << 18  # hashes at a time, so that the unpacked bits stay small
