@@ -16,20 +16,20 @@ from ..operators import unsupervised as U
 from ..operators import volatility as V
 from .config import timeframe
 from .pipeline import Settings, build_features, research_run
-from .registry import hourly, query, rounded
+from .registry import hourly, hourly_all, query, rounded
 
 FEATURES = ["Return", "ATR_14", "VolRet", "RegSlope_20", "ROC_10", "Vol_20"]
 
 
 def model_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = T.roc(T.reg_slope(T.prelim(hourly(spark, d).where("symbol = 'click'")), (20,)), (10,))
+    rows = T.roc(T.reg_slope(T.prelim(hourly_all(spark, d)), (20,)), (10,))
     rows = L.trend_label(V.basic(rows, (20,)), 5, "label").withColumn("row_id", row_id().cast("long"))
     rows = M.balanced(M.assembled(rows, FEATURES, "label")).select("row_id", "ts", "symbol", "features", "y", "weight", *FEATURES)
     return rows.persist()  # every fit reads it several times; lost parts are recomputed
 
 
 def _splits(spark: SparkSession, d: str, k: int = 3) -> DataFrame:
-    one = hourly(spark, d).where("symbol = 'click'")
+    one = hourly_all(spark, d)
     rows = C.numbered(one.withColumn("t1", F.lead("ts", 5).over(T.by_symbol())), "ts", "t1").drop("symbol")
     return C.purged_kfold(rows, k, 5).persist()
 
@@ -37,7 +37,7 @@ def _splits(spark: SparkSession, d: str, k: int = 3) -> DataFrame:
 query("complexity")(lambda spark, d: rounded(Z.scalars(hourly(spark, d)), keys=("symbol",)))
 query("cluster_regimes")(lambda spark, d: rounded(U.ensemble(hourly(spark, d)), ["KM_Cluster", "KM_Dist", "GMM_Cluster", "GMM_NLL", "AnomalyScore", "ClusterConsistency", "ClusterStability", "ClusterDrift"], 4))
 query("pca")(lambda spark, d: U.components(U.features(hourly(spark, d))).select("symbol", "ts", "pca"))
-query("hmm_regimes")(lambda spark, d: rounded(U.state_features(U.hidden_states(hourly(spark, d), rounds=50)), ["HMM_State", "HMM_Duration", "HMM_Persistence", "HMM_SwitchRisk", "HMM_Shock", "HMM_Uncertainty"], 4))
+query("hmm_regimes")(lambda spark, d: rounded(U.state_features(U.hidden_states(hourly(spark, d))), ["HMM_State", "HMM_Duration", "HMM_Persistence", "HMM_SwitchRisk", "HMM_Shock", "HMM_Uncertainty"], 4))
 query("rf_purged_cv")(lambda spark, d: rounded(M.cross_validated(model_rows(spark, d), _splits(spark, d), M.forest(20, 4))[1], keys=("split_id",)))
 
 
@@ -59,12 +59,12 @@ def _votes(spark: SparkSession, d: str) -> DataFrame:
 
 query("model_votes")(lambda spark, d: rounded(_votes(spark, d), keys=("row_id", "true", "vote")))
 query("walk_forward_scores")(lambda spark, d: rounded(E.scores(M.out_of_fold(
-    model_rows(spark, d), C.walk_forward(C.numbered(hourly(spark, d).where("symbol = 'click'")).drop("symbol"), 300, 100), M.logistic()), ("split_id",)), keys=("split_id",)))
+    model_rows(spark, d), C.walk_forward(C.numbered(hourly_all(spark, d)).drop("symbol"), 300, 100), M.logistic()), ("split_id",)), keys=("split_id",)))
 
 
 def _importance(spark: SparkSession, d: str) -> DataFrame:
     rows = model_rows(spark, d)
-    return M.permutation_importance(M.forest(20, 4).fit(rows), rows, FEATURES, repeats=3)
+    return M.permutation_importance(M.forest(20, 4).fit(rows), rows, FEATURES)
 
 
 query("permutation_importance")(_importance)
@@ -76,19 +76,19 @@ def _contributions(spark: SparkSession, d: str) -> DataFrame:
 
 
 query("path_contributions")(_contributions)
-query("feature_table")(lambda spark, d: build_features(hourly(spark, d), Settings(structure=False, seasonality=False)))
+query("feature_table")(lambda spark, d: build_features(hourly(spark, d), Settings()))
 
 
 def _regime_walks(spark: SparkSession, d: str) -> DataFrame:
-    spans = C.numbered(hourly(spark, d).where("symbol = 'click'")).drop("symbol")
-    return M.regime_scores(M.walk_forward_regimes(model_rows(spark, d), timeframe("1H"), M.logistic(), spans, ("balanced",)).persist())
+    spans = C.numbered(hourly_all(spark, d)).drop("symbol")
+    return M.regime_scores(M.walk_forward_regimes(model_rows(spark, d), timeframe("1H"), M.logistic(), spans).persist())
 
 
 query("walk_forward_regimes")(lambda spark, d: rounded(_regime_walks(spark, d), keys=("regime",)))
 
 
 def _research(spark: SparkSession, d: str) -> DataFrame:
-    bars = hourly(spark, d).where("symbol = 'click'")
+    bars = hourly_all(spark, d)
     table = V.basic(T.roc(T.reg_slope(T.prelim(bars), (20,)), (10,)), (20,))
     return research_run(bars, FEATURES, table, folds=3, estimator=M.logistic()).risk
 

@@ -36,6 +36,11 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_of(ticks(spark, sf_dir), "1 hour")
 
 
+def hourly_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars of all events as one series, 'ALL'."""
+    return bars_of(ticks(spark, sf_dir).withColumn("symbol", F.lit("ALL")), "1 hour")
+
+
 def rounded(df: DataFrame, columns: list[str] | None = None, digits: int = 6, keys: tuple[str, ...] = ("symbol", "ts")) -> DataFrame:
     """Keys and the chosen columns as rounded doubles without negative zeros, the form both sides of a comparison take."""
     columns = columns if columns is not None else [c for c in df.columns if c not in keys]

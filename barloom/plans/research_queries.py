@@ -24,7 +24,7 @@ from ..operators import trend as T
 from ..operators import volatility as V
 from ..sources.tables import read_table
 from .oracle import ALL, RET, RUN, W, avg, flag, fr, lag, lead, roll, slope, sql, std, top
-from .registry import hourly, panel, query, rounded
+from .registry import hourly, hourly_all, panel, query, rounded
 
 # ---- labels
 HS = (1, 5, 10, 20)
@@ -95,7 +95,10 @@ query("events_without_overlap")(lambda spark, d: L.without_overlap(_fixed_events
 
 # ---- splits: rows are the hourly bars of one symbol, spans reach 5 bars ahead
 def _rows(spark: SparkSession, d: str) -> DataFrame:
-    one = hourly(spark, d).where("symbol = 'click'")
+    return _spans(hourly(spark, d).where("symbol = 'click'"))
+
+
+def _spans(one: DataFrame) -> DataFrame:
     return C.numbered(one.withColumn("t1", F.lead("ts", 5).over(T.by_symbol())), "ts", "t1").drop("symbol")
 
 
@@ -122,7 +125,7 @@ query("walk_forward_expanding_purged", _rw + """, w AS (SELECT i AS split_id, i
     lambda spark, d: _split(spark, C.walk_forward(_rows(spark, d), 200, 40, expanding=True, purge=True)))
 query("grouped_time", _rw + """, p AS (SELECT d, ntile(5) OVER (ORDER BY d) - 1 AS own FROM (SELECT DISTINCT CAST(t0 AS DATE) AS d FROM r))
  SELECT CAST(s AS INT) AS split_id, row_id, CASE WHEN own = s THEN 'test' ELSE 'train' END AS role FROM r JOIN p ON p.d = CAST(t0 AS DATE), (SELECT unnest(range(5)) AS s)""")(lambda spark, d: _split(spark, C.grouped_time(_rows(spark, d), 5)))
-query("clustered_blocks")(lambda spark, d: _split(spark, C.clustered(_rows(spark, d).withColumn("k", F.col("row_id") % 7 % 3), "k", 5, embargo=3)))
+query("clustered_blocks")(lambda spark, d: _split(spark, C.clustered(_spans(hourly_all(spark, d)).withColumn("k", F.col("row_id") % 7 % 3), "k", 5, embargo=3)))
 query("leakage_audit", _rw + """, b AS (SELECT fold AS split_id, min(t0) AS a, max(t0) AS z, count(*) AS n_test FROM f GROUP BY 1)
  SELECT b.split_id, b.n_test, count(*) AS n_train, sum(CASE WHEN f.t0 <= b.z AND f.t1 >= b.a THEN 1 ELSE 0 END)::BIGINT AS n_overlap FROM f, b WHERE f.fold <> b.split_id GROUP BY 1, 2""")(
     lambda spark, d: C.audit(C.purged_kfold(_rows(spark, d), 6, 0, purge=False), _rows(spark, d)).select("split_id", "n_test", "n_train", "n_overlap"))
