@@ -6,7 +6,7 @@ mean, weighted with line lengths, is the document's raw quality, which a logisti
 fitted on the training rows turns into the score.
 
 Training takes a bounded sample of labelled rows (``train_docs``, chosen by a hash of the
-id, and their first ``train_lines`` lines; scoring takes all lines of all texts). Every
+id, and all of their lines; scoring takes all lines of all texts). Every
 line of a labelled document carries the document's label. Lines of all documents advance
 together, one line a step, so the work is numpy throughout.
 
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from .common import SPACE, TextBlock, _byte_table, map_slices, span_hashes, texts
 
 TRAIN_DOCS = 4000
-TRAIN_LINES = 400
 _UPPER = _byte_table(bytes(range(65, 91)))
 _LETTER = _byte_table(bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256)))
 _DIGIT = _byte_table(b"0123456789")
@@ -171,7 +170,7 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Chain:
     """Fit on at most ``train_docs`` labelled documents that are not held out."""
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
@@ -183,14 +182,14 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, trai
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             features, length, per_doc = line_features(TextBlock(batch.column(1)))
             first = np.cumsum(per_doc) - per_doc
-            rows = [features[a : a + min(n, train_lines)].astype(np.float32).tobytes() for a, n in zip(first.tolist(), per_doc.tolist(), strict=True)]
-            sizes = [length[a : a + min(n, train_lines)].astype(np.int64).tobytes() for a, n in zip(first.tolist(), per_doc.tolist(), strict=True)]
+            rows = [features[a : a + n].astype(np.float32).tobytes() for a, n in zip(first.tolist(), per_doc.tolist(), strict=True)]
+            sizes = [length[a : a + n].astype(np.int64).tobytes() for a, n in zip(first.tolist(), per_doc.tolist(), strict=True)]
             return pa.record_batch([batch.column(0), pa.array(rows, pa.binary()), pa.array(sizes, pa.binary())], names=["doc_id", "x", "n"])
 
         return work
 
     wanted = texts(docs).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
-    rows = map_slices(wanted, make, "doc_id long, x binary, n binary").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "y", "x").limit(2 * train_docs).collect()
+    rows = map_slices(wanted, make, "doc_id long, x binary, n binary").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "y", "x").limit(2 * train_docs).collect()
     if not rows or len({r.y for r in rows}) < 2:
         return Chain(np.zeros(N_FEATURES), np.zeros((2, 2)))
     x = np.concatenate([np.frombuffer(r.x, np.float32).reshape(-1, N_FEATURES) for r in rows]).astype(float)
