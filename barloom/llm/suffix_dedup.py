@@ -12,14 +12,21 @@ A byte goes if it lies in a string of ``SIZE`` bytes that also starts anywhere e
    length doubles each round). Kasai's pass gives the common prefixes of neighbours in the
    array, in numpy too: many chains of positions advance together. Windows between which
    all common prefixes reach SIZE are repeats.
-4. All windows of a key are in one shard, unless the key has over ``SPLIT`` pieces: then
+4. All windows of a key are in one shard, unless its pieces weigh over ``SPLIT``: then
    it is dealt over several. Each hands on its distinct windows as sorted fingerprints,
-   packed by ranges, and those are merged across shards by binary search.
+   packed by ranges, and those are merged across shards by binary search. A piece weighs
+   one (two if its key occurs in it twice) and one more for each ``HEAVY`` windows.
 5. The repeats of a document are united and cut out.
 
+Bytes are one measure of a passage, words another: the same five steps over the texts
+written as three bytes for each word (24 bits of its hash) give ``n_shared_words``, the words that lie in a string
+of ``PASSAGE`` words which another document holds too. Nothing is cut by it.
+
 Defined cases: null text counts as empty; texts under SIZE bytes lose nothing; a text
 equal to another of SIZE bytes or more goes whole; overlapping repeats in one text count;
-equal rows each appear; a null doc_id is passed on.
+equal rows each appear; a null doc_id is passed on. A very long text is read in one task,
+but its pieces are spread by key, and a run of windows with one key (periodic text) is cut
+into pieces of ``LONG`` windows. Other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,14 +36,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _INVERSE, _MIX, _BASE, TextBlock, materialize, mix, powers, slices, texts
+from .common import _BASE, _INVERSE, _MIX, SPACE, TextBlock, materialize, mix, powers, slices, span_hashes, texts
 
 SIZE, GRAM = 400, 128
-SPLIT = 4_000
-BLOCK = 3 << 20
+SPLIT = 1_000
+BLOCK = 1 << 20
+HEAVY, LONG = 512, 32 << 10
+PASSAGE, CODE = 50, 3  # CODE: bytes for a word
+WORD_GRAM = 8 * CODE
 _PLACE = 22  # bits for a position in a chunk; the others of a word are the key's
 _CHUNK = 1 << 21
 CHAIN = 256
@@ -86,8 +96,17 @@ def window_keys(data: np.ndarray, size: int = SIZE, gram: int = GRAM) -> tuple[n
     return keys, at
 
 
+def word_codes(block: TextBlock) -> TextBlock:
+    """The same documents with CODE bytes for each word: 24 bits of its hash."""
+    starts, ends = block.runs(~SPACE[block.bytes])
+    out = TextBlock.__new__(TextBlock)
+    out.bytes = np.ascontiguousarray(span_hashes(block.bytes, starts, ends).view(np.uint8).reshape(-1, 8)[:, 8 - CODE :]).ravel()
+    out.offsets, out.n = CODE * np.searchsorted(starts, block.offsets), block.n
+    return out
+
+
 def key_runs(block: TextBlock, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one key: document, first window (in the block), windows, key, and whether the key occurs in it twice."""
+    """Runs of at most LONG windows with one key: document, first window (in the block), windows, key, weight."""
     keys, at = window_keys(block.bytes, size, gram)
     n = len(keys)
     fits = np.zeros(n, bool)
@@ -95,7 +114,7 @@ def key_runs(block: TextBlock, size: int = SIZE, gram: int = GRAM) -> tuple[np.n
         if b > a:
             fits[a:b] = True
     if not fits.any():
-        return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, bool),)
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
     first = fits.copy()
     first[1:] &= ~fits[:-1] | (keys[1:] != keys[:-1])
     edge = block.offsets[:-1]
@@ -105,38 +124,60 @@ def key_runs(block: TextBlock, size: int = SIZE, gram: int = GRAM) -> tuple[np.n
     last = fits.copy()
     last[:-1] &= ~fits[1:] | first[1:]
     end = np.flatnonzero(last)
-    return block.owner(start), start, end - start + 1, keys[start], at[start] != at[end]
+    double = at[start] != at[end]
+    parts = (end - start) // LONG + 1
+    if (parts > 1).any():  # only a key that occurs again and again gives so long a run
+        double = np.repeat(double, parts)
+        nth = np.arange(len(double)) - np.repeat(np.cumsum(parts) - parts, parts)
+        start, end = np.repeat(start, parts) + nth * LONG, np.repeat(end, parts)
+        end = np.minimum(end, start + LONG - 1)
+    windows = end - start + 1
+    return block.owner(start), start, windows, keys[start], 1 + double + windows // HEAVY
 
 
-def read_keys(rows: DataFrame, size: int, gram: int) -> DataFrame:
-    """One row per document: sizes, digests and keys (each shifted by one bit, which tells of a double)."""
+def read_keys(rows: DataFrame, size: int, gram: int, passage: int) -> DataFrame:
+    """One row per document: sizes, digests and keys of bytes and of words (each shifted by eight bits, which hold its weight)."""
+
+    def lists(block: TextBlock, size: int, gram: int) -> pa.Array:
+        doc, _, _, keys, weight = key_runs(block, size, gram)
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(block.n + 1)).astype(np.int32)), pa.array(keys << 8 | weight))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 2 << 20):
                 block = TextBlock(batch.column(2))
-                doc, _, _, keys, double = key_runs(block, size, gram)
-                offsets = np.searchsorted(doc, np.arange(block.n + 1)).astype(np.int32)
+                words = word_codes(block)
                 digests = [hashlib.sha256(block.bytes[a:b]) for a, b in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True)]
                 yield pa.record_batch(
                     [
                         batch.column(0), batch.column(3), batch.column(1), pa.array(np.diff(block.offsets)), pa.array([d.hexdigest() for d in digests], pa.string()),
-                        pa.array([d.digest()[:16] for d in digests], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys << 1 | double)),
+                        pa.array([d.digest()[:16] for d in digests], pa.binary()), pa.array(np.diff(words.offsets) // CODE), lists(block, size, gram), lists(words, CODE * passage, WORD_GRAM),
                     ],
-                    names=["uid", "row_key", "doc_id", "n_bytes", "sha256", "same", "keys"],
+                    names=["uid", "row_key", "doc_id", "n_bytes", "sha256", "same", "n_words", "keys", "word_keys"],
                 )
 
     numbered = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", "row_key")
-    return numbered.mapInArrow(run, "uid long, row_key binary, doc_id long, n_bytes long, sha256 string, same binary, keys array<long>")
+    return numbered.mapInArrow(run, "uid long, row_key binary, doc_id long, n_bytes long, sha256 string, same binary, n_words long, keys array<long>, word_keys array<long>")
+
+
+def keys_again(first: DataFrame, column: str) -> DataFrame:
+    """(uid, keys, counts): of each text the keys that occur again anywhere, with their weight in all texts."""
+    own = first.select("uid", F.explode(column).alias("x"))
+    own = own.select("uid", F.shiftright("x", 8).alias("key"), F.col("x").bitwiseAND(255).alias("n")).groupBy("uid", "key").agg(F.sum("n").alias("n"))
+    often = own.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+    lists = own.select("uid", "key").join(often, "key").groupBy("uid").agg(F.collect_list(F.struct("key", "n")).alias("x"))
+    return lists.select("uid", F.col("x.key").alias(column), F.col("x.n").alias(column + "_n"))
 
 
-def cut_pieces(rows: DataFrame, size: int, gram: int, split: int) -> DataFrame:
-    """(uid, text, keys, counts) -> the pieces of keys that occur again."""
+def cut_pieces(rows: DataFrame, size: int, gram: int, split: int, words: bool = False) -> DataFrame:
+    """(uid, text, keys, counts) -> the pieces of keys that occur again, of the text's bytes or of its words' codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 2 << 20):
                 block = TextBlock(batch.column(1))
+                if words:
+                    block = word_codes(block)
                 doc, start, windows, keys, _ = key_runs(block, size, gram)
                 begin = np.searchsorted(doc, np.arange(block.n + 1))
                 uids = batch.column(0).to_numpy()
@@ -312,9 +353,11 @@ def _spans(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.record_batch([*(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=_FOUND_NAMES)
 
 
-def settle(group: list[tuple], size: int) -> Iterator[pa.RecordBatch]:
+def settle(group: list[tuple], size: int, across: bool = False) -> Iterator[pa.RecordBatch]:
     """Repeats of some whole keys: spans of repeated windows; of split keys also their distinct windows.
 
+    ``across``: only windows that two documents hold count.
+
     Those go packed: for each slot of fingerprints one row with the sorted fingerprints,
     a place of each, and whether its window was alone here. A key of p parts has p slots,
     so a slot gathers about as much as a part holds.
@@ -335,7 +378,14 @@ def settle(group: list[tuple], size: int) -> Iterator[pa.RecordBatch]:
     copies = np.array([len(r) for r in refs])
     owner = np.repeat(np.arange(len(pieces)), windows)
     inside = np.arange(len(at)) - np.repeat(np.cumsum(windows) - windows, windows)
-    again = (count > 1) | (copies[owner] > 1)
+    if across:
+        low, high = (np.array([f(r)[0] for r in refs], np.int64)[owner] for f in (min, max))
+        least, most = np.full(len(count), np.iinfo(np.int64).max), np.full(len(count), np.iinfo(np.int64).min)
+        np.minimum.at(least, classes, low)
+        np.maximum.at(most, classes, high)
+        again = least[classes] != most[classes]
+    else:
+        again = (count > 1) | (copies[owner] > 1)
     first, last = again.copy(), again.copy()
     same = owner[1:] == owner[:-1]
     first[1:] &= ~(again[:-1] & same)
@@ -350,7 +400,7 @@ def settle(group: list[tuple], size: int) -> Iterator[pa.RecordBatch]:
     if not len(pick):
         return
     _, one = np.unique(classes[pick], return_index=True)
-    pick = pick[one]
+    pick = np.union1d(pick[one], pick[~again[pick]])
     fp1, fp2 = _fingerprints(np.frombuffer(b"".join(pieces), np.uint8), at[pick], size)
     piece = owner[pick]
     keys = np.array(key_of, np.int64)[piece]
@@ -366,7 +416,7 @@ def settle(group: list[tuple], size: int) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([none, none, none, pa.array(keys[fresh]), pa.array(slot[fresh].astype(np.int32)), pa.array(packed, pa.binary())], names=_FOUND_NAMES)
 
 
-def search_shards(pieces: DataFrame, size: int, block: int) -> DataFrame:
+def search_shards(pieces: DataFrame, size: int, block: int, across: bool = False) -> DataFrame:
     """Suffix arrays of the shards, block by block of whole (key, part) groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,19 +426,22 @@ def search_shards(pieces: DataFrame, size: int, block: int) -> DataFrame:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:2] != before:
                     if weight >= block:
-                        yield from settle(held, size)
+                        yield from settle(held, size, across)
                         held, weight = [], 0
                     before = row[:2]
                 held.append(row)
                 weight += len(row[6])
         if held:
-            yield from settle(held, size)
+            yield from settle(held, size, across)
 
     return pieces.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run, _FOUND)
 
 
-def merge_slot(packed: list[bytes], size: int) -> list[tuple[int, int, int]]:
-    """Windows that were alone in their shard but are in another one too: each shard's sorted fingerprints are searched in the others'."""
+def merge_slot(packed: list[bytes], size: int, across: bool = False) -> list[tuple[int, int, int]]:
+    """Windows that were alone in their shard but are in another one too: each shard's sorted fingerprints are searched in the others'.
+
+    ``across``: a window is alone, too, while only one document holds it.
+    """
     shards = [np.frombuffer(p, np.int64).reshape(5, -1) for p in packed]
     every = np.concatenate(shards, axis=1)
     ordered = np.sort(every[0])
@@ -396,18 +449,23 @@ def merge_slot(packed: list[bytes], size: int) -> list[tuple[int, int, int]]:
     # a fingerprint's first half that several shards hold, by binary search among all
     several = np.searchsorted(ordered, every[0], side="right") - np.searchsorted(ordered, every[0], side="left") > 1
     close = every[:, several]
-    order = np.lexsort((close[1], close[0]))
+    order = np.lexsort((close[2], close[1], close[0]))
     close = close[:, order]
     equal = (close[:2, 1:] == close[:2, :-1]).all(axis=0)
     shared = np.zeros(close.shape[1], bool)
     shared[1:] |= equal
     shared[:-1] |= equal
+    if across and len(shared):
+        begin = np.flatnonzero(np.concatenate(([True], ~equal)))
+        # a window that several documents of one shard hold stands there once, under one of them
+        several = (np.minimum.reduceat(close[2], begin) != np.maximum.reduceat(close[2], begin)) | (np.minimum.reduceat(close[4], begin) == 0)
+        shared = np.repeat(several, np.diff(np.append(begin, len(shared))))
     for uid, start in close[2:4, shared & (close[4] == 1)].T.tolist():
         out.append((uid, start, start + size))
     return out
 
 
-def merge_shards(found: DataFrame, size: int) -> DataFrame:
+def merge_shards(found: DataFrame, size: int, across: bool = False) -> DataFrame:
     """(uid, start, stop) of windows of split keys that only another shard repeats; a task merges whole (key, slot) groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,11 +478,11 @@ def merge_shards(found: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for key, slot, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, slot) != now:
-                    if len(held) > 1 and (rows := merge_slot(held, size)):
+                    if len(held) > 1 and (rows := merge_slot(held, size, across)):
                         yield batch_of(rows)
                     held, now = [], (key, slot)
                 held.append(packed)
-        if len(held) > 1 and (rows := merge_slot(held, size)):
+        if len(held) > 1 and (rows := merge_slot(held, size, across)):
             yield batch_of(rows)
 
     dealt = found.where("packed is not null").select("key", "slot", "packed").repartition("key", "slot").sortWithinPartitions("key", "slot")
@@ -460,38 +518,53 @@ def cut_out(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "uid long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, split: int = SPLIT, block: int = BLOCK, keep_bytes: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per document; ``kept`` (bytes) on demand.
+def repeats_of(wanted: DataFrame, column: str, size: int, gram: int, split: int, block: int, words: bool) -> DataFrame:
+    """(uid, spans): where texts of ``wanted`` repeat, by the keys in ``column``; of words only what two documents share."""
+    pieces = cut_pieces(wanted.where(F.col(column).isNotNull()).select("uid", "text", column, column + "_n"), size, gram, split, words)
+    found = materialize(search_shards(pieces, size, block, words), "repeats")
+    spans = found.where("packed is null").select("uid", "start", "stop").union(merge_shards(found, size, words))
+    return spans.groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+
+
+def words_within(spans: Column, passage: int) -> Column:
+    """Words in the union of spans of word codes (CODE bytes each); parts of words at the ends don't count."""
+    whole = F.transform(spans, lambda s: F.struct(F.ceil(s["start"] / CODE).alias("a"), F.floor(s["stop"] / CODE).alias("b")))
+    ordered = F.array_sort(F.filter(whole, lambda s: s["b"] - s["a"] >= passage))
+    zero = F.struct(F.lit(0).cast("long").alias("past"), F.lit(0).cast("long").alias("n"))
+    step = lambda acc, s: F.struct(F.greatest(acc["past"], s["b"]).alias("past"), (acc["n"] + F.greatest(s["b"] - F.greatest(acc["past"], s["a"]), F.lit(0).cast("long"))).alias("n"))
+    return F.aggregate(ordered, zero, step, lambda acc: acc["n"])
+
+
+def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, split: int = SPLIT, block: int = BLOCK, keep_bytes: bool = False, passage: int = PASSAGE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_words: one row per document; ``kept`` (bytes) on demand.
 
     Rows are numbered once, in a written table. Texts are found again by a 128-bit digest of
     id and text, so it doesn't matter in which order the input is computed a second time.
     """
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit(""))))
     rows = texts(docs).withColumn("row_key", F.unhex(digest))
-    read = materialize(read_keys(rows, size, gram), "keys")
+    read = materialize(read_keys(rows, size, gram, passage), "keys")
     # written, so that the last join has plain shuffles on both sides, which Spark splits where a text is hot
     groups = materialize(read.groupBy("same").agg(F.min("uid").alias("uid"), F.count("*").alias("copies")), "groups")
     first = read.join(groups.select("uid"), "uid", "left_semi")
-    own = first.select("uid", F.explode("keys").alias("x"))
-    own = own.select("uid", F.shiftright("x", 1).alias("key"), (1 + F.col("x").bitwiseAND(1)).alias("n"))
-    often = own.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
-    lists = own.select("uid", "key").distinct().join(often, "key").groupBy("uid").agg(F.collect_list(F.struct("key", "n")).alias("x"))
+    lists = keys_again(first, "keys").join(keys_again(first, "word_keys"), "uid", "full")
     lists = first.select("uid", "row_key").join(lists, "uid")
     wanted = rows.select("row_key", "text").join(lists, "row_key").dropDuplicates(["row_key"])
-    wanted = materialize(wanted.select("uid", "text", F.col("x.key").alias("keys"), F.col("x.n").alias("counts")), "candidates")
-    found = materialize(search_shards(cut_pieces(wanted, size, gram, split), size, block), "repeats")
-    spans = found.where("packed is null").select("uid", "start", "stop").union(merge_shards(found, size))
-    spans = spans.groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    wanted = materialize(wanted.drop("row_key"), "candidates")
+    spans = repeats_of(wanted, "keys", size, gram, split, block, False)
+    shared = repeats_of(wanted, "word_keys", CODE * passage, WORD_GRAM, split, block, True).select("uid", words_within(F.col("spans"), passage).alias("n_shared"))
     cut = cut_out(wanted.select("uid", "text").join(spans, "uid"))
     more = ["kept"] if keep_bytes else []
     # a text that stands for its copies may be cut; copies of a text too short to be cut are left as they are
-    full = read.drop("keys").join(groups.select("same", "copies"), "same").join(cut.select("uid", "n_removed", "n_spans", F.col("kept_sha256").alias("cut_sha256"), *more), "uid", "left")
+    cut = cut.select("uid", "n_removed", "n_spans", F.col("kept_sha256").alias("cut_sha256"), *more).join(shared, "uid", "full")
+    full = read.drop("keys", "word_keys").join(groups.select("same", "copies"), "same").join(cut, "uid", "left")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= size)
     nothing = hashlib.sha256(b"").hexdigest()
     out = [
         "doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, F.lit(nothing)).otherwise(F.coalesce("cut_sha256", "sha256")).alias("kept_sha256"),
+        F.when((F.col("copies") > 1) & (F.col("n_words") >= passage), F.col("n_words")).otherwise(F.coalesce("n_shared", F.lit(0))).alias("n_shared_words"),
     ]
     if not keep_bytes:
         return full.select(*out)
