@@ -1,27 +1,36 @@
 """Brown class-based bigram scores (operator 4).
 
-Counts of all words come from all training documents: combined in each worker, then summed
-by word. The ``HEAD`` most frequent words (a bound, not a cut: the others are joined) travel
-to the workers, so no frequent word is ever shuffled with its documents. Exchange
-clustering assigns the ``MOVED`` most frequent words to ``CLASSES`` classes: it starts from
-a round-robin assignment and moves each word to the class that raises the class-bigram
-likelihood most, until a round moves none or ``ROUNDS`` are over; its input is one matrix
-of symbol bigram counts of all training text, of a size that MOVED bounds. Any other word
-belongs to the class of its shape (last byte and length); documents begin and end in a
-class of their own.
+1. Counts of all words come from all training documents: combined in each worker, then
+   summed by word. The ``HEAD`` most frequent words travel to the workers.
+2. Exchange clustering starts with the ``MOVED`` most frequent words: from a round-robin
+   assignment to ``CLASSES`` classes each is moved to the class that raises the class-bigram
+   likelihood most, until a round moves none or ``ROUNDS`` are over. The input is one matrix
+   of bigram counts of all training text.
+3. Every other word goes to the class that raises the same likelihood most, given how often
+   each class stands before and after it in all training text: first the other words of
+   the head, then all that remain (the tail), each in one distributed pass. No word keeps a
+   class by its form.
+4. Documents become byte strings, a class for each token. Tail tokens wait as 255 until the
+   pass over the tail, which is shuffled by word once, has given each its class and count.
+5. Class transitions are counted over those of the training documents, then all are scored.
 
 log10 p(text) = sum of log10 p(class | class before) + log10 p(word | class). Transitions
 are interpolated with the class frequencies, emissions are (c + 0.5) / (N_class + 0.5 *
-(V_class + 1)), so that a class keeps room for words it has not shown. Words are compared
-by 64-bit hashes of their bytes.
+(V_class + 1)): each class keeps room for a word that training has not shown. Such a word
+has the sum over all classes of that room; what follows it starts from the classes' shares
+of the room. So the probabilities of all training words, the end and one unknown word sum
+to 1 after any token. Words are compared by 64-bit hashes of their bytes.
 
 Defined cases: a null text counts as empty; an empty text is its end token alone; a null
 doc_id is training text; without training text N and V are 0 and scores stay finite; equal
-rows each appear and count.
+rows each appear and count; ties between classes go to the lower one. A very long text is
+one row (a byte a token). Other columns of the input are ignored, whatever their names. A
+tail word is in one task: none has more tokens than any of the HEAD words.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,55 +38,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, TextBlock, _byte_table, map_slices, materialize, slices, span_hashes, texts
+from .common import LOWER, SPACE, TextBlock, map_slices, materialize, slices, span_hashes, texts
 
-HEAD, MOVED, CLASSES, ROUNDS, PULL = 100_000, 1_000, 32, 12, 10.0
-SHAPES = 12
+HEAD, MOVED, CLASSES, ROUNDS, PULL = 100_000, 1_500, 64, 10, 10.0
 END = np.uint64(0x5EED0FE11D)
-_LETTER = _byte_table(bytes(range(65, 91)) + bytes(range(97, 123)))
-_DIGIT = _byte_table(b"0123456789")
-_KIND = np.where(_LETTER, 0, np.where(_DIGIT, 1, np.where(np.arange(256) >= 128, 2, 3)))
+OPEN = 255  # a token without a class yet; after the pass over the tail: a word that training has not shown
 
 
 def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 1, F.lit(False))
 
 
-def words_of(block: TextBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, shape and document of every word of the block, in order."""
+def words_of(block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and document of every word of the block, in order."""
     starts, ends = block.runs(~SPACE[block.bytes])
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    size = ends - starts
-    shape = _KIND[block.bytes[ends - 1]] * 3 + (size > 4) + (size > 8)
-    return span_hashes(LOWER[block.bytes], starts, ends), shape, block.owner(starts)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return span_hashes(LOWER[block.bytes], starts, ends), block.owner(starts)
 
 
 def word_counts(training: DataFrame) -> DataFrame:
-    """(word, shape, n) over all training texts; the end token has shape -1."""
+    """(word, is_end, n) over all training texts."""
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             block = TextBlock(batch.column(1))
-            words, shape, _ = words_of(block)
-            found, first, n = np.unique(words, return_index=True, return_counts=True)
+            found, n = np.unique(words_of(block)[0], return_counts=True)
             return pa.record_batch(
-                [pa.array(np.append(found, END).view(np.int64)), pa.array(np.append(shape[first], -1).astype(np.int32)), pa.array(np.append(n, block.n).astype(np.int64))],
-                names=["word", "shape", "n"],
+                [pa.array(np.append(found, END).view(np.int64)), pa.array(np.append(np.zeros(len(found), bool), True)), pa.array(np.append(n, block.n).astype(np.int64))],
+                names=["word", "is_end", "n"],
             )
 
         return work
 
-    return map_slices(training, make, "word long, shape int, n long").groupBy("word", "shape").agg(F.sum("n").alias("n"))
+    return map_slices(training, make, "word long, is_end boolean, n long").groupBy("word", "is_end").agg(F.sum("n").alias("n"))
 
 
 @dataclass(frozen=True)
 class Head:
-    """The most frequent words, by rising hash; symbol: place among the moved words, else MOVED + shape."""
+    """The most frequent words, by rising hash; rank: place by falling count."""
 
     words: np.ndarray
     counts: np.ndarray
-    symbols: np.ndarray
+    rank: np.ndarray
 
     def find(self, words: np.ndarray) -> np.ndarray:
         """Index of each word, -1 where it is not in the head."""
@@ -87,52 +90,65 @@ class Head:
         return np.where(self.words[at] == words, at, -1)
 
 
-BORDER = MOVED + SHAPES
-SYMBOLS = BORDER + 1
-
-
-def head_of(counts: DataFrame) -> Head:
-    top = counts.where("shape >= 0").orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
-    words, shape, n = (top.column(c).to_numpy() for c in ("word", "shape", "n"))
+def head_of(counts: DataFrame, head: int = HEAD) -> Head:
+    top = counts.where("not is_end").orderBy(F.desc("n"), "word").limit(head).toArrow()
+    words, n = (top.column(c).to_numpy() for c in ("word", "n"))
     order = np.lexsort((words, -n))
-    symbols = shape.astype(np.int64) + MOVED
-    symbols[order[:MOVED]] = np.arange(min(MOVED, len(order)))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
     words = words.astype(np.int64).view(np.uint64)
     by_hash = np.argsort(words)
-    return Head(words[by_hash], n[by_hash], symbols[by_hash])
+    return Head(words[by_hash], n[by_hash].astype(np.int64), rank[by_hash])
 
 
-def chain_of(head: Head, block: TextBlock) -> tuple[np.ndarray, ...]:
-    """For all tokens with ends: document, symbol, symbol before, and head index (-2 for ends); also hashes of the words."""
-    words, shape, doc = words_of(block)
+def chain_of(head: Head, symbols: np.ndarray, other: int, end: int, block: TextBlock) -> tuple[np.ndarray, ...]:
+    """For all tokens with ends: document, symbol, head index (-1: tail, -2: end) and hash. ``symbols`` are those of the head's words."""
+    words, doc = words_of(block)
     at = head.find(words)
-    symbol = np.where(at >= 0, head.symbols[at] if len(head.symbols) else 0, shape + MOVED)
     n = np.bincount(doc, minlength=block.n)
     place = np.arange(len(words)) + doc  # each document before leaves one end token
     total = len(words) + block.n
-    symbols, index, owner, hashes = np.full(total, BORDER), np.full(total, -2), np.empty(total, np.int64), np.zeros(total, np.uint64)
-    symbols[place], index[place], hashes[place] = symbol, at, words
-    owner[:] = np.repeat(np.arange(block.n), n + 1)
-    before = np.concatenate(([BORDER], symbols[:-1]))  # what follows an end follows the border
-    return owner, symbols, before, index, hashes
+    chain, index, hashes = np.full(total, end), np.full(total, -2), np.zeros(total, np.uint64)
+    chain[place] = np.where(at >= 0, symbols[at], other) if len(symbols) else other
+    index[place], hashes[place] = at, words
+    return np.repeat(np.arange(block.n), n + 1), chain, index, hashes
+
+
+def before_of(chain: np.ndarray, end: int) -> np.ndarray:
+    return np.concatenate(([end], chain[:-1]))  # what follows an end follows the border
+
 
+def pair_counts(rows: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], np.ndarray]], size: int, column: str = "text") -> np.ndarray:
+    """size x size counts of the codes (before * size + after) that ``make()`` finds in each slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for whole in batches:
+            for batch in slices(whole, column=column):
+                pair, n = np.unique(work(batch), return_counts=True)
+                yield pa.record_batch([pa.array(pair.astype(np.int64)), pa.array(n.astype(np.int64))], names=["pair", "n"])
+
+    found = rows.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size * size)
+    out[found.column("pair").to_numpy()] = found.column("n").to_numpy()
+    return out.reshape(size, size)
 
-def bigrams(training: DataFrame, head: Head) -> np.ndarray:
-    """Counts of (symbol before, symbol) over all training text, SYMBOLS x SYMBOLS."""
-    sent = training.sparkSession.sparkContext.broadcast(head)
+
+def bigrams(training: DataFrame, head: Head, moved: int) -> np.ndarray:
+    """Counts of (symbol before, symbol) over all training text: the moved words, then all others as one, then the border."""
+    symbols = np.where(head.rank < moved, head.rank, moved)
+    sent = training.sparkSession.sparkContext.broadcast((head, symbols))
 
     def make():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            _, symbols, before, _, _ = chain_of(sent.value, TextBlock(batch.column(1)))
-            pair, n = np.unique(before * SYMBOLS + symbols, return_counts=True)
-            return pa.record_batch([pa.array(pair), pa.array(n.astype(np.int64))], names=["pair", "n"])
+        own, codes = sent.value
+
+        def work(batch: pa.RecordBatch) -> np.ndarray:
+            _, chain, _, _ = chain_of(own, codes, moved, moved + 1, TextBlock(batch.column(1)))
+            return before_of(chain, moved + 1) * (moved + 2) + chain
 
         return work
 
-    found = map_slices(training, make, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(SYMBOLS * SYMBOLS)
-    out[found.column("pair").to_numpy()] = found.column("n").to_numpy()
-    return out.reshape(SYMBOLS, SYMBOLS)
+    return pair_counts(training, make, moved + 2)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -163,9 +179,11 @@ def exchange(counts: np.ndarray, moved: int, classes: int = CLASSES, rounds: int
             table[own, own] -= itself
             left, right = table.sum(axis=1), table.sum(axis=0)
             out_row, in_col = table[:classes], table[:, :classes].T
-            gain_row, gain_col = _xlogx(out_row + after) - _xlogx(out_row), _xlogx(in_col + ahead) - _xlogx(in_col)
-            gain = gain_row.sum(axis=1) + gain_col.sum(axis=1) - gain_row[k, k] - gain_col[k, k]
+            some, same = np.flatnonzero(after), np.flatnonzero(ahead)
+            gain = (_xlogx(out_row[:, some] + after[some]) - _xlogx(out_row[:, some])).sum(axis=1)
+            gain += (_xlogx(in_col[:, same] + ahead[same]) - _xlogx(in_col[:, same])).sum(axis=1)
             both = table[k, k]
+            gain -= _xlogx(both + after[k]) + _xlogx(both + ahead[k]) - 2 * _xlogx(both)
             gain += _xlogx(both + after[k] + ahead[k] + itself) - _xlogx(both)
             n_left, n_right = after.sum() + itself, ahead.sum() + itself
             gain -= _xlogx(left[k] + n_left) - _xlogx(left[k]) + _xlogx(right[k] + n_right) - _xlogx(right[k])
@@ -187,113 +205,324 @@ def exchange(counts: np.ndarray, moved: int, classes: int = CLASSES, rounds: int
     return of
 
 
+@dataclass(frozen=True)
+class Gains:
+    """What a word adds to the class-bigram likelihood by joining a class, from a table of class bigrams.
+
+    The table has one row and column more than classes for words without one yet, and one for the border.
+    """
+
+    table: np.ndarray
+    classes: int
+
+    def best(self, word: np.ndarray, side: np.ndarray, near: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Best class of words 0, 1, ...; rows (sorted by word) say how often class ``near`` stands before (0) or after (1) it."""
+        both = np.stack([self.table[:, : self.classes], self.table[: self.classes].T])
+        plain = _xlogx(both)
+        few = [(_xlogx(both + k) - plain).astype(np.float32) for k in range(1, 4)]
+        words = int(word[-1]) + 1
+        gain = np.zeros((words, self.classes), np.float32)
+        for lo in range(0, len(word), 1 << 16):
+            w, s, c, k = (x[lo : lo + (1 << 16)] for x in (word, side, near, n))
+            part = np.empty((len(w), self.classes), np.float32)
+            for m, known in enumerate(few, 1):
+                part[k == m] = known[s[k == m], c[k == m]]
+            many = k > len(few)
+            part[many] = _xlogx(both[s[many], c[many]] + k[many, None]) - plain[s[many], c[many]]
+            begin = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+            gain[w[begin]] += np.add.reduceat(part, begin, axis=0)
+        for s, margin in ((0, self.table.sum(axis=0)), (1, self.table.sum(axis=1))):
+            total = np.bincount(word, n * (side == s), minlength=words)
+            margin = margin[: self.classes]
+            gain -= (_xlogx(margin + total[:, None]) - _xlogx(margin)).astype(np.float32)
+        return gain.argmax(axis=1)
+
+
+def place_head(training: DataFrame, head: Head, core: np.ndarray, table: np.ndarray, classes: int) -> np.ndarray:
+    """Class of every word of the head: the exchanged ones keep theirs (``core``, by rank), the others take the best."""
+    moved = len(core)
+    symbols = np.where(head.rank < moved, core[np.minimum(head.rank, moved - 1)] if moved else 0, classes)
+    if len(head.words) <= moved:
+        return symbols
+    sent = training.sparkSession.sparkContext.broadcast((head, symbols))
+    size = classes + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, codes = sent.value
+        for whole in batches:
+            for batch in slices(whole):
+                _, chain, index, _ = chain_of(own, codes, classes, classes + 1, TextBlock(batch.column(1)))
+                before, after = before_of(chain, classes + 1), np.append(chain[1:], classes + 1)
+                at = np.flatnonzero((index >= 0) & (chain == classes))
+                code, n = np.unique(np.concatenate([(index[at] * 2 + side) * size + near[at] for side, near in ((0, before), (1, after))]), return_counts=True)
+                yield pa.record_batch([pa.array(code), pa.array(n.astype(np.int64))], names=["code", "n"])
+
+    counted = training.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    counted = counted.select(F.expr(f"code div {2 * size}").alias("word"), "code", "n")
+    gains = training.sparkSession.sparkContext.broadcast(Gains(table, classes))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for word, code, n in whole_words(batches):
+            names, each = np.unique(word, return_inverse=True)
+            best = gains.value.best(each, code // size % 2, code % size, n)
+            yield pa.record_batch([pa.array(names), pa.array(best.astype(np.int64))], names=["word", "cls"])
+
+    placed = counted.repartition("word").sortWithinPartitions("word", "code").mapInArrow(place, "word long, cls long").toArrow()
+    symbols = symbols.copy()
+    symbols[placed.column("word").to_numpy()] = placed.column("cls").to_numpy()
+    return symbols
+
+
+def whole_words(batches: Iterator[pa.RecordBatch], rows: int = 1 << 18) -> Iterator[list[np.ndarray]]:
+    """Columns of some batches that are sorted by their first column, cut so that equal values stay together."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        size += batch.num_rows
+        if size >= rows:
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))
+            if cut:
+                yield [c[:cut] for c in columns]
+            held, size = [[c[cut:] for c in columns]], 0
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+_SEQUENCE = "uid long, doc_id long, train boolean, seq binary, known double, n_known long, tail array<long>, at binary"
+
+
+def sequences(rows: DataFrame, head: Head, symbols: np.ndarray, classes: int) -> DataFrame:
+    """One row per document: a class for each token, and which tail words its open tokens are."""
+    sent = rows.sparkSession.sparkContext.broadcast((head, symbols))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, codes = sent.value
+        logs = np.log10(own.counts + 0.5)
+        for whole in batches:
+            for batch in slices(whole):
+                block = TextBlock(batch.column(3))
+                owner, chain, index, hashes = chain_of(own, codes, OPEN, classes, block)
+                known = np.where(index >= 0, logs[np.maximum(index, 0)] if len(logs) else 0.0, 0.0)
+                rare = np.flatnonzero(index == -1)
+                order = rare[np.lexsort((hashes[rare], owner[rare]))]
+                fresh = np.ones(len(order), bool)
+                fresh[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (owner[order[1:]] != owner[order[:-1]])
+                first = order[np.flatnonzero(fresh)]
+                per_doc = np.bincount(owner[first], minlength=block.n)
+                offsets = np.concatenate(([0], np.cumsum(per_doc)))
+                nth = np.empty(len(chain), np.int64)
+                nth[order] = np.cumsum(fresh) - 1 - offsets[owner[order]]
+                ends = np.searchsorted(owner, np.arange(block.n + 1))
+                opens = np.searchsorted(rare, ends)
+                flat, at = chain.astype(np.uint8), nth[rare].astype(np.int32)
+                yield pa.record_batch(
+                    [
+                        batch.column(0), batch.column(1), batch.column(2), _binary(flat, ends), pa.array(np.bincount(owner, known, minlength=block.n)),
+                        pa.array(np.bincount(owner[index >= 0], minlength=block.n).astype(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes[first].view(np.int64))), _binary(at.view(np.uint8), opens * 4),
+                    ],
+                    names=["uid", "doc_id", "train", "seq", "known", "n_known", "tail", "at"],
+                )
+
+    return rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", (~held_out()).alias("train"), "text").mapInArrow(run, _SEQUENCE)
+
+
+def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _chains(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Joined bytes of a binary column and its offsets."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    flat = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def class_bigrams(seqs: DataFrame, classes: int, size: int) -> np.ndarray:
+    """Class bigrams of the training documents. With size = classes + 2 open tokens are the class before the border."""
+    border = size - 1
+
+    def make():
+        codes = np.arange(256)
+        codes[classes], codes[OPEN] = border, classes
+
+        def work(batch: pa.RecordBatch) -> np.ndarray:
+            flat, _ = _chains(batch.column(0))
+            chain = codes[flat]
+            return before_of(chain, border) * size + chain
+
+        return work
+
+    return pair_counts(seqs.where("train").select("seq"), make, size, "seq")
+
+
+def place_tail(seqs: DataFrame, table: np.ndarray, classes: int) -> DataFrame:
+    """(uid, j, cls, n, fresh): class and training count of each document's j-th tail word (OPEN and 0: not in training).
+
+    Every tail token goes to the task of its word once, with the classes beside it; ``fresh``
+    marks one row of each training word.
+    """
+    gains = seqs.sparkSession.sparkContext.broadcast(Gains(table, classes))
+    other, border = classes, classes + 1
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = np.arange(256)
+        codes[classes], codes[OPEN] = border, other
+        for whole in batches:
+            for batch in slices(whole, column="seq"):
+                flat, offsets = _chains(batch.column(2))
+                at = np.flatnonzero(flat == OPEN)
+                if not len(at):
+                    continue
+                chain = codes[flat]
+                before, after = before_of(chain, border)[at], chain[at + 1]
+                doc = np.searchsorted(offsets, at, side="right") - 1
+                nth = _chains(batch.column(4))[0].view(np.int32).astype(np.int64)
+                lists = batch.column(3)
+                begin = lists.offsets.to_numpy().astype(np.int64)
+                words = lists.values.to_numpy()[begin[doc] + nth]
+                uid, train = batch.column(0).to_numpy()[doc], batch.column(1).to_numpy(zero_copy_only=False)[doc]
+                yield pa.record_batch([pa.array(words), pa.array(uid), pa.array(nth.astype(np.int32)), pa.array((before * 256 + after).astype(np.int32)), pa.array(train)], names=["word", "uid", "j", "near", "train"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for word, uid, j, near, train in whole_words(batches):
+            _, each = np.unique(word, return_inverse=True)
+            n = np.bincount(each, train)
+            cls = np.full(len(n), OPEN)
+            t = np.flatnonzero(train)
+            if len(t):
+                code, times = np.unique(np.concatenate([(each[t] * 2 + side) * 256 + beside for side, beside in ((0, near[t] >> 8), (1, near[t] & 255))]), return_counts=True)
+                some = np.flatnonzero(n)
+                small = np.empty(len(n), np.int64)
+                small[some] = np.arange(len(some))
+                cls[some] = gains.value.best(small[code >> 9], code >> 8 & 1, code & 255, times)
+            order = np.lexsort((j, uid, each))
+            one = np.ones(len(order), bool)
+            one[1:] = (each[order[1:]] != each[order[:-1]]) | (uid[order[1:]] != uid[order[:-1]])
+            keep = order[one]
+            fresh = np.concatenate(([True], each[keep[1:]] != each[keep[:-1]])) & (n[each[keep]] > 0)
+            yield pa.record_batch([pa.array(uid[keep]), pa.array(j[keep]), pa.array(cls[each[keep]].astype(np.int32)), pa.array(n[each[keep]].astype(np.int64)), pa.array(fresh)], names=["uid", "j", "cls", "n", "fresh"])
+
+    tokens = seqs.where(F.size("tail") > 0).select("uid", "train", "seq", "tail", "at").mapInArrow(cut, "word long, uid long, j int, near int, train boolean")
+    return tokens.repartition("word").sortWithinPartitions("word").mapInArrow(place, "uid long, j int, cls int, n long, fresh boolean")
+
+
+def fill(seqs: DataFrame, tail: DataFrame) -> DataFrame:
+    """The documents' sequences without open tokens but for unknown words, and their sums of log counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, column="seq"):
+                flat, offsets = _chains(batch.column(3))
+                flat = flat.copy()
+                at = np.flatnonzero(flat == OPEN)
+                doc = np.searchsorted(offsets, at, side="right") - 1
+                docs = batch.num_rows
+                if len(at):
+                    nth = _chains(batch.column(6))[0].view(np.int32)
+                    pairs = batch.column(7)
+                    begin = pairs.offsets.to_numpy().astype(np.int64)
+                    cls, n = (pairs.values.field(i).to_numpy()[begin[doc] + nth] for i in (1, 2))
+                    flat[at] = cls
+                    more, met, new = np.bincount(doc, np.log10(n + 0.5), minlength=docs), np.bincount(doc[n > 0], minlength=docs), np.bincount(doc[n == 0], minlength=docs)
+                else:
+                    more, met, new = np.zeros(docs), np.zeros(docs, np.int64), np.zeros(docs, np.int64)
+                known, n_known = (batch.column(i).to_numpy() for i in (4, 5))
+                yield pa.record_batch(
+                    [batch.column(1), batch.column(2), pa.array(np.diff(offsets)), pa.array(n_known + met), pa.array(new.astype(np.int64)), pa.array(known + more), _binary(flat, offsets)],
+                    names=["doc_id", "train", "n_tokens", "n_known", "n_new", "logs", "seq"],
+                )
+
+    lists = tail.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("j", "cls", "n"))).alias("x"))
+    rows = seqs.drop("tail").join(lists, "uid", "left").select("uid", "doc_id", "train", "seq", "known", "n_known", "at", "x")
+    return rows.mapInArrow(run, "doc_id long, train boolean, n_tokens long, n_known long, n_new long, logs double, seq binary")
+
+
 @dataclass(frozen=True)
 class ClassModel:
-    head: Head
-    classes: np.ndarray  # of each symbol
-    move: np.ndarray  # log10 p(class | class before)
+    move: np.ndarray  # log10 p(class | class before); the last class is the border, the last row what follows an unknown word
     room: np.ndarray  # log10 of each class's emission denominator
+    new: np.ndarray  # log10 p(unknown word | class before)
     tokens: int
     types: int
+    ends: int
 
     @property
     def base_room(self) -> float:
         return float(np.log10(self.tokens + 0.5 * (self.types + 1)))
 
 
-def learn(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
-    """The model, and the written counts of all training words."""
-    training = docs.where(~held_out())
-    counts = materialize(word_counts(training), "word-counts")
-    totals = {r["shape"]: (r["n"], r["v"]) for r in counts.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    head = head_of(counts)
-    pairs = bigrams(training, head)
-    classes = exchange(pairs, MOVED)
-    n_classes = int(classes.max()) + 1
-    member = np.zeros((SYMBOLS, n_classes))
-    member[np.arange(SYMBOLS), classes] = 1
-    table = member.T @ pairs @ member
+def model_of(table: np.ndarray, mass: np.ndarray, types: np.ndarray, tokens: int, vocabulary: int, ends: int) -> ClassModel:
+    """From class bigrams and each class's tokens and types (border included)."""
+    size = len(table)
     often = table.sum(axis=0)
-    share = (often + 0.5) / (often.sum() + 0.5 * n_classes)
+    share = (often + 0.5) / (often.sum() + 0.5 * size)
     move = (table + PULL * share) / (table.sum(axis=1, keepdims=True) + PULL)
-    mass, types = np.zeros(n_classes), np.zeros(n_classes)
-    moved = head.symbols < MOVED
-    np.add.at(mass, classes[head.symbols[moved]], head.counts[moved])
-    np.add.at(types, classes[head.symbols[moved]], 1)
-    for shape, (n, v) in totals.items():
-        mass[classes[MOVED + shape if shape >= 0 else BORDER]] += n
-        types[classes[MOVED + shape if shape >= 0 else BORDER]] += v
-    # the moved words left the class of their shape
-    shapes = _moved_shapes(counts, head)
-    for shape, (n, v) in shapes.items():
-        mass[classes[MOVED + shape]] -= n
-        types[classes[MOVED + shape]] -= v
-    room = np.log10(mass + 0.5 * (types + 1))
-    return ClassModel(head, classes, np.log10(move), room, sum(n for n, _ in totals.values()), sum(v for _, v in totals.values())), counts
-
-
-def _moved_shapes(counts: DataFrame, head: Head) -> dict[int, tuple[int, int]]:
-    moved = [int(w) for w in head.words[head.symbols < MOVED].view(np.int64)]
-    if not moved:
-        return {}
-    rows = counts.where(F.col("word").isin(moved) & (F.col("shape") >= 0)).groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
-    return {r["shape"]: (r["n"], r["v"]) for r in rows}
-
-
-def _partials(rows: DataFrame, model: ClassModel) -> DataFrame:
-    """One row per document with what the head and the class chain give, and its other words with their counts."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        m = sent.value
-        known = np.log10(m.head.counts + 0.5)
-        for whole in batches:
-            for batch in slices(whole):
-                block = TextBlock(batch.column(2))
-                owner, symbols, before, index, hashes = chain_of(m.head, block)
-                classes = m.classes[symbols]
-                seen = np.where(index >= 0, known[index] if len(known) else 0.0, 0.0)
-                chain = m.move[m.classes[before], classes] - m.room[classes]
-                n = np.bincount(owner, minlength=block.n)
-                base = np.bincount(owner, seen, minlength=block.n) - n * m.base_room
-                score = np.bincount(owner, seen + chain, minlength=block.n)
-                rare = np.flatnonzero(index == -1)
-                order = rare[np.lexsort((hashes[rare], owner[rare]))]
-                fresh = np.ones(len(order), bool)
-                fresh[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (owner[order[1:]] != owner[order[:-1]])
-                first = np.flatnonzero(fresh)
-                times = np.diff(np.append(first, len(order))).astype(np.int32)
-                per_doc = np.bincount(owner[order[first]], minlength=block.n)
-                offsets = np.concatenate(([0], np.cumsum(per_doc))).astype(np.int32)
-                yield pa.record_batch(
-                    [
-                        batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array(np.bincount(owner[index >= 0], minlength=block.n).astype(np.int64)),
-                        pa.array(base), pa.array(score),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[order[first]].view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(times)),
-                    ],
-                    names=["uid", "doc_id", "n_tokens", "n_known", "base", "score", "words", "times"],
-                )
-
-    schema = "uid long, doc_id long, n_tokens long, n_known long, base double, score double, words array<long>, times array<int>"
-    return rows.mapInArrow(run, schema)
+    wide = mass + 0.5 * (types + 1)
+    new = move @ (0.5 / wide)
+    weight = share * 0.5 / wide
+    after = (weight / weight.sum()) @ move
+    return ClassModel(np.log10(np.vstack([move, after])), np.log10(wide), np.log10(np.append(new, after @ (0.5 / wide))), tokens, vocabulary, ends)
 
 
-def score(docs: DataFrame) -> DataFrame:
+def learn(rows: DataFrame, head: int = HEAD, moved: int = MOVED, classes: int = CLASSES) -> tuple[ClassModel, DataFrame]:
+    """The model, and the written class sequences of all documents."""
+    training = rows.where(~held_out())
+    counts = materialize(word_counts(training), "word-counts")
+    totals = {r["is_end"]: (r["n"], r["v"]) for r in counts.groupBy("is_end").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
+    top = head_of(counts, head)
+    moved = min(moved, len(top.words))
+    pairs = bigrams(training, top, moved)
+    core = exchange(pairs, moved, classes)
+    member = np.zeros((len(pairs), classes + 2))
+    member[np.arange(len(pairs)), core] = 1
+    symbols = place_head(training, top, core[:moved], member.T @ pairs @ member, classes)
+    seqs = materialize(sequences(rows, top, symbols, classes), "sequences")
+    tail = materialize(place_tail(seqs, class_bigrams(seqs, classes, classes + 2), classes), "tail-words")
+    filled = materialize(fill(seqs, tail), "filled")
+    mass, types = np.zeros(classes + 1), np.zeros(classes + 1)
+    np.add.at(mass, symbols, top.counts)
+    np.add.at(types, symbols, 1)
+    for r in tail.where("fresh").groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        mass[r["cls"]] += r["n"]
+        types[r["cls"]] += r["v"]
+    ends = int(totals.get(True, (0, 0))[0])
+    mass[classes], types[classes] = ends, int(ends > 0)
+    # without training text the end, too, is a word that training has not shown, but it still ends every text
+    table = class_bigrams(filled, classes, classes + 2)[:, [*range(classes), classes + 1]][[*range(classes), classes + 1]]
+    return model_of(table, mass, types, int(sum(n for n, _ in totals.values())), int(sum(v for n, v in totals.values() if n)), ends), filled
+
+
+def score(docs: DataFrame, head: int = HEAD, moved: int = MOVED, classes: int = CLASSES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity: one row per document."""
-    rows = texts(docs)
-    model, counts = learn(rows)
-    parts = materialize(_partials(rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text"), model), "partial-scores")
-    rare = parts.select("uid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("uid", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    tail = counts.where("shape >= 0").select("word", "n")
-    n = F.coalesce("n", F.lit(0))
-    sums = rare.join(tail, "word", "left").groupBy("uid").agg(F.sum(F.col("times") * F.log10(n + 0.5)).alias("more"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("met"))
-    # the end token is one more known word, counted once in every training text
-    ends = counts.where("shape = -1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    end = float(np.log10(ends + 0.5))
-    more, met = F.coalesce("more", F.lit(0.0)) + end, F.coalesce("met", F.lit(0)) + int(ends > 0)
-    out = parts.drop("words", "times").join(sums, "uid", "left").select(
-        "doc_id", held_out().alias("held_out"), "n_tokens", (F.col("n_known") + met).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"),
-    )
+    model, filled = learn(texts(docs), head, moved, classes)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    end, border = float(np.log10(model.ends + 0.5)), classes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for whole in batches:
+            for batch in slices(whole, column="seq"):
+                flat, offsets = _chains(batch.column(5))
+                owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+                chain = np.where(flat == OPEN, border + 1, flat).astype(np.int64)
+                before = before_of(chain, border)
+                new = chain > border
+                at = np.minimum(chain, border)
+                step = np.where(new, m.new[before], m.move[before, at] - m.room[at])
+                n, n_new, logs = (batch.column(i).to_numpy() for i in (1, 3, 4))
+                logs = logs + end
+                base = logs - n * m.base_room
+                total = logs - n_new * np.log10(0.5) + np.bincount(owner, step, minlength=batch.num_rows)
+                n_known = batch.column(2).to_numpy() + int(m.ends > 0)
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n_known), pa.array(base), pa.array(total)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    out = filled.select("doc_id", "n_tokens", "n_known", "n_new", "logs", "seq").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    out = out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
