@@ -39,3 +39,8 @@ def outer_concat(frames: list[DataFrame], keys: tuple[str, ...]) -> DataFrame:
     for other in frames[1:]:
         out = out.join(other, list(keys), "full")
     return out
+
+
+def sampled(rows: DataFrame, key: str, share: float) -> DataFrame:
+    """About ``share`` of all integer keys (0 or more), by a multiplicative hash: the same rows however the table is partitioned, and on every rerun."""
+    return rows.where((F.col(key).cast("decimal(38,0)") * F.lit(2654435761)) % F.lit(1 << 32) < int(share * (1 << 32)))

@@ -83,33 +83,38 @@ def parse_code(code: Column | str, root_length: int = 2) -> Column:
     return F.when(month > 0, F.when(F.length(c) == root_length + 2, year + 2020).otherwise(year + 2000) * 100 + month)
 
 
-def front_contracts(minutes: DataFrame, expiry: Column) -> DataFrame:
-    """(day, symbol, expiry): each day's contract with most volume, never going back to an earlier expiry.
+def root_of(code: Column | str, root_length: int = 2) -> Column:
+    return F.substring(col(code), 1, root_length)
 
-    Of contracts with equal volume the first by name leads. The running step is over days,
-    of which there is one row each, so it stays small at any number of bars.
+
+def front_contracts(minutes: DataFrame, expiry: Column, root: Column | None = None) -> DataFrame:
+    """(root, day, symbol, expiry): of each root each day's contract with most volume, never going back to an earlier expiry.
+
+    Of contracts with equal volume the first by name leads. The running step is over days of
+    one root, of which there is one row each, so it stays small at any number of bars.
     """
-    daily = minutes.groupBy(F.to_date("ts").alias("day"), "symbol").agg(F.sum("volume").alias("v"), F.max(expiry).alias("expiry"))
-    top = daily.groupBy("day").agg(F.min(F.struct((-F.col("v")).alias("v"), "symbol", "expiry")).alias("top"))
-    order = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    held = top.select("day", F.max(F.struct("top.expiry", "top.symbol")).over(order).alias("held"))
-    return held.select("day", F.col("held.symbol").alias("symbol"), F.col("held.expiry").alias("expiry"))
+    root = root_of("symbol") if root is None else root
+    daily = minutes.groupBy(root.alias("root"), F.to_date("ts").alias("day"), "symbol").agg(F.sum("volume").alias("v"), F.max(expiry).alias("expiry"))
+    top = daily.groupBy("root", "day").agg(F.min(F.struct((-F.col("v")).alias("v"), "symbol", "expiry")).alias("top"))
+    order = Window.partitionBy("root").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    held = top.select("root", "day", F.max(F.struct("top.expiry", "top.symbol")).over(order).alias("held"))
+    return held.select("root", "day", F.col("held.symbol").alias("symbol"), F.col("held.expiry").alias("expiry"))
 
 
 def roll_factors(minutes: DataFrame, front: DataFrame) -> DataFrame:
-    """(day, symbol, factor): price ratio at each roll (last common time of the day before, else of the roll day, else 1), chained from the newest back."""
-    order = Window.orderBy("day")
+    """(root, day, symbol, factor): price ratio at each roll (last common time of the day before, else of the roll day, else 1), chained from the newest back."""
+    order = Window.partitionBy("root").orderBy("day")
     rolls = front.withColumns({"old": F.lag("symbol").over(order), "old_day": F.lag("day").over(order)}).where("old is not null and old <> symbol")
     bars = minutes.select("symbol", "ts", "close", F.to_date("ts").alias("bar_day"))
     pairs = (
         rolls.alias("r").join(bars.alias("a"), (F.col("a.symbol") == F.col("r.old")) & F.col("a.bar_day").isin(F.col("r.day"), F.col("r.old_day")))
         .join(bars.alias("b"), (F.col("b.symbol") == F.col("r.symbol")) & (F.col("b.ts") == F.col("a.ts")))
-        .groupBy(F.col("r.day").alias("day"))
+        .groupBy(F.col("r.root").alias("root"), F.col("r.day").alias("day"))
         .agg(F.max_by(F.try_divide("b.close", "a.close"), F.struct(F.col("a.bar_day") == F.col("r.old_day"), F.col("a.ts"))).alias("ratio"))
     )
-    newest_first = Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
-    steps = front.join(pairs, "day", "left").withColumn("ratio", F.coalesce("ratio", F.lit(1.0)))
-    return steps.select("day", "symbol", "expiry", F.coalesce(F.product("ratio").over(newest_first), F.lit(1.0)).alias("factor"))
+    newest_first = Window.partitionBy("root").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
+    steps = front.join(pairs, ["root", "day"], "left").withColumn("ratio", F.coalesce("ratio", F.lit(1.0)))
+    return steps.select("root", "day", "symbol", "expiry", F.coalesce(F.product("ratio").over(newest_first), F.lit(1.0)).alias("factor"))
 
 
 def back_adjust(minutes: DataFrame, factors: DataFrame) -> DataFrame:

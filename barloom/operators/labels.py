@@ -65,8 +65,8 @@ def spaced(events: DataFrame, seconds: int, whole_days: bool = False) -> DataFra
 
 
 def without_overlap(events: DataFrame) -> DataFrame:
-    """Keep events that begin no earlier than the last kept one ends."""
-    return greedy(events, lambda t0, _, b: b is None or t0 >= b)
+    """Keep events that begin no earlier than the last kept one ends; after one without an end nothing more is kept."""
+    return greedy(events, lambda t0, _, b: b is not None and t0 >= b)
 
 
 # ---- barriers

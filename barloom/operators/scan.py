@@ -37,19 +37,18 @@ def tema(x: np.ndarray, span: float) -> np.ndarray:
 
 
 def kama(x: np.ndarray, w: int, fast: int = 2, slow: int = 30) -> np.ndarray:
-    """Adaptive average: null before w, the price at w, then steps by the efficiency ratio."""
+    """Adaptive average: null before w, the price at w, then steps that the efficiency ratio blends between two squared constants."""
     out = np.full(len(x), np.nan)
     if len(x) <= w:
         return out
-    a, b = 2.0 / (fast + 1), 2.0 / (slow + 1)
+    quick, calm = (2.0 / (fast + 1)) ** 2, (2.0 / (slow + 1)) ** 2
     step = np.concatenate(([0.0], np.abs(np.diff(x))))
     path = np.cumsum(step)
     out[w] = x[w]
     for i in range(w + 1, len(x)):
         moved = path[i] - path[i - w]
         ratio = abs(x[i] - x[i - w]) / moved if moved > 0 else 0.0
-        c = (ratio * (a - b) + b) ** 2
-        out[i] = out[i - 1] + c * (x[i] - out[i - 1])
+        out[i] = out[i - 1] + (calm + ratio * (quick - calm)) * (x[i] - out[i - 1])
     return out
 
 
@@ -77,8 +76,10 @@ def trix(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def tsi(x: np.ndarray, slow: int = 25, fast: int = 13) -> np.ndarray:
-    d = np.diff(x, prepend=x[:1])
-    return 100 * ema(ema(d, slow), fast) / (ema(ema(np.abs(d), slow), fast) + EPS)
+    """From the first difference on; the first row is null."""
+    out, d = np.full(len(x), np.nan), np.diff(x)
+    out[1:] = 100 * ema(ema(d, slow), fast) / (ema(ema(np.abs(d), slow), fast) + EPS)
+    return out
 
 
 def ewma_vol(x: np.ndarray, decay: float) -> np.ndarray:

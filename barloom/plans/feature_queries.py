@@ -75,13 +75,59 @@ panel("ema", lambda b: S.ema_panel(b, (20,)), ["EMA_20"], sql(more=_src.format(x
 panel("ema_long", lambda b: S.ema_chunked(b, 20, 64), ["EMA_20"], sql(more=_src.format(x="close") + _recursive("(2.0 / 21) * src.x + (1 - 2.0 / 21) * z.e", "x"), out={"EMA_20": "e"}, source="z"))
 panel("ewma_vol", V.ewma, ["EWMA_94"], sql(
     more=f", src AS (SELECT symbol, ts, rn, coalesce(pow(close / {lag('close')} - 1, 2), 0) AS x FROM s0)" + _recursive("0.94 * z.e + (1 - 0.94) * src.x", "x"), out={"EWMA_94": "sqrt(e)"}, source="z"))
-panel("rsi", lambda b: S.scan(b, {"RSI_14": ("close", S.rsi, {"w": 14})}), ["RSI_14"], sql(
-    more=f""", d0 AS (SELECT symbol, ts, rn, close - {lag('close')} AS d FROM s0),
-    src AS (SELECT symbol, ts, rn - 14 AS rn, greatest(d, 0) AS u, greatest(-d, 0) AS v, avg(greatest(d, 0)) OVER ({W} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS u0, avg(greatest(-d, 0)) OVER ({W} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS v0 FROM d0),
-    z AS (SELECT symbol, ts, rn, u0 AS g, v0 AS l FROM src WHERE rn = 0 UNION ALL SELECT src.symbol, src.ts, src.rn, (z.g * 13 + src.u) / 14, (z.l * 13 + src.v) / 14 FROM z JOIN src ON src.symbol = z.symbol AND src.rn = z.rn + 1),
-    joined AS (SELECT s0.symbol, s0.ts, 100 - 100 / (1 + z.g / (z.l + 1e-10)) AS rsi FROM s0 LEFT JOIN z ON z.symbol = s0.symbol AND z.rn = s0.rn - 14)""", out={"RSI_14": "rsi"}, source="joined"))
-panel("trend_scan", T.trend_recurrences, ["TEMA_20", "KAMA_20", "RSI_7", "RSI_21", "TRIX_15", "TRIX_30", "TSI"])
-panel("divergence", T.divergence, ["BearDiv_14", "BullDiv_14", "BearDiv_20", "BullDiv_20"])
+
+
+def _chain(name: str, first: str, start: str, **states: tuple[str, str]) -> str:
+    """A recursive CTE over d0: each state's value at the row where ``start`` holds, and its update from z."""
+    head, body = (", ".join(f"{e[i]} AS {n}" for n, e in states.items()) for i in (0, 1))
+    return f", {name} AS (SELECT d0.symbol, d0.rn, {head} FROM {first} WHERE {start} UNION ALL SELECT d0.symbol, d0.rn, {body} FROM {name} z JOIN d0 ON d0.symbol = z.symbol AND d0.rn = z.rn + 1)"
+
+
+def _rsi(w: int) -> str:
+    return _chain(f"rsi{w}", "d0", f"rn = {w}", g=(f"u{w}", f"(z.g * {w - 1} + greatest(d, 0)) / {w}"), l=(f"v{w}", f"(z.l * {w - 1} + greatest(-d, 0)) / {w}"))
+
+
+def _triple(w: int) -> str:
+    a = f"(2.0 / {w + 1})"
+    one = f"({a} * close + (1 - {a}) * z.e1)"
+    two = f"({a} * {one} + (1 - {a}) * z.e2)"
+    return _chain(f"triple{w}", "d0", "rn = 0", e1=("close", one), e2=("close", two), e3=("close", f"{a} * {two} + (1 - {a}) * z.e3"))
+
+
+def _kama(w: int) -> str:
+    return _chain(f"kama{w}", "d0", f"rn = {w}", k=("close", f"z.k + ({(2 / 31) ** 2} + er{w} * {(2 / 3) ** 2 - (2 / 31) ** 2}) * (close - z.k)"))
+
+
+_twice = {n: f"({2 / 26} * {x} + {24 / 26} * z.{n})" for n, x in (("m1", "d"), ("a1", "abs(d)"))}
+_strength = _chain("strength", "d0", "rn = 1", m1=("d", _twice["m1"]), m2=("d", f"{2 / 14} * {_twice['m1']} + {12 / 14} * z.m2"), a1=("abs(d)", _twice["a1"]), a2=("abs(d)", f"{2 / 14} * {_twice['a1']} + {12 / 14} * z.a2"))
+_step = f"close - {lag('close')}"
+_moves = f""", d1 AS (SELECT symbol, ts, rn, close, {_step} AS d, close - {lag('close', 20)} AS moved FROM s0),
+    d0 AS (SELECT symbol, ts, rn, close, d, {', '.join(f"avg(greatest(d, 0)) OVER {fr(w)} AS u{w}, avg(greatest(-d, 0)) OVER {fr(w)} AS v{w}" for w in (7, 14, 20, 21))},
+      CASE WHEN sum(abs(d)) OVER {fr(20)} > 0 THEN abs(moved) / sum(abs(d)) OVER {fr(20)} ELSE 0 END AS er20 FROM d1)"""
+
+
+def _of(chain: str, value: str) -> str:
+    return f"(SELECT {value} FROM {chain} z WHERE z.symbol = d0.symbol AND z.rn = d0.rn)"
+
+
+def _trix(w: int) -> str:
+    return f"100 * ({_of(f'triple{w}', 'e3')} - (SELECT e3 FROM triple{w} z WHERE z.symbol = d0.symbol AND z.rn = d0.rn - 1)) / ({_of(f'triple{w}', 'e3')} + 1e-10)"
+
+
+_tema20, _kama20, _tsi = _of("triple20", "3 * e1 - 3 * e2 + e3"), _of("kama20", "k"), _of("strength", "100 * m2 / (a2 + 1e-10)")
+_strength_index = {w: _of(f"rsi{w}", "100 - 100 / (1 + g / (l + 1e-10))") for w in (7, 14, 21)}
+panel("rsi", lambda b: S.scan(b, {"RSI_14": ("close", S.rsi, {"w": 14})}), ["RSI_14"], sql(more=_moves + _rsi(14), out={"RSI_14": _strength_index[14]}, source="d0"))
+panel("tema", lambda b: S.scan(b, {"TEMA_20": ("close", S.tema, {"span": 20})}), ["TEMA_20"], sql(more=_moves + _triple(20), out={"TEMA_20": _tema20}, source="d0"))
+panel("kama", lambda b: S.scan(b, {"KAMA_20": ("close", S.kama, {"w": 20})}), ["KAMA_20"], sql(more=_moves + _kama(20), out={"KAMA_20": _kama20}, source="d0"))
+panel("trix", lambda b: S.scan(b, {f"TRIX_{w}": ("close", S.trix, {"w": w}) for w in (15, 30)}), ["TRIX_15", "TRIX_30"], sql(more=_moves + _triple(15) + _triple(30), out={f"TRIX_{w}": _trix(w) for w in (15, 30)}, source="d0"))
+panel("tsi", lambda b: S.scan(b, {"TSI": ("close", S.tsi, {})}), ["TSI"], sql(more=_moves + _strength, out={"TSI": _tsi}, source="d0"))
+panel("trend_scan", T.trend_recurrences, ["TEMA_20", "KAMA_20", "RSI_7", "RSI_21", "TRIX_15", "TRIX_30", "TSI"], sql(
+    more=_moves + _rsi(7) + _rsi(21) + _triple(15) + _triple(20) + _triple(30) + _kama(20) + _strength,
+    out={"TEMA_20": _tema20, "KAMA_20": _kama20, "RSI_7": _strength_index[7], "RSI_21": _strength_index[21], "TRIX_15": _trix(15), "TRIX_30": _trix(30), "TSI": _tsi}, source="d0"))
+_extremes = ", ".join(f"{top(f'q{w}', w)} AS h{w}, {bottom(f'q{w}', w)} AS l{w}" for w in (14, 20))
+panel("divergence", T.divergence, ["BearDiv_14", "BullDiv_14", "BearDiv_20", "BullDiv_20"], sql(
+    more=_moves + _rsi(14) + _rsi(20) + f""", q AS (SELECT symbol, ts, rn, close, {', '.join(f"{_of(f'rsi{w}', '100 - 100 / (1 + g / (l + 1e-10))')} AS q{w}" for w in (14, 20))} FROM d0), q1 AS (SELECT *, {_extremes} FROM q)""",
+    out={x: e for w in (14, 20) for x, e in ((f"BearDiv_{w}", flag(f"close >= {top('close', w)} AND q{w} < {lag(f'h{w}')}")), (f"BullDiv_{w}", flag(f"close <= {bottom('close', w)} AND q{w} > {lag(f'l{w}')}")))}, source="q1"))
 
 # ---- volatility
 _hl, _co = "ln(high / low)", "ln(close / open)"

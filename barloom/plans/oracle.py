@@ -8,6 +8,13 @@ FIXTURE = """bars AS (
   FROM events GROUP BY 1, 2),
 s0 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS rn FROM bars)"""
 
+#: the same bars of all events as one series
+FIXTURE_ALL = """bars AS (
+  SELECT 'ALL' AS symbol, date_trunc('hour', ts) AS ts,
+    first(100.0 + value ORDER BY ts, event_id) AS open, max(100.0 + value) AS high, min(100.0 + value) AS low, last(100.0 + value ORDER BY ts, event_id) AS close, count(*) AS volume
+  FROM events GROUP BY 2),
+s0 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS rn FROM bars)"""
+
 W = "PARTITION BY symbol ORDER BY ts"
 RUN = f"({W} ROWS UNBOUNDED PRECEDING)"
 ALL = "(PARTITION BY symbol)"

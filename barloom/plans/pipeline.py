@@ -40,6 +40,10 @@ def build_features(bars: DataFrame, settings: Settings = Settings()) -> DataFram
     rows = regimes.add_regimes(rows) if settings.regimes else rows
     if settings.hmm:
         rows = unsupervised.state_features(unsupervised.hidden_states(rows.drop(*[c for c in unsupervised.CLUSTER_FEATURES if c != "EWMA_94"])))
+    if settings.clusters:
+        found = unsupervised.ensemble(bars)
+        added = [c for c in found.columns if c not in rows.columns and c not in ("GMM_Prob", "pca")]
+        rows = rows.join(found.select("symbol", "ts", *added), ["symbol", "ts"], "left")
     return complexity.add_complexity(rows) if settings.chaos else rows
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.joins import asof_join, interval_join, outer_concat
+from ..functions.joins import asof_join, interval_join, outer_concat, sampled
 from ..functions.rolling import average_rank
 from ..operators.bars import daily_with_gaps
 from ..operators.labels import quantile_regime
@@ -58,7 +58,7 @@ query("interval_join", """SELECT a.event_id, count(*) AS n, round(max(b.value),
         .groupBy("event_id").agg(F.count("*").alias("n"), F.round(F.max("value"), 6).alias("top")))(t(spark, d, "events").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")))))
 query("monthly_shipments", "SELECT year(l_shipdate) AS y, quarter(l_shipdate) AS q, month(l_shipdate) AS m, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY 1, 2, 3")(
     lambda spark, d: t(spark, d, "lineitem").groupBy(F.year("l_shipdate").alias("y"), F.quarter("l_shipdate").alias("q"), F.month("l_shipdate").alias("m")).agg(F.count("*").alias("n"), F.count_distinct("l_suppkey").alias("suppliers")))
-query("sampled_rows")(lambda spark, d: t(spark, d, "orders").sample(0.1, 42).select("o_orderkey"))
+query("sampled_rows", "SELECT o_orderkey FROM orders WHERE (o_orderkey * 2654435761) % 4294967296 < 429496729")(lambda spark, d: sampled(t(spark, d, "orders"), "o_orderkey", 0.1).select("o_orderkey"))
 query("label_metrics", """SELECT toxic, count(*) AS n, round(avg(quality), 6) AS quality, round(avg(length(text)), 4) AS chars FROM labels JOIN documents USING (doc_id) GROUP BY 1""")(
     lambda spark, d: t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id", F.char_length("text").alias("c")), "doc_id").groupBy("toxic").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("quality"), F.round(F.avg("c"), 4).alias("chars")))
 query("embedding_norms", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS norm FROM embeddings")(

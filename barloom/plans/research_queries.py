@@ -23,7 +23,7 @@ from ..operators import structure as ST
 from ..operators import trend as T
 from ..operators import volatility as V
 from ..sources.tables import read_table
-from .oracle import ALL, RET, RUN, W, avg, flag, fr, lag, lead, roll, slope, sql, std, top
+from .oracle import FIXTURE, FIXTURE_ALL, ALL, RET, RUN, W, avg, flag, fr, lag, lead, roll, slope, sql, std, top
 from .registry import hourly, hourly_all, panel, query, rounded
 
 # ---- labels
@@ -67,7 +67,22 @@ for _name, _touch, _win in (("triple_barrier", False, "tp IS NOT NULL"), ("tripl
     query(_name, _ev + f""" SELECT symbol, t0, t1, CASE WHEN {_win} THEN tp WHEN tn IS NOT NULL THEN tn ELSE tl END AS t_end, CAST(CASE WHEN {_win} THEN 1 WHEN tn IS NOT NULL THEN -1 ELSE sign(rl) END AS DOUBLE) AS label,
       round(CASE WHEN {_win} THEN rp WHEN tn IS NOT NULL THEN rn_ ELSE rl END, 6) AS ret FROM g""")(
         lambda spark, d, touch=_touch: L.barrier_outcomes(_fixed_events(spark, d), hourly(spark, d), touch).select("symbol", "t0", "t1", "t_end", "label", F.round("ret", 6).alias("ret")))
-panel("triple_barrier_workflow", lambda b: L.triple_barrier(b, 12 * 3600), ["label", "event_ret"])
+#: the debiased deviation under weights that fall by 2 / 101 a row, from the sums of all weights so far
+_EWM = "CASE WHEN n > 1 THEN sqrt(greatest((s2 / w - pow(s1 / w, 2)) * w * w / (w * w - w2), 0)) END"
+
+
+def _ewm(source: str) -> str:
+    weight = f"pow({99 / 101}, a.rn - b.rn)"
+    return f"(SELECT a.symbol, a.ts, count(*) AS n, sum({weight}) AS w, sum(pow({weight}, 2)) AS w2, sum({weight} * b.r) AS s1, sum({weight} * b.r * b.r) AS s2 FROM {source} a LEFT JOIN {source} b ON b.symbol = a.symbol AND b.rn <= a.rn AND b.r IS NOT NULL GROUP BY 1, 2)"
+
+
+panel("triple_barrier_workflow", lambda b: L.triple_barrier(b, 12 * 3600), ["label", "event_ret"], _ev.split(" m AS", 1)[0] + f""" s1 AS (SELECT *, {RET['r']} AS r FROM s0),
+ e AS (SELECT symbol, ts AS t0, {_EWM} AS vol FROM {_ewm("s1")}),
+ x AS (SELECT v.*, e.vol FROM v JOIN e ON e.symbol = v.symbol AND e.t0 = v.t0 WHERE v.t1 IS NOT NULL AND e.vol > 0),
+ m AS (SELECT x.symbol, x.t0, x.vol, s0.ts, s0.close / x.p0 - 1 AS r FROM x JOIN s0 ON s0.symbol = x.symbol AND s0.ts BETWEEN x.t0 AND x.t1),
+ g AS (SELECT symbol, t0, min(ts) FILTER (r >= vol) AS tp, min(ts) FILTER (r <= -vol) AS tn, arg_min(r, ts) FILTER (r >= vol) AS rp, arg_min(r, ts) FILTER (r <= -vol) AS rs, arg_max(r, ts) AS rl FROM m GROUP BY 1, 2)
+ SELECT s0.symbol, s0.ts, CAST(coalesce(CASE WHEN tp IS NOT NULL THEN 1 WHEN tn IS NOT NULL THEN -1 ELSE sign(rl) END, 0) AS DOUBLE) AS label,
+   round(CASE WHEN tp IS NOT NULL THEN rp WHEN tn IS NOT NULL THEN rs ELSE rl END, 6) + 0.0 AS event_ret FROM s0 LEFT JOIN g ON g.symbol = s0.symbol AND g.t0 = s0.ts""")
 
 
 def _sided(b: DataFrame) -> DataFrame:
@@ -85,25 +100,35 @@ panel("label_vols", L.label_vols, ["vol_parkinson", "vol_garman_klass", "vol_rog
     {"r": RET["r"], "pk": f"pow(ln(high / low), 2) / {4 * math.log(2)}", "gk": f"0.5 * pow(ln(high / low), 2) - {2 * math.log(2) - 1} * pow(ln(close / open), 2)", "rs": "ln(high / close) * ln(high / open) + ln(low / close) * ln(low / open)", "o": f"ln(open / {lag('close')})", "oc": "ln(close / open)"},
     {"mpk": avg("pk", 30), "mgk": avg("gk", 30), "mrs": avg("rs", 30), "yz": f"({roll('var_samp(o)', 'o', 30)}) + ({roll('var_samp(oc)', 'oc', 30)}) + ({avg('rs', 30)})", "sr": std("r", 30)},
     out={"vol_parkinson": "CASE WHEN mpk >= 0 THEN sqrt(mpk) END", "vol_garman_klass": "CASE WHEN mgk >= 0 THEN sqrt(mgk) END", "vol_rogers_satchell": "CASE WHEN mrs >= 0 THEN sqrt(mrs) END", "vol_yang_zhang": "CASE WHEN yz >= 0 THEN sqrt(yz) END", "vol_return": "sr"}, digits=5), 5)
-panel("ewm_vol", L.label_vols, ["vol_ewma"])
+panel("ewm_vol", L.label_vols, ["vol_ewma"], sql(RET, more="", out={"vol_ewma": _EWM}, source=_ewm("s1")))
 panel("quantile_regime", lambda b: L.quantile_regime(V.basic(b), "Vol_20"), ["vol_regime"], sql(RET, {"v": std("r", 20)}, out={"vol_regime": "CASE WHEN v IS NOT NULL THEN " + " + ".join(f"(CASE WHEN v > quantile_cont(v, {q}) OVER {ALL} THEN 1 ELSE 0 END)" for q in (0.25, 0.5, 0.75)) + " END"}))
 query("label_correlation", sql(_dirs, out={"corr": "corr"}, keys=("a", "b"), source="(SELECT unnest(['dir_1', 'dir_1', 'dir_5']) AS a, unnest(['dir_5', 'dir_10', 'dir_10']) AS b, unnest([corr(d1, d5), corr(d1, d10), corr(d5, d10)]) AS corr FROM s1)"))(
     lambda spark, d: rounded(L.correlations(L.horizon_matrix(hourly(spark, d)), ["dir_1", "dir_5", "dir_10"]), ["corr"], keys=("a", "b")))
-query("events_spaced")(lambda spark, d: L.spaced(_fixed_events(spark, d), 6 * 3600))
-query("events_without_overlap")(lambda spark, d: L.without_overlap(_fixed_events(spark, d)))
+_fe = """, ev AS (SELECT symbol, t0, t1 FROM v WHERE t1 IS NOT NULL), first AS (SELECT symbol, min(t0) AS t0 FROM ev GROUP BY 1)"""
+
+
+def _kept(later: str) -> str:
+    """Greedy selection: the first event, then always the first later one for which ``later`` holds."""
+    return _ev.split(" m AS", 1)[0].rstrip().rstrip(",").replace("WITH ", "WITH RECURSIVE ", 1) + _fe + f""", nx AS (SELECT a.symbol, a.t0, min(b.t0) AS t2 FROM ev a JOIN ev b ON b.symbol = a.symbol AND b.t0 > a.t0 AND {later} GROUP BY 1, 2),
+ z AS (SELECT symbol, t0 FROM first UNION ALL SELECT z.symbol, nx.t2 FROM z JOIN nx ON nx.symbol = z.symbol AND nx.t0 = z.t0)
+ SELECT ev.symbol, ev.t0, ev.t1, 0.02::DOUBLE AS vol, 0.02::DOUBLE AS pt, -0.02::DOUBLE AS sl FROM z JOIN ev ON ev.symbol = z.symbol AND ev.t0 = z.t0"""
+
+
+query("events_spaced", _kept("CAST(epoch(b.t0 - a.t0) AS BIGINT) % 86400 >= 21600"))(lambda spark, d: L.spaced(_fixed_events(spark, d), 6 * 3600))
+query("events_without_overlap", _kept("b.t0 >= a.t1"))(lambda spark, d: L.without_overlap(_fixed_events(spark, d)))
 
 
-# ---- splits: rows are the hourly bars of one symbol, spans reach 5 bars ahead
+# ---- splits: rows are the hourly bars of all events, spans reach 5 bars ahead
 def _rows(spark: SparkSession, d: str) -> DataFrame:
-    return _spans(hourly(spark, d).where("symbol = 'click'"))
+    return _spans(hourly_all(spark, d))
 
 
 def _spans(one: DataFrame) -> DataFrame:
     return C.numbered(one.withColumn("t1", F.lead("ts", 5).over(T.by_symbol())), "ts", "t1").drop("symbol")
 
 
-_rw = f"""WITH {sql(out=['close']).split('WITH RECURSIVE ', 1)[1].rsplit(' SELECT symbol', 1)[0]},
- r AS (SELECT CAST(rn AS INT) AS row_id, ts AS t0, coalesce(lead(ts, 5) OVER (ORDER BY ts), ts) AS t1 FROM s0 WHERE symbol = 'click'), n AS (SELECT count(*) AS n FROM r),
+_rw = f"""WITH {FIXTURE_ALL},
+ r AS (SELECT CAST(rn AS INT) AS row_id, ts AS t0, coalesce(lead(ts, 5) OVER (ORDER BY ts), ts) AS t1 FROM s0), n AS (SELECT count(*) AS n FROM r),
  f AS (SELECT *, CAST(ntile(6) OVER (ORDER BY row_id) - 1 AS INT) AS fold FROM r)"""
 
 
@@ -133,11 +158,11 @@ query("split_summary", _rw + " SELECT fold AS split_id, (SELECT n FROM n) - coun
 
 
 def _vol_rows(spark: SparkSession, d: str) -> DataFrame:
-    return V.basic(hourly(spark, d).where("symbol = 'click'")).withColumn("row_id", row_id()).select("row_id", F.col("Vol_20").alias("vol"), F.col("ts").alias("t0"))
+    return V.basic(hourly_all(spark, d)).withColumn("row_id", row_id()).select("row_id", F.col("Vol_20").alias("vol"), F.col("ts").alias("t0"))
 
 
-query("adaptive_embargo", f"""WITH {sql(RET, {'v': std('r', 20)}, out=['v']).split('WITH RECURSIVE ', 1)[1].rsplit(' SELECT symbol', 1)[0]},
- q AS (SELECT CAST(rn AS INT) AS row_id, coalesce(last_value(v IGNORE NULLS) OVER (ORDER BY rn ROWS UNBOUNDED PRECEDING), first_value(v IGNORE NULLS) OVER (ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS v FROM s2 WHERE symbol = 'click'),
+query("adaptive_embargo", f"""WITH {sql(RET, {'v': std('r', 20)}, out=['v']).split('WITH RECURSIVE ', 1)[1].rsplit(' SELECT symbol', 1)[0].replace(FIXTURE, FIXTURE_ALL)},
+ q AS (SELECT CAST(rn AS INT) AS row_id, coalesce(last_value(v IGNORE NULLS) OVER (ORDER BY rn ROWS UNBOUNDED PRECEDING), first_value(v IGNORE NULLS) OVER (ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS v FROM s2),
  z AS (SELECT row_id, ceil(2.0 * v / quantile_cont(v, 0.5) OVER (ORDER BY row_id ROWS 49 PRECEDING)) AS len, ntile(6) OVER (ORDER BY row_id) - 1 AS fold FROM q),
  b AS (SELECT fold AS split_id, min(row_id) AS a, max(row_id) AS e, max(len) AS len FROM z GROUP BY 1)
  SELECT CAST(split_id AS INT) AS split_id, row_id FROM z, b WHERE fold <> split_id AND row_id >= a - b.len AND row_id <= e + b.len""")(
@@ -321,7 +346,10 @@ query("regime_validation", psql(out={"n": "count(*)", "accuracy": "avg(CASE WHEN
     lambda spark, d: rounded(H.by_regime(preds(spark, d), "fold"), ["n", "accuracy", "common_pred", "mean_prob", "std_prob"], keys=("fold",)))
 query("pattern_stability", psql(out={"distance": "sum(abs(a * 1.0 / ta - b * 1.0 / tb))"}, keys=(), source="(SELECT *, sum(a) OVER () AS ta, sum(b) OVER () AS tb FROM (SELECT pred, count(*) FILTER (fold = 0) AS a, count(*) FILTER (fold = 1) AS b FROM s4 WHERE fold IN (0, 1) GROUP BY 1))"))(
     lambda spark, d: rounded(H.pattern_stability(preds(spark, d).withColumn("fold", F.col("fold").cast("string")), "fold", "0", "1"), keys=()))
-query("sample_comparison")(lambda spark, d: rounded(H.compare_samples(preds(spark, d), "fold"), ["accuracy", "f1_weighted", "spread"], keys=("fold", "stable")))
+_f1w = "(SELECT fold, sum(f1 * s) / sum(s) AS f1_weighted FROM (SELECT fold, c, coalesce(2.0 * count(*) FILTER (t = c AND pred = c) / nullif(count(*) FILTER (t = c) + count(*) FILTER (pred = c), 0), 0) AS f1, count(*) FILTER (t = c) AS s FROM s4, (SELECT unnest([-1, 0, 1]) AS c) GROUP BY 1, 2) GROUP BY 1)"
+query("sample_comparison", psql(
+    out={"accuracy": "accuracy", "f1_weighted": "f1_weighted", "spread": "max(accuracy) OVER () - min(accuracy) OVER ()"}, keys=("CAST(fold AS INT) AS fold", "(max(accuracy) OVER () - min(accuracy) OVER ()) < 0.05 AS stable"),
+    source=f"(SELECT fold, avg(CASE WHEN t = pred THEN 1.0 ELSE 0 END) AS accuracy FROM s4 GROUP BY 1) JOIN {_f1w} USING (fold)"))(lambda spark, d: rounded(H.compare_samples(preds(spark, d), "fold"), ["accuracy", "f1_weighted", "spread"], keys=("fold", "stable")))
 query("index_difference", """SELECT DISTINCT event_type AS symbol, date_trunc('hour', ts) AS ts, 'first' AS side FROM events WHERE event_type IN ('click') AND hour(ts) < 2""")(
     lambda spark, d: H.index_difference(hourly(spark, d).where("symbol = 'click'"), hourly(spark, d).where("symbol = 'click' and hour(ts) >= 2")))
 query("null_profile", sql({"s": slope("close", 50)}, RET, out={"n": "n", "n_null": "k", "share": "k / n"}, keys=('"column"',), source="(SELECT unnest(['RegSlope_50', 'Return']) AS \"column\", count(*) AS n, unnest([count(*) - count(s), count(*) - count(r)]) AS k FROM s2)"))(
@@ -334,7 +362,11 @@ panel("rolling_autocorr", lambda b: D.rolling_snr(D.rolling_autocorr(b, "close",
 query("autocorrelation", sql({"p": lag("close")}, out={"autocorr": "corr(close, p)"}, keys=("symbol",), where="GROUP BY symbol"))(lambda spark, d: rounded(D.autocorrelation(hourly(spark, d), "close"), keys=("symbol",)))
 query("leakage_corr", sql(RET, {"f": lead("r")}, out={"leakage": "corr(close, f)"}, keys=("symbol",), where="GROUP BY symbol"))(lambda spark, d: rounded(D.leakage(hourly(spark, d), "close"), keys=("symbol",)))
 query("snr", sql(out={"snr": "abs(avg(close)) / (stddev_samp(close) + 1e-10)"}, keys=("symbol",), where="GROUP BY symbol"))(lambda spark, d: rounded(D.signal_to_noise(hourly(spark, d), "close"), keys=("symbol",)))
-query("vif")(lambda spark, d: spark.createDataFrame(sorted(D.vif(T.reg_slope(T.prelim(hourly(spark, d))), ["Return", "ATR_14", "RegSlope_20"]).items()), "feature string, vif double"))
+_g = {f"g{a}{b}": f"sum(coalesce(x{a}, 0) * coalesce(x{b}, 0))" for a in (1, 2, 3) for b in (1, 2, 3) if a <= b}
+_det = "(g11 * (g22 * g33 - g23 * g23) - g12 * (g12 * g33 - g23 * g13) + g13 * (g12 * g23 - g22 * g13))"
+query("vif", sql(
+    RET | {"tr": "greatest(high - low, abs(high - lag(close) OVER (PARTITION BY symbol ORDER BY ts)), abs(low - lag(close) OVER (PARTITION BY symbol ORDER BY ts)))"}, {"x1": "r", "x2": avg("tr", 14), "x3": slope("close", 20)},
+    out={"vif": "v"}, keys=("feature",), digits=4, source=f"(SELECT unnest(['Return', 'ATR_14', 'RegSlope_20']) AS feature, unnest([g11 * (g22 * g33 - g23 * g23) / {_det}, g22 * (g11 * g33 - g13 * g13) / {_det}, g33 * (g11 * g22 - g12 * g12) / {_det}]) AS v FROM (SELECT {', '.join(f'{x} AS {n}' for n, x in _g.items())} FROM s2))"))(lambda spark, d: rounded(spark.createDataFrame(sorted(D.vif(T.reg_slope(T.prelim(hourly(spark, d))), ["Return", "ATR_14", "RegSlope_20"]).items()), "feature string, vif double"), ["vif"], 4, ("feature",)))
 panel("normalise", lambda b: N.normalize(N.normalize(N.normalize(b, ["close"], "zscore"), ["close"], "minmax"), ["close"], "winsor"), ["close_zscore", "close_minmax", "close_winsor"], sql(
     out={"close_zscore": f"(close - avg(close) OVER {ALL}) / (stddev_samp(close) OVER {ALL} + 1e-10)", "close_minmax": f"(close - min(close) OVER {ALL}) / (max(close) OVER {ALL} - min(close) OVER {ALL} + 1e-10)", "close_winsor": f"least(greatest(close, quantile_cont(close, 0.01) OVER {ALL}), quantile_cont(close, 0.99) OVER {ALL})"}))
 panel("normalise_rank", lambda b: N.normalize(N.normalize(b, ["close"], "rank"), ["close"], "vol_adjust"), ["close_rank", "close_vol_adjust"], sql(
@@ -343,7 +375,13 @@ panel("normalise_robust", lambda b: N.normalize(b, ["close"], "robust"), ["close
 panel("normalise_regime", lambda b: N.normalize(b.withColumn("k", row_id() % 5), ["close"], "regime", "k"), ["close_regime"], sql(
     {"m": f"quantile_cont(close, 0.5) OVER {ALL}", "w": f"least(greatest(close, quantile_cont(close, 0.01) OVER {ALL}), quantile_cont(close, 0.99) OVER {ALL})"}, {"dv": "abs(close - m)", "wm": f"quantile_cont(w, 0.5) OVER {ALL}"}, {"wd": "abs(w - wm)"},
     out={"close_regime": f"CASE rn % 5 WHEN 0 THEN (close - avg(close) OVER {ALL}) / (stddev_samp(close) OVER {ALL} + 1e-10) WHEN 1 THEN (close - avg(close) OVER {ALL}) / (stddev_samp(close) OVER {ALL} + 1e-10) WHEN 2 THEN (close - m) / (quantile_cont(dv, 0.5) OVER {ALL} + 1e-10) WHEN 3 THEN (w - wm) / (quantile_cont(wd, 0.5) OVER {ALL} + 1e-10) END"}))
-query("clean_features")(lambda spark, d: N.clean(T.reg_slope(T.prelim(hourly(spark, d))), ["Return", "ATR_14", "VolRet", "RegSlope_20", "RegSlope_100"]))
+_cf = {"Return": "r", "ATR_14": "a14", "VolRet": "v20", "RegSlope_20": "g20", "RegSlope_100": "g100"}
+_cf_there = " + ".join(f"(CASE WHEN {x} IS NOT NULL THEN 1 ELSE 0 END)" for x in _cf.values())
+# no column lacks over 60 % of its rows, so rows are what goes; what is left is filled with the median
+query("clean_features", sql(
+    RET | {"tr": f"greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')}))"}, {"a14": avg("tr", 14), "v20": std("r", 20), "g20": slope("close", 20), "g100": slope("close", 100)},
+    out={n: f"coalesce({x}, quantile_cont({x}, 0.5) OVER ())" for n, x in _cf.items()}, source=f"(SELECT * FROM s2 WHERE ({_cf_there}) >= 0.7 * 5)"))(
+    lambda spark, d: rounded(N.clean(T.reg_slope(T.prelim(hourly(spark, d))), list(_cf)), list(_cf)))
 query("feature_names", """SELECT f AS feature, b AS base, w AS "window" FROM (VALUES ('SMA_20', 'SMA', 20), ('SMA_20_zscore', 'SMA', 20), ('TSI', 'TSI', NULL), ('HMM_P1_robust', 'HMM_P1', NULL)) t(f, b, w)""")(
     lambda spark, d: D.describe(spark.createDataFrame([("SMA_20",), ("SMA_20_zscore",), ("TSI",), ("HMM_P1_robust",)], "feature string"), spark.createDataFrame([("SMA", "mean close")], "base string, description string")).select("feature", "base", "window"))
 
@@ -362,7 +400,7 @@ _mi = f"""WITH m AS (SELECT 'NQ' || substring('{_CODES}', CAST(user_id % 4 AS IN
  t AS (SELECT day, symbol, expiry FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY v DESC, symbol) AS k FROM v) WHERE k = 1),
  fm AS (SELECT day, max({{'e': expiry, 's': symbol}}) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) AS h FROM t),
  front AS (SELECT day, h.s AS symbol, CAST(h.e AS INT) AS expiry FROM fm)"""
-query("roll_front_contract", _mi + " SELECT * FROM front")(lambda spark, d: B.front_contracts(_minutes(spark, d), B.parse_code("symbol")))
+query("roll_front_contract", _mi + " SELECT 'NQ' AS root, * FROM front")(lambda spark, d: B.front_contracts(_minutes(spark, d), B.parse_code("symbol")))
 query("back_adjust", _mi + """, p AS (SELECT *, lag(symbol) OVER (ORDER BY day) AS old, lag(day) OVER (ORDER BY day) AS old_day FROM front),
  j AS (SELECT p.day, arg_max(b.close / a.close, {'x': CAST(a.ts AS DATE) = p.old_day, 'y': a.ts}) AS ratio FROM p JOIN m a ON a.symbol = p.old AND CAST(a.ts AS DATE) IN (p.day, p.old_day) JOIN m b ON b.symbol = p.symbol AND b.ts = a.ts WHERE p.old <> p.symbol GROUP BY 1),
  k AS (SELECT front.day, front.symbol, coalesce(exp(sum(ln(coalesce(ratio, 1))) OVER (ORDER BY front.day DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS f FROM front LEFT JOIN j USING (day))

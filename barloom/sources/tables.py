@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,10 +19,34 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_raw_minutes(spark: SparkSession, path: str) -> DataFrame:
-    """Minute export, columns by name; a .zst, .gz or .bz2 suffix picks the codec (.zst needs the cluster's native zstd)."""
+    """Minute export, columns by name; a .zst, .gz or .bz2 suffix picks the codec (for .zst see ``read_zstd_minutes``)."""
     return spark.read.option("header", True).schema(RAW_SCHEMA).csv(path)
 
 
+def read_zstd_minutes(spark: SparkSession, path: str) -> DataFrame:
+    """Minute exports in zstd files, for clusters whose Hadoop has no native zstd: a file is decompressed as a stream in one task."""
+
+    def run(batches):
+        import io
+
+        import zstandard
+
+        for batch in batches:
+            for raw in batch.column(0):
+                text = io.TextIOWrapper(zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw.as_py()), read_across_frames=True), "utf-8")
+                head = text.readline().rstrip("\r\n")
+                while lines := text.readlines(1 << 20):
+                    yield pa.record_batch([pa.array([head] * len(lines)), pa.array([x.rstrip("\r\n") for x in lines])], names=["head", "line"])
+
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "head string, line string")
+    names, fields = F.split("head", ","), F.split("line", ",")
+
+    def value(name: str, kind: str):
+        return F.get(fields, F.array_position(names, F.lit(name)).cast("int") - 1).try_cast(kind).alias(name)
+
+    return rows.select(*[value(*part.split(" ")) for part in RAW_SCHEMA.split(", ")])
+
+
 def bar_times(bars: DataFrame, time: str = "time") -> DataFrame:
     """Unix times to ``ts`` (UTC): milliseconds if the value is over 1e12, else seconds."""
     t = F.col(time)
@@ -41,9 +67,9 @@ def write(df: DataFrame, path: str, form: str = "parquet", mode: str = "overwrit
     writer.format(form).option("header", True).save(path)
 
 
-def newest_config(spark: SparkSession, pattern: str) -> DataFrame:
+def newest_config(spark: SparkSession, pattern: str, multi_line: bool = True) -> DataFrame:
     """The JSON configuration whose file name sorts last."""
-    rows = spark.read.option("multiLine", True).json(pattern).withColumn("__file", F.input_file_name())
+    rows = spark.read.option("multiLine", multi_line).json(pattern).withColumn("__file", F.input_file_name())
     last = rows.agg(F.max("__file").alias("__file"))
     return rows.join(F.broadcast(last), "__file").drop("__file")
 
@@ -54,8 +80,53 @@ def run_history(runs: DataFrame, keep: int = 5, run: str = "run_id") -> DataFram
     return runs.join(F.broadcast(names), run)
 
 
-def write_model(model, path: str) -> None:
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        found = tempfile.mkdtemp(prefix="barloom-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def record_run(runs: DataFrame, path: str, keep: int = 5, run: str = "run_id") -> list[str]:
+    """Append runs to a history partitioned by ``run``; folders of all but the ``keep`` newest go. Gives the names kept.
+
+    Names are compared as text. Folders are few (``keep`` and those just written).
+    """
+    runs.write.mode("append").partitionBy(run).parquet(path)
+    hadoop = runs.sparkSession._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    files = folder.getFileSystem(runs.sparkSession._jsc.hadoopConfiguration())
+    names = sorted((s.getPath().getName() for s in files.listStatus(folder) if s.isDirectory()), reverse=True)
+    names = [n for n in names if n.startswith(f"{run}=")]
+    for old in names[keep:]:
+        files.delete(hadoop.Path(folder, old), True)
+    return [n.split("=", 1)[1] for n in names[:keep]]
+
+
+def write_model(model, path: str) -> str:
+    """Save a fitted model; gives the digest of what was stored."""
     model.write().overwrite().save(path)
+    return model_checksum(model, path)
+
+
+def model_checksum(model, path: str) -> str:
+    """Digest of a stored model: the kind of model and the bytes of its data files, whatever their names."""
+    spark = SparkSession.getActiveSession()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+    parts = files.select(F.sha2("content", 256).alias("h")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256)).first()[0]
+    return f"{type(model).__name__}-{parts[:32]}"
+
+
+def read_model(kind, path: str, expected: str | None = None):
+    """Load a model of class ``kind``; a digest other than ``expected`` is refused."""
+    model = kind.load(path)
+    if expected is not None and model_checksum(model, path) != expected:
+        raise ValueError(f"the model at {path} is not the one that was recorded")
+    return model
 
 
 def checksum(df: DataFrame) -> str:

@@ -110,8 +110,14 @@ def test_recurrences_match_pandas(spark):
     ema_of = lambda s, n: s.ewm(span=n, adjust=False).mean()
     e3 = ema_of(ema_of(ema_of(x, 15), 15), 15)
     assert column(out, "trix")[1:] == pytest.approx((100 * e3.diff() / (e3 + 1e-10)).tolist()[1:])
-    d = x.diff().fillna(0)
-    assert column(out, "tsi") == pytest.approx((100 * ema_of(ema_of(d, 25), 13) / (ema_of(ema_of(d.abs(), 25), 13) + 1e-10)).tolist())
+    d = x.diff()[1:]
+    assert column(out, "tsi")[0] is None
+    assert column(out, "tsi")[1:] == pytest.approx((100 * ema_of(ema_of(d, 25), 13) / (ema_of(ema_of(d.abs(), 25), 13) + 1e-10)).tolist())
+    want = [x[10]]
+    for i in range(11, len(x)):
+        ratio = abs(x[i] - x[i - 10]) / x[i - 10 : i + 1].diff().abs().sum()
+        want.append(want[-1] + (ratio * ((2 / 3) ** 2 - (2 / 31) ** 2) + (2 / 31) ** 2) * (x[i] - want[-1]))
+    assert column(out, "kama")[10:] == pytest.approx(want)
 
 
 def test_constant_series(spark):
