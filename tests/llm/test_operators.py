@@ -93,8 +93,12 @@ def test_mined_rules_are_those_of_brute_force(spark):
             if hit and sum(hit) >= 0.05 * len(sets) and sum(hit) / len(hit) >= 0.6 and sum(hit) / len(hit) / base >= 1.5:
                 found.add(frozenset(combo))
     found = {r for r in found if not any(o < r for o in found)}
-    got = url_rules.mine(pages, labels, 0.05, 0.6, 1.5).collect()
-    assert {frozenset(r.tokens) for r in got} == found and found
+    rules, items = url_rules.mine(pages, labels, 0.05, 0.6, 1.5)
+    of = collections.defaultdict(list)
+    for r in items.collect():
+        of[r.item].append(r.token)
+    # a rule asks for any token of each of its items
+    assert {frozenset(c) for r in rules.collect() for c in itertools.product(*(of[i] for i in r["items"]))} == found and found
     for r in url_rules.judge(pages, labels, min_support=0.05, min_confidence=0.6, min_lift=1.5).collect():
         assert (r.verdict == "block") == any(sets[r.page_id] >= rule for rule in found)
 
