@@ -12,14 +12,20 @@ leaked if it has ``least`` tokens, or is the whole of an item of fewer than ``le
 (equal in every token). Items under ``SHORT`` tokens are no evidence.
 
 Documents never move: the index travels to them. It is sent in blocks of bounded size
-(``BLOCK_BYTES`` of benchmark text), one pass over the documents for each block.
+(``BLOCK_BYTES`` of benchmark text), one pass over the documents for each block; the driver
+holds one block at a time. Seeds that many items share give many hits: those are compared
+``HITS`` at a time, all of them.
 
 Defined cases: null texts count as empty; empty texts leak nothing; equal rows each
-appear; repeated items each match; a null doc_id or item_id is passed on.
+appear; repeated items each match; a null doc_id or item_id is passed on. Items of fewer
+than ``short`` tokens are ignored: four words or less stand in clean text by chance; a
+caller who wants them sets ``short=1``. A very long text is one slice in one task. Other
+columns of the input are ignored (or kept, by ``keep_clean``), whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -28,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, TextBlock, _byte_table, map_slices, mix, powers, runs_of, slices, span_hashes, texts
+from .common import LOWER, SPACE, TextBlock, _byte_table, map_slices, materialize, mix, powers, runs_of, slices, span_hashes, texts
 
 #: Sampled positions are 1; no mask spans fewer than SPAN tokens. By enumeration of all placements of substitutions
 #: every stretch of 13 to 25 tokens with four fifths equal holds a seed of one of them (the last is for what the
@@ -37,6 +43,7 @@ MASKS = ("11101011", "11011101", "10110111", "111000000111")
 SPAN = 8
 LEAST, SHARE, SHORT = 13, 0.8, 5
 BLOCK_BYTES = 32 << 20
+HITS = 1 << 20
 _WORD = _byte_table(b"0123456789" + bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256)))
 _FOLD_BITS = 22
 
@@ -75,12 +82,12 @@ def _seeds(tokens: np.ndarray, probe: tuple[int, ...]) -> np.ndarray:
     return mix(out)
 
 
-def build_index(items: list[tuple[object, str | None]]) -> SeedIndex:
+def build_index(items: list[tuple[object, str | None]], short: int = SHORT) -> SeedIndex:
     block = TextBlock(pa.array([t or "" for _, t in items], pa.string()))
     tokens, begins = tokens_of(block)
     sizes = np.diff(begins)
     probes = [tuple(i for i, c in enumerate(m) if c == "1") for m in MASKS]
-    probes += [tuple(range(int(n))) for n in np.unique(sizes[(sizes >= SHORT) & (sizes < SPAN)])]
+    probes += [tuple(range(int(n))) for n in np.unique(sizes[(sizes >= max(short, 1)) & (sizes < SPAN)])]
     seeds, places = [], []
     for probe in probes:
         own = _seeds(tokens, probe)
@@ -104,30 +111,40 @@ def longest(equal: np.ndarray, share: float) -> tuple[int, int]:
     return at, int(size[at])
 
 
-def hits_of(block: TextBlock, index: SeedIndex, filters: list[np.ndarray], least: int, share: float) -> list[tuple[int, int, int, int, int, int]]:
-    """(document, item, document token, item token, tokens, equal tokens): the longest leak of each pair."""
-    tokens, begins = tokens_of(block)
-    found = []
+def seed_hits(tokens: np.ndarray, begins: np.ndarray, index: SeedIndex, filters: list[np.ndarray], most: int = HITS) -> Iterator[np.ndarray]:
+    """Rows (document, item, diagonal) with an equal seed, about ``most`` at a time."""
     for seeds, places, probe, known in zip(index.seeds, index.places, index.probes, filters, strict=True):
         own = _seeds(tokens, probe)
         at = np.flatnonzero(known[(own >> np.uint64(64 - _FOLD_BITS)).astype(np.int64)])
         lo = np.searchsorted(seeds, own[at], side="left")
         n = np.searchsorted(seeds, own[at], side="right") - lo
-        at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
         doc = np.searchsorted(begins, at, side="right") - 1
-        inside = at + probe[-1] < begins[doc + 1]
-        at, lo, n, doc = at[inside], lo[inside], n[inside], doc[inside]
-        place = places[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        found.append(np.column_stack([np.repeat(doc, n), np.searchsorted(index.begins, place, side="right") - 1, np.repeat(at, n) - place]))
+        some = (n > 0) & (at + probe[-1] < begins[doc + 1])
+        at, lo, n, doc = at[some], lo[some], n[some], doc[some]
+        total = np.cumsum(n)
+        cuts = np.searchsorted(total, np.arange(0, int(total[-1]) if len(total) else 0, most)[1:])
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)], strict=True):
+            if b > a:
+                k = n[a:b]
+                place = places[np.repeat(lo[a:b] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))]
+                yield np.unique(np.column_stack([np.repeat(doc[a:b], k), np.searchsorted(index.begins, place, side="right") - 1, np.repeat(at[a:b], k) - place]), axis=0)
+
+
+def hits_of(block: TextBlock, index: SeedIndex, filters: list[np.ndarray], least: int, share: float, most: int = HITS) -> list[tuple[int, int, int, int, int, int]]:
+    """(document, item, document token, item token, tokens, equal tokens): the longest leak of each pair."""
+    tokens, begins = tokens_of(block)
     best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-    for doc, item, diagonal in np.unique(np.concatenate(found), axis=0).tolist() if found else ():
-        a, b = int(index.begins[item]), int(index.begins[item + 1])
-        lo, hi = max(a, int(begins[doc]) - diagonal), min(b, int(begins[doc + 1]) - diagonal)
-        equal = index.tokens[lo:hi] == tokens[lo + diagonal : hi + diagonal]
-        at, size = longest(equal, share)
-        same = int(equal[at : at + size].sum())
-        if (size >= least or size == b - a == same) and (size, same) > best.get((doc, item), (0, 0))[:2]:
-            best[doc, item] = (size, same, lo + at + diagonal - int(begins[doc]), lo + at - a)
+    for rows in seed_hits(tokens, begins, index, filters, most):
+        for doc, item, diagonal in rows.tolist():
+            a, b = int(index.begins[item]), int(index.begins[item + 1])
+            lo, hi = max(a, int(begins[doc]) - diagonal), min(b, int(begins[doc + 1]) - diagonal)
+            equal = index.tokens[lo:hi] == tokens[lo + diagonal : hi + diagonal]
+            at, size = longest(equal, share)
+            same = int(equal[at : at + size].sum())
+            found = (size, same, lo + at + diagonal - int(begins[doc]), lo + at - a)
+            # of leaks of one length the one with most equal tokens, then the first; hits come in no order
+            if (size >= least or size == b - a == same) and ((doc, item) not in best or (-size, -same, *found[2:]) < (-best[doc, item][0], -best[doc, item][1], *best[doc, item][2:])):
+                best[doc, item] = found
     return [(d, i, p, q, n, e) for (d, i), (n, e, p, q) in sorted(best.items())]
 
 
@@ -140,16 +157,16 @@ def _filters(index: SeedIndex) -> list[np.ndarray]:
     return out
 
 
-def index_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[SeedIndex]:
-    """Broadcast-sized indexes of the benchmark; together they cover all of its items."""
+def index_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, short: int = SHORT) -> tuple[int, Iterator[SeedIndex]]:
+    """Broadcast-sized indexes of the benchmark, one by one, and how many; together they cover all of its items."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = -(-int(total) // block_bytes) or 1
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    return [build_index([tuple(r) for r in items.where(part == i).orderBy("item_id", "text").collect()]) for i in range(blocks)]
+    return blocks, (build_index([tuple(r) for r in items.where(part == i).orderBy("item_id", "text").collect()], short) for i in range(blocks))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: float = SHARE, short: int = SHORT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document and item with a leak: doc_id, item_id, doc_token, item_token, n_overlap, n_equal."""
     spark = docs.sparkSession
 
@@ -172,16 +189,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: floa
 
             return work
 
-        return map_slices(texts(docs), make, "doc_id long, item_id long, doc_token long, item_token long, n_overlap long, n_equal long")
+        out = map_slices(texts(docs), make, "doc_id long, item_id long, doc_token long, item_token long, n_overlap long, n_equal long")
+        if blocks > 1:  # so that this block's index can go before the next one comes
+            out = materialize(out, "leaks")
+            sent.destroy()
+        return out
 
-    return reduce(DataFrame.union, map(one, index_blocks(benchmark)))
+    blocks, indexes = index_blocks(benchmark, block_bytes, short)
+    return reduce(DataFrame.union, map(one, indexes))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: float = SHARE, short: int = SHORT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without documents that hold a leak; each is judged where it lies, nothing is shuffled."""
     spark, out = docs.sparkSession, docs.withColumn("text", F.col("text").cast("string"))
     schema = out.schema
-    for index in index_blocks(benchmark):
+    blocks, indexes = index_blocks(benchmark, block_bytes, short)
+    for index in indexes:
         sent = spark.sparkContext.broadcast(index)
 
         def run(batches, sent=sent):
@@ -195,4 +218,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share:
                     yield batch.filter(pa.array(clean))
 
         out = out.mapInArrow(run, schema)
+        if blocks > 1:
+            out = materialize(out, "clean")
+            sent.destroy()
     return out
