@@ -6,16 +6,21 @@
    number of copies stays one row from there on).
 3. Nodes within ``radius`` bits agree in at least ``bands - radius`` of ``bands`` bands.
    Each choice of bands is a table; nodes meet in a bucket of equal bands.
-4. Inside a bucket, bit planes stand vertically, 64 nodes to a machine word. A node is
-   compared with all still unlinked nodes at once: carry-save counters add the differing
-   bits plane by plane, and a block is left once every lane exceeds the radius. Each node
-   that a comparison finds is linked once and leaves the block, so a bucket gives a
-   spanning forest, never all of its pairs.
-5. Components of the links; a component is named by its smallest doc_id.
+4. Bit planes stand vertically, 64 lanes to a machine word: carry-save counters add the
+   differing bits plane by plane, and a block is left once every lane exceeds the radius.
+   In a bucket of over ``SMALL`` nodes a node is compared with all still unlinked nodes at
+   once; each node that a comparison finds is linked once and leaves the block, so a bucket
+   gives a spanning forest, never all of its pairs. Buckets of up to ``SMALL`` nodes share
+   planes: a lane is a pair of nodes some places apart in one bucket, many buckets to a word.
+5. Components of the links; a component is named by its smallest doc_id. Components with
+   over a ten-thousandth of all nodes (at most ten thousand) get their names by broadcast,
+   so no task gathers one.
 
 Defined cases: null text counts as empty; texts without words have fingerprint zero and
 link like any other; equal rows each appear in the result; a null doc_id keeps its row and
-takes no part in the naming of its component; an empty table gives an empty result.
+takes no part in the naming of its component; an empty table gives an empty result; a very
+long text is one slice in one task. Other columns of the input are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -30,11 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, TextBlock, map_slices, materialize, texts
-from .components import connected_components
+from .components import connected_components, join_spread
 
 SHINGLE = 4
 RADIUS = 4
 BANDS = 6
+SMALL = 8
 SEED = 42
 
 
@@ -101,7 +107,7 @@ def band_masks(bands: int, radius: int) -> list[int]:
 
 
 def bit_planes(values: np.ndarray) -> np.ndarray:
-    """planes[b] holds bit b of all values, 64 values in each word; spare lanes repeat value 0's bits inverted."""
+    """planes[b] holds bit b of all values, 64 values in each word; spare lanes are never asked for."""
     lanes = -(-len(values) // 64) * 64
     padded = np.full(lanes, ~values[0], np.uint64)
     padded[: len(values)] = values
@@ -177,15 +183,15 @@ def forest(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(left, np.uint64), np.array(right, np.uint64)
 
 
-def small_links(keys: np.ndarray, values: np.ndarray, group: np.ndarray, size: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside buckets of at most ``most`` nodes, for all buckets of a batch at once."""
+def small_links(values: np.ndarray, group: np.ndarray, size: np.ndarray, radius: int, most: int = SMALL) -> tuple[np.ndarray, np.ndarray]:
+    """Links inside buckets of at most ``most`` nodes, for all buckets of a batch at once: planes of the differing bits of all pairs."""
     left, right = [], []
     for shift in range(1, most):
         i = np.flatnonzero((size[:-shift] <= most) & (group[:-shift] == group[shift:])) if len(group) > shift else np.zeros(0, int)
         if not len(i):
             break
         a, b = values[i], values[i + shift]
-        near = np.bitwise_count(a ^ b) <= radius
+        near = lanes_of(within(bit_planes(a ^ b), 0, radius), len(a))
         left.append(a[near])
         right.append(b[near])
     if not left:
@@ -193,7 +199,7 @@ def small_links(keys: np.ndarray, values: np.ndarray, group: np.ndarray, size: n
     return np.concatenate(left), np.concatenate(right)
 
 
-def bucket_links(batches: Iterator[pa.RecordBatch], radius: int, most: int = 8) -> Iterator[pa.RecordBatch]:
+def bucket_links(batches: Iterator[pa.RecordBatch], radius: int, most: int = SMALL) -> Iterator[pa.RecordBatch]:
     """Links of buckets that arrive in order of their key; a bucket may span batches."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -202,7 +208,7 @@ def bucket_links(batches: Iterator[pa.RecordBatch], radius: int, most: int = 8)
         begin = np.concatenate(([0], change))
         size = np.diff(np.append(begin, len(keys)))
         group = np.repeat(np.arange(len(begin)), size)
-        a, b = small_links(keys, values, group, size[group], radius, most)
+        a, b = small_links(values, group, size[group], radius, most)
         parts = [(a, b)] + [forest(values[s : s + n], radius) for s, n in zip(begin[size > most].tolist(), size[size > most].tolist(), strict=True)]
         a, b = (np.concatenate([p[i] for p in parts]).view(np.int64) for i in (0, 1))
         return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -227,7 +233,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, bands: int = BANDS) -> DataFra
     masks = band_masks(bands, radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keyed = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])).alias("x")).select("x.which", "x.key", "fp")
-    dealt = keyed.repartition("which", "key").sortWithinPartitions("which", "key")
+    # in order of fp as well, so that the spanning links don't depend on the order of the input
+    dealt = keyed.repartition("which", "key").sortWithinPartitions("which", "key", "fp")
     return dealt.mapInArrow(lambda batches: bucket_links(batches, radius), "a long, b long")
 
 
@@ -243,8 +250,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(found)
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     touch = found.select(F.col("a").alias("fp")).union(found.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count("*").alias("n_links"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(least, "root").join(touch, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = materialize(named.join(touch, "fp", "left").select("root", "fp", "least", F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
+    least = materialize(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "roots")
+    classes = join_spread(named, least, "root").select("fp", "component_id", "n_links")
     # from a written table both sides of the last join are plain shuffles, which Spark splits where a fingerprint is hot
     classes = materialize(classes, "classes")
     return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
