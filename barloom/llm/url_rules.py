@@ -89,9 +89,9 @@ def items_of(rows: DataFrame, least: int) -> DataFrame:
     return seen.join(first, ["n", "n_bad", "x", "y", "s"]).select("token", "item", "n", "n_bad")
 
 
-def as_items(sets: DataFrame, key: str, tokens: str, items: DataFrame) -> DataFrame:
-    """(key, words): the items of each row that has any."""
-    return sets.select(key, F.explode(tokens).alias("token")).join(items.select("token", "item"), "token").groupBy(key).agg(F.collect_set("item").alias("words"))
+def as_items(sets: DataFrame, keys: tuple[str, ...], tokens: str, items: DataFrame) -> DataFrame:
+    """(keys..., words): the items of each row that has any."""
+    return sets.select(*keys, F.explode(tokens).alias("token")).join(items.select("token", "item"), "token").groupBy(*keys).agg(F.collect_set("item").alias("words"))
 
 
 def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_rows: int = MIN_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -106,7 +106,7 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT,
     single = items.where(good)
     short = single.where("token = item").select(F.array("item").alias("items"), "n", "n_bad", F.col("item").alias("anchor"))
     rest = items.join(single.select("token"), "token", "left_anti")
-    sets = materialize(as_items(rows, "row", "tokens", rest).join(rows.select("row", "bad"), "row"), "transactions")
+    sets = materialize(as_items(rows, ("row", "bad"), "tokens", rest), "transactions")
     n_sets = sets.where("bad").count()
     found = long_rules(sets, rest, least, n_sets, good) if n_sets >= least else None
     rules = short if found is None else short.unionByName(found)
@@ -142,7 +142,7 @@ def matches(urls: DataFrame, rules: DataFrame, items: DataFrame) -> DataFrame:
     """(url, n_rules): the distinct urls that fit at least one rule."""
     used = items.join(rules.select(F.explode("items").alias("item")).distinct(), "item", "left_semi")
     sets = urls.select("url").where("url is not null").distinct().select(F.col("url").alias("key"), tokens_of(F.col("url")).alias("tokens"))
-    return fits(as_items(sets, "key", "tokens", used), rules).groupBy(F.col("key").alias("url")).agg(F.count("*").alias("n_rules"))
+    return fits(as_items(sets, ("key",), "tokens", used), rules).groupBy(F.col("key").alias("url")).agg(F.count("*").alias("n_rules"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, listed=LISTED, **thresholds) -> DataFrame:
