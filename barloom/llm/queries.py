@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import class_model, decontaminate, pieces, quality, secrets, simhash, suffix_dedup, token_counts, url_rules, webp
 from .common import table
@@ -66,9 +67,54 @@ REGISTERED = (
 )
 
 
+def base_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 1 without what it mines: verdicts of listed rules only."""
+    rows = op1_url_filters(spark, sf_dir)
+    return rows.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
+def base_secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_secret_scans(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def base_word_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4 without its classes."""
+    return op4_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def base_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What operators 2, 8 and 10 say of a text's bytes."""
+    stored = op2_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+    return stored.join(op10_token_counts(spark, sf_dir).select("doc_id", F.col("n_bytes").alias("counted")), "doc_id")
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_RULES = ", ".join(f"('{h}', '{p}', '{h}{p}', '{v}')" for h, p, v in url_rules.LISTED)
+#: a CRC-32 bit by bit: each byte comes in with the first of its eight steps
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: list_concat([CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT)], [0, 0, 0, 0, 0, 0, 0]::BIGINT[])))),
+   lambda c, b: CASE WHEN xor(c, b) & 1 = 1 THEN xor(xor(c, b) >> 1, 3988292384) ELSE xor(c, b) >> 1 END), 4294967295)"""
+
+BASE = {
+    "base_url_rules": f"""WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+ h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1, 's'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') AS path FROM r),
+ l AS (SELECT * FROM (VALUES {_RULES}) v(rule_host, rule_path, rule, verdict)),
+ f AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM h JOIN l ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY 1)
+ SELECT h.page_id, host, path, f.rule, f.verdict FROM h LEFT JOIN f USING (page_id)""",
+    "base_secret_counts": """SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i:(password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) AS n_assign,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS n_access, len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24)) AS n_hex FROM documents""",
+    "base_word_scores": f"""WITH d AS (SELECT doc_id, coalesce({_CRC} % 5 = 1, false) AS held_out, list_concat(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+'), [NULL]) AS w FROM documents),
+ t AS (SELECT row_number() OVER () AS k, doc_id, held_out, coalesce(w, chr(1) || ' end') AS w FROM (SELECT doc_id, held_out, unnest(w) AS w FROM d)),
+ c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1), n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+ SELECT doc_id, held_out, count(*) AS n_tokens, count(c.c) AS n_known, CAST(any_value(n.n) AS BIGINT) AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 0.5) / (n.n + 0.5 * (n.v + 1)))), 4) AS base_score FROM t LEFT JOIN c USING (w), n GROUP BY 1, 2""",
+    "base_sizes": """SELECT doc_id, octet_length(encode(x)) AS n_bytes, octet_length(encode(p)) AS payload_bytes, sha256(p) AS payload_sha256, octet_length(encode(x)) AS counted
+ FROM (SELECT doc_id, x, x || repeat(' ', CASE WHEN x = '' THEN 192 ELSE (192 - octet_length(encode(x)) % 192) % 192 END) AS p FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents))""",
+}
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in REGISTERED}
+    """The ten operators, and parts of them that SQL can express."""
+    return {f.__name__: f for f in (*REGISTERED, base_url_rules, base_secret_counts, base_word_scores, base_sizes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(BASE)
