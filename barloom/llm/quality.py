@@ -5,14 +5,17 @@ two states, bad and good. Forward-backward gives each line's probability of good
 mean, weighted with line lengths, is the document's raw quality, which a logistic curve
 fitted on the training rows turns into the score.
 
-Training takes a bounded sample of labelled rows (``train_docs``, chosen by a hash of the
-id, and all of their lines; scoring takes all lines of all texts). Every
+Training takes a bounded sample of labels (``train_docs`` rows of the label table, chosen by
+a hash of the id) and all lines of their texts; scoring takes all lines of all texts. Every
 line of a labelled document carries the document's label. Lines of all documents advance
 together, one line a step, so the work is numpy throughout.
 
 Defined cases: null text counts as empty, and an empty text is one empty line and gets a
 score; without usable labels every score is 0.5; equal rows each appear; a null doc_id is
-passed on and is not held out.
+passed on and is not held out. Repeated labels each count; of texts that share a labelled id
+the least one is trained on. A very long text is one slice in one task, and a step of the
+chain for each of its lines. Other columns of the input are ignored (or kept, by
+``keep_good``), whatever their names.
 """
 
 from __future__ import annotations
@@ -188,8 +191,9 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> C
 
         return work
 
-    wanted = texts(docs).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
-    rows = map_slices(wanted, make, "doc_id long, x binary, n binary").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "y", "x").limit(2 * train_docs).collect()
+    # of rows that share an id the one with the least text, so that the sample is bounded by its labels
+    wanted = texts(docs).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = map_slices(wanted, make, "doc_id long, x binary, n binary").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "y").collect()
     if not rows or len({r.y for r in rows}) < 2:
         return Chain(np.zeros(N_FEATURES), np.zeros((2, 2)))
     x = np.concatenate([np.frombuffer(r.x, np.float32).reshape(-1, N_FEATURES) for r in rows]).astype(float)

@@ -14,3 +14,44 @@ def test_training_sees_lines_past_the_first_400(spark, monkeypatch):
     docs = spark.createDataFrame([(i, text(450 if i % 2 else 3)) for i in range(40)], "doc_id long, text string")
     quality.train(docs, spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int"))
     assert seen and max(seen[0][1]) == 450 and sum(seen[0][1]) == seen[0][0]
+
+
+def test_score_matches_plain_forward_backward(spark):
+    """Scores from features, weights and moves by products of plain probabilities, line after line."""
+    import math
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from barloom.llm import quality
+    from barloom.llm.common import TextBlock
+
+    rng = random.Random(3)
+    texts = ["\n".join(" ".join(rng.choice(["good", "words", "%%", "||", "Here", "42"]) for _ in range(rng.randrange(7))) for _ in range(rng.randrange(1, 6))) for _ in range(30)] + ["", None]
+    weights = np.random.default_rng(1).normal(0, 0.6, quality.N_FEATURES)
+    move = np.array([[0.7, -0.4], [-0.2, 0.9]])
+    chain = quality.Chain(weights, move, 1.3, -0.2)
+    got = {r.doc_id: r.score for r in quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), chain).collect()}
+    for i, text in enumerate(texts):
+        features, length, _ = quality.line_features(TextBlock(pa.array([text], pa.string())))
+        assert length.tolist() == [len(line.encode()) + 1 for line in (text or "").split("\n")]
+        local = [(1.0, math.exp(float(f @ weights))) for f in features]
+        n, ahead, back = len(local), [local[0]], [(1.0, 1.0)]
+        for t in range(1, n):
+            ahead.append(tuple(sum(ahead[-1][a] * math.exp(move[a, b]) for a in (0, 1)) * local[t][b] for b in (0, 1)))
+        for t in range(n - 1, 0, -1):
+            back.insert(0, tuple(sum(math.exp(move[a, b]) * local[t][b] * back[0][b] for b in (0, 1)) for a in (0, 1)))
+        good = [ahead[t][1] * back[t][1] / sum(ahead[t][k] * back[t][k] for k in (0, 1)) for t in range(n)]
+        raw = sum(g * w for g, w in zip(good, length.tolist())) / sum(length.tolist())
+        raw = min(max(raw, 1e-6), 1 - 1e-6)
+        assert abs(got[i] - 1 / (1 + math.exp(-(1.3 * math.log(raw / (1 - raw)) - 0.2)))) < 1e-9
+
+
+def test_training_with_repeated_ids_and_labels(spark):
+    from barloom.llm import quality
+
+    docs = spark.createDataFrame([(i % 40, f"line of text {i % 40}\nand %% || {i % 3}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 40, i % 2, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    first = {(r.doc_id, r.score) for r in quality.classify(docs, labels).collect()}
+    assert first == {(r.doc_id, r.score) for r in quality.classify(docs.repartition(5), labels.repartition(3)).collect()}
