@@ -2,15 +2,22 @@
 
 The decoder reads any still VP8L stream: simple and normal prefix codes, groups of them,
 back-references, the colour cache, and the predictor, cross-colour, subtract-green and
-palette transforms; it returns pixel arrays. Streams of literals whose codes are all of one
-length (what ``pack`` writes) are unpacked with numpy instead of pixel by pixel.
+palette transforms; it returns pixel arrays. An image with one group of codes is decoded in
+numpy: every bit position is looked up in the prefix tables at once, one walk along the
+positions picks those where pixels begin, and references and cache hits are pointers to
+earlier pixels, followed by doubling. Images with several groups go pixel by pixel.
+
+``compress`` writes what the query stores: of no transform, a predictor, cross-colour and a
+palette the one with the least entropy, back-references to the last place where three pixels
+stood, a colour cache where it is hit often enough, and canonical prefix codes.
 
 ``store`` turns a text into media and reads it back: UTF-8, blanks up to a positive
 multiple of 192 bytes, 64 RGB pixels to a row, strips of at most ``STRIP_ROWS`` rows, each a
 WebP file; the files follow one another (each names its own size).
 
-Defined cases: a null text counts as empty, and an empty one is one row of blanks; texts of
+Defined cases: a null text counts as empty, and an empty text is one row of blanks; texts of
 any length become more strips; equal texts give equal bytes; a null doc_id is passed on.
+Other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ from pyspark.sql import DataFrame
 
 from .common import map_slices, texts
 
-ROW, WIDTH, STRIP_ROWS = 192, 64, 8192
+ROW, WIDTH, STRIP_ROWS = 192, 64, 256
 
 # fixed values of the format
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -57,16 +64,33 @@ class Bits:
             raise ValueError("the stream ends too early")
         return int.from_bytes(self.data[byte : byte + (shift + n + 7) // 8], "little") >> shift & ((1 << n) - 1)
 
-    def array(self, n: int) -> np.ndarray:
-        """The next n bits as an array."""
+    def ahead(self, n: int) -> np.ndarray:
+        """At most n of the bits that follow, as an array, without moving on."""
         byte, shift = divmod(self.at, 8)
-        self.at += n
-        if self.at > 8 * len(self.data):
-            raise ValueError("the stream ends too early")
+        n = min(n, 8 * len(self.data) - self.at)
         raw = np.frombuffer(self.data, np.uint8, (shift + n + 7) // 8, byte)
         return np.unpackbits(raw, bitorder="little")[shift : shift + n]
 
 
+_REVERSED: list[np.ndarray] = [np.zeros(1, np.int64)]
+
+
+def reversed_bits(width: int) -> np.ndarray:
+    """All numbers of ``width`` bits, each read backwards."""
+    while len(_REVERSED) <= width:
+        _REVERSED.append(np.concatenate((2 * _REVERSED[-1], 2 * _REVERSED[-1] + 1)))
+    return _REVERSED[width]
+
+
+def sixteen(stream: np.ndarray, more: int) -> np.ndarray:
+    """The 16 bits from each position of a stream of bits, and of ``more`` positions past it."""
+    out = np.zeros(len(stream) + more, np.uint16)
+    out[: len(stream)] = stream
+    for step in (1, 2, 4, 8):
+        out[:-step] |= out[step:] << np.uint16(step)
+    return out
+
+
 class Prefix:
     """A canonical prefix code. ``only``: its one symbol, read without bits."""
 
@@ -79,24 +103,14 @@ class Prefix:
         self.only = int(self.symbols[0]) if len(used) == 1 else None
         if self.only is None and int((1 << (15 - self.lengths.astype(np.int64))).sum()) != 1 << 15:
             raise ValueError("code lengths do not fill the code space")
-        self.uniform = int(self.lengths[0]) if self.only is None and self.lengths[0] == self.lengths[-1] else 0 if self.only is not None else None
-        self.table: dict[tuple[int, int], int] | None = None
+        self.width = 0 if self.only is not None else int(self.lengths[-1])
 
-    def read(self, bits: Bits) -> int:
+    def tables(self) -> np.ndarray:
+        """16 times the symbol plus the code length, for each value of the next ``width`` bits."""
         if self.only is not None:
-            return self.only
-        if self.table is None:
-            self.table, code, before = {}, 0, 0
-            for symbol, length in zip(self.symbols.tolist(), self.lengths.tolist(), strict=True):
-                code <<= length - before
-                self.table[length, code] = symbol
-                code, before = code + 1, length
-        code = 0
-        for length in range(1, 16):
-            code = code << 1 | bits.read(1)
-            if (length, code) in self.table:
-                return self.table[length, code]
-        raise ValueError("no such code")
+            return self.symbols[:1].astype(np.int32) << 4
+        entry = self.symbols.astype(np.int32) << 4 | self.lengths.astype(np.int32)
+        return np.repeat(entry, 1 << (self.width - self.lengths))[reversed_bits(self.width)]
 
 
 def read_prefix(bits: Bits, alphabet: int) -> Prefix:
@@ -108,36 +122,38 @@ def read_prefix(bits: Bits, alphabet: int) -> Prefix:
             lengths[bits.read(8)] = 1
         return Prefix(lengths)
     outer = np.zeros(19, np.int64)
-    for i in LENGTH_ORDER[: 4 + bits.read(4)]:
-        outer[i] = bits.read(3)
+    n = 4 + bits.read(4)
+    three = bits.read(3 * n)
+    for k, i in enumerate(LENGTH_ORDER[:n]):
+        outer[i] = three >> 3 * k & 7
     code = Prefix(outer)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    if code.uniform == 1 and left == alphabet and code.symbols.max() < 16:
-        return Prefix(code.symbols[bits.array(alphabet)])
-    at, before = 0, 8
-    while at < alphabet and left:
+    table, mask = code.tables().tolist(), (1 << code.width) - 1
+    stream = bits.ahead(14 * left)
+    ahead = sixteen(stream, 32).data
+    out: list[int] = []
+    before, p = 8, 0
+    while len(out) < alphabet and left:
         left -= 1
-        symbol = code.read(bits)
+        entry = table[ahead[p] & mask]
+        p += entry & 15
+        symbol = entry >> 4
         if symbol < 16:
-            lengths[at] = symbol
+            out.append(symbol)
             before = symbol or before
-            at += 1
-            continue
-        n = 3 + bits.read(2) if symbol == 16 else 3 + bits.read(3) if symbol == 17 else 11 + bits.read(7)
-        if at + n > alphabet:
-            raise ValueError("a repeat runs past the alphabet")
-        lengths[at : at + n] = before if symbol == 16 else 0
-        at += n
+        else:
+            more, least, value = (2, 3, before) if symbol == 16 else (3, 3, 0) if symbol == 17 else (7, 11, 0)
+            out += [value] * (least + (ahead[p] & ((1 << more) - 1)))
+            p += more
+        if p > len(stream):
+            raise ValueError("the stream ends too early")
+    bits.at += p
+    if len(out) > alphabet:
+        raise ValueError("a repeat runs past the alphabet")
+    lengths[: len(out)] = out
     return Prefix(lengths)
 
 
-def _extra(bits: Bits, symbol: int) -> int:
-    if symbol < 4:
-        return symbol + 1
-    n = (symbol - 2) >> 1
-    return ((2 + (symbol & 1)) << n) + bits.read(n) + 1
-
-
 def read_image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     """Entropy-coded pixels, (height, width, 4); ``top``: the main image, which may have groups of codes."""
     cache_bits = bits.read(4) if bits.read(1) else 0
@@ -149,55 +165,163 @@ def read_image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     groups = [[read_prefix(bits, n) for n in sizes] for _ in range(1 if group_of is None else int(group_of.max()) + 1)]
     n = width * height
-    if group_of is None and not cache_bits and all(c.uniform is not None for c in groups[0][:4]) and groups[0][0].symbols.max() < 256:
-        return _read_uniform(bits, groups[0], n).reshape(height, width, 4)
+    if group_of is None:
+        return _read_pixels(bits, groups[0], n, width, cache_bits).astype(">u4").view(np.uint8).reshape(height, width, 4)
+    stream = bits.ahead(n * max(max(sum(c.width for c in g[:4]), g[0].width + g[4].width + 28) for g in groups))
+    ahead = sixteen(stream, 160).data  # a pixel reaches so far past its beginning at most
+    tables = [[(c.tables().data, (1 << c.width) - 1) for c in g] for g in groups]
+    near = [max(1, dx + dy * width) for dx, dy in NEAR]
     out = [0] * n
     cache = [0] * (1 << cache_bits)
-    cached, at = 0, 0
-    codes = groups[0]
+    cached = at = p = 0
+
+    def look(k: int) -> int:
+        nonlocal p
+        table, mask = codes[k]
+        entry = table[ahead[p] & mask]
+        p += entry & 15
+        return entry >> 4
+
+    def number(symbol: int) -> int:
+        nonlocal p
+        if symbol < 4:
+            return symbol + 1
+        more = (symbol - 2) >> 1
+        value = (ahead[p] | ahead[p + 16] << 16) & ((1 << more) - 1)
+        p += more
+        return ((2 + (symbol & 1)) << more) + value + 1
+
     while at < n:
-        if group_of is not None:
-            y, x = divmod(at, width)
-            codes = groups[group_of[y >> shift, x >> shift]]
-        symbol = codes[0].read(bits)
+        if p > len(stream):
+            raise ValueError("the stream ends too early")
+        y, x = divmod(at, width)
+        codes = tables[group_of[y >> shift, x >> shift]]
+        symbol = look(0)
         if symbol < 256:
-            red, blue, alpha = codes[1].read(bits), codes[2].read(bits), codes[3].read(bits)
+            red, blue, alpha = look(1), look(2), look(3)
             out[at] = alpha << 24 | red << 16 | symbol << 8 | blue
             at += 1
         elif symbol < 280:
-            length = _extra(bits, symbol - 256)
-            code = _extra(bits, codes[4].read(bits))
-            if code > 120:
-                distance = code - 120
-            else:
-                dx, dy = NEAR[code - 1]
-                distance = max(1, dx + dy * width)
+            length = number(symbol - 256)
+            code = number(look(4))
+            distance = code - 120 if code > 120 else near[code - 1]
             if distance > at or at + length > n:
                 raise ValueError("a back-reference leaves the image")
             for _ in range(length):
                 out[at] = out[at - distance]
                 at += 1
         else:
-            while cached < at:
-                cache[(_CACHE_FACTOR * out[cached] & 0xFFFFFFFF) >> (32 - cache_bits)] = out[cached]
-                cached += 1
+            for pixel in out[cached:at]:
+                cache[(_CACHE_FACTOR * pixel & 0xFFFFFFFF) >> (32 - cache_bits)] = pixel
+            cached = at
             out[at] = cache[symbol - 280]
             at += 1
-    return np.array(out, ">u4").view(np.uint8).reshape(height, width, 4).copy()
-
-
-def _read_uniform(bits: Bits, codes: list[Prefix], n: int) -> np.ndarray:
-    out = np.empty((n, 4), np.uint8)
-    widths = [c.uniform for c in codes[:4]]
-    rows = bits.array(n * sum(widths)).reshape(n, sum(widths))
-    at = 0
-    for channel, code, width in zip((G, R, B, A), codes, widths, strict=False):
-        index = np.zeros(n, np.uint8)
-        for k in range(at, at + width):
-            index = (index << 1) | rows[:, k]
-        out[:, channel] = code.symbols.astype(np.uint8)[index]
-        at += width
-    return out
+    if p > len(stream):
+        raise ValueError("the stream ends too early")
+    bits.at += p
+    return np.array(out, ">u4").view(np.uint8).reshape(height, width, 4)
+
+
+def _read_pixels(bits: Bits, codes: list[Prefix], n: int, width: int, cache_bits: int) -> np.ndarray:
+    """The next n pixels as numbers."""
+    green, red, blue, alpha, far = (c.tables() for c in codes)
+    g_mask, r_mask, b_mask, a_mask, d_mask = (np.uint16((1 << c.width) - 1) for c in codes)
+    tail = 64  # a code and what follows it may reach so far past its beginning
+    stream = bits.ahead(n * max(sum(c.width for c in codes[:4]), codes[0].width + codes[4].width + 28))
+    size = len(stream)
+    next_bits = sixteen(stream, 2 * tail)
+    entry = green.take(next_bits[: size + 1] & g_mask)
+    after_green = (entry & 15) + np.arange(size + 1, dtype=np.int32)
+    after_red = after_green + (red & 15).take(next_bits.take(after_green) & r_mask)
+    after_blue = after_red + (blue & 15).take(next_bits.take(after_red) & b_mask)
+    following = after_blue + (alpha & 15).take(next_bits.take(after_blue) & a_mask) if codes[3].width else after_blue.copy()
+    pixels = np.ones(size + 1, np.int32)
+    other = codes[0].symbols.max() >= 256
+    if other:
+        at = np.flatnonzero(entry >= 280 << 4)
+        following[at] = after_green[at]
+        at = np.flatnonzero((entry >= 256 << 4) & (entry < 280 << 4))
+        length, place = _number_at(next_bits, after_green[at], (entry[at] >> 4) - 256)
+        index = far[next_bits[place] & d_mask]
+        code, place = _number_at(next_bits, place + (index & 15), index >> 4)
+        following[at], pixels[at] = place, length
+        distance = np.zeros(size + 1, np.int64)
+        distance[at] = code
+    starts, done, p = [], 0, 0
+    try:
+        follow, many, add = following.data, pixels.data, starts.append
+        if other:
+            while done < n:
+                add(p)
+                done += many[p]
+                p = follow[p]
+        else:
+            for _ in range(n):
+                add(p)
+                p = follow[p]
+    except IndexError:
+        p = size + 1
+    if p > size:
+        raise ValueError("the stream ends too early")
+    bits.at += p
+    at = np.array(starts)
+    symbol, many = entry[at].astype(np.int64) >> 4, pixels[at].astype(np.int64)
+    first = np.cumsum(many) - many
+    plain = symbol < 256
+    q = at[plain]
+    out = np.zeros(n, np.int64)
+    parts = ((alpha, after_blue, a_mask, 24), (red, after_green, r_mask, 16), (blue, after_red, b_mask, 0))
+    out[first[plain]] = symbol[plain] << 8 | sum((code[next_bits[after[q]] & mask].astype(np.int64) >> 4) << shift for code, after, mask, shift in parts)
+    if not other:
+        return out.astype(np.uint32)
+    source = np.arange(n)
+    copied = np.flatnonzero((symbol >= 256) & (symbol < 280))
+    if len(copied):
+        code, length, to = distance[at[copied]], many[copied], first[copied]
+        near = np.array([max(1, dx + dy * width) for dx, dy in NEAR])
+        back = np.where(code > 120, code - 120, near[np.minimum(code, 120) - 1])
+        if (back > to).any() or int(to[-1] + length[-1]) > n:
+            raise ValueError("a back-reference leaves the image")
+        own = np.repeat(to - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+        source[own] = own - np.repeat(back, length)
+        source = _follow(source)
+    cached = symbol >= 280
+    if cached.any():
+        # a pixel's place in the cache is known without its colour; a hit has the colour of the last pixel before it with that place
+        place = _cache_place(out.astype(np.uint64), cache_bits)
+        place[first[cached]] = symbol[cached] - 280
+        place = place[source]
+        order = np.argsort(place, kind="stable")
+        last = np.full(n, -1)
+        same = place[order[1:]] == place[order[:-1]]
+        last[order[1:][same]] = order[:-1][same]
+        hits = first[cached]
+        empty = hits[last[hits] < 0]
+        source[hits] = np.maximum(last[hits], 0)
+        source[empty] = empty
+        source = _follow(source)
+    return out[source].astype(np.uint32)
+
+
+def _number_at(next_bits: np.ndarray, at: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths or distance codes whose extra bits begin at ``at``, and where those end."""
+    more = np.where(symbol < 4, 0, (symbol - 2) >> 1)
+    at = np.minimum(at, len(next_bits) - 32)
+    wide = next_bits[at].astype(np.int64) | next_bits[at + 16].astype(np.int64) << 16
+    return np.where(symbol < 4, symbol, ((2 + (symbol & 1)) << more) + (wide & ((1 << more) - 1))) + 1, at + more
+
+
+def _follow(source: np.ndarray) -> np.ndarray:
+    """Where chains of pointers end."""
+    while True:
+        further = source[source]
+        if (further == source).all():
+            return source
+        source = further
+
+
+def _cache_place(colour: np.ndarray, bits: int) -> np.ndarray:
+    return ((colour * np.uint64(_CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)).astype(np.int64)
 
 
 def _half(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -246,6 +370,12 @@ def undo_predictor(pixels: np.ndarray, modes: np.ndarray, shift: int) -> np.ndar
     height, width, _ = pixels.shape
     out = pixels.astype(np.int64)
     out[0, 0] = (out[0, 0] + [255, 0, 0, 0]) & 255
+    if modes.min() == modes.max() in (1, 2):  # sums along rows and columns
+        if modes[0, 0] == 1:
+            out[:, 0] = np.cumsum(out[:, 0], axis=0)
+            return (np.cumsum(out, axis=1) & 255).astype(np.uint8)
+        out[0] = np.cumsum(out[0], axis=0)
+        return (np.cumsum(out, axis=0) & 255).astype(np.uint8)
     out[0] = np.cumsum(out[0], axis=0) & 255
     for y in range(1, height):
         above, row = out[y - 1], out[y]
@@ -351,37 +481,251 @@ def _wrap(parts: list[np.ndarray], width: int, height: int) -> bytes:
     return b"RIFF" + (12 + len(stream) + len(pad)).to_bytes(4, "little") + b"WEBPVP8L" + len(stream).to_bytes(4, "little") + stream + pad
 
 
-def _one_symbol(symbol: int) -> np.ndarray:
-    return np.concatenate((_number(0b101, 3), _number(symbol, 8)))
+def lengths_of(counts: np.ndarray, most: int = 15) -> np.ndarray:
+    """Huffman code lengths of at most ``most``; one used symbol has length 1."""
+    used = np.flatnonzero(counts)
+    out = np.zeros(len(counts), np.int64)
+    if len(used) < 2:
+        out[used] = 1
+        return out
+    order = used[np.argsort(counts[used], kind="stable")]
+    floor = 1
+    while True:
+        weight = np.maximum(counts[order], floor).tolist()
+        n = len(weight)
+        parent = [0] * (2 * n - 1)
+        leaf, node, total = 0, n, weight
+        for new in range(n, 2 * n - 1):  # leaves and inner nodes both come in rising order
+            pair = 0
+            for _ in (0, 1):
+                if leaf < n and (node >= new or total[leaf] <= total[node]):
+                    parent[leaf] = new
+                    pair += total[leaf]
+                    leaf += 1
+                else:
+                    parent[node] = new
+                    pair += total[node]
+                    node += 1
+            total.append(pair)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if max(depth[:n]) <= most:
+            out[order] = depth[:n]
+            return out
+        floor *= 2
 
 
-def _uniform_code(values: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray]:
-    """The code's own bits, and for each byte its code as a row of bits; all codes are equally long."""
-    taken = np.bincount(values, minlength=256) > 0
-    used = np.flatnonzero(taken)
-    if len(used) == 1:
-        return _one_symbol(int(used[0])), np.zeros((256, 0), np.uint8)
-    width = int(len(used) - 1).bit_length()
-    taken[np.flatnonzero(~taken)[: (1 << width) - len(used)]] = True  # spare symbols fill the code
-    symbols = np.flatnonzero(taken)
-    place = LENGTH_ORDER.index(width)
-    outer = np.zeros((max(4, place + 1), 3), np.uint8)
-    outer[2, 0] = outer[place, 0] = 1  # two lengths, none and width, a bit each
-    member = np.zeros(alphabet, np.uint8)
-    member[symbols] = 1
-    rows = np.zeros((256, width), np.uint8)
-    rows[symbols] = np.arange(len(symbols))[:, None] >> np.arange(width - 1, -1, -1) & 1
-    return np.concatenate((_number(0, 1), _number(len(outer) - 4, 4), outer.ravel(), _number(0, 1), member)), rows
-
-
-def pack(rgb: np.ndarray) -> bytes:
-    """(height, width, 3) of red, green, blue to a file of literals with codes of one length for each channel."""
+def codes_of(lengths: np.ndarray) -> np.ndarray:
+    """The code of each symbol, first bit lowest; a lone symbol has no bits."""
+    out = np.zeros(len(lengths), np.int64)
+    used = np.flatnonzero(lengths)
+    if len(used) > 1:
+        used = used[np.argsort(lengths[used], kind="stable")]
+        width = int(lengths[used[-1]])
+        taken = 1 << (width - lengths[used])
+        out[used] = reversed_bits(width)[np.cumsum(taken) - taken]
+    return out
+
+
+Fields = list[tuple[int, int]]
+
+
+def prefix_fields(lengths: np.ndarray) -> Fields:
+    """A prefix code as (value, bits), with runs of zeros shortened."""
+    used = np.flatnonzero(lengths).tolist()
+    if len(used) < 2 and (not used or used[0] < 256):
+        return [(0b101, 3), (used[0] if used else 0, 8)]
+    runs, at = [], 0  # symbol, extra, its bits
+    for symbol, length in zip(used, lengths[used].tolist(), strict=True):
+        gap, at = symbol - at, symbol + 1
+        while gap >= 3:
+            take = min(gap, 138)
+            runs.append((18, take - 11, 7) if take > 10 else (17, take - 3, 3))
+            gap -= take
+        if gap:
+            runs += [(0, 0, 0)] * gap
+        runs.append((length, 0, 0))
+    runs += [(0, 0, 0)] * (2 - len(runs))
+    counts = [0] * 19
+    for symbol, _, _ in runs:
+        counts[symbol] += 1
+    outer = lengths_of(np.array(counts), 7)
+    codes, widths = codes_of(outer).tolist(), outer.tolist()
+    last = max(4, max(i for i, s in enumerate(LENGTH_ORDER) if widths[s]) + 1)
+    # the number of runs, less two, in as many pairs of bits as it takes
+    left = len(runs) - 2
+    pairs = max(1, -(-left.bit_length() // 2))
+    head = [(0, 1), (last - 4, 4), *((widths[s], 3) for s in LENGTH_ORDER[:last]), (1, 1), (pairs - 1, 3), (left, 2 * pairs)]
+    if sum(w > 0 for w in widths) == 1:
+        widths = [0] * 19
+    return head + [(codes[s] | extra << widths[s], widths[s] + n) for s, extra, n in runs]
+
+
+def bits_of(values: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """Numbers of given widths, lowest bit first, back to back."""
+    inside = np.arange(int(widths.sum())) - np.repeat(np.cumsum(widths) - widths, widths)
+    return (np.repeat(values, widths) >> inside & 1).astype(np.uint8)
+
+
+def matches(colour: np.ndarray, least: int = 4, most: int = 4096) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of repeats, in order and apart, to the last place where the same three pixels stood."""
+    n = len(colour)
+    if n < least:
+        return []
+    with np.errstate(over="ignore"):
+        wide = colour.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        key = wide[:-2] + (wide[1:-1] << np.uint64(21) | wide[1:-1] >> np.uint64(43)) * np.uint64(3) + (wide[2:] << np.uint64(42) | wide[2:] >> np.uint64(22)) * np.uint64(5)
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    if not same.any():
+        return []
+    back = np.zeros(n - 2, np.int64)
+    back[order[1:][same]] = (order[1:] - order[:-1])[same]
+    edge = np.flatnonzero(np.concatenate(([True], back[1:] != back[:-1], [True])))
+    out, free = [], 0
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        distance = int(back[a])
+        if not distance or b + 2 - max(a, free) < least:
+            continue
+        a, b = max(a, free), b + 2
+        # equal keys of three pixels are equal pixels but for a collision of 64 bits
+        wrong = np.flatnonzero(colour[a:b] != colour[a - distance : b - distance])
+        b = a + int(wrong[0]) if len(wrong) else b
+        while b - a >= least:
+            length = min(b - a, most)
+            out.append((a, length, distance))
+            a += length
+        free = max(free, a)
+    return out
+
+
+def _split_number(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbol, extra bits and their number for lengths or distance codes."""
+    value = value - 1
+    more = np.maximum(np.frexp(np.maximum(value, 1).astype(float))[1] - 2, 0)
+    more = np.where(value < 4, 0, more)
+    return np.where(value < 4, value, 2 * more + 2 + (value >> more & 1)), value & ((1 << more) - 1), more
+
+
+def image_bits(pixels: np.ndarray, top: bool) -> np.ndarray:
+    """(height, width, 4) pixels as bits: back-references, a colour cache where it pays, prefix codes."""
+    height, width, _ = pixels.shape
+    colour = np.ascontiguousarray(pixels).view(">u4").ravel().astype(np.uint64)
+    n = len(colour)
+    found = matches(colour) if n >= 16 else []
+    covered = np.zeros(n + 1, np.int64)
+    for a, length, _ in found:
+        covered[a] += 1
+        covered[a + length] -= 1
+    single = np.cumsum(covered[:n]) == 0
+    hit, cache_bits = np.zeros(n, bool), 0
+    if n >= 64:
+        cache_bits = min(8, n.bit_length() - 3)
+        place = _cache_place(colour, cache_bits)
+        order = np.argsort(place, kind="stable")
+        hit[order[1:]] = colour[order[1:]] == colour[order[:-1]]
+        hit &= single
+        if hit.sum() * 8 < n:
+            hit[:], cache_bits = False, 0
+    starts = np.flatnonzero(single)
+    if found:
+        starts = np.sort(np.concatenate((starts, np.array([a for a, _, _ in found]))))
+    green = (colour >> np.uint64(8) & np.uint64(255)).astype(np.int64)[starts]
+    rows = [(colour >> np.uint64(k) & np.uint64(255)).astype(np.int64)[starts] for k in (16, 0, 24)]
+    symbol = np.where(hit[starts], 280 + (place[starts] if cache_bits else 0), green)
+    plain = single[starts] & ~hit[starts]
+    value, bits = np.zeros((5, len(starts)), np.int64), np.zeros((5, len(starts)), np.int64)
+    far = np.zeros(0, np.int64)
+    if found:
+        _, length, distance = (np.array(x) for x in zip(*found, strict=True))
+        copy = np.flatnonzero(~single[starts])
+        near = {max(1, dx + dy * width): k for k, (dx, dy) in reversed(list(enumerate(NEAR, 1)))}
+        short = np.array([near.get(d, d + 120) for d in distance.tolist()])
+        kind, value[1, copy], bits[1, copy] = _split_number(length)
+        symbol[copy] = 256 + kind
+        far, value[3, copy], bits[3, copy] = _split_number(short)
+    sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
+    used = [symbol, *(r[plain] for r in rows), far]
+    lengths = [lengths_of(np.bincount(u, minlength=m)) for u, m in zip(used, sizes, strict=True)]
+    fields = ([(1, 1), (cache_bits, 4)] if cache_bits else [(0, 1)]) + [(0, 1)] * top
+    for code in lengths:
+        fields += prefix_fields(code)
+    head = np.array(fields, np.int64)
+    codes = [codes_of(code) for code in lengths]
+    widths = [code if np.count_nonzero(code) > 1 else np.zeros_like(code) for code in lengths]
+    value[0], bits[0] = codes[0][symbol], widths[0][symbol]
+    for k, row in enumerate(rows, 1):
+        value[k, plain], bits[k, plain] = codes[k][row[plain]], widths[k][row[plain]]
+    if found:
+        value[2, copy], bits[2, copy] = codes[4][far], widths[4][far]
+    return bits_of(np.concatenate((head[:, 0], value.T.ravel())), np.concatenate((head[:, 1], bits.T.ravel())))
+
+
+def _entropy(*channels: np.ndarray) -> float:
+    """Bits that the channels take by their own frequencies."""
+    size = channels[0].size
+    n = np.concatenate([np.bincount(c.ravel()) for c in channels])
+    n = n[n > 1]
+    return float(len(channels) * size * np.log2(size) - (n * np.log2(n)).sum())
+
+
+def _one_pixel(pixel: tuple[int, int, int, int]) -> np.ndarray:
+    """An image of one colour, however large: alpha, red, green, blue."""
+    a, r, g, b = pixel
+    return bits_of(*np.array([(0, 1), *(f for v in (g, r, b, a, 0) for f in ((0b101, 3), (v, 8)))]).T)
+
+
+_WIDEST = 9  # blocks of 512 pixels: one for a strip
+
+
+def compress(rgb: np.ndarray) -> bytes:
+    """(height, width, 3) of red, green, blue, at most 512 to a side, to a file: the transform with the least entropy, then ``image_bits``."""
     height, width, _ = rgb.shape
-    flat = rgb.reshape(-1, 3)
-    codes = [_uniform_code(flat[:, c], n) for c, n in ((1, 280), (0, 256), (2, 256))]
-    head = [_number(0, 1), _number(0, 1), _number(0, 1), *(c for c, _ in codes), _one_symbol(255), _one_symbol(0)]
-    body = np.concatenate([rows[flat[:, c]] for (_, rows), c in zip(codes, (1, 0, 2), strict=True)], axis=1).ravel()
-    return _wrap([*head, body], width, height)
+    pixels = np.full((height, width, 4), 255, np.uint8)
+    pixels[..., 1:] = rgb
+    red, green, blue = (rgb[..., k] for k in range(3))
+    best, cost = None, _entropy(red, green, blue)
+    # predictors: the pixel to the left, or above
+    for mode in (1, 2):
+        guess = np.zeros_like(rgb)
+        guess[1:, 0], guess[0, 1:] = rgb[:-1, 0], rgb[0, :-1]
+        guess[1:, 1:] = rgb[1:, :-1] if mode == 1 else rgb[:-1, 1:]
+        left = rgb - guess
+        if (now := _entropy(left[..., 0], left[..., 1], left[..., 2]) + 80) < cost:
+            best, cost = (PREDICTOR, mode, left), now
+    # cross-colour: red and blue less a multiple of green
+    g = green.astype(np.int8).astype(float)
+    spread = float(((g - g.mean()) ** 2).sum())
+    if spread:
+        slopes = [int(np.clip(round(32 * float(((g - g.mean()) * c.astype(np.int8)).sum()) / spread), -128, 127)) for c in (red, blue)]
+        element = np.array([[[255, 0, slopes[1] & 255, slopes[0] & 255]]], np.uint8)
+        turned = cross_colour(pixels, element, _WIDEST, -1)
+        if any(slopes) and (now := _entropy(turned[..., R], green, turned[..., B]) + 80) < cost:
+            best, cost = (CROSS_COLOUR, element, turned), now
+    parts = [_number(1, 1)]
+    table = np.unique(np.ascontiguousarray(pixels).view(">u4").ravel(), return_inverse=True) if height * width >= 64 else None
+    if table is not None and len(table[0]) <= 256 and _entropy(table[1]) + 20 * len(table[0]) < cost:
+        colours, index = table[0].astype(">u4").view(np.uint8).reshape(-1, 4), table[1].reshape(height, width)
+        bundle = bundle_shift(len(colours))
+        rising = np.diff(colours.astype(np.int64), axis=0, prepend=np.zeros((1, 4), np.int64)).astype(np.uint8)
+        small = np.zeros((height, -(-width >> bundle), 4), np.uint8)
+        small[..., A] = 255
+        for x in range(1 << bundle):
+            columns = index[:, x :: 1 << bundle]
+            small[:, : columns.shape[1], G] |= (columns << (x * (8 >> bundle))).astype(np.uint8)
+        parts += [_number(PALETTE, 2), _number(len(colours) - 1, 8), image_bits(rising[None], False)]
+        pixels = small
+    elif best is None:
+        parts = []
+    elif best[0] == PREDICTOR:
+        parts += [_number(PREDICTOR, 2), _number(_WIDEST - 2, 3), _one_pixel((255, 0, best[1], 0))]
+        pixels[..., 1:] = best[2]
+        pixels[..., A] = 0
+    else:
+        parts += [_number(CROSS_COLOUR, 2), _number(_WIDEST - 2, 3), _one_pixel(tuple(best[1][0, 0].tolist()))]
+        pixels = best[2]
+    return _wrap([*parts, _number(0, 1), image_bits(pixels, True)], width, height)
 
 
 def _code_lengths(counts: Counter, alphabet: int, most: int = 15) -> np.ndarray:
@@ -421,7 +765,7 @@ def _write_prefix(lengths: np.ndarray) -> list[np.ndarray]:
     """A normal code, with runs of zeros and of equal lengths shortened."""
     used = np.flatnonzero(lengths)
     if not len(used):
-        return [_one_symbol(0)]
+        return [_number(0b101, 3), _number(0, 8)]
     if len(used) <= 2 and used[-1] < 256:
         return [_number(1, 1), _number(len(used) - 1, 1), _number(1, 1), *(_number(int(s), 8) for s in used)]
     runs, at = [], 0
@@ -579,7 +923,7 @@ def payload_of(text: bytes) -> bytes:
 def write_strips(payload: bytes) -> bytes:
     step = ROW * STRIP_ROWS
     rows = (np.frombuffer(payload[at : at + step], np.uint8).reshape(-1, WIDTH, 3) for at in range(0, len(payload), step))
-    return b"".join(map(pack, rows))
+    return b"".join(map(compress, rows))
 
 
 def read_strips(media: bytes) -> np.ndarray:
@@ -616,7 +960,9 @@ def store(docs: DataFrame, keep_media: bool = False) -> DataFrame:
             return (*row, media) if keep_media else row
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = list(zip(*map(one, batch.column(1).to_pylist()), strict=True))
+            given = batch.column(1).to_pylist()
+            known = {text: one(text) for text in dict.fromkeys(given)}  # copies beside each other are coded once
+            rows = list(zip(*(known[text] for text in given), strict=True))
             more = [pa.array(rows[-1], pa.binary())] if keep_media else []
             return pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=False)), *more], names=names + ["media"] * keep_media)
 

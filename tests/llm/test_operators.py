@@ -135,7 +135,7 @@ def test_every_predictor_inverts():
 
 
 def test_damaged_webp_is_refused():
-    good = webp.pack(np.zeros((2, 64, 3), np.uint8) + np.arange(64, dtype=np.uint8)[None, :, None])
+    good = webp.compress(np.zeros((2, 64, 3), np.uint8) + np.arange(64, dtype=np.uint8)[None, :, None])
     with pytest.raises(ValueError):
         webp.decode(b"RIFX" + good[4:])
     with pytest.raises(ValueError):
@@ -157,7 +157,7 @@ def test_media_rows(docs, empty):
 def test_long_text_takes_several_strips():
     payload = webp.payload_of(bytes(range(256)) * 8000)
     media = webp.write_strips(payload)
-    assert media.count(b"WEBPVP8L") == 2 and webp.read_strips(media)[..., 1:].tobytes() == payload
+    assert media.count(b"WEBPVP8L") == -(-len(payload) // (192 * webp.STRIP_ROWS)) > 2 and webp.read_strips(media)[..., 1:].tobytes() == payload
 
 
 # ---- operator 3
