@@ -113,6 +113,9 @@ class Prefix:
         return np.repeat(entry, 1 << (self.width - self.lengths))[reversed_bits(self.width)]
 
 
+_OUTER: dict[bytes, tuple[list[int], int]] = {}  # codes of code lengths: files of one writer share few
+
+
 def read_prefix(bits: Bits, alphabet: int) -> Prefix:
     lengths = np.zeros(alphabet, np.int64)
     if bits.read(1):
@@ -126,9 +129,14 @@ def read_prefix(bits: Bits, alphabet: int) -> Prefix:
     three = bits.read(3 * n)
     for k, i in enumerate(LENGTH_ORDER[:n]):
         outer[i] = three >> 3 * k & 7
-    code = Prefix(outer)
+    known = outer.tobytes()
+    if known not in _OUTER:
+        code = Prefix(outer)
+        if len(_OUTER) > 64:
+            _OUTER.clear()
+        _OUTER[known] = code.tables().tolist(), (1 << code.width) - 1
+    table, mask = _OUTER[known]
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    table, mask = code.tables().tolist(), (1 << code.width) - 1
     stream = bits.ahead(14 * left)
     ahead = sixteen(stream, 32).data
     out: list[int] = []
@@ -481,7 +489,7 @@ def _wrap(parts: list[np.ndarray], width: int, height: int) -> bytes:
     return b"RIFF" + (12 + len(stream) + len(pad)).to_bytes(4, "little") + b"WEBPVP8L" + len(stream).to_bytes(4, "little") + stream + pad
 
 
-def lengths_of(counts: np.ndarray, most: int = 15) -> np.ndarray:
+def lengths_of(counts: np.ndarray, most: int = 14) -> np.ndarray:
     """Huffman code lengths of at most ``most``; one used symbol has length 1."""
     used = np.flatnonzero(counts)
     out = np.zeros(len(counts), np.int64)
@@ -516,6 +524,12 @@ def lengths_of(counts: np.ndarray, most: int = 15) -> np.ndarray:
         floor *= 2
 
 
+def one_length(symbols: np.ndarray, alphabet: int) -> np.ndarray:
+    out = np.zeros(alphabet, np.int64)
+    out[symbols[:1]] = 1
+    return out
+
+
 def codes_of(lengths: np.ndarray) -> np.ndarray:
     """The code of each symbol, first bit lowest; a lone symbol has no bits."""
     out = np.zeros(len(lengths), np.int64)
@@ -531,8 +545,15 @@ def codes_of(lengths: np.ndarray) -> np.ndarray:
 Fields = list[tuple[int, int]]
 
 
+#: the code that code lengths are written in: of 1 to 14, one zero, and runs of zeros (17, 18)
+_WIDTHS = [4, 6, 6, 5, 4, 3, 3, 3, 3, 4, 5, 6, 6, 6, 6, 0, 0, 3, 5]
+_CODES = codes_of(np.array(_WIDTHS)).tolist()
+_LAST = max(i for i, s in enumerate(LENGTH_ORDER) if _WIDTHS[s]) + 1
+LONGEST = 14
+
+
 def prefix_fields(lengths: np.ndarray) -> Fields:
-    """A prefix code as (value, bits), with runs of zeros shortened."""
+    """A prefix code of lengths up to LONGEST as (value, bits), with runs of zeros shortened."""
     used = np.flatnonzero(lengths).tolist()
     if len(used) < 2 and (not used or used[0] < 256):
         return [(0b101, 3), (used[0] if used else 0, 8)]
@@ -547,19 +568,11 @@ def prefix_fields(lengths: np.ndarray) -> Fields:
             runs += [(0, 0, 0)] * gap
         runs.append((length, 0, 0))
     runs += [(0, 0, 0)] * (2 - len(runs))
-    counts = [0] * 19
-    for symbol, _, _ in runs:
-        counts[symbol] += 1
-    outer = lengths_of(np.array(counts), 7)
-    codes, widths = codes_of(outer).tolist(), outer.tolist()
-    last = max(4, max(i for i, s in enumerate(LENGTH_ORDER) if widths[s]) + 1)
     # the number of runs, less two, in as many pairs of bits as it takes
     left = len(runs) - 2
     pairs = max(1, -(-left.bit_length() // 2))
-    head = [(0, 1), (last - 4, 4), *((widths[s], 3) for s in LENGTH_ORDER[:last]), (1, 1), (pairs - 1, 3), (left, 2 * pairs)]
-    if sum(w > 0 for w in widths) == 1:
-        widths = [0] * 19
-    return head + [(codes[s] | extra << widths[s], widths[s] + n) for s, extra, n in runs]
+    head = [(0, 1), (_LAST - 4, 4), *((_WIDTHS[s], 3) for s in LENGTH_ORDER[:_LAST]), (1, 1), (pairs - 1, 3), (left, 2 * pairs)]
+    return head + [(_CODES[s] | extra << _WIDTHS[s], _WIDTHS[s] + n) for s, extra, n in runs]
 
 
 def bits_of(values: np.ndarray, widths: np.ndarray) -> np.ndarray:
@@ -626,7 +639,7 @@ def image_bits(pixels: np.ndarray, top: bool) -> np.ndarray:
         order = np.argsort(place, kind="stable")
         hit[order[1:]] = colour[order[1:]] == colour[order[:-1]]
         hit &= single
-        if hit.sum() * 8 < n:
+        if hit.sum() * 3 < n:  # a cache makes every code longer
             hit[:], cache_bits = False, 0
     starts = np.flatnonzero(single)
     if found:
@@ -647,7 +660,7 @@ def image_bits(pixels: np.ndarray, top: bool) -> np.ndarray:
         far, value[3, copy], bits[3, copy] = _split_number(short)
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     used = [symbol, *(r[plain] for r in rows), far]
-    lengths = [lengths_of(np.bincount(u, minlength=m)) for u, m in zip(used, sizes, strict=True)]
+    lengths = [lengths_of(np.bincount(u, minlength=m)) if k < 3 or (u[1:] != u[:1]).any() else one_length(u, m) for k, (u, m) in enumerate(zip(used, sizes, strict=True))]
     fields = ([(1, 1), (cache_bits, 4)] if cache_bits else [(0, 1)]) + [(0, 1)] * top
     for code in lengths:
         fields += prefix_fields(code)
@@ -686,25 +699,29 @@ def compress(rgb: np.ndarray) -> bytes:
     pixels[..., 1:] = rgb
     red, green, blue = (rgb[..., k] for k in range(3))
     best, cost = None, _entropy(red, green, blue)
-    # predictors: the pixel to the left, or above
-    for mode in (1, 2):
-        guess = np.zeros_like(rgb)
-        guess[1:, 0], guess[0, 1:] = rgb[:-1, 0], rgb[0, :-1]
-        guess[1:, 1:] = rgb[1:, :-1] if mode == 1 else rgb[:-1, 1:]
-        left = rgb - guess
-        if (now := _entropy(left[..., 0], left[..., 1], left[..., 2]) + 80) < cost:
-            best, cost = (PREDICTOR, mode, left), now
-    # cross-colour: red and blue less a multiple of green
-    g = green.astype(np.int8).astype(float)
-    spread = float(((g - g.mean()) ** 2).sum())
-    if spread:
-        slopes = [int(np.clip(round(32 * float(((g - g.mean()) * c.astype(np.int8)).sum()) / spread), -128, 127)) for c in (red, blue)]
+    # predictors: the pixel to the left, or above; tried where a third of the bytes are close to it
+    for mode, step in ((1, rgb[:, 1:] - rgb[:, :-1]), (2, rgb[1:] - rgb[:-1])):
+        if step.size and np.count_nonzero(step + np.uint8(8) <= 16) * 3 >= step.size:
+            left = rgb.copy()
+            left[1:, 0], left[0, 1:] = rgb[1:, 0] - rgb[:-1, 0], rgb[0, 1:] - rgb[0, :-1]
+            left[1:, 1:] = step[1:] if mode == 1 else step[:, 1:]
+            if (now := _entropy(left[..., 0], left[..., 1], left[..., 2]) + 80) < cost:
+                best, cost = (PREDICTOR, mode, left), now
+    # cross-colour: red and blue less a multiple of green; tried where they go with it
+    flat = rgb.reshape(-1, 3).view(np.int8).astype(np.float32)
+    flat -= flat.mean(axis=0)
+    spread = flat.T @ flat
+    if all(spread[1, k] ** 2 > 0.25 * spread[1, 1] * spread[k, k] for k in (0, 2)):
+        slopes = [int(np.clip(np.round(32 * spread[1, k] / spread[1, 1]), -128, 127)) for k in (0, 2)]
         element = np.array([[[255, 0, slopes[1] & 255, slopes[0] & 255]]], np.uint8)
         turned = cross_colour(pixels, element, _WIDEST, -1)
-        if any(slopes) and (now := _entropy(turned[..., R], green, turned[..., B]) + 80) < cost:
+        if (now := _entropy(turned[..., R], green, turned[..., B]) + 80) < cost:
             best, cost = (CROSS_COLOUR, element, turned), now
     parts = [_number(1, 1)]
-    table = np.unique(np.ascontiguousarray(pixels).view(">u4").ravel(), return_inverse=True) if height * width >= 64 else None
+    colour = np.ascontiguousarray(pixels).view(">u4").ravel().astype(np.uint32)
+    table = None
+    if len(colour) >= 64 and len(np.unique(colour[:: max(1, len(colour) // 200)])) <= 128:  # else there are too many colours
+        table = np.unique(colour, return_inverse=True)
     if table is not None and len(table[0]) <= 256 and _entropy(table[1]) + 20 * len(table[0]) < cost:
         colours, index = table[0].astype(">u4").view(np.uint8).reshape(-1, 4), table[1].reshape(height, width)
         bundle = bundle_shift(len(colours))
