@@ -157,7 +157,8 @@ def permutation_importance(model, rows: DataFrame, features: list[str], repeats:
     """
     base, n = model.transform(rows).agg(F.avg((F.col("prediction") == F.col("y")).cast("double")), F.count("*")).first()
     spark = rows.sparkSession
-    named = rows.select("y", *features).withColumn("__u", F.monotonically_increasing_id())
+    # rows are told apart by what they hold: equal rows may change places, and a rerun in another order deals the same
+    named = rows.select("y", *features).withColumn("__u", F.xxhash64("y", *features))
     groups = max(1, -(-n // DEALT))
     out = []
     for j, f in enumerate(features):

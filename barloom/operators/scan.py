@@ -1,9 +1,9 @@
 """Recurrences (EMA family, KAMA, RSI, TRIX, TSI, EWMA, debiased ewm std), one pass a symbol.
 
 A window function can't use its own last output, so a symbol's series goes through one
-grouped-map call that computes every recurrence a query asks for. ``ema_chunked`` is the
-form for one very long series: an EMA is linear, so chunks run on their own and only their
-ends are chained.
+grouped-map call that computes every recurrence a query asks for. ``chained`` is the form
+for very long series: all of these but the debiased deviation are linear in what came
+before, so chunks run on their own and only their ends are chained (``long_recurrences``).
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -149,24 +149,80 @@ def ewma_columns(rows: DataFrame, ret: str = "ret", decays: tuple[float, ...] =
     return scan(rows, {f"EWMA_{round(100 * d)}": (ret, ewma_vol, {"decay": d}) for d in decays})
 
 
-def ema_chunked(bars: DataFrame, span: int, chunk: int = 100_000, value: str = "close") -> DataFrame:
-    """EMA of long series on many tasks: each chunk from zero, chunk ends chained, the carry faded in."""
-    a = 2.0 / (span + 1)
-    numbered = bars.withColumn("__rn", F.row_number().over(by_symbol()) - 1).withColumn("__chunk", F.floor(F.col("__rn") / chunk).cast("long"))
-    schema = T.StructType(numbered.schema.fields + [T.StructField("__part", T.DoubleType())])
+def chained(rows: DataFrame, columns: dict[str, tuple[str, float | str, int]], chunk: int = 100_000) -> DataFrame:
+    """Add y(t) = k(t) y(t-1) + (1 - k(t)) x(t) on many tasks: name -> (x, k, start); null before row ``start``, x there.
+
+    k is a number or a column. Needs ``__rn``, a row's number in its series. Each chunk runs
+    from zero and notes how much of what came before is left at each row; chunk ends are
+    then chained (one small row a chunk) and the carry added.
+    """
+    names = list(columns)
+    numbered = rows.withColumn("__chunk", F.floor(F.col("__rn") / chunk).cast("long"))
+    schema = T.StructType(numbered.schema.fields + [T.StructField(f"__{p}{i}", T.DoubleType()) for i in range(len(names)) for p in ("y", "k")])
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("__rn").reset_index(drop=True)
-        out, last = np.empty(len(frame)), 0.0
-        for i, (v, n) in enumerate(zip(frame[value].to_numpy(float), frame["__rn"].to_numpy(), strict=True)):
-            last = v if n == 0 else a * v + (1 - a) * last
-            out[i] = last
-        return frame.assign(__part=out)
+        place = frame["__rn"].to_numpy()
+        out = {}
+        for i, (source, keep, start) in enumerate(columns.values()):
+            x = frame[source].to_numpy(float, na_value=np.nan)
+            k = frame[keep].to_numpy(float, na_value=np.nan) if isinstance(keep, str) else np.full(len(x), keep)
+            y, left = np.full(len(x), np.nan), np.zeros(len(x))
+            last, fade = 0.0, 1.0
+            for j in np.flatnonzero(place >= start).tolist():
+                if place[j] == start:
+                    last, fade = x[j], 0.0
+                else:
+                    last, fade = k[j] * last + (1 - k[j]) * x[j], fade * k[j]
+                y[j], left[j] = last, fade
+            out |= {f"__y{i}": y, f"__k{i}": left}
+        new = pd.DataFrame(out).astype(object)
+        return pd.concat([frame, new.where(new.notna(), None)], axis=1)
 
     parts = numbered.groupBy("symbol", "__chunk").applyInPandas(run, schema)
-    ends = parts.groupBy("symbol", "__chunk").agg(F.max_by("__part", "__rn").alias("e"), F.count("*").alias("n"))
-    # carry into chunk k = sum over earlier chunks of their end, faded over the chunks between
-    earlier = F.collect_list(F.struct("e", "n")).over(Window.partitionBy("symbol").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1))
-    carry = ends.select("symbol", "__chunk", F.aggregate(earlier, F.lit(0.0), lambda s, x: x["e"] + s * F.pow(F.lit(1 - a), x["n"])).alias("__carry"))
-    faded = F.col("__part") + F.col("__carry") * F.pow(F.lit(1 - a), F.col("__rn") - F.col("__chunk") * chunk + 1)
-    return parts.join(carry, ["symbol", "__chunk"]).withColumn(f"EMA_{span}", faded).drop("__rn", "__chunk", "__part", "__carry")
+    ends = parts.groupBy("symbol", "__chunk").agg(*[F.max_by(f"__{p}{i}", "__rn").alias(f"__{p}{i}") for i in range(len(names)) for p in ("y", "k")])
+    earlier = F.collect_list(F.struct(*[c for c in ends.columns if c not in ("symbol", "__chunk")])).over(Window.partitionBy("symbol").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1))
+
+    def carry(i: int) -> Column:
+        return F.aggregate(earlier, F.lit(0.0), lambda acc, e: F.coalesce(e[f"__y{i}"], F.lit(0.0)) + acc * e[f"__k{i}"])
+
+    carried = ends.select("symbol", "__chunk", *[carry(i).alias(f"__c{i}") for i in range(len(names))])
+    whole = parts.join(carried, ["symbol", "__chunk"]).withColumns({n: F.col(f"__y{i}") + F.col(f"__c{i}") * F.col(f"__k{i}") for i, n in enumerate(names)})
+    return whole.drop("__chunk", *[f"__{p}{i}" for i in range(len(names)) for p in "ykc"])
+
+
+def in_order(bars: DataFrame) -> DataFrame:
+    return bars.withColumn("__rn", F.row_number().over(by_symbol()) - 1)
+
+
+def ema_chunked(bars: DataFrame, span: int, chunk: int = 100_000, value: str = "close") -> DataFrame:
+    """EMA of long series."""
+    return chained(in_order(bars), {f"EMA_{span}": (value, 1 - 2.0 / (span + 1), 0)}, chunk).drop("__rn")
+
+
+def long_recurrences(bars: DataFrame, chunk: int = 100_000, spans: tuple[int, ...] = (20,), kama_windows: tuple[int, ...] = (20,), rsi_windows: tuple[int, ...] = (14,), trix_spans: tuple[int, ...] = (15,), decay: float = 0.94) -> DataFrame:
+    """TEMA, KAMA, RSI, TRIX, TSI and EWMA volatility of long series; all recurrences of one depth share a pass."""
+    move = F.col("close") - F.lag("close").over(by_symbol())
+    rows = in_order(bars).withColumns({"__d": move, "__v": F.coalesce(F.pow(F.try_divide(F.col("close"), F.col("close") - move) - 1, F.lit(2)), F.lit(0.0))})
+    rows = rows.withColumns({"__a": F.abs("__d"), "__up": F.greatest("__d", F.lit(0.0)), "__dn": F.greatest(-F.col("__d"), F.lit(0.0))})
+    for w in rsi_windows:  # the seed is the mean of the first w moves
+        frame = by_symbol().rowsBetween(1 - w, 0)
+        rows = rows.withColumns({f"__{n}{w}": F.when(F.col("__rn") == w, F.avg(f"__{n}").over(frame)).otherwise(F.col(f"__{n}")) for n in ("up", "dn")})
+    quick, calm = (2.0 / 3) ** 2, (2.0 / 31) ** 2
+    for w in kama_windows:
+        path = F.sum("__a").over(by_symbol().rowsBetween(1 - w, 0))
+        ratio = F.when(path > 0, F.abs(F.col("close") - F.lag("close", w).over(by_symbol())) / path).otherwise(0.0)
+        rows = rows.withColumn(f"__s{w}", 1 - (calm + ratio * (quick - calm)))
+    triple = sorted({*spans, *trix_spans})
+    keep = {w: 1 - 2.0 / (w + 1) for w in {*triple, 25, 13}}
+    one = {f"__e1_{w}": ("close", keep[w], 0) for w in triple} | {f"KAMA_{w}": ("close", f"__s{w}", w) for w in kama_windows}
+    one |= {f"__{n}_{w}": (f"__{n}{w}", 1 - 1.0 / w, w) for w in rsi_windows for n in ("up", "dn")} | {"__m1": ("__d", keep[25], 1), "__a1": ("__a", keep[25], 1), "__ew": ("__v", decay, 0)}
+    rows = chained(rows, one, chunk)
+    rows = chained(rows, {f"__e2_{w}": (f"__e1_{w}", keep[w], 0) for w in triple} | {"__m2": ("__m1", keep[13], 1), "__a2": ("__a1", keep[13], 1)}, chunk)
+    rows = chained(rows, {f"__e3_{w}": (f"__e2_{w}", keep[w], 0) for w in triple}, chunk)
+    out = {f"TEMA_{w}": 3 * F.col(f"__e1_{w}") - 3 * F.col(f"__e2_{w}") + F.col(f"__e3_{w}") for w in spans}
+    out |= {f"RSI_{w}": 100 - 100 / (1 + F.col(f"__up_{w}") / (F.col(f"__dn_{w}") + EPS)) for w in rsi_windows}
+    out |= {f"TRIX_{w}": 100 * (F.col(f"__e3_{w}") - F.lag(f"__e3_{w}").over(by_symbol())) / (F.col(f"__e3_{w}") + EPS) for w in trix_spans}
+    out |= {"TSI": 100 * F.col("__m2") / (F.col("__a2") + EPS), f"EWMA_{round(100 * decay)}": F.sqrt("__ew")}
+    rows = rows.withColumns(out)
+    return rows.drop(*[c for c in rows.columns if c.startswith("__")])

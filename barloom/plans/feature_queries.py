@@ -124,6 +124,10 @@ panel("tsi", lambda b: S.scan(b, {"TSI": ("close", S.tsi, {})}), ["TSI"], sql(mo
 panel("trend_scan", T.trend_recurrences, ["TEMA_20", "KAMA_20", "RSI_7", "RSI_21", "TRIX_15", "TRIX_30", "TSI"], sql(
     more=_moves + _rsi(7) + _rsi(21) + _triple(15) + _triple(20) + _triple(30) + _kama(20) + _strength,
     out={"TEMA_20": _tema20, "KAMA_20": _kama20, "RSI_7": _strength_index[7], "RSI_21": _strength_index[21], "TRIX_15": _trix(15), "TRIX_30": _trix(30), "TSI": _tsi}, source="d0"))
+_decayed = _chain("decayed", "d0", "rn = 0", e=("0.0::DOUBLE", "0.94 * z.e + 0.06 * pow(close / (close - d) - 1, 2)"))
+panel("long_recurrences", lambda b: S.long_recurrences(b, 64), ["TEMA_20", "KAMA_20", "RSI_14", "TRIX_15", "TSI", "EWMA_94"], sql(
+    more=_moves + _rsi(14) + _triple(15) + _triple(20) + _kama(20) + _strength + _decayed,
+    out={"TEMA_20": _tema20, "KAMA_20": _kama20, "RSI_14": _strength_index[14], "TRIX_15": _trix(15), "TSI": _tsi, "EWMA_94": _of("decayed", "sqrt(e)")}, source="d0"))
 _extremes = ", ".join(f"{top(f'q{w}', w)} AS h{w}, {bottom(f'q{w}', w)} AS l{w}" for w in (14, 20))
 panel("divergence", T.divergence, ["BearDiv_14", "BullDiv_14", "BearDiv_20", "BullDiv_20"], sql(
     more=_moves + _rsi(14) + _rsi(20) + f""", q AS (SELECT symbol, ts, rn, close, {', '.join(f"{_of(f'rsi{w}', '100 - 100 / (1 + g / (l + 1e-10))')} AS q{w}" for w in (14, 20))} FROM d0), q1 AS (SELECT *, {_extremes} FROM q)""",

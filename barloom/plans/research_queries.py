@@ -301,7 +301,10 @@ def _ruled(r: DataFrame) -> DataFrame:
 
 epanel("regime_filter", _ruled, ["filtered_signal", "was_filtered"], psql(
     {"f": "CASE WHEN pred = 1 AND p_bear < 0.4 AND fold <> 1 THEN 1 WHEN pred = -1 AND p_bull < 0.4 AND fold <> 4 THEN -1 ELSE 0 END"}, out={"filtered_signal": "f", "was_filtered": "CASE WHEN pred <> f THEN 1 ELSE 0 END"}))
-query("extensions_summary")(lambda spark, d: rounded(X.summary(X.run_all(_ext(spark, d)), "conviction_zone"), ["n", "mean_conviction", "mean_size"], keys=("conviction_zone",)))
+query("extensions_summary", psql(
+    {"c": "p_bull - p_bear", "sz": "least(greatest(1 - CASE WHEN pred = 1 THEN p_bear WHEN pred = -1 THEN p_bull ELSE 0.5 END * 0.5, 0.1), 2)"},
+    {"zone": "CASE WHEN c <= -1 OR c > 1 THEN NULL WHEN c <= -0.3 THEN 'Strong Bear' WHEN c <= -0.1 THEN 'Moderate Bear' WHEN c <= 0.1 THEN 'Neutral' WHEN c <= 0.3 THEN 'Moderate Bull' ELSE 'Strong Bull' END"},
+    out={"n": "count(*)", "mean_conviction": "avg(c)", "mean_size": "avg(sz)"}, keys=("zone AS conviction_zone",), where="GROUP BY zone"))(lambda spark, d: rounded(X.summary(X.run_all(_ext(spark, d)), "conviction_zone"), ["n", "mean_conviction", "mean_size"], keys=("conviction_zone",)))
 
 # ---- evaluation
 query("confusion", psql(out={"n": "count(*)"}, keys=('CAST(t AS INT) AS "true"', "pred"), where="GROUP BY t, pred"))(lambda spark, d: rounded(E.confusion(preds(spark, d)), ["n"], keys=("true", "pred")))
@@ -341,7 +344,8 @@ query("best_by_regime", psql(
 
 # ---- checks and diagnostics
 query("class_balance", psql(out={"n": "count(*)", "share": "count(*) / (SELECT count(*) FROM s4)"}, keys=('CAST(t AS INT) AS "true"',), where="GROUP BY t"))(lambda spark, d: rounded(H.class_balance(preds(spark, d), "true"), keys=("true",)))
-query("validation", psql(out={"value": "v"}, keys=('"check"', "ok"), source="(SELECT unnest(['null_cells', 'repeated_keys', 'bad_probability_sums']) AS \"check\", unnest([0, 0, 0]) AS v, unnest([true, true, true]) AS ok)"))(lambda spark, d: rounded(H.validate(preds(spark, d)), ["value"], keys=("check", "ok")))
+query("validation", psql(out={"value": "v"}, keys=('"check"', "ok"), source=f"""(SELECT "check", v, v = 0 AS ok FROM (SELECT unnest(['null_cells', 'repeated_keys', 'bad_probability_sums']) AS "check", unnest([a, b, c]) AS v FROM (
+  SELECT {' + '.join(f'count(*) FILTER ({x} IS NULL)' for x in ('symbol', 'ts', 'rn', 'close', 'high', 'low', 't', 'pred', 'p_bear', 'p_neutral', 'p_bull', 'fold'))} AS a, count(*) - count(DISTINCT symbol || CAST(ts AS VARCHAR)) AS b, count(*) FILTER (abs(p_bear + p_neutral + p_bull - 1) > 1e-3) AS c FROM s4)))"""))(lambda spark, d: rounded(H.validate(preds(spark, d)), ["value"], keys=("check", "ok")))
 query("regime_validation", psql(out={"n": "count(*)", "accuracy": "avg(CASE WHEN t = pred THEN 1.0 ELSE 0 END)", "common_pred": "CASE WHEN count(*) FILTER (pred = -1) >= greatest(count(*) FILTER (pred = 0), count(*) FILTER (pred = 1)) THEN -1 WHEN count(*) FILTER (pred = 0) >= count(*) FILTER (pred = 1) THEN 0 ELSE 1 END", "mean_prob": "avg(best)", "std_prob": "stddev_samp(best)"}, keys=("CAST(fold AS INT) AS fold",), where="GROUP BY fold"))(
     lambda spark, d: rounded(H.by_regime(preds(spark, d), "fold"), ["n", "accuracy", "common_pred", "mean_prob", "std_prob"], keys=("fold",)))
 query("pattern_stability", psql(out={"distance": "sum(abs(a * 1.0 / ta - b * 1.0 / tb))"}, keys=(), source="(SELECT *, sum(a) OVER () AS ta, sum(b) OVER () AS tb FROM (SELECT pred, count(*) FILTER (fold = 0) AS a, count(*) FILTER (fold = 1) AS b FROM s4 WHERE fold IN (0, 1) GROUP BY 1))"))(
