@@ -710,7 +710,7 @@ def compress(rgb: np.ndarray) -> bytes:
     # cross-colour: red and blue less a multiple of green; tried where they go with it
     flat = rgb.reshape(-1, 3).view(np.int8).astype(np.float32)
     flat -= flat.mean(axis=0)
-    spread = flat.T @ flat
+    spread = np.einsum("ij,ik->jk", flat, flat)  # not a product of matrices: that would take all cores
     if all(spread[1, k] ** 2 > 0.25 * spread[1, 1] * spread[k, k] for k in (0, 2)):
         slopes = [int(np.clip(np.round(32 * spread[1, k] / spread[1, 1]), -128, 127)) for k in (0, 2)]
         element = np.array([[[255, 0, slopes[1] & 255, slopes[0] & 255]]], np.uint8)
