@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than the cluster has cores, dealt anew so that all of them have work; any other as it is."""
+    files, cores = len(df.inputFiles()), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < files < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in local mode our own if unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
