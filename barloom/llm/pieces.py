@@ -14,7 +14,8 @@ the piece table, edges grouped by word and folded with the higher-order ``aggreg
 
 Defined cases: a null or empty text has no pieces; U+2581 in a text decodes as a blank, as
 the model family defines; texts of any length, with or without blanks, are folded whole;
-equal rows each appear; a null doc_id is passed on.
+equal rows each appear; a null doc_id is passed on. A very long text is one task's work.
+Other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations

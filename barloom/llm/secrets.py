@@ -10,7 +10,8 @@ reported only if their last six characters are the base-62 CRC-32 of the body.
 
 Defined cases: a null text counts as empty; an empty text gives zero counts and empty
 spans; equal rows each appear; a null doc_id is passed on; offsets are code points, the
-end exclusive.
+end exclusive. A very long text is one slice in one task. Other columns of the input are
+ignored (or kept, by ``redact``), whatever their names.
 """
 
 from __future__ import annotations
