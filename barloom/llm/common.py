@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
+DEALT_MB = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer files than the cluster has cores, dealt anew so that all of them have work; any other as it is."""
-    files, cores = len(df.inputFiles()), df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < files < cores else df
+    """A small table of fewer files than the cluster has cores, dealt anew so that all of them have work; any other as it is.
+
+    Small is less than ``DEALT_MB`` a core by the plan's own estimate: larger files have splits enough, and no
+    large table is ever shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(estimate) < (cores * DEALT_MB) << 20 and 0 < len(df.inputFiles()) < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
