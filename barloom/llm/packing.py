@@ -28,6 +28,7 @@ columns of the input are ignored, whatever their names.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from functools import reduce
 from zlib import crc32
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, TextBlock, map_slices, materialize, texts, worker_cache
+from .common import LOWER, SPACE, TextBlock, map_slices, materialize, runs_of, texts, worker_cache
 
 MODEL = "word_bpe_49k.json"
 SIZE, END = 4096, 1
@@ -46,14 +47,14 @@ ISLANDS, POPULATION, EPOCHS, GENERATIONS = 3, 6, 3, 12
 FULL = 0.999
 LEVELS = 6
 CACHED, LONGEST = 400_000, 64
-SPECIAL = b"<|"
+SPECIAL, BLANKS = b"<|", b" \t\n\v\f\r"
 LATIN, DOTTED = "\u017f", "\u0130".encode()  # the last letter of Latin Extended-A; the one that lower-cases to two signs
 #: letter 1, digit 2, other sign 3; white space and all beyond ASCII 0
 KINDS = np.array([0 if c >= 128 or c in b" \t\n\v\f\r" else 1 if 97 <= c <= 122 else 2 if 48 <= c <= 57 else 3 for c in range(256)], np.uint8)
 #: byte-level signs: printable bytes stand for themselves, the others for 256, 257, ... in order
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-SLICE = 1 << 20
+SLICE = 4 << 20
 PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -80,31 +81,62 @@ class Encoder:
 
     def ids(self, part: bytes) -> bytes:
         """A part of Latin letters is one pre-token, which goes straight to the merges; any other to the whole library."""
-        word = part.decode().lower()
-        if word.isalpha() and max(word) <= LATIN and DOTTED not in part:
-            return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_SIGNS)))
-        return np.array(self.tokenizer.encode(part.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        plain = part.isascii()
+        word = (part if plain else part.decode().lower().encode()).decode("latin-1")
+        if part.isalpha() if plain else (word.encode("latin-1").decode().isalpha() and max(part.decode()) <= LATIN and DOTTED not in part):
+            return array("I", [t.id for t in self.model.tokenize(word.lower() if plain else word.translate(BYTE_SIGNS))]).tobytes()
+        return array("I", self.tokenizer.encode(part.decode(), add_special_tokens=False).ids).tobytes()
+
+    def found(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of different parts."""
+        if len(self.known) > CACHED:
+            self.known, self.older = {}, self.known
+        known, older, out = self.known, self.older, []
+        for p in parts:
+            ids = known.get(p)
+            if ids is None:
+                ids = older.get(p)
+                if ids is None:
+                    ids = self.ids(p.strip(BLANKS))
+                if len(p) <= LONGEST:
+                    known[p] = ids
+            out.append(ids)
+        return out
 
-    def encode(self, block: TextBlock) -> list[bytes]:
+    def encode(self, block: TextBlock) -> list[np.ndarray]:
         """The ids of each document."""
         data, ends = cut(block)
-        parts = [data[a:b].split() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        if SPECIAL in data:  # nothing is lower-cased or cut in a text that may hold a special token
-            raw, at = block.bytes.tobytes(), block.offsets.tolist()
-            parts = [raw[at[d] : at[d + 1]].split() if SPECIAL in raw[at[d] : at[d + 1]] or SPECIAL in data[ends[d] : ends[d + 1]] else part for d, part in enumerate(parts)]
-        if len(self.known) > CACHED:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        new = set().union(*parts).difference(known)
-        known.update((p, older[p] if p in older else self.ids(p)) for p in new)
-        out = [b"".join(map(known.__getitem__, part)) for part in parts]
-        for p in new:
-            if len(p) > LONGEST:
-                del known[p]
+        starts, _ = runs_of(~SPACE[data], ends)
+        if not len(starts):
+            return [np.zeros(0, "<u4")] * block.n
+        # each part with the white space after it, so that the parts lie back to back; equal ones are looked up once
+        parts = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        ids = self.found(parts.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, begin = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        at = parts.indices.to_numpy()
+        n = sizes[at]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        flat = flat[np.repeat(begin[at] - upto[:-1], n) + np.arange(upto[-1])]
+        edges = upto[np.searchsorted(starts, ends)].tolist()
+        out = [flat[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        raw = block.bytes.tobytes()
+        if SPECIAL in raw:  # nothing is lower-cased or cut in a text that may hold a special token
+            where = block.offsets.tolist()
+            for d, (a, b) in enumerate(zip(where[:-1], where[1:], strict=True)):
+                if raw.find(SPECIAL, a, b) >= 0:
+                    out[d] = np.array(self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids, "<u4")
         return out
 
 
-def cut(block: TextBlock) -> tuple[bytes, list[int]]:
+def encoder(path: str) -> Encoder:
+    store = worker_cache()
+    if ("encoder", path) not in store:
+        store["encoder", path] = Encoder(path)
+    return store["encoder", path]
+
+
+def cut(block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
     """The texts with A-Z lower-cased and a blank where pre-tokens surely part, and where each text ends.
 
     Between two ASCII signs that is so if they are of two kinds (letter, digit, other) or both
@@ -114,14 +146,7 @@ def cut(block: TextBlock) -> tuple[bytes, list[int]]:
     kind = KINDS[low]
     one, two = kind[:-1], kind[1:]
     at = np.flatnonzero((one > 0) & (two > 0) & ((one != two) | (one == 2)) & ((low[:-1] != 39) | (two != 1))) + 1
-    return np.insert(low, at, 32).tobytes(), (block.offsets + np.searchsorted(at, block.offsets, side="left")).tolist()
-
-
-def encoder(path: str) -> Encoder:
-    store = worker_cache()
-    if ("encoder", path) not in store:
-        store["encoder", path] = Encoder(path)
-    return store["encoder", path]
+    return np.insert(low, at, 32), block.offsets + np.searchsorted(at, block.offsets, side="left")
 
 
 def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int = END, keep_ids: bool = False) -> DataFrame:
@@ -139,7 +164,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int
             block = TextBlock(batch.column(1))
             doc, piece, start, length, crc, ids = [], [], [], [], [], []
             for d, found in enumerate(own.encode(block)):
-                flat = np.frombuffer(found + end.to_bytes(4, "little"), "<u4")
+                flat = np.append(found, np.uint32(end))
                 for k, lo in enumerate(range(0, len(flat), size)):
                     part = flat[lo : lo + size]
                     doc.append(d)

@@ -67,13 +67,13 @@ def test_every_code_point_keeps_its_ids(library):
     own = packing.Encoder(packing.model_path())
     marks = [chr(c) for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000]
     texts = [f"a{c}b {c} {c}b\n{c}{c} a{c} 1{c}2 '{c} .{c},{c}S" for c in marks]
-    assert own.encode(TextBlock(pa.array(texts))) == [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in own.encode(TextBlock(pa.array(texts)))] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_ascii_neighbours_keep_their_ids(library):
     own, rng = packing.Encoder(packing.model_path()), random.Random(4)
     texts = ["".join(rng.choice("aBst'rREvelmdD09.,!-<|> \n_\x1c\u00e9\u0301\u00c9") for _ in range(40)) for _ in range(4000)] + ["<|ENDOFTEXT|> A", "A<|endoftext|>s"]
-    assert own.encode(TextBlock(pa.array(texts))) == [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in own.encode(TextBlock(pa.array(texts)))] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
 def fits(bins, lengths, size):
