@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, TextBlock, map_slices, materialize, slices, span_hashes, texts
+from .common import LOWER, SPACE, TextBlock, map_slices, materialize, received, send, slices, span_hashes, texts
 
 HEAD, MOVED, CLASSES, ROUNDS, PULL = 100_000, 1_500, 64, 10, 10.0
 END = np.uint64(0x5EED0FE11D)
@@ -137,10 +137,10 @@ def pair_counts(rows: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], n
 def bigrams(training: DataFrame, head: Head, moved: int) -> np.ndarray:
     """Counts of (symbol before, symbol) over all training text: the moved words, then all others as one, then the border."""
     symbols = np.where(head.rank < moved, head.rank, moved)
-    sent = training.sparkSession.sparkContext.broadcast((head, symbols))
+    sent = send(training.sparkSession, (head, symbols))
 
     def make():
-        own, codes = sent.value
+        own, codes = received(sent)
 
         def work(batch: pa.RecordBatch) -> np.ndarray:
             _, chain, _, _ = chain_of(own, codes, moved, moved + 1, TextBlock(batch.column(1)))
@@ -244,11 +244,11 @@ def place_head(training: DataFrame, head: Head, core: np.ndarray, table: np.ndar
     symbols = np.where(head.rank < moved, core[np.minimum(head.rank, moved - 1)] if moved else 0, classes)
     if len(head.words) <= moved:
         return symbols
-    sent = training.sparkSession.sparkContext.broadcast((head, symbols))
+    sent = send(training.sparkSession, (head, symbols))
     size = classes + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, codes = sent.value
+        own, codes = received(sent)
         for whole in batches:
             for batch in slices(whole):
                 _, chain, index, _ = chain_of(own, codes, classes, classes + 1, TextBlock(batch.column(1)))
@@ -259,12 +259,13 @@ def place_head(training: DataFrame, head: Head, core: np.ndarray, table: np.ndar
 
     counted = training.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     counted = counted.select(F.expr(f"code div {2 * size}").alias("word"), "code", "n")
-    gains = training.sparkSession.sparkContext.broadcast(Gains(table, classes))
+    gains = send(training.sparkSession, Gains(table, classes))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = received(gains)
         for word, code, n in whole_words(batches):
             names, each = np.unique(word, return_inverse=True)
-            best = gains.value.best(each, code // size % 2, code % size, n)
+            best = held.best(each, code // size % 2, code % size, n)
             yield pa.record_batch([pa.array(names), pa.array(best.astype(np.int64))], names=["word", "cls"])
 
     placed = counted.repartition("word").sortWithinPartitions("word", "code").mapInArrow(place, "word long, cls long").toArrow()
@@ -297,10 +298,10 @@ _SEQUENCE = "uid long, doc_id long, train boolean, seq binary, known double, n_k
 
 def sequences(rows: DataFrame, head: Head, symbols: np.ndarray, classes: int) -> DataFrame:
     """One row per document: a class for each token, and which tail words its open tokens are."""
-    sent = rows.sparkSession.sparkContext.broadcast((head, symbols))
+    sent = send(rows.sparkSession, (head, symbols))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, codes = sent.value
+        own, codes = received(sent)
         logs = np.log10(own.counts + 0.5)
         for whole in batches:
             for batch in slices(whole):
@@ -368,7 +369,7 @@ def place_tail(seqs: DataFrame, table: np.ndarray, classes: int) -> DataFrame:
     Every tail token goes to the task of its word once, with the classes beside it; ``fresh``
     marks one row of each training word.
     """
-    gains = seqs.sparkSession.sparkContext.broadcast(Gains(table, classes))
+    gains = send(seqs.sparkSession, Gains(table, classes))
     other, border = classes, classes + 1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,6 +392,7 @@ def place_tail(seqs: DataFrame, table: np.ndarray, classes: int) -> DataFrame:
                 yield pa.record_batch([pa.array(words), pa.array(uid), pa.array(nth.astype(np.int32)), pa.array((before * 256 + after).astype(np.int32)), pa.array(train)], names=["word", "uid", "j", "near", "train"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = received(gains)
         for word, uid, j, near, train in whole_words(batches):
             _, each = np.unique(word, return_inverse=True)
             n = np.bincount(each, train)
@@ -401,7 +403,7 @@ def place_tail(seqs: DataFrame, table: np.ndarray, classes: int) -> DataFrame:
                 some = np.flatnonzero(n)
                 small = np.empty(len(n), np.int64)
                 small[some] = np.arange(len(some))
-                cls[some] = gains.value.best(small[code >> 9], code >> 8 & 1, code & 255, times)
+                cls[some] = held.best(small[code >> 9], code >> 8 & 1, code & 255, times)
             order = np.lexsort((j, uid, each))
             one = np.ones(len(order), bool)
             one[1:] = (each[order[1:]] != each[order[:-1]]) | (uid[order[1:]] != uid[order[:-1]])
@@ -502,11 +504,11 @@ def learn(rows: DataFrame, head: int = HEAD, moved: int = MOVED, classes: int =
 def score(docs: DataFrame, head: int = HEAD, moved: int = MOVED, classes: int = CLASSES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity: one row per document."""
     model, filled = learn(texts(docs), head, moved, classes)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = send(docs.sparkSession, model)
     end, border = float(np.log10(model.ends + 0.5)), classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = received(sent)
         for whole in batches:
             for batch in slices(whole, column="seq"):
                 flat, offsets = _chains(batch.column(5))

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -181,6 +182,15 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
     return df.mapInArrow(run, schema)
 
 
+def send(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast ``value`` in a form that holds its classes, so that executors need no copy of this package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(sent: Broadcast) -> object:
+    return cloudpickle.loads(sent.value)
+
+
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker, over all of its tasks."""
     import sys

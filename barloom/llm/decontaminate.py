@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, TextBlock, _byte_table, map_slices, materialize, mix, powers, runs_of, slices, span_hashes, texts
+from .common import LOWER, SPACE, TextBlock, _byte_table, map_slices, materialize, mix, powers, received, runs_of, send, slices, span_hashes, texts
 
 #: Sampled positions are 1; no mask spans fewer than SPAN tokens. By enumeration of all placements of substitutions
 #: every stretch of 13 to 25 tokens with four fifths equal holds a seed of one of them (the last is for what the
@@ -171,10 +171,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: floa
     spark = docs.sparkSession
 
     def one(index: SeedIndex) -> DataFrame:
-        sent = spark.sparkContext.broadcast(index)
+        sent = send(spark, index)
 
         def make():
-            index = sent.value
+            index = received(sent)
             filters = _filters(index)
 
             def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -205,10 +205,10 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share:
     schema = out.schema
     blocks, indexes = index_blocks(benchmark, block_bytes, short)
     for index in indexes:
-        sent = spark.sparkContext.broadcast(index)
+        sent = send(spark, index)
 
         def run(batches, sent=sent):
-            index = sent.value
+            index = received(sent)
             filters = _filters(index)
             for whole in batches:
                 for batch in slices(whole):

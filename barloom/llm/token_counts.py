@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _INVERSE, TextBlock, map_slices, mix, powers, slices, texts, worker_cache
+from .common import _BASE, _INVERSE, TextBlock, map_slices, mix, powers, received, send, slices, texts, worker_cache
 
 MODEL = "byte_bpe_50k.json"
 TABLE = 50_000
@@ -232,10 +232,10 @@ def frequent(docs: DataFrame, path: str, table: int = TABLE) -> LengthTable:
 def count(docs: DataFrame, path: str | None = None, limit: int = LIMIT, table: int = TABLE) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit: one row per document."""
     path = path or model_path()
-    sent = docs.sparkSession.sparkContext.broadcast(frequent(docs, path, table))
+    sent = send(docs.sparkSession, frequent(docs, path, table))
 
     def make():
-        own, known = splitter(path), sent.value
+        own, known = splitter(path), received(sent)
         cache: dict[str, int] = worker_cache().setdefault(("lengths", path), {})
 
         def lengths_of(points: np.ndarray, begins: np.ndarray, hashes: np.ndarray) -> np.ndarray:
