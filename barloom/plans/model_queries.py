@@ -14,6 +14,7 @@ from ..operators import splits as C
 from ..operators import trend as T
 from ..operators import unsupervised as U
 from ..operators import volatility as V
+from ..operators.boosting import SoftmaxBoosting
 from .config import timeframe
 from .pipeline import Settings, build_features, research_run
 from .registry import hourly, hourly_all, query, rounded
@@ -43,7 +44,7 @@ query("rf_purged_cv")(lambda spark, d: rounded(M.cross_validated(model_rows(spar
 
 def _stack(spark: SparkSession, d: str) -> DataFrame:
     rows, splits = model_rows(spark, d), _splits(spark, d)
-    parts = {"rf": M.out_of_fold(rows, splits, M.forest(20, 4)), "logit": M.out_of_fold(rows, splits, M.logistic()), "gbt": M.out_of_fold(rows, splits, M.boosted(5, 2))}
+    parts = {"rf": M.out_of_fold(rows, splits, M.forest(20, 4)), "logit": M.out_of_fold(rows, splits, M.logistic()), "boosted": M.out_of_fold(rows, splits, SoftmaxBoosting(5, 2, classes=3))}
     parts = {name: preds.persist() for name, preds in parts.items()}
     return E.scores(M.stacked(parts))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -91,6 +92,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and go on from the written table, without its lineage."""
+    path = f"{scratch_dir(df.sparkSession)}/barloom-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def record_run(runs: DataFrame, path: str, keep: int = 5, run: str = "run_id") -> list[str]:
     """Append runs to a history partitioned by ``run``; folders of all but the ``keep`` newest go. Gives the names kept.
 
