@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import GaussianMixture, KMeans
@@ -15,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.rolling import EPS, before, by_symbol, full, median, row_id, std, trailing
 from . import regimes
+from .long_chain import CHUNK, GaussianChain, _log_density, hidden_states_long
 from .trend import slope
 from .volatility import ewma, with_ret
 
@@ -95,23 +94,6 @@ def ensemble(bars: DataFrame, k: int = 4, alpha: float = 0.5) -> DataFrame:
 # ---- hidden Markov model
 
 
-@dataclass
-class GaussianChain:
-    start: np.ndarray
-    move: np.ndarray
-    means: np.ndarray
-    covs: np.ndarray
-
-
-def _log_density(x: np.ndarray, model: GaussianChain) -> np.ndarray:
-    out = np.empty((len(x), len(model.means)))
-    for i, (mu, cov) in enumerate(zip(model.means, model.covs, strict=True)):
-        chol = np.linalg.cholesky(cov)
-        z = np.linalg.solve(chol, (x - mu).T)
-        out[:, i] = -0.5 * (z**2).sum(axis=0) - np.log(np.diag(chol)).sum() - 0.5 * x.shape[1] * np.log(2 * np.pi)
-    return out
-
-
 def _forward_backward(log_b: np.ndarray, model: GaussianChain) -> tuple[np.ndarray, np.ndarray, float]:
     n, k = log_b.shape
     shift = log_b.max(axis=1, keepdims=True)
@@ -170,9 +152,22 @@ def viterbi(log_b: np.ndarray, model: GaussianChain) -> np.ndarray:
     return path
 
 
-def hidden_states(bars: DataFrame, k: int = 3, columns: tuple[str, ...] = HMM_FEATURES, rounds: int = 200) -> DataFrame:
-    """Add HMM_State (by rising volatility), HMM_Post (array), HMM_Trans (array of rows) and HMM_Duration of the state; a model a symbol."""
+def hidden_states(bars: DataFrame, k: int = 3, columns: tuple[str, ...] = HMM_FEATURES, rounds: int = 200, chunk: int = CHUNK) -> DataFrame:
+    """Add HMM_State (by rising volatility), HMM_Post (array), HMM_Trans (array of rows) and HMM_Duration of the state; a model a symbol.
+
+    Series of up to ``chunk`` bars are one task's work each; longer ones are cut into chunks and
+    fitted over all of them, with the same result.
+    """
     rows = features(bars)
+    sizes = bars.groupBy("symbol").agg(F.count("*").alias("__n"))
+    if sizes.where(F.col("__n") > chunk).limit(1).count():
+        marked = rows.join(sizes, "symbol")
+        long = hidden_states_long(marked.where(F.col("__n") > chunk).drop("__n"), columns, k, rounds, chunk)
+        return long.unionByName(_states_by_symbol(marked.where(F.col("__n") <= chunk).drop("__n"), k, columns, rounds))
+    return _states_by_symbol(rows, k, columns, rounds)
+
+
+def _states_by_symbol(rows: DataFrame, k: int, columns: tuple[str, ...], rounds: int) -> DataFrame:
     extra = [T.StructField("HMM_State", T.IntegerType()), T.StructField("HMM_Post", T.ArrayType(T.DoubleType())), T.StructField("HMM_Trans", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("HMM_Duration", T.DoubleType())]
     schema = T.StructType(rows.schema.fields + extra)
 
