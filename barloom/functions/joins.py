@@ -25,6 +25,20 @@ def asof_join(left: DataFrame, right: DataFrame, by: tuple[str, ...], on: str, v
     return seen.select(*by, on, *[F.col(f"__l.{c}").alias(c) for c in columns], *[F.col(f"__last.{v}").alias(v) for v in values])
 
 
+def first_from(rows: DataFrame, by: tuple[str, ...], at: Column, target: Column, value: Column, name: str) -> DataFrame:
+    """``rows`` with the smallest ``value`` among the earliest rows of their key whose ``at`` is ``target`` or later; NULL if there are none.
+
+    One descending window over both the rows and what they ask for: a frame that reaches to a
+    key's end would be read anew for every row.
+    """
+    whole = rows.select(F.struct(*rows.columns).alias("s")).schema["s"].dataType
+    points = rows.select(*by, at.alias("__t"), F.lit(0).alias("__side"), value.alias("__v"), F.lit(None).cast(whole).alias("__row"))
+    asks = rows.select(*by, target.alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(points.schema["__v"].dataType).alias("__v"), F.struct(*rows.columns).alias("__row"))
+    order = Window.partitionBy(*by).orderBy(F.desc("__t"), "__side", F.desc("__v")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = points.union(asks).withColumn(name, F.last("__v", True).over(order)).where("__row is not null")
+    return seen.select("__row.*", F.when(F.col("__t").isNotNull(), F.col(name)).alias(name))
+
+
 def interval_join(points: DataFrame, spans: DataFrame, by: tuple[str, ...], at: Column, start: Column, stop: Column, size: float) -> DataFrame:
     """Points inside closed spans of the same key: spans are listed under every bin of ``size`` they touch, points under theirs, then an equi-join."""
     p = points.withColumn("__at", at).withColumn("__bin", F.floor(F.col("__at") / size))

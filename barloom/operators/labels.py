@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import first_from
 from ..functions.rolling import EPS, after, before, by_symbol, count_equal, full, high, mean, running, std, trailing, whole
+from ..sources.tables import written
 from .scan import ewm_std, scan
 
 TINY = 1e-12
@@ -33,9 +36,8 @@ def select_events(rows: DataFrame, min_ret: float = 0.0, vol: str | None = None,
 
 
 def vertical_barrier(rows: DataFrame, seconds: int, name: str = "t1") -> DataFrame:
-    """First time at or after ts + seconds; NULL past the end. A range frame, so no join."""
-    frame = Window.partitionBy("symbol").orderBy("__us").rangeBetween(seconds * 1_000_000, Window.unboundedFollowing)
-    return rows.withColumn("__us", micros()).withColumn(name, F.first("ts").over(frame)).drop("__us")
+    """First time at or after ts + seconds; NULL past the end."""
+    return first_from(rows.drop(name), ("symbol",), micros(), micros() + seconds * 1_000_000, F.col("ts"), name)
 
 
 def event_table(rows: DataFrame, vol: str, up: float = 1.0, down: float = 1.0) -> DataFrame:
@@ -44,7 +46,7 @@ def event_table(rows: DataFrame, vol: str, up: float = 1.0, down: float = 1.0) -
 
 
 def greedy(events: DataFrame, keep: Callable[[int, int | None, int | None], bool]) -> DataFrame:
-    """Walk each symbol's events in order of t0; ``keep(t0, last kept t0, last kept t1)`` in microseconds decides."""
+    """Walk each symbol's events in order of t0; ``keep(t0, last kept t0, last kept t1)`` in microseconds decides. One task a symbol."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("t0", kind="stable")
@@ -59,14 +61,126 @@ def greedy(events: DataFrame, keep: Callable[[int, int | None, int | None], bool
     return events.groupBy("symbol").applyInPandas(run, events.schema)
 
 
-def spaced(events: DataFrame, seconds: int, whole_days: bool = False) -> DataFrame:
-    """Keep events at least so far from the last kept one. Parity drops whole days from the distance; ``whole_days`` counts them."""
-    return greedy(events, lambda t0, a, _: ((t0 - a) // 1_000_000 if whole_days else (t0 - a) // 1_000_000 % 86_400) >= seconds)
+def _in_order(events: DataFrame) -> DataFrame:
+    """Events with their place ``__i`` in their symbol's order of t0 (of t1 on a tie)."""
+    return events.withColumn("__i", (F.row_number().over(Window.partitionBy("symbol").orderBy("t0", "t1")) - 1).cast("long"))
 
 
-def without_overlap(events: DataFrame) -> DataFrame:
+def follow(linked: DataFrame, chunk: int = 100_000) -> DataFrame:
+    """Rows reached from each symbol's row 0 by its links: ``linked`` has ``__i`` (0, 1, ... by symbol) and ``__j``, a later row or NULL.
+
+    Series are cut into chunks. Where a walk that enters a chunk leaves it is found for every
+    row at once, by doubling links inside the chunk. The rows at which chunks are entered
+    follow by doubling over those exits, and each chunk marks its own rows from there.
+    """
+    links = linked.select("symbol", F.floor(F.col("__i") / chunk).alias("__c"), "__i", "__j")
+    table = written(links.groupBy("symbol", "__c").agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__j"))), lambda x: x["__j"]).alias("js")), "links")
+    entries = table.where("__c = 0").select("symbol", F.lit(0).cast("long").alias("__i"))
+    if table.where("__c > 0").limit(1).count():
+        exits = written(table.mapInArrow(_exits(chunk), "symbol string, __i long, __j long").where("__j is not null"), "exits")
+        known = 0
+        while True:
+            ahead = entries.join(exits, ["symbol", "__i"]).select("symbol", F.col("__j").alias("__i"))
+            entries = written(entries.union(ahead).distinct(), "entries")
+            found = entries.count()
+            if found == known:
+                break
+            known = found
+            far = exits.select("symbol", F.col("__i").alias("__j"), F.col("__j").alias("__to"))
+            exits = written(exits.join(far, ["symbol", "__j"]).select("symbol", "__i", F.col("__to").alias("__j")), "exits")
+    entered = table.join(entries.select("symbol", F.floor(F.col("__i") / chunk).alias("__c"), F.col("__i").alias("__e")), ["symbol", "__c"])
+    kept = entered.select("symbol", "__c", "js", "__e").mapInArrow(_marked(chunk), "symbol string, __i long")
+    return linked.join(kept, ["symbol", "__i"]).drop("__i", "__j")
+
+
+def _local(js: pa.ListScalar, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's links (-1 for none), and those inside it by place, a row itself where its link leaves."""
+    to = js.values.fill_null(-1).to_numpy(zero_copy_only=False)
+    place = np.arange(len(to))
+    return to, np.where((to >= 0) & (to < first + len(to)), to - first, place)
+
+
+def _exits(chunk: int):
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                first = batch.column(1)[r].as_py() * chunk
+                to, inside = _local(batch.column(2)[r], first)
+                for _ in range(len(to).bit_length()):
+                    inside = inside[inside]
+                out = to[inside]
+                yield pa.record_batch([pa.array([batch.column(0)[r].as_py()] * len(to)), pa.array(np.arange(len(to)) + first), pa.array(out, mask=out < 0)], names=["symbol", "__i", "__j"])
+
+    return run
+
+
+def _marked(chunk: int):
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                first, at = batch.column(1)[r].as_py() * chunk, batch.column(3)[r].as_py()
+                to, _ = _local(batch.column(2)[r], first)
+                kept = []
+                while 0 <= at < first + len(to):
+                    kept.append(at)
+                    at = int(to[at - first])
+                yield pa.record_batch([pa.array([batch.column(0)[r].as_py()] * len(kept)), pa.array(kept, pa.int64())], names=["symbol", "__i"])
+
+    return run
+
+
+DAY, LOOKS = 86_400_000_000, 6
+
+
+def spaced(events: DataFrame, seconds: int, whole_days: bool = False, chunk: int = 100_000) -> DataFrame:
+    """Keep events at least so far from the last kept one. Parity drops whole days from the distance; ``whole_days`` counts them.
+
+    Parity looks for the next event whose distance fits within its day: each look skips a day's
+    times that are too near. Symbols that need over ``LOOKS`` looks (events at one time of day, for
+    days in a row) are walked one by one.
+    """
+    us, gap = micros("t0"), seconds * 1_000_000
+    rows = _in_order(events).withColumns({"__from": us + gap, "__j": F.lit(None).cast("long")})
+    if whole_days:
+        found = first_from(rows.drop("__j"), ("symbol",), us, F.col("__from"), F.col("__i"), "__j")
+        return follow(found.withColumn("__j", F.when(F.col("__j").isNotNull(), F.greatest("__j", F.col("__i") + 1))).drop("__from").transform(_within), chunk)
+    if seconds >= 86_400:  # no distance within a day is that large
+        return follow(rows.drop("__from"), chunk)
+    if seconds <= 0:  # all are kept
+        return events
+    done = None
+    for _ in range(LOOKS):
+        found = first_from(rows.drop("__j"), ("symbol",), us, F.col("__from"), F.struct("__i", us.alias("t")), "__n")
+        # rows that are through stay in, so that the others find them, but ask for nothing more
+        found = found.withColumn("__d", F.col("__n.t") - us)
+        fits = F.col("__n").isNull() | (F.pmod("__d", F.lit(DAY)) >= gap)
+        found = found.withColumns({"__open": F.col("__from").isNotNull() & ~fits, "__j": F.col("__n.__i")})
+        found = written(found, "spacing")
+        own = found.where(F.col("__from").isNotNull() & ~F.col("__open")).select("symbol", "__i", "__j")
+        done = own if done is None else done.union(own)
+        if not found.where("__open").limit(1).count():
+            rows = None
+            break
+        rows = found.withColumn("__from", F.when(F.col("__open"), us + F.floor(F.col("__d") / DAY) * DAY + gap)).select(*events.columns, "__i", "__from", F.lit(None).cast("long").alias("__j"))
+    linked = _in_order(events).join(done, ["symbol", "__i"])
+    if rows is None:
+        return follow(linked, chunk)
+    slow = rows.where(F.col("__from").isNotNull()).select("symbol").distinct()
+    walked = greedy(events.join(slow, "symbol", "left_semi"), lambda t0, a, _: (t0 - a) // 1_000_000 % 86_400 >= seconds)
+    return follow(linked.join(slow, "symbol", "left_anti"), chunk).unionByName(walked)
+
+
+def _within(linked: DataFrame) -> DataFrame:
+    """Links past a symbol's last row go."""
+    last = F.max("__i").over(Window.partitionBy("symbol"))
+    return linked.withColumn("__j", F.when(F.col("__j") <= last, F.col("__j")))
+
+
+def without_overlap(events: DataFrame, chunk: int = 100_000) -> DataFrame:
     """Keep events that begin no earlier than the last kept one ends; after one without an end nothing more is kept."""
-    return greedy(events, lambda t0, _, b: b is not None and t0 >= b)
+    found = first_from(_in_order(events), ("symbol",), micros("t0"), micros("t1"), F.col("__i"), "__j")
+    # an event that ends at its own beginning is followed by the next one
+    return follow(found.withColumn("__j", F.when(F.col("__j").isNotNull(), F.greatest("__j", F.col("__i") + 1))).transform(_within), chunk)
 
 
 # ---- barriers
