@@ -1,21 +1,17 @@
 """Complexity scalars of a series: Hurst, Higuchi, DFA, entropies, neighbour distance.
 
-Hurst, Higuchi and DFA are window and group aggregates. The entropies and the neighbour
-distance compare all pairs of a series' embedded points; they run grouped by symbol in
-numpy, in blocks of rows, so memory grows with the length and not with its square.
+Hurst, Higuchi and DFA are window and group aggregates. The entropies count near pairs of a
+series' embedded points by a join on grid cells, so that only points of neighbouring cells meet.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import before, by_symbol, row_id, trailing
 
-PAIR_BLOCK = 512
-
 
 def _line(x: Column, y: Column) -> Column:
     return F.regr_slope(y, x)
@@ -61,56 +57,64 @@ def dfa(bars: DataFrame, windows: tuple[int, ...] = (10, 20, 50, 100)) -> DataFr
     return means.groupBy("symbol").agg(_line(F.log(F.col("w") + 1e-10), F.log(F.col("f") + 1e-10)).alias("DFA"))
 
 
-def _close_counts(x: np.ndarray, m: int, n: int, r: float) -> np.ndarray:
-    """For each of the first n embedded points of dimension m, how many of them lie within r in every coordinate."""
-    points = np.lib.stride_tricks.sliding_window_view(x, m)[:n]
-    out = np.empty(n)
-    for lo in range(0, n, PAIR_BLOCK):
-        near = np.ones((min(PAIR_BLOCK, n - lo), n), bool)
-        for j in range(m):
-            near &= np.abs(points[lo : lo + PAIR_BLOCK, j, None] - points[None, :, j]) <= r
-        out[lo : lo + PAIR_BLOCK] = near.sum(axis=1)
-    return out
+def embedded(bars: DataFrame) -> DataFrame:
+    """(symbol, i, n, x0, x1, x2): each close with the next two, its place and the series' length."""
+    rows = bars.select("symbol", "ts", F.col("close").cast("double").alias("x0"), row_id().cast("long").alias("i"), F.count(F.lit(1)).over(Window.partitionBy("symbol")).alias("n"))
+    return rows.withColumns({"x1": F.lead("x0").over(by_symbol()), "x2": F.lead("x0", 2).over(by_symbol())}).drop("ts")
 
 
-def approximate_entropy(x: np.ndarray, m: int = 2, r: float = 0.2) -> float:
-    def phi(m: int) -> float:
-        n = len(x) - m + 1
-        return float(np.log(_close_counts(x, m, n, r) / n + 1e-10).sum() / n)
+def near_counts(points: DataFrame, r: float = 0.2) -> DataFrame:
+    """For each point of dimension 2: how many lie within r in every coordinate (``k2``), also in the third one (``k3``), itself included.
 
-    return phi(m) - phi(m + 1)
+    A grid join: cells a shade wider than r, every point is met with the points of its own and the
+    eight cells around it. ``s2`` and ``s3`` leave out the series' last points, as the sample entropy does.
+    """
+    side = r * (1 + 1e-9)  # so that rounding never parts two points by more than one cell
+    placed = points.where("x1 is not null").withColumns({f"c{j}": F.floor(F.col(f"x{j}") / side) for j in (0, 1)})
+    steps = [F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    asks = placed.select("symbol", "i", "n", *[F.col(f"x{j}").alias(f"p{j}") for j in range(3)], "c0", "c1", F.explode(F.array(*steps)).alias("d"))
+    asks = asks.withColumns({"c0": F.col("c0") + F.col("d.a"), "c1": F.col("c1") + F.col("d.b")}).drop("d")
+    found = asks.join(placed.select("symbol", "c0", "c1", F.col("i").alias("j"), "x0", "x1", "x2"), ["symbol", "c0", "c1"])
+    found = found.where((F.abs(F.col("p0") - F.col("x0")) <= r) & (F.abs(F.col("p1") - F.col("x1")) <= r))
+    third = F.abs(F.col("p2") - F.col("x2")) <= r
+    early = lambda m: (F.col("i") < F.col("n") - m) & (F.col("j") < F.col("n") - m)
+    return found.groupBy("symbol", "i", "n").agg(F.count("*").alias("k2"), F.count_if(third).alias("k3"), F.count_if(early(2)).alias("s2"), F.count_if(third & early(3)).alias("s3"))
 
 
-def sample_entropy(x: np.ndarray, m: int = 2, r: float = 0.2) -> float:
-    b, a = (_close_counts(x, k, len(x) - k, r).sum() - (len(x) - k) for k in (m, m + 1))
-    return float(-np.log((a + 1e-10) / (b + 1e-10)))
+def entropies(points: DataFrame, r: float = 0.2) -> DataFrame:
+    """(symbol, ApEn, SampEn) of dimension 2; NULL for series of four values or fewer."""
+    counts = near_counts(points, r)
+    n2, n3 = F.first("n") - 1, F.first("n") - 2
 
+    def phi(k: str, m: int, n: Column) -> Column:
+        """Sum of log shares over the first n points of dimension m, over n."""
+        return F.sum(F.when(F.col("i") <= F.col("n") - m, F.log(F.col(k) / (F.col("n") - (m - 1)) + 1e-10))) / n
 
-def neighbour_distance(x: np.ndarray, delay: int = 1, dimension: int = 2, window: int = 200) -> float:
-    """Mean log distance to the nearest other point of the first ``window`` embedded points, over the window."""
-    n = len(x)
-    if n < window + delay * dimension:
-        return float("nan")
-    m = n - (dimension - 1) * delay
-    y = np.column_stack([x[i * delay : i * delay + m] for i in range(dimension)])
-    out = []
-    for i in range(min(window, m)):
-        d = np.sqrt(((y - y[i]) ** 2).sum(axis=1))
-        d[i] = np.inf
-        out.append(np.log(d.min() + 1e-10))
-    return float(np.mean(out) / window)
+    pairs = {m: F.sum(f"s{m}") - (F.first("n") - m) for m in (2, 3)}
+    sample = -F.log((pairs[3] + 1e-10) / (pairs[2] + 1e-10))
+    enough = F.first("n") > 4
+    return counts.groupBy("symbol").agg(F.when(enough, phi("k2", 2, n2) - phi("k3", 3, n3)).alias("ApEn"), F.when(enough, sample).alias("SampEn"))
 
 
-def pair_scalars(bars: DataFrame, r: float = 0.2) -> DataFrame:
-    """(symbol, ApEn, SampEn, Lyap)."""
+def neighbour_distance(points: DataFrame, window: int = 200) -> DataFrame:
+    """(symbol, Lyap): mean log distance from each of the first ``window`` points of dimension 2 to its nearest other point, over the window.
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        x = frame.sort_values("ts")["close"].to_numpy(float)
-        enough = len(x) > 4
-        row = [approximate_entropy(x, r=r) if enough else np.nan, sample_entropy(x, r=r) if enough else np.nan, neighbour_distance(x)]
-        return pd.DataFrame([[frame["symbol"].iloc[0], *[None if np.isnan(v) else v for v in row]]], columns=["symbol", "ApEn", "SampEn", "Lyap"])
+    Those few points go to all points of their series as one array; the least distances are kept
+    where the rows lie before they are shuffled. NULL for series of under ``window`` + 2 values.
+    """
+    there = points.where("x1 is not null")
+    asks = there.where(F.col("i") < window).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("i", "x0", "x1"))).alias("q"))
+    each = there.join(asks, "symbol").select("symbol", "i", "n", "x0", "x1", F.explode("q").alias("q")).where(F.col("i") != F.col("q.i"))
+    apart = F.sqrt((F.col("x0") - F.col("q.x0")) ** 2 + (F.col("x1") - F.col("q.x1")) ** 2)
+    least = each.groupBy("symbol", F.col("q.i").alias("k")).agg(F.min(apart).alias("d"), F.first("n").alias("n"))
+    return least.groupBy("symbol").agg(F.when(F.first("n") >= window + 2, F.avg(F.log(F.col("d") + 1e-10)) / window).alias("Lyap"))
 
-    return bars.select("symbol", "ts", "close").groupBy("symbol").applyInPandas(run, "symbol string, ApEn double, SampEn double, Lyap double")
+
+def pair_scalars(bars: DataFrame, r: float = 0.2) -> DataFrame:
+    """(symbol, ApEn, SampEn, Lyap)."""
+    points = embedded(bars)
+    every = points.select("symbol").distinct()
+    return every.join(entropies(points, r), "symbol", "left").join(neighbour_distance(points), "symbol", "left")
 
 
 def scalars(bars: DataFrame) -> DataFrame:

@@ -127,6 +127,47 @@ def target_correlations(rows: DataFrame, features: list[str], target: str, k: in
     return out.orderBy(F.desc(F.abs("corr")), "feature").limit(k) if k else out
 
 
+#: Prefixes that name a feature's group, in order; a name that has none goes by what it contains.
+GROUP_PREFIXES = ("TA_", "VOL_", "MOM_", "REGIME_", "LBL_", "RET_", "PRICE_", "RSI", "MACD", "BB_", "ATR", "ADX", "OBV", "VWAP")
+GROUP_PARTS = (("regime", "REGIME"), ("vol", "VOL"), ("ret", "RET"))
+
+
+def feature_group(name: Column) -> Column:
+    upper = F.upper(name)
+    out = None
+    for prefix in GROUP_PREFIXES:
+        test, group = upper.startswith(prefix), F.lit(prefix.rstrip("_"))
+        out = F.when(test, group) if out is None else out.when(test, group)
+    for part, group in GROUP_PARTS:
+        out = out.when(F.lower(name).contains(part), F.lit(group))
+    return out.otherwise("OTHER")
+
+
+def group_correlations(found: DataFrame) -> DataFrame:
+    """(group, n_features, mean_corr, std_corr, mean_abs_corr) of (feature, corr); features without a correlation don't count."""
+    there = found.where("corr is not null and not isnan(corr)")
+    return there.groupBy(feature_group(F.col("feature")).alias("group")).agg(F.count("*").alias("n_features"), F.avg("corr").alias("mean_corr"), F.stddev_samp("corr").alias("std_corr"), F.avg(F.abs("corr")).alias("mean_abs_corr"))
+
+
+def label_correlations(rows: DataFrame, features: list[str], labels: list[str]) -> DataFrame:
+    """(feature, label, corr) of all features with all labels, one aggregate over the table."""
+    pairs = [(f, y) for f in features for y in labels]
+    sums = rows.agg(*[F.corr(F.col(f).cast("double"), F.col(y).cast("double")).alias(f"c{i}") for i, (f, y) in enumerate(pairs)])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(y).alias("label"), F.col(f"c{i}").alias("corr")) for i, (f, y) in enumerate(pairs)])).alias("x")).select("x.*")
+
+
+def consensus_features(found: DataFrame) -> DataFrame:
+    """(feature, mean_abs_corr, std_corr, n_labels): strong across labels by the mean, tied to some of them by the deviation."""
+    return found.where("corr is not null and not isnan(corr)").groupBy("feature").agg(F.avg(F.abs("corr")).alias("mean_abs_corr"), F.stddev_samp("corr").alias("std_corr"), F.count("*").alias("n_labels"))
+
+
+def weak_features(found: DataFrame, limit: float = 0.02) -> DataFrame:
+    """Features whose absolute correlation stays under ``limit``, with their share of all."""
+    there = found.where("corr is not null and not isnan(corr)")
+    total = there.agg(F.count("*").alias("__n"), F.count_if(F.abs("corr") < limit).alias("__k"))
+    return there.where(F.abs("corr") < limit).crossJoin(F.broadcast(total)).select("feature", "corr", (F.col("__k") / F.col("__n")).alias("share"))
+
+
 def uncorrelated(rows: DataFrame, features: list[str], limit: float = 0.95) -> list[str]:
     """Features kept when, in order, each that correlates over the limit with a kept one goes."""
     from .labels import correlations

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.joins import first_from
 from ..functions.rolling import EPS, after, before, by_symbol, count_equal, full, high, mean, running, std, trailing, whole
 from ..sources.tables import written
-from .scan import ewm_std, scan
+from .scan import in_order, moments_chained
 
 TINY = 1e-12
 
@@ -246,7 +246,7 @@ def _root(x: Column) -> Column:
     return F.when(x >= 0, F.sqrt(x))
 
 
-def label_vols(bars: DataFrame, w: int = 30, span: int = 100) -> DataFrame:
+def label_vols(bars: DataFrame, w: int = 30, span: int = 100, chunk: int = 100_000) -> DataFrame:
     """vol_ewma, vol_parkinson, vol_garman_klass, vol_rogers_satchell, vol_yang_zhang, vol_return."""
     h, lo, c, o = (F.col(n) for n in ("high", "low", "close", "open"))
     rs = F.log(h / c) * F.log(h / o) + F.log(lo / c) * F.log(lo / o)
@@ -254,7 +254,7 @@ def label_vols(bars: DataFrame, w: int = 30, span: int = 100) -> DataFrame:
         "__ret": F.try_divide(c, before("close")) - 1, "__pk": F.pow(F.log(h / lo), F.lit(2)) / (4 * np.log(2)), "__rs": rs, "__on": F.log(o / before("close")), "__oc": F.log(c / o),
         "__gk": 0.5 * F.pow(F.log(h / lo), F.lit(2)) - (2 * np.log(2) - 1) * F.pow(F.log(c / o), F.lit(2)),
     })
-    rows = scan(rows, {"vol_ewma": ("__ret", ewm_std, {"span": span})})
+    rows = moments_chained(in_order(rows), {"vol_ewma": ("__ret", span)}, chunk).drop("__rn")
     frame = trailing(w)
     spread = full(F.var_samp("__on").over(frame), "__on", frame, w) + full(F.var_samp("__oc").over(frame), "__oc", frame, w)
     return rows.withColumns({

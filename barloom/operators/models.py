@@ -95,6 +95,31 @@ def multi_target(rows: DataFrame, features: list[str], targets: list[str], estim
     return {t: estimator.fit(balanced(assembled(rows, features, t))) for t in targets}
 
 
+def agreement(rows: DataFrame, primary: str, others: list[str]) -> DataFrame:
+    """Add ``agreement``: the share of other labels (missing ones count as 0) that equal the primary one."""
+    same = [F.coalesce((F.coalesce(F.col(c), F.lit(0)) == F.col(primary)).cast("double"), F.lit(0.0)) for c in others]
+    return rows.withColumn("agreement", sum(same, F.lit(0.0)) / len(others))
+
+
+def target_scores(rows: DataFrame, features: list[str], targets: list[str], estimator: Estimator, primary: str, others: list[str]) -> DataFrame:
+    """(target, accuracy, n) of a model a target on the rows that have all of them, and of the primary target with rows weighted by agreement.
+
+    In-sample accuracies, as published; a model each, fitted side by side.
+    """
+    ready = agreement(rows.na.drop(subset=targets), primary, others)
+
+    def one(job: tuple[str, str]) -> DataFrame:
+        name, target = job
+        known = assembled(ready, features, target)
+        known = agreement_weight(known, "agreement") if name != target else known.withColumn("weight", F.lit(1.0))
+        right = (F.col("prediction") == F.col("y")).cast("double")
+        return estimator.fit(known).transform(known).agg(F.avg(right).alias("accuracy"), F.count("*").alias("n")).select(F.lit(name).alias("target"), "accuracy", "n")
+
+    jobs = [(t, t) for t in targets] + [(f"{primary} weighted by agreement", primary)]
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        return reduce(DataFrame.union, list(pool.map(one, jobs)))
+
+
 def blend(parts: dict[str, DataFrame], key: str = "row_id") -> DataFrame:
     """Predictions of several models side by side: <model>_pred and <model>_p_*, with ``true``."""
     out = None

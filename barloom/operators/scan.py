@@ -3,7 +3,8 @@
 A window function can't use its own last output, so a symbol's series goes through one
 grouped-map call that computes every recurrence a query asks for. ``chained`` is the form
 for very long series: all of these but the debiased deviation are linear in what came
-before, so chunks run on their own and only their ends are chained (``long_recurrences``).
+before, so chunks run on their own and only their ends are chained (``long_recurrences``);
+the deviation's moments merge in the same way (``moments_chained``).
 """
 
 from __future__ import annotations
@@ -191,6 +192,72 @@ def chained(rows: DataFrame, columns: dict[str, tuple[str, float | str, int]], c
     return whole.drop("__chunk", *[f"__{p}{i}" for i in range(len(names)) for p in "ykc"])
 
 
+def moments_chained(rows: DataFrame, columns: dict[str, tuple[str, float]], chunk: int = 100_000) -> DataFrame:
+    """Add debiased weighted deviations (``ewm_std``) on many tasks: name -> (x, span). Needs ``__rn``.
+
+    The state is a weight, the sum of squared weights, a mean and a sum of squares; it fades with every row, and
+    two stretches merge as weighted samples do. Each chunk adds its rows up from nothing, the
+    chunks' ends are merged in order (one small row a chunk), and what entered a chunk is merged
+    with each of its rows. A missing x fades both sides alike, which leaves the deviation as it was.
+    """
+    names, parts = list(columns), ("w", "v", "m", "s", "n")
+    numbered = rows.withColumn("__chunk", F.floor(F.col("__rn") / chunk).cast("long"))
+    fields = [T.StructField(f"__{p}{i}", T.DoubleType()) for i in range(len(names)) for p in parts]
+    schema = T.StructType([*numbered.schema.fields, *fields])
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("__rn").reset_index(drop=True)
+        out = {}
+        for i, (source, span) in enumerate(columns.values()):
+            keep, held = 1 - 2.0 / (span + 1), np.zeros((5, len(frame)))
+            w = v = m = s = n = 0.0
+            for j, x in enumerate(frame[source].to_numpy(float, na_value=np.nan).tolist()):
+                w, v, s = w * keep, v * keep * keep, s * keep
+                if x == x:
+                    w, v, n = w + 1, v + 1, n + 1
+                    old = m
+                    m += (x - m) / w
+                    s += (x - old) * (x - m)
+                held[:, j] = w, v, m, s, n
+            out |= {f"__{p}{i}": h for p, h in zip(parts, held, strict=True)}
+        return pd.concat([frame, pd.DataFrame(out)], axis=1)
+
+    each = numbered.groupBy("symbol", "__chunk").applyInPandas(run, schema)
+    last = F.max_by(F.struct(F.col("__rn"), *[f.name for f in fields]), "__rn").alias("e")
+    ends = each.groupBy("symbol", "__chunk").agg(last, F.count("*").cast("double").alias("rows"))
+
+    def carry(frame: pd.DataFrame) -> pd.DataFrame:
+        """What enters each chunk; a row a chunk."""
+        frame = frame.sort_values("__chunk")
+        state, out = np.zeros((len(names), 5)), []
+        for end, n in zip(frame["e"], frame["rows"], strict=True):
+            out.append(state.ravel().copy())
+            for i, (_, span) in enumerate(columns.values()):
+                state[i] = _merged(state[i], np.array([end[f"__{p}{i}"] for p in parts]), (1 - 2.0 / (span + 1)) ** n)
+        return pd.concat([frame[["symbol", "__chunk"]].reset_index(drop=True), pd.DataFrame(np.array(out), columns=[f"__c{p}{i}" for i in range(len(names)) for p in parts])], axis=1)
+
+    carried = ends.groupBy("symbol").applyInPandas(carry, "symbol string, __chunk long, " + ", ".join(f"__c{p}{i} double" for i in range(len(names)) for p in parts))
+    whole = each.join(carried, ["symbol", "__chunk"])
+    out = {}
+    for i, (name, (_, span)) in enumerate(columns.items()):
+        fade = F.pow(F.lit(1 - 2.0 / (span + 1)), F.pmod("__rn", F.lit(chunk)) + 1)
+        cw, cv, cs = F.col(f"__cw{i}") * fade, F.col(f"__cv{i}") * fade * fade, F.col(f"__cs{i}") * fade
+        w, v = cw + F.col(f"__w{i}"), cv + F.col(f"__v{i}")
+        s = cs + F.col(f"__s{i}") + F.coalesce(F.try_divide(cw * F.col(f"__w{i}"), w), F.lit(0.0)) * (F.col(f"__m{i}") - F.col(f"__cm{i}")) ** 2
+        out[name] = F.when((F.col(f"__cn{i}") + F.col(f"__n{i}") > 1) & (w * w - v > 0), F.sqrt(F.greatest(s / w * (w * w) / (w * w - v), F.lit(0.0))))
+    return whole.withColumns(out).drop("__chunk", *[f.name for f in fields], *[f"__c{p}{i}" for i in range(len(names)) for p in parts])
+
+
+def _merged(one: np.ndarray, two: np.ndarray, fade: float) -> np.ndarray:
+    """(weight, squared weights, mean, squares, count) of a stretch after another, which has faded."""
+    w, v, m, s, n = one
+    w, v, s = w * fade, v * fade * fade, s * fade
+    total = w + two[0]
+    if total <= 0:
+        return np.array([0.0, 0.0, m, 0.0, n + two[4]])
+    return np.array([total, v + two[1], (w * m + two[0] * two[2]) / total, s + two[3] + w * two[0] / total * (two[2] - m) ** 2, n + two[4]])
+
+
 def in_order(bars: DataFrame) -> DataFrame:
     return bars.withColumn("__rn", F.row_number().over(by_symbol()) - 1)
 
@@ -200,8 +267,8 @@ def ema_chunked(bars: DataFrame, span: int, chunk: int = 100_000, value: str = "
     return chained(in_order(bars), {f"EMA_{span}": (value, 1 - 2.0 / (span + 1), 0)}, chunk).drop("__rn")
 
 
-def long_recurrences(bars: DataFrame, chunk: int = 100_000, spans: tuple[int, ...] = (20,), kama_windows: tuple[int, ...] = (20,), rsi_windows: tuple[int, ...] = (14,), trix_spans: tuple[int, ...] = (15,), decay: float = 0.94) -> DataFrame:
-    """TEMA, KAMA, RSI, TRIX, TSI and EWMA volatility of long series; all recurrences of one depth share a pass."""
+def long_recurrences(bars: DataFrame, chunk: int = 100_000, spans: tuple[int, ...] = (20,), kama_windows: tuple[int, ...] = (20,), rsi_windows: tuple[int, ...] = (14,), trix_spans: tuple[int, ...] = (15,), decay: float = 0.94, std_spans: tuple[int, ...] = (100,)) -> DataFrame:
+    """TEMA, KAMA, RSI, TRIX, TSI, EWMA volatility and the debiased deviation of returns of long series; all recurrences of one depth share a pass."""
     move = F.col("close") - F.lag("close").over(by_symbol())
     rows = in_order(bars).withColumns({"__d": move, "__v": F.coalesce(F.pow(F.try_divide(F.col("close"), F.col("close") - move) - 1, F.lit(2)), F.lit(0.0))})
     rows = rows.withColumns({"__a": F.abs("__d"), "__up": F.greatest("__d", F.lit(0.0)), "__dn": F.greatest(-F.col("__d"), F.lit(0.0))})
@@ -224,5 +291,6 @@ def long_recurrences(bars: DataFrame, chunk: int = 100_000, spans: tuple[int, ..
     out |= {f"RSI_{w}": 100 - 100 / (1 + F.col(f"__up_{w}") / (F.col(f"__dn_{w}") + EPS)) for w in rsi_windows}
     out |= {f"TRIX_{w}": 100 * (F.col(f"__e3_{w}") - F.lag(f"__e3_{w}").over(by_symbol())) / (F.col(f"__e3_{w}") + EPS) for w in trix_spans}
     out |= {"TSI": 100 * F.col("__m2") / (F.col("__a2") + EPS), f"EWMA_{round(100 * decay)}": F.sqrt("__ew")}
-    rows = rows.withColumns(out)
+    rows = rows.withColumns(out).withColumn("__r", F.try_divide("close", F.col("close") - F.col("__d")) - 1)
+    rows = moments_chained(rows, {f"EWMStd_{w}": ("__r", w) for w in std_spans}, chunk)
     return rows.drop(*[c for c in rows.columns if c.startswith("__")])

@@ -1,18 +1,22 @@
 """Cross-validation splits as tables: (split_id, row_id, role), role ``train`` or ``test``.
 
 Rows come as (row_id, t0, t1): positions from 0, and the label's span; a missing t1 means
-t0. Folds are a few rows, so they travel to the rows: purging and embargo are range
-conditions against broadcast fold bounds, never a join of rows with rows.
+t0. Test blocks are few rows against the data, so they travel to the rows: purging and embargo are
+searches in an index of blocks, never a join of rows with rows.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.rolling import by_symbol
 
@@ -54,10 +58,6 @@ def overlaps(t0: Column, t1: Column, from_t: Column, to_t: Column) -> Column:
     return (t0 <= to_t) & (t1 >= from_t)
 
 
-def _role(is_test: Column, dropped: Column) -> Column:
-    return F.when(is_test, "test").when(~dropped, "train")
-
-
 def blocks_of(tests: DataFrame) -> DataFrame:
     """(split_id, block): contiguous runs of test rows with their bounds."""
     order = Window.partitionBy("split_id").orderBy("row_id")
@@ -65,22 +65,71 @@ def blocks_of(tests: DataFrame) -> DataFrame:
     return bounds(runs, ("split_id", "block"))
 
 
+SENT = 1_000_000  # blocks that are sent to the rows at once: 40 bytes each
+
+
+def _whole(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Times or numbers as whole numbers, in the column's own unit."""
+    return column.cast(pa.int64()).to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else _whole(column.combine_chunks())
+
+
 def purged(rows: DataFrame, tests: DataFrame, embargo: int = 0, hull: bool = True, purge: bool = True, each_block: bool = True) -> DataFrame:
     """Splits from test sets (split_id, row_id, t0, t1).
 
     hull: purge against the whole span from a split's first test start to its last test
     end; else against each contiguous block. each_block: the embargo follows every block,
     else only the last test row.
+
+    Test blocks become an index for each split, which goes to the rows: block starts in order with the
+    largest end so far, found by binary search. A row overlaps a block if, of the blocks that
+    begin by its own end, the largest end reaches its start. So a row costs a few searches a split,
+    however many blocks there are, and nothing is shuffled. Splits go in groups of ``SENT``
+    blocks (a split's own blocks are sent together).
     """
-    blocks = blocks_of(tests)
-    spans = bounds(tests)
-    purge_by = F.broadcast((spans if hull else blocks).select("split_id", "from_t", "to_t").groupBy("split_id").agg(F.collect_list(F.struct("from_t", "to_t")).alias("spans")))
-    after = (blocks if each_block else spans).groupBy("split_id").agg(F.collect_list("last_row").alias("ends"))
-    every = rows.crossJoin(F.broadcast(after)).join(purge_by, "split_id")
-    marked = every.join(tests.select("split_id", "row_id", F.lit(True).alias("is_test")), ["split_id", "row_id"], "left").withColumn("is_test", F.coalesce("is_test", F.lit(False)))
-    overlap = F.exists("spans", lambda s: overlaps(F.col("t0"), F.col("t1"), s["from_t"], s["to_t"])) if purge else F.lit(False)
-    held = F.exists("ends", lambda e: (F.col("row_id") > e) & (F.col("row_id") <= e + embargo)) if embargo else F.lit(False)
-    return marked.withColumn("role", _role(F.col("is_test"), overlap | held)).where("role is not null").select("split_id", "row_id", "role")
+    found = blocks_of(tests).select("split_id", "first_row", "last_row", "from_t", "to_t")
+    n_blocks = {r["split_id"]: r["n"] for r in found.groupBy("split_id").agg(F.count("*").alias("n")).collect()}  # a row a split
+    groups: list[list[int]] = [[]]
+    for split in sorted(n_blocks):
+        if groups[-1] and sum(n_blocks[s] for s in groups[-1]) + n_blocks[split] > SENT:
+            groups.append([])
+        groups[-1].append(split)
+    plain = rows.select("row_id", "t0", "t1")
+    schema = T.StructType([tests.schema["split_id"], plain.schema["row_id"], T.StructField("role", T.StringType())])
+    return reduce(DataFrame.union, [_by_index(plain, found.where(F.col("split_id").isin(g)) if len(groups) > 1 else found, schema, embargo, hull, purge, each_block) for g in groups])
+
+
+def _by_index(plain: DataFrame, blocks: DataFrame, schema: T.StructType, embargo: int, hull: bool, purge: bool, each_block: bool) -> DataFrame:
+    held = blocks.toArrow()
+    split, first, last, begin, end = (_whole(held.column(c)) for c in ("split_id", "first_row", "last_row", "from_t", "to_t"))
+    index = []
+    for s in np.unique(split).tolist():
+        own = np.flatnonzero(split == s)
+        own = own[np.argsort(first[own], kind="stable")]
+        order = own[np.argsort(begin[own], kind="stable")]
+        starts, ends = begin[order], np.maximum.accumulate(end[order])
+        if hull:
+            starts, ends = starts[:1], ends[-1:]
+        index.append((s, first[own], last[own], starts, ends, last[own] if each_block else last[own].max(keepdims=True)))
+    sent = plain.sparkSession.sparkContext.broadcast(index)
+    kinds = [pa.int64() if isinstance(f.dataType, T.LongType) else pa.int32() for f in schema.fields[:2]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, t0, t1 = (_whole(batch.column(i)) for i in range(3))
+            for s, first, last, starts, ends, after in sent.value:
+                at = np.searchsorted(first, row, side="right") - 1
+                test = (at >= 0) & (row <= last[at])
+                out = np.zeros(len(row), bool)
+                if purge:
+                    at = np.searchsorted(starts, t1, side="right") - 1
+                    out |= (at >= 0) & (ends[at] >= t0)
+                if embargo:
+                    at = np.searchsorted(after, row, side="left") - 1
+                    out |= (at >= 0) & (row <= after[at] + embargo)
+                kept = np.flatnonzero(test | ~out)
+                yield pa.record_batch([pa.array(np.full(len(kept), s), kinds[0]), pa.array(row[kept], kinds[1]), pa.array(np.where(test[kept], "test", "train"))], names=["split_id", "row_id", "role"])
+
+    return plain.mapInArrow(run, schema)
 
 
 def purged_kfold(rows: DataFrame, k: int = 5, embargo: int | float = 0, purge: bool = True) -> DataFrame:

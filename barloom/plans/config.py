@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
 # fixed values: bars a trading day and scale relative to an hour
 TIMEFRAMES = {
     "1T": (50000, 0.0001), "10T": (5000, 0.001), "100T": (500, 0.01), "1000T": (50, 0.1),
@@ -64,3 +67,30 @@ def timeframe(name: str) -> Timeframe:
     if name not in TIMEFRAMES:
         raise ValueError(f"unknown timeframe {name}; known: {', '.join(TIMEFRAMES)}")
     return Timeframe(name, *TIMEFRAMES[name])
+
+
+UNITS = {"S": 1, "M": 60, "H": 3600, "D": 86_400, "W": 604_800}
+
+
+def seconds_of(name: str) -> int | None:
+    """Length of a timeframe's bars; None for months and for bars that aren't made by the clock."""
+    return int(name[:-1]) * UNITS[name[-1]] if name[:-1].isdigit() and name[-1] in UNITS else None
+
+
+def interval_of(bars: DataFrame) -> DataFrame:
+    """(symbol, seconds, n_bars): the commonest gap between bars of each series, the shorter one on a tie."""
+    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(Window.partitionBy("symbol").orderBy("ts")).cast("timestamp"))
+    gaps = bars.select("symbol", (gap / 1_000_000).cast("long").alias("seconds")).groupBy("symbol", "seconds").agg(F.count("*").alias("n"))
+    best = F.min(F.when(F.col("seconds").isNotNull(), F.struct((-F.col("n")).alias("n"), "seconds")))
+    return gaps.groupBy("symbol").agg(best["seconds"].alias("seconds"), F.sum("n").alias("n_bars"))
+
+
+def settings_of(bars: DataFrame) -> DataFrame:
+    """The timeframe each series is in, by its own interval, with that timeframe's settings and whether its bars are enough."""
+    rows = []
+    for name in TIMEFRAMES:
+        f = timeframe(name)
+        if seconds_of(name):
+            rows.append((seconds_of(name), name, ",".join(map(str, f.horizons)), ",".join(map(str, f.rolling_windows)), f.vol_window, f.day_bars, f.folds, *f.forest, *f.bars_needed, *f.walk("balanced")[:2]))
+    table = bars.sparkSession.createDataFrame(rows, "seconds long, name string, horizons string, windows string, vol_window long, day_bars long, folds long, trees long, depth long, leaf long, least long, ideal long, train long, test long")
+    return interval_of(bars).join(F.broadcast(table), "seconds", "left").withColumn("enough", F.col("n_bars") >= F.col("least"))

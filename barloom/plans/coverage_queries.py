@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from ..operators import evaluate as E
 from ..operators import labels as L
 from ..operators import splits as C
 from ..sources import tables as S
-from .config import TIMEFRAMES, timeframe
+from .config import TIMEFRAMES, seconds_of, settings_of
 from .oracle import ALL, FIXTURE, FIXTURE_ALL, RET, RUN, lag, sql
 from .registry import ORACLES, hourly, hourly_all, query, rounded, ticks
 from .research_queries import _rows, _sig, _split, preds, psql
@@ -79,9 +80,6 @@ query("span_check", f"WITH {FIXTURE_ALL}, r AS (SELECT ts AS t0, coalesce(lead(t
     lambda spark, d: C.index_problems(_rows(spark, d)))
 
 # ---- settings
-_tf = ", ".join(f"('{n}', {b}::DOUBLE, {s}::DOUBLE)" for n, (b, s) in TIMEFRAMES.items())
-
-
 def _list(values: str, least: int, most: int | None, first: int) -> str:
     """Distinct whole values / scale within limits, rising, at most ``first`` of them, joined."""
     one = f"greatest({least}, CAST(trunc(x / scale) AS BIGINT))"
@@ -89,18 +87,20 @@ def _list(values: str, least: int, most: int | None, first: int) -> str:
     return f"array_to_string(list_slice(list_sort(list_distinct(list_transform({values}, lambda x: {one}))), 1, {first}), ',')"
 
 
-def _settings(spark: SparkSession, d: str) -> DataFrame:
-    rows = []
-    for name in TIMEFRAMES:
-        f = timeframe(name)
-        rows.append((name, ",".join(map(str, f.horizons)), ",".join(map(str, f.rolling_windows)), f.vol_window, f.day_bars, f.folds, f.forest[0], f.forest[1], f.forest[2], f.bars_needed[0], f.bars_needed[1], *f.walk("balanced")[:2]))
-    return spark.createDataFrame(rows, "name string, horizons string, windows string, vol_window long, day_bars long, folds long, trees long, depth long, leaf long, least long, ideal long, train long, test long")
+def _three_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Bars of three intervals, each a series of its own."""
+    rows = ticks(spark, d)
+    return reduce(DataFrame.union, [B.bars_of(rows.withColumn("symbol", F.concat("symbol", F.lit(f" {name}"))), size) for name, size in (("30M", "30 minutes"), ("1H", "1 hour"), ("1D", "1 day"))])
 
 
-query("timeframe_settings", f"""SELECT name, {_list('[5, 10, 20, 50, 100]', 1, 500, 5)} AS horizons, {_list('[10, 20, 50, 100]', 3, None, 4)} AS windows, greatest(5, least(200, CAST(trunc(50 / scale) AS BIGINT))) AS vol_window, greatest(1, CAST(trunc(a_day) AS BIGINT)) AS day_bars,
+_clock = ", ".join(f"({seconds_of(n)}, '{n}', {b}::DOUBLE, {s}::DOUBLE)" for n, (b, s) in TIMEFRAMES.items() if seconds_of(n))
+query("timeframe_settings", f"""WITH b AS (SELECT DISTINCT event_type || ' ' || n AS symbol, time_bucket(w, ts) AS ts FROM events, (VALUES ('30M', INTERVAL 30 MINUTE), ('1H', INTERVAL 1 HOUR), ('1D', INTERVAL 1 DAY)) v(n, w)),
+  g AS (SELECT symbol, CAST(epoch(ts - lag(ts) OVER (PARTITION BY symbol ORDER BY ts)) AS BIGINT) AS gap FROM b), c AS (SELECT symbol, gap, count(*) AS n FROM g WHERE gap IS NOT NULL GROUP BY 1, 2),
+  i AS (SELECT c.symbol, first(c.gap ORDER BY c.n DESC, c.gap) AS seconds, any_value(k.n) AS n_bars FROM c JOIN (SELECT symbol, count(*) AS n FROM b GROUP BY 1) k USING (symbol) GROUP BY 1)
+  SELECT symbol, seconds, n_bars, n_bars >= least AS enough, * EXCLUDE (symbol, seconds, n_bars) FROM i LEFT JOIN (SELECT seconds, name, {_list('[5, 10, 20, 50, 100]', 1, 500, 5)} AS horizons, {_list('[10, 20, 50, 100]', 3, None, 4)} AS windows, greatest(5, least(200, CAST(trunc(50 / scale) AS BIGINT))) AS vol_window, greatest(1, CAST(trunc(a_day) AS BIGINT)) AS day_bars,
   CASE WHEN a_day < 1 THEN 3 WHEN a_day < 10 THEN 4 ELSE 5 END::BIGINT AS folds, CASE WHEN scale > 10 THEN 50 WHEN scale > 1 THEN 100 ELSE 200 END::BIGINT AS trees, CASE WHEN scale > 10 THEN 3 WHEN scale > 1 THEN 4 ELSE 6 END::BIGINT AS depth,
   CASE WHEN scale > 10 THEN 10 WHEN scale > 1 THEN 5 ELSE 3 END::BIGINT AS leaf, greatest(200, CAST(trunc(500 / scale) AS BIGINT)) AS least, greatest(1000, CAST(trunc(2000 / scale) AS BIGINT)) AS ideal, CAST(trunc(a_day * 63) AS BIGINT) AS train, CAST(trunc(a_day * 10) AS BIGINT) AS test
-  FROM (VALUES {_tf}) v(name, a_day, scale)""")(_settings)
+  FROM (VALUES {_clock}) v(seconds, name, a_day, scale)) t USING (seconds)""")(lambda spark, d: settings_of(_three_sizes(spark, d)))
 
 # ---- complexity of each series
 _logs = f"WITH {FIXTURE}, l AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, ln(close / p) AS r, count(*) OVER {ALL} AS n FROM (SELECT *, {lag('close')} AS p FROM s0) WHERE p IS NOT NULL)"

@@ -17,7 +17,7 @@ from ..operators import volatility as V
 from ..operators.boosting import SoftmaxBoosting
 from .config import timeframe
 from .pipeline import Settings, build_features, research_run
-from .registry import hourly, hourly_all, query, rounded
+from .registry import ORACLES, hourly, hourly_all, query, rounded
 
 FEATURES = ["Return", "ATR_14", "VolRet", "RegSlope_20", "ROC_10", "Vol_20"]
 
@@ -35,7 +35,9 @@ def _splits(spark: SparkSession, d: str, k: int = 3) -> DataFrame:
     return C.purged_kfold(rows, k, 5).persist()
 
 
-query("complexity")(lambda spark, d: rounded(Z.scalars(hourly(spark, d)), keys=("symbol",)))
+_parts = [f"({ORACLES[n]})" for n in ("hurst", "fractal_dimension", "detrended_fluctuation", "entropies")]
+query("complexity", f'SELECT symbol, a."Hurst", b."FracDim", c."DFA", e."ApEn", e."SampEn", e."Lyap" FROM {_parts[0]} a FULL JOIN {_parts[1]} b USING (symbol) FULL JOIN {_parts[2]} c USING (symbol) FULL JOIN {_parts[3]} e USING (symbol)')(
+    lambda spark, d: rounded(Z.scalars(hourly(spark, d)).withColumn("DFA", F.round("DFA", 5)), keys=("symbol",)))
 query("cluster_regimes")(lambda spark, d: rounded(U.ensemble(hourly(spark, d)), ["KM_Cluster", "KM_Dist", "GMM_Cluster", "GMM_NLL", "AnomalyScore", "ClusterConsistency", "ClusterStability", "ClusterDrift"], 4))
 query("pca")(lambda spark, d: U.components(U.features(hourly(spark, d))).select("symbol", "ts", "pca"))
 query("hmm_regimes")(lambda spark, d: rounded(U.state_features(U.hidden_states(hourly(spark, d))), ["HMM_State", "HMM_Duration", "HMM_Persistence", "HMM_SwitchRisk", "HMM_Shock", "HMM_Uncertainty"], 4))

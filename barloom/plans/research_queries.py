@@ -386,8 +386,19 @@ query("clean_features", sql(
     RET | {"tr": f"greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')}))"}, {"a14": avg("tr", 14), "v20": std("r", 20), "g20": slope("close", 20), "g100": slope("close", 100)},
     out={n: f"coalesce({x}, quantile_cont({x}, 0.5) OVER ())" for n, x in _cf.items()}, source=f"(SELECT * FROM s2 WHERE ({_cf_there}) >= 0.7 * 5)"))(
     lambda spark, d: rounded(N.clean(T.reg_slope(T.prelim(hourly(spark, d))), list(_cf)), list(_cf)))
-query("feature_names", """SELECT f AS feature, b AS base, w AS "window" FROM (VALUES ('SMA_20', 'SMA', 20), ('SMA_20_zscore', 'SMA', 20), ('TSI', 'TSI', NULL), ('HMM_P1_robust', 'HMM_P1', NULL)) t(f, b, w)""")(
-    lambda spark, d: D.describe(spark.createDataFrame([("SMA_20",), ("SMA_20_zscore",), ("TSI",), ("HMM_P1_robust",)], "feature string"), spark.createDataFrame([("SMA", "mean close")], "base string, description string")).select("feature", "base", "window"))
+
+
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    """The columns of a panel with their base, window and how many values they have."""
+    panel_ = T.sma(T.roc(hourly(spark, d), (5, 20)), (5, 20, 200)).withColumn("SMA_20_zscore", F.col("SMA_20") - F.avg("SMA_20").over(T.whole()))
+    names = [c for c in panel_.columns if c not in hourly(spark, d).columns]
+    counts = panel_.agg(*[F.count(c).alias(c) for c in names])
+    long = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("n_values")) for c in names])).alias("x")).select("x.*")
+    return D.describe(long, spark.createDataFrame([("SMA", "mean close"), ("ROC", "rate of change")], "base string, description string")).select("feature", "base", "window", "description", "n_values")
+
+
+query("feature_names", f"""WITH {FIXTURE}, c AS (SELECT symbol, count(*) AS n FROM s0 GROUP BY 1), f AS (SELECT * FROM (VALUES ('SMA_5', 'SMA', 5, 4, 'mean close'), ('SMA_20', 'SMA', 20, 19, 'mean close'), ('SMA_200', 'SMA', 200, 199, 'mean close'), ('SMA_20_zscore', 'SMA', 20, 19, 'mean close'),
+ ('ROC_5', 'ROC', 5, 5, 'rate of change'), ('ROC_20', 'ROC', 20, 20, 'rate of change')) t(feature, base, "window", lost, description)) SELECT feature, base, "window", description, CAST(sum(greatest(n - lost, 0)) AS BIGINT) AS n_values FROM f, c GROUP BY ALL""")(_names)
 
 # ---- contracts: events dealt over four quarterly contracts
 _CODES = "FGHJKMNQUVXZ"
