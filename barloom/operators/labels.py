@@ -230,7 +230,7 @@ def attach(bars: DataFrame, outcomes: DataFrame) -> DataFrame:
 def triple_barrier(bars: DataFrame, horizon_seconds: int, up: float = 1.0, down: float = 1.0, span: int = 100, min_ret: float = 0.0, first_touch: bool = False) -> DataFrame:
     """The whole workflow: ewm volatility, events, vertical barriers, outcomes, labels at the bars."""
     rows = bars.withColumn("ret", F.try_divide(F.col("close"), before("close")) - 1)
-    rows = scan(rows, {"vol": ("ret", ewm_std, {"span": span})}).transform(vertical_barrier, horizon_seconds)
+    rows = moments_chained(in_order(rows), {"vol": ("ret", span)}).drop("__rn").transform(vertical_barrier, horizon_seconds)
     events = event_table(select_events(rows, min_ret, "vol"), "vol", up, down)
     return attach(bars, barrier_outcomes(events, bars, first_touch))
 

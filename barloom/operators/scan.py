@@ -131,11 +131,28 @@ def scan(bars: DataFrame, columns: dict[str, tuple[str, Callable, dict]]) -> Dat
     return bars.groupBy("symbol").applyInPandas(run, schema)
 
 
-def ema_panel(bars: DataFrame, spans: tuple[int, ...] = (3, 5, 8, 10, 12, 20, 21, 34, 50, 89, 100, 144, 200)) -> DataFrame:
-    return scan(bars, {f"EMA_{w}": ("close", ema, {"span": w}) for w in spans})
+CHUNK = 100_000  # rows of a series that one task goes through
+SPANS = (3, 5, 8, 10, 12, 20, 21, 34, 50, 89, 100, 144, 200)
 
 
-def trend_recurrences(bars: DataFrame, spans: tuple[int, ...] = (3, 5, 8, 10, 12, 20, 21, 34, 50, 89, 100, 144, 200)) -> DataFrame:
+def by_length(rows: DataFrame, short: Callable[[DataFrame], DataFrame], long: Callable[[DataFrame], DataFrame], chunk: int) -> DataFrame:
+    """Series of up to ``chunk`` rows through ``short`` (a task each), longer ones through ``long`` (many tasks each); both give the same columns."""
+    sizes = rows.groupBy("symbol").agg(F.count("*").alias("__n"))
+    if not sizes.where(F.col("__n") > chunk).limit(1).count():
+        return short(rows)
+    marked, is_long = rows.join(sizes, "symbol"), F.col("__n") > chunk
+    one = long(marked.where(is_long).drop("__n").select(*rows.columns))
+    return one.unionByName(short(marked.where(~is_long).drop("__n").select(*rows.columns)).select(*one.columns))
+
+
+def ema_panel(bars: DataFrame, spans: tuple[int, ...] = SPANS, chunk: int = CHUNK) -> DataFrame:
+    def long(rows: DataFrame) -> DataFrame:
+        return chained(in_order(rows), {f"EMA_{w}": ("close", 1 - 2.0 / (w + 1), 0) for w in spans}, chunk).drop("__rn")
+
+    return by_length(bars, lambda rows: scan(rows, {f"EMA_{w}": ("close", ema, {"span": w}) for w in spans}), long, chunk)
+
+
+def trend_recurrences(bars: DataFrame, spans: tuple[int, ...] = SPANS, chunk: int = CHUNK) -> DataFrame:
     """All recurrent trend columns: EMA, TEMA, KAMA, RSI, TRIX, TSI."""
     columns: dict[str, tuple[str, Callable, dict]] = {f"EMA_{w}": ("close", ema, {"span": w}) for w in spans}
     columns |= {f"TEMA_{w}": ("close", tema, {"span": w}) for w in spans}
@@ -143,11 +160,22 @@ def trend_recurrences(bars: DataFrame, spans: tuple[int, ...] = (3, 5, 8, 10, 12
     columns |= {f"RSI_{w}": ("close", rsi, {"w": w}) for w in (7, 14, 21)}
     columns |= {f"TRIX_{w}": ("close", trix, {"w": w}) for w in (15, 30)}
     columns["TSI"] = ("close", tsi, {})
-    return scan(bars, columns)
 
+    def long(rows: DataFrame) -> DataFrame:
+        emas = ema_panel(rows, spans, chunk).select("symbol", "ts", *[f"EMA_{w}" for w in spans])
+        others = long_recurrences(rows, chunk, spans, spans, (7, 14, 21), (15, 30), std_spans=())
+        return others.join(emas, ["symbol", "ts"]).select(*rows.columns, *columns)
+
+    return by_length(bars, lambda rows: scan(rows, columns), long, chunk)
+
+
+def ewma_columns(rows: DataFrame, ret: str = "ret", decays: tuple[float, ...] = (0.94, 0.97, 0.99), chunk: int = CHUNK) -> DataFrame:
+    def long(part: DataFrame) -> DataFrame:
+        squared = in_order(part).withColumn("__v", F.coalesce(F.col(ret) * F.col(ret), F.lit(0.0)))
+        done = chained(squared, {f"__e{i}": ("__v", d, 0) for i, d in enumerate(decays)}, chunk)
+        return done.select(*part.columns, *[F.sqrt(f"__e{i}").alias(f"EWMA_{round(100 * d)}") for i, d in enumerate(decays)])
 
-def ewma_columns(rows: DataFrame, ret: str = "ret", decays: tuple[float, ...] = (0.94, 0.97, 0.99)) -> DataFrame:
-    return scan(rows, {f"EWMA_{round(100 * d)}": (ret, ewma_vol, {"decay": d}) for d in decays})
+    return by_length(rows, lambda part: scan(part, {f"EWMA_{round(100 * d)}": (ret, ewma_vol, {"decay": d}) for d in decays}), long, chunk)
 
 
 def chained(rows: DataFrame, columns: dict[str, tuple[str, float | str, int]], chunk: int = 100_000) -> DataFrame:
@@ -292,5 +320,5 @@ def long_recurrences(bars: DataFrame, chunk: int = 100_000, spans: tuple[int, ..
     out |= {f"TRIX_{w}": 100 * (F.col(f"__e3_{w}") - F.lag(f"__e3_{w}").over(by_symbol())) / (F.col(f"__e3_{w}") + EPS) for w in trix_spans}
     out |= {"TSI": 100 * F.col("__m2") / (F.col("__a2") + EPS), f"EWMA_{round(100 * decay)}": F.sqrt("__ew")}
     rows = rows.withColumns(out).withColumn("__r", F.try_divide("close", F.col("close") - F.col("__d")) - 1)
-    rows = moments_chained(rows, {f"EWMStd_{w}": ("__r", w) for w in std_spans}, chunk)
+    rows = moments_chained(rows, {f"EWMStd_{w}": ("__r", w) for w in std_spans}, chunk) if std_spans else rows
     return rows.drop(*[c for c in rows.columns if c.startswith("__")])

@@ -109,3 +109,21 @@ def test_pair_effects_with_gaps_and_small_groups(spark):
     assert (best.x, best.given, best.strength, best.direction) == ("a", "b", "strong", "MORE") or I.strongest(rows, list("abc"), values, 2) != ["a", "b"]
     assert I.summary(I.pair_effects(rows, list("abc"), values)).first().n_pairs == 6
     assert I.pair_effects(rows.limit(0), list("abc"), values).count() == 0
+
+
+def test_recurrences_of_long_and_short_series(spark, sf):
+    from barloom.plans.registry import hourly
+
+    rows = hourly(spark, sf)
+    sizes = sorted(r["count"] for r in rows.groupBy("symbol").count().collect())
+    edge = (sizes[0] + sizes[-1]) // 2
+    assert sizes[0] <= edge < sizes[-1]
+    for fn, args in ((S.trend_recurrences, ((5, 20),)), (S.ema_panel, ((5, 20),))):
+        a, b = (fn(rows, *args, chunk=c).toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True) for c in (100_000, edge))
+        assert sorted(a.columns) == sorted(b.columns) and len(a) == len(b)
+        for c in a.columns:
+            if c not in ("symbol", "ts"):
+                assert np.allclose(a[c].to_numpy(float), b[c].to_numpy(float), equal_nan=True), c
+    moves = rows.withColumn("ret", F.when(F.col("volume") % 3 > 0, F.col("close") / F.col("open") - 1))
+    a, b = (S.ewma_columns(moves, chunk=c).toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True) for c in (100_000, edge))
+    assert all(np.allclose(a[c], b[c]) for c in ("EWMA_94", "EWMA_97", "EWMA_99"))
