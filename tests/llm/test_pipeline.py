@@ -91,5 +91,5 @@ def test_registered_queries_have_stable_columns():
     import __spark_entry__ as entry
 
     names = list(entry.queries())
-    assert [f"op{i}" for i in range(1, 11)] == sorted({n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()}, key=lambda n: int(n[2:]))
+    assert [f"op{i}" for i in range(1, 14)] == sorted({n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()}, key=lambda n: int(n[2:]))
     assert "pipeline" in names
