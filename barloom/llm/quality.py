@@ -217,7 +217,7 @@ def sums(rows: DataFrame, chain: Chain) -> tuple[float, np.ndarray, np.ndarray]:
     return total[0] / FINE, total[1 : 1 + N_PARAMETERS] / FINE, total[1 + N_PARAMETERS :].reshape(N_PARAMETERS, N_PARAMETERS) / COARSE**2
 
 
-def fit(rows: DataFrame, n: int, rounds: int = 40, decay: float = 1e-3, enough: float = 1e-5) -> Chain:
+def fit(rows: DataFrame, n: int, rounds: int = 40, decay: float = 1e-3, enough: float = 1e-4) -> Chain:
     """Maximum likelihood of the documents' labels by damped scoring steps, one pass over (text, y, n) a step.
 
     A step solves with the summed outer products of gradients in place of second derivatives; one that
