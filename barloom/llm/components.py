@@ -27,7 +27,7 @@ def join_spread(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(a, b) links of long ids -> (node, root): the smallest id of the component, for each of its other nodes.
+    """(a, b) links of ids of one type, long or binary -> (node, root): the smallest id of the component, for each of its other nodes.
 
     Alternates the two star contractions: every node hands its neighbours to the smallest
     one it knows, first for larger neighbours, then for smaller ones. Hubs with a large share
