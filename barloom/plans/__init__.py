@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("feature_queries", "research_queries", "relational_queries", "coverage_queries", "model_queries", "boost_queries", "interaction_queries", "component_queries")
+GROUPS = ("feature_queries", "research_queries", "relational_queries", "coverage_queries", "model_queries", "boost_queries", "interaction_queries", "component_queries", "module_queries")
 
 
 def load() -> None:

@@ -13,6 +13,7 @@ from ..sources.tables import read_table
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+PANELS: dict[str, tuple[list[str], int]] = {}  # columns and digits of panels that have an oracle
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
@@ -49,4 +50,6 @@ def rounded(df: DataFrame, columns: list[str] | None = None, digits: int = 6, ke
 
 def panel(name: str, op: Callable[[DataFrame], DataFrame], columns: list[str], oracle: str | None = None, digits: int = 6) -> None:
     """Register op(hourly bars) reduced to some columns."""
+    if oracle is not None:
+        PANELS[name] = (columns, digits)
     query(name, oracle)(lambda spark, sf_dir: rounded(op(hourly(spark, sf_dir)), columns, digits))
