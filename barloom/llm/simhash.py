@@ -69,8 +69,12 @@ def shingle_hashes(block: TextBlock, shingle: int = SHINGLE, seed: int = SEED) -
 
 def fingerprints_of(block: TextBlock, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     """Unsigned 64-bit SimHash of each document of the block."""
-    hashes, count = shingle_hashes(block, shingle, seed)
-    out = np.zeros(block.n, np.uint64)
+    return majority_bits(*shingle_hashes(block, shingle, seed))
+
+
+def majority_bits(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The bits that over half of each document's hashes have; hashes stand document by document, none gives zero."""
+    out = np.zeros(len(count), np.uint64)
     if not len(hashes):
         return out
     some = np.flatnonzero(count)

@@ -1,17 +1,21 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles (the pipeline's stage).
+"""Near-duplicates by SimHash, min-wise keys and exact Jaccard similarity of word shingles (the pipeline's stage).
 
 Two texts are near where their sets of five-word shingles have a Jaccard similarity of at
 least 0.8; groups are the components of that relation, and one row of each group stays.
 
 1. Rows with equal shingle sets become one node. Sets and rows are told apart by 128 bits.
-2. Several fingerprints find candidates: each of ``BANDS`` keys is made of ``ROWS``
+2. Each node has a SimHash, the bits that over half of its shingles' hashes have. All nodes
+   within ``simhash.RADIUS`` bits of each other are found exactly, as in operator 9
+   (``simhash_links``), and are joined to coarse groups, which may well be too large.
+3. A pair at 0.8 differs in 9.7 of 64 bits on average, beyond any radius that can be searched.
+   For such pairs there are min-wise keys beside it: each of ``BANDS`` keys is made of ``ROWS``
    minima of the shingles' hashes. A pair of similarity s shares no key with probability
    (1 - s^ROWS)^BANDS: 1.1e-6 at 0.8, below 1e-15 from 0.87 on. Nodes that share a key
-   are joined to coarse groups, which may well be too large.
-3. Every coarse group is sent to one task with its shingle sets, each once. There the
+   join the coarse groups as well.
+4. Every coarse group is sent to one task with its shingle sets, each once. There the
    similarities are computed exactly, in integers, from postings: a node is compared with
    all nodes not yet linked, and those that it links leave the postings.
-4. A coarse group of over ``LIMIT`` nodes is dealt over several tasks. Each finds the groups
+5. A coarse group of over ``LIMIT`` nodes is dealt over several tasks. Each finds the groups
    of its part; their first nodes are compared in the same way, which joins the parts of a
    large group. What is left are the nodes outside the largest group so found: they are
    compared with all nodes of the coarse group, part by part. So no task holds more than
@@ -35,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import TextBlock, materialize, mix, slices
 from .components import connected_components, join_spread
-from .simhash import SEED, shingle_hashes
+from .simhash import SEED, links, majority_bits, shingle_hashes
 
 SHINGLE = 5
 #: Similarity of at least NEAR[0] / NEAR[1].
@@ -113,7 +117,7 @@ def row_key(id_col: str, text_col: str):
 
 
 def prints(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(row, doc_id, node, keys) of each row; a row without words has no keys."""
+    """(row, doc_id, node, fp, keys) of each row; a row without words has neither SimHash nor keys."""
 
     def run(batches):
         for whole in batches:
@@ -124,9 +128,20 @@ def prints(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 keys = band_keys(hashes, np.append(begins[some], len(hashes))) if len(some) else np.zeros((0, BANDS), np.uint64)
                 offsets = np.concatenate(([0], np.cumsum(np.where(size > 0, BANDS, 0)))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(keys).ravel().view(np.int64)))
-                yield pa.record_batch([batch.column(0), batch.column(1), wide(digests(hashes, begins)), lists], names=["row", "doc_id", "node", "keys"])
+                fp = pa.array(majority_bits(hashes, size).view(np.int64), mask=size == 0)
+                yield pa.record_batch([batch.column(0), batch.column(1), wide(digests(hashes, begins)), fp, lists], names=["row", "doc_id", "node", "fp", "keys"])
 
-    return rows.mapInArrow(run, "row binary, doc_id long, node binary, keys array<long>")
+    return rows.mapInArrow(run, "row binary, doc_id long, node binary, fp long, keys array<long>")
+
+
+def simhash_links(seen: DataFrame) -> DataFrame:
+    """Links (a, b) that join all nodes whose SimHashes a chain of steps within the radius joins; seen: written (node, fp)."""
+    by_print = materialize(seen.where("fp IS NOT NULL").groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    near = materialize(links(by_print.select("fp")).distinct(), "near")
+    ends = [by_print.select(F.col("fp").alias(end), F.col("node").alias(f"{end}_node")).hint("merge") for end in ("a", "b")]
+    different = near.join(ends[0], "a").join(ends[1], "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    equal = seen.where("fp IS NOT NULL").select(F.col("fp").alias("key"), "node").distinct()
+    return different.unionByName(chained(equal))
 
 
 def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,6 +159,11 @@ def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([wide(before[same]), wide(nodes[same])], names=["a", "b"])
 
 
+def chained(keyed: DataFrame) -> DataFrame:
+    """Links (a, b) that join all nodes of one key; keyed: (key, node)."""
+    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(chains, "a binary, b binary")
+
+
 def exact_groups(sets: list[np.ndarray], near: tuple[int, int] = NEAR) -> np.ndarray:
     """For each set the index of the first of its group: the closure of pairs with similarity of at least near[0] / near[1]."""
     n = len(sets)
@@ -297,7 +317,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", li
     rows = keyed_rows(docs, id_col, text_col)
     seen = materialize(prints(rows), "prints")
     keyed = seen.select("node", F.explode("keys").alias("key")).select("key", "node")
-    edges = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(chains, "a binary, b binary").distinct()
+    edges = simhash_links(seen.select("node", "fp")).unionByName(chained(keyed)).distinct()
     coarse = connected_components(edges)
     coarse = materialize(coarse.union(coarse.select(F.col("root").alias("node"), "root").distinct()), "coarse")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("best")

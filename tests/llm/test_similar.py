@@ -4,6 +4,8 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -128,3 +130,47 @@ def test_identities_have_128_bits(spark):
     keys = spark.createDataFrame([(1, "a"), (None, "1:a"), (11, ""), (1, None), (None, None)], "doc_id long, text string")
     keys = [bytes(r[0]) for r in keys.select(similar.row_key("doc_id", "text")).collect()]
     assert len(set(keys)) == 5 and {len(k) for k in keys} == {16}
+
+
+def simhash(shingled):
+    hashes = [xxhash.xxh64_intdigest(" ".join(s).encode(), 42) for s in shingled]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_alone_finds_what_its_radius_holds(spark, monkeypatch):
+    """Without min-wise keys the stage still joins near texts of few differing bits, by chains and exactly."""
+    rows = edited()
+    sets = [shingles(t) for _, t in rows]
+    prints = [simhash(s) for s in sets]
+    coarse = list(range(len(rows)))
+    for _ in rows:  # to the end of every chain
+        before = list(coarse)
+        for a in range(len(rows)):
+            for b in range(a):
+                if sets[a] and sets[b] and (prints[a] ^ prints[b]).bit_count() <= 4:
+                    coarse[a] = coarse[b] = min(coarse[a], coarse[b])
+        if coarse == before:
+            break
+    want = set()
+    for c in set(coarse):
+        own = [k for k in range(len(rows)) if coarse[k] == c]
+        root = groups([sets[k] for k in own])
+        want |= {k for i, k in enumerate(own) if root[i] == i}
+    want = {rows[k][0] for k in want} - {9001}  # texts without words are one node from the start
+    assert len(want) < len(rows) - 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plain = similar.prints
+    monkeypatch.setattr(similar, "prints", lambda *a: plain(*a).withColumn("keys", F.array().cast("array<long>")))
+    assert sorted(r.doc_id for r in similar.keep_one(docs).collect()) == sorted(want)
+
+
+def test_simhash_links_join_all_within_the_radius(spark):
+    """Equal fingerprints of different nodes, chains of steps of four bits, five bits apart; no fingerprint, no link."""
+    prints = [0, 0b1111, 0b11111111, -1, -1, -1 ^ 0b11111, None, 1 << 40 | 0x5A5A5A5A5A << 8]
+    rows = [(bytes([k]) * 16, p) for k, p in enumerate(prints)]
+    found = [(r.a[0], r.b[0]) for r in similar.simhash_links(spark.createDataFrame(rows, "node binary, fp long")).collect()]
+    root = {k: k for k in range(len(rows))}
+    for _ in root:
+        for a, b in found:
+            root[a] = root[b] = min(root[a], root[b])
+    assert list(root.values()) == [0, 0, 0, 3, 3, 5, 6, 7]
