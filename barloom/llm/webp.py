@@ -9,7 +9,9 @@ earlier pixels, followed by doubling. Images with several groups go pixel by pix
 
 ``compress`` writes what the query stores: of no transform, a predictor, cross-colour and a
 palette the one with the least entropy, back-references to the last place where three pixels
-stood, a colour cache where it is hit often enough, and canonical prefix codes.
+stood, a colour cache where it is hit often enough, and canonical prefix codes. Most documents
+are short, so ``write_all`` codes the strips of many side by side, ``TOGETHER`` pixels at a
+time: each file has its own codes and is the same as if it were written alone.
 
 ``store`` turns a text into media and reads it back: UTF-8, blanks up to a positive
 multiple of 192 bytes, 64 RGB pixels to a row, strips of at most ``STRIP_ROWS`` rows, each a
@@ -34,6 +36,7 @@ from pyspark.sql import DataFrame
 from .common import map_slices, texts
 
 ROW, WIDTH, STRIP_ROWS = 192, 64, 256
+TOGETHER = 1 << 14
 
 # fixed values of the format
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -482,13 +485,56 @@ def _number(value: int, n: int) -> np.ndarray:
     return (value >> np.arange(n) & 1).astype(np.uint8)
 
 
-def _wrap(parts: list[np.ndarray], width: int, height: int) -> bytes:
-    head = [_number(0x2F, 8), _number(width - 1, 14), _number(height - 1, 14), _number(1, 1), _number(0, 3)]
-    stream = np.packbits(np.concatenate(head + parts), bitorder="little").tobytes()
+def _file(stream: bytes) -> bytes:
     pad = b"\0" * (len(stream) % 2)
     return b"RIFF" + (12 + len(stream) + len(pad)).to_bytes(4, "little") + b"WEBPVP8L" + len(stream).to_bytes(4, "little") + stream + pad
 
 
+def _wrap(parts: list[np.ndarray], width: int, height: int) -> bytes:
+    head = [_number(0x2F, 8), _number(width - 1, 14), _number(height - 1, 14), _number(1, 1), _number(0, 3)]
+    return _file(np.packbits(np.concatenate(head + parts), bitorder="little").tobytes())
+
+
+def _depths(weight: list[int]) -> list[int]:
+    """Depths in the Huffman tree of at least two rising weights."""
+    n = len(weight)
+    none = sum(weight) + 1
+    leaves, inner = [*weight, none + 1], [none] * n  # leaves and inner nodes both come in rising order
+    up_leaf, up_inner = [0] * n, [0] * n
+    leaf = node = 0
+    for new in range(n - 1):
+        if leaves[leaf] <= inner[node]:
+            pair = leaves[leaf]
+            up_leaf[leaf] = new
+            leaf += 1
+        else:
+            pair = inner[node]
+            up_inner[node] = new
+            node += 1
+        if leaves[leaf] <= inner[node]:
+            inner[new] = pair + leaves[leaf]
+            up_leaf[leaf] = new
+            leaf += 1
+        else:
+            inner[new] = pair + inner[node]
+            up_inner[node] = new
+            node += 1
+    deep = [1] * n
+    for k in range(n - 3, -1, -1):
+        deep[k] = deep[up_inner[k]] + 1
+    return [deep[k] for k in up_leaf]
+
+
+def _limited(weight: list[int], most: int) -> list[int]:
+    """Depths of at most ``most``: small weights are raised until none is over it."""
+    floor = 1
+    while True:
+        depth = _depths([max(w, floor) for w in weight] if floor > 1 else weight)
+        if max(depth) <= most:
+            return depth
+        floor *= 2
+
+
 def lengths_of(counts: np.ndarray, most: int = 14) -> np.ndarray:
     """Huffman code lengths of at most ``most``; one used symbol has length 1."""
     used = np.flatnonzero(counts)
@@ -497,120 +543,87 @@ def lengths_of(counts: np.ndarray, most: int = 14) -> np.ndarray:
         out[used] = 1
         return out
     order = used[np.argsort(counts[used], kind="stable")]
-    floor = 1
-    while True:
-        weight = np.maximum(counts[order], floor).tolist()
-        n = len(weight)
-        parent = [0] * (2 * n - 1)
-        leaf, node, total = 0, n, weight
-        for new in range(n, 2 * n - 1):  # leaves and inner nodes both come in rising order
-            pair = 0
-            for _ in (0, 1):
-                if leaf < n and (node >= new or total[leaf] <= total[node]):
-                    parent[leaf] = new
-                    pair += total[leaf]
-                    leaf += 1
-                else:
-                    parent[node] = new
-                    pair += total[node]
-                    node += 1
-            total.append(pair)
-        depth = [0] * (2 * n - 1)
-        for k in range(2 * n - 3, -1, -1):
-            depth[k] = depth[parent[k]] + 1
-        if max(depth[:n]) <= most:
-            out[order] = depth[:n]
-            return out
-        floor *= 2
-
-
-def one_length(symbols: np.ndarray, alphabet: int) -> np.ndarray:
-    out = np.zeros(alphabet, np.int64)
-    out[symbols[:1]] = 1
-    return out
-
-
-def codes_of(lengths: np.ndarray) -> np.ndarray:
-    """The code of each symbol, first bit lowest; a lone symbol has no bits."""
-    out = np.zeros(len(lengths), np.int64)
-    used = np.flatnonzero(lengths)
-    if len(used) > 1:
-        used = used[np.argsort(lengths[used], kind="stable")]
-        width = int(lengths[used[-1]])
-        taken = 1 << (width - lengths[used])
-        out[used] = reversed_bits(width)[np.cumsum(taken) - taken]
+    out[order] = _limited(counts[order].tolist(), most)
     return out
 
 
-Fields = list[tuple[int, int]]
-
-
 #: the code that code lengths are written in: of 1 to 14, one zero, and runs of zeros (17, 18)
-_WIDTHS = [4, 6, 6, 5, 4, 3, 3, 3, 3, 4, 5, 6, 6, 6, 6, 0, 0, 3, 5]
-_CODES = codes_of(np.array(_WIDTHS)).tolist()
-_LAST = max(i for i, s in enumerate(LENGTH_ORDER) if _WIDTHS[s]) + 1
+_WIDTHS = np.array([4, 6, 6, 5, 4, 3, 3, 3, 3, 4, 5, 6, 6, 6, 6, 0, 0, 3, 5])
 LONGEST = 14
-
-
-def prefix_fields(lengths: np.ndarray) -> Fields:
-    """A prefix code of lengths up to LONGEST as (value, bits), with runs of zeros shortened."""
-    used = np.flatnonzero(lengths).tolist()
-    if len(used) < 2 and (not used or used[0] < 256):
-        return [(0b101, 3), (used[0] if used else 0, 8)]
-    runs, at = [], 0  # symbol, extra, its bits
-    for symbol, length in zip(used, lengths[used].tolist(), strict=True):
-        gap, at = symbol - at, symbol + 1
-        while gap >= 3:
-            take = min(gap, 138)
-            runs.append((18, take - 11, 7) if take > 10 else (17, take - 3, 3))
-            gap -= take
-        if gap:
-            runs += [(0, 0, 0)] * gap
-        runs.append((length, 0, 0))
-    runs += [(0, 0, 0)] * (2 - len(runs))
-    # the number of runs, less two, in as many pairs of bits as it takes
-    left = len(runs) - 2
-    pairs = max(1, -(-left.bit_length() // 2))
-    head = [(0, 1), (_LAST - 4, 4), *((_WIDTHS[s], 3) for s in LENGTH_ORDER[:_LAST]), (1, 1), (pairs - 1, 3), (left, 2 * pairs)]
-    return head + [(_CODES[s] | extra << _WIDTHS[s], _WIDTHS[s] + n) for s, extra, n in runs]
-
-
-def bits_of(values: np.ndarray, widths: np.ndarray) -> np.ndarray:
-    """Numbers of given widths, lowest bit first, back to back."""
-    inside = np.arange(int(widths.sum())) - np.repeat(np.cumsum(widths) - widths, widths)
-    return (np.repeat(values, widths) >> inside & 1).astype(np.uint8)
-
-
-def matches(colour: np.ndarray, least: int = 4, most: int = 4096) -> list[tuple[int, int, int]]:
-    """(place, length, distance) of repeats, in order and apart, to the last place where the same three pixels stood."""
-    n = len(colour)
-    if n < least:
-        return []
+_CODES = np.zeros(19, np.int64)
+_order = np.argsort(np.where(_WIDTHS > 0, _WIDTHS, 99), kind="stable")[: np.count_nonzero(_WIDTHS)]
+_taken = 1 << (LONGEST - _WIDTHS[_order])
+_CODES[_order] = reversed_bits(LONGEST)[np.cumsum(_taken) - _taken]
+_LAST = max(i for i, s in enumerate(LENGTH_ORDER) if _WIDTHS[s]) + 1
+#: how each prefix code of that kind begins: no simple code, the widths above
+_OPENING, _OPENING_BITS = _LAST - 4 << 1 | sum(int(_WIDTHS[s]) << 5 + 3 * k for k, s in enumerate(LENGTH_ORDER[:_LAST])), 5 + 3 * _LAST
+
+#: where the five alphabets (the first with the largest cache) begin among an image's symbols
+_ALPHABETS = np.array([0, 536, 792, 1048, 1304, 1344])
+_PLACE_BITS = 20  # pixels of a batch at most
+
+
+def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... for each pair, back to back."""
+    return np.arange(int(count.sum())) + np.repeat(begin - (np.cumsum(count) - count), count)
+
+
+def packed(values: np.ndarray, widths: np.ndarray, count: np.ndarray) -> list[bytes]:
+    """Numbers of given widths (up to 63 bits), lowest bit first, back to back: ``count`` of them to each stream."""
+    total = np.concatenate(([0], np.cumsum(widths)))
+    edge = np.concatenate(([0], np.cumsum(count)))
+    size = total[edge[1:]] - total[edge[:-1]]
+    words = (size + 63) >> 6
+    first = np.cumsum(words) - words
+    at = total[:-1] + np.repeat(64 * first - total[edge[:-1]], count)
+    word, shift = at >> 6, (at & 63).astype(np.uint64)
+    values = values.astype(np.uint64)
+    out = np.zeros(int(words.sum()) + 1, np.uint64)
+    fresh = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+    out[word[fresh]] = np.bitwise_or.reduceat(values << shift, fresh)
+    over = (values >> np.uint64(1)) >> (np.uint64(63) - shift)
+    some = np.flatnonzero(over)
+    out[word[some] + 1] |= over[some]  # one number at most runs over the end of a word
+    raw = out.astype("<u8").tobytes()
+    return [raw[8 * a : 8 * a + (n + 7) // 8] for a, n in zip(first.tolist(), size.tolist(), strict=True)]
+
+
+def matches(colour: np.ndarray, image: np.ndarray, ends: np.ndarray, least: int = 4, most: int = 4096) -> np.ndarray:
+    """(place, length, distance) of repeats, in order and apart, to the last place of the same image where the same three pixels stood.
+
+    image: of each pixel; ends: of each image. Images of under 16 pixels have none.
+    """
+    none = np.zeros((0, 3), np.int64)
+    if len(colour) < 3:
+        return none
     with np.errstate(over="ignore"):
         wide = colour.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         key = wide[:-2] + (wide[1:-1] << np.uint64(21) | wide[1:-1] >> np.uint64(43)) * np.uint64(3) + (wide[2:] << np.uint64(42) | wide[2:] >> np.uint64(22)) * np.uint64(5)
-    order = np.argsort(key, kind="stable")
-    same = key[order[1:]] == key[order[:-1]]
-    if not same.any():
-        return []
-    back = np.zeros(n - 2, np.int64)
-    back[order[1:][same]] = (order[1:] - order[:-1])[same]
-    edge = np.flatnonzero(np.concatenate(([True], back[1:] != back[:-1], [True])))
+    fits = image[2:] == image[:-2]
+    fits &= (np.diff(ends, prepend=0) >= 16)[image[:-2]]
+    # by key, then by place: both in one number
+    low = np.uint64((1 << _PLACE_BITS) - 1)
+    key = np.sort((key & ~low | np.arange(len(key), dtype=np.uint64))[fits])
+    place = (key & low).astype(np.int64)
+    same = np.flatnonzero((key[1:] ^ key[:-1]) <= low)
+    here, there = place[1:][same], place[:-1][same]
+    # equal keys are equal pixels but for a collision of 44 bits
+    good = image[here] == image[there]
+    for k in range(3):
+        good &= colour[here + k] == colour[there + k]
+    back = np.zeros(len(colour), np.int64)
+    back[here[good]] = (here - there)[good]
+    edge = np.flatnonzero(np.concatenate(([True], (back[1:] != back[:-1]) | (image[1:] != image[:-1]), [True])))
+    a, b = edge[:-1], edge[1:] + 2
+    some = np.flatnonzero((back[a] > 0) & (b - a >= least))
     out, free = [], 0
-    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        distance = int(back[a])
-        if not distance or b + 2 - max(a, free) < least:
-            continue
-        a, b = max(a, free), b + 2
-        # equal keys of three pixels are equal pixels but for a collision of 64 bits
-        wrong = np.flatnonzero(colour[a:b] != colour[a - distance : b - distance])
-        b = a + int(wrong[0]) if len(wrong) else b
+    for a, b, distance in zip(a[some].tolist(), b[some].tolist(), back[a[some]].tolist(), strict=True):
+        a = max(a, free)
         while b - a >= least:
             length = min(b - a, most)
             out.append((a, length, distance))
-            a += length
-        free = max(free, a)
-    return out
+            free = a = a + length
+    return np.array(out, np.int64) if out else none
 
 
 def _split_number(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -621,58 +634,161 @@ def _split_number(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.where(value < 4, value, 2 * more + 2 + (value >> more & 1)), value & ((1 << more) - 1), more
 
 
-def image_bits(pixels: np.ndarray, top: bool) -> np.ndarray:
-    """(height, width, 4) pixels as bits: back-references, a colour cache where it pays, prefix codes."""
-    height, width, _ = pixels.shape
-    colour = np.ascontiguousarray(pixels).view(">u4").ravel().astype(np.uint64)
-    n = len(colour)
-    found = matches(colour) if n >= 16 else []
-    covered = np.zeros(n + 1, np.int64)
-    for a, length, _ in found:
-        covered[a] += 1
-        covered[a + length] -= 1
-    single = np.cumsum(covered[:n]) == 0
-    hit, cache_bits = np.zeros(n, bool), 0
-    if n >= 64:
-        cache_bits = min(8, n.bit_length() - 3)
-        place = _cache_place(colour, cache_bits)
-        order = np.argsort(place, kind="stable")
-        hit[order[1:]] = colour[order[1:]] == colour[order[:-1]]
-        hit &= single
-        if hit.sum() * 3 < n:  # a cache makes every code longer
-            hit[:], cache_bits = False, 0
-    starts = np.flatnonzero(single)
-    if found:
-        starts = np.sort(np.concatenate((starts, np.array([a for a, _, _ in found]))))
-    green = (colour >> np.uint64(8) & np.uint64(255)).astype(np.int64)[starts]
-    rows = [(colour >> np.uint64(k) & np.uint64(255)).astype(np.int64)[starts] for k in (16, 0, 24)]
-    symbol = np.where(hit[starts], 280 + (place[starts] if cache_bits else 0), green)
-    plain = single[starts] & ~hit[starts]
-    value, bits = np.zeros((5, len(starts)), np.int64), np.zeros((5, len(starts)), np.int64)
-    far = np.zeros(0, np.int64)
-    if found:
-        _, length, distance = (np.array(x) for x in zip(*found, strict=True))
-        copy = np.flatnonzero(~single[starts])
-        near = {max(1, dx + dy * width): k for k, (dx, dy) in reversed(list(enumerate(NEAR, 1)))}
-        short = np.array([near.get(d, d + 120) for d in distance.tolist()])
-        kind, value[1, copy], bits[1, copy] = _split_number(length)
-        symbol[copy] = 256 + kind
-        far, value[3, copy], bits[3, copy] = _split_number(short)
-    sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    used = [symbol, *(r[plain] for r in rows), far]
-    lengths = [lengths_of(np.bincount(u, minlength=m)) if k < 3 or (u[1:] != u[:1]).any() else one_length(u, m) for k, (u, m) in enumerate(zip(used, sizes, strict=True))]
-    fields = ([(1, 1), (cache_bits, 4)] if cache_bits else [(0, 1)]) + [(0, 1)] * top
-    for code in lengths:
-        fields += prefix_fields(code)
-    head = np.array(fields, np.int64)
-    codes = [codes_of(code) for code in lengths]
-    widths = [code if np.count_nonzero(code) > 1 else np.zeros_like(code) for code in lengths]
-    value[0], bits[0] = codes[0][symbol], widths[0][symbol]
-    for k, row in enumerate(rows, 1):
-        value[k, plain], bits[k, plain] = codes[k][row[plain]], widths[k][row[plain]]
-    if found:
-        value[2, copy], bits[2, copy] = codes[4][far], widths[4][far]
-    return bits_of(np.concatenate((head[:, 0], value.T.ravel())), np.concatenate((head[:, 1], bits.T.ravel())))
+_NEAR_CODE: dict[int, np.ndarray] = {}  # by width: the code of each distance that has a short one
+
+
+def _distance_codes(distance: np.ndarray, width: int) -> np.ndarray:
+    if width not in _NEAR_CODE:
+        near = np.zeros(8 + 7 * width + 1, np.int64)
+        for k, (dx, dy) in reversed(list(enumerate(NEAR, 1))):
+            near[max(1, dx + dy * width)] = k
+        if len(_NEAR_CODE) > 64:
+            _NEAR_CODE.clear()
+        _NEAR_CODE[width] = near
+    near = _NEAR_CODE[width]
+    short = near[np.minimum(distance, len(near) - 1)]
+    return np.where((distance < len(near)) & (short > 0), short, distance + 120)
+
+
+def _codes_of_all(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From how often each symbol of each code occurs (codes of all images, one after the other in ``_ALPHABETS``): code lengths, codes, and bits a symbol (none where it stands alone)."""
+    used = np.flatnonzero(counts)
+    many = counts[used]
+    image, inside = np.divmod(used, _ALPHABETS[-1])
+    code = 5 * image + np.searchsorted(_ALPHABETS, inside, side="right") - 1
+    # rising counts within each code, then by symbol
+    order = np.argsort((code << 24) + many, kind="stable")
+    bounds = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1], [True]))).tolist()
+    rising, found, alone = many[order].tolist(), [], np.zeros(len(used), bool)
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        if b - a < 2:
+            found.append(1)
+            alone[a] = True
+        else:
+            found += _limited(rising[a:b], LONGEST)
+    length = np.zeros(len(used), np.int64)
+    length[order] = found
+    order = np.argsort((code << 4) + length, kind="stable")
+    taken = 1 << (LONGEST - length[order])
+    ahead = np.cumsum(taken) - taken
+    ahead -= np.repeat(ahead[bounds[:-1]], np.diff(bounds))
+    lengths, codes, widths = (np.zeros(len(counts), np.int64) for _ in range(3))
+    lengths[used] = length
+    codes[used[order]] = reversed_bits(LONGEST)[ahead]
+    codes[used[alone]] = 0
+    widths[used] = np.where(alone, 0, length)
+    return lengths, codes, widths
+
+
+def _code_fields(lengths: np.ndarray, images: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The prefix codes of all images as numbers, their widths, and how many each of the five codes of each image has."""
+    used = np.flatnonzero(lengths)
+    image, inside = np.divmod(used, _ALPHABETS[-1])
+    channel = np.searchsorted(_ALPHABETS, inside, side="right") - 1
+    code, symbol = 5 * image + channel, inside - _ALPHABETS[channel]
+    n = np.bincount(code, minlength=5 * images)
+    first = np.cumsum(n) - n
+    only = np.zeros(5 * images, np.int64)
+    only[n == 1] = symbol[first[n == 1]]
+    simple = (n == 0) | (n == 1) & (only < 256)
+    # others: an opening, the number of runs, runs of zeros and lengths
+    keep = ~simple[code]
+    code, symbol, length = code[keep], symbol[keep], lengths[used][keep]
+    gap = np.diff(symbol, prepend=-1) - 1
+    start = np.concatenate(([True], code[1:] != code[:-1])) if len(code) else np.zeros(0, bool)
+    gap[start] = symbol[start]
+    full, rest = np.divmod(gap, 138)
+    runs = full + np.where(rest >= 3, 1, rest) + 1
+    end = np.cumsum(runs)
+    own = np.repeat(np.arange(len(runs)), runs)
+    k = np.arange(len(own)) - (end - runs)[own]
+    rest_of = rest[own]
+    last = k == runs[own] - 1
+    kind = np.where(last, length[own], np.where(k < full[own], 18, np.where(rest_of < 3, 0, np.where(rest_of > 10, 18, 17))))
+    extra = np.where(last | (kind == 0), 0, np.where(k < full[own], 127, np.where(kind == 18, rest_of - 11, rest_of - 3)))
+    count = np.bincount(code, runs, 5 * images).astype(np.int64)
+    # the number of runs, less two, in as many pairs of bits as it takes
+    left = count - 2
+    pairs = np.maximum(1, (np.frexp(np.maximum(left, 0).astype(float))[1] + 1) // 2)
+    fields = np.where(simple, 1, count + 2)
+    at = np.cumsum(fields) - fields
+    value, width = np.zeros(int(fields.sum()), np.int64), np.zeros(int(fields.sum()), np.int64)
+    value[at[simple]], width[at[simple]] = 0b101 | only[simple] << 3, 11
+    normal = np.flatnonzero(~simple)
+    value[at[normal]], width[at[normal]] = _OPENING, _OPENING_BITS
+    value[at[normal] + 1], width[at[normal] + 1] = (1 | pairs - 1 << 1 | left << 4)[normal], (4 + 2 * pairs)[normal]
+    to = _ranges(at[normal] + 2, count[normal])
+    value[to], width[to] = _CODES[kind] | extra << _WIDTHS[kind], _WIDTHS[kind] + np.where(kind == 18, 7, np.where(kind == 17, 3, 0))
+    return value, width, fields
+
+
+Fields = list[tuple[int, int]]
+
+
+def numbers(images: list[tuple[Fields, np.ndarray, bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each (what goes before, (height, width, 4) pixels, main image or not) its bits as ``packed`` takes them: back-references, a colour cache where it pays, prefix codes.
+
+    The images are coded side by side, each as it would be alone: the steps go over the pixels of all.
+    """
+    colour = np.concatenate([np.ascontiguousarray(pixels).view(">u4").ravel() for _, pixels, _ in images]).astype(np.uint32)
+    size = np.array([pixels.shape[0] * pixels.shape[1] for _, pixels, _ in images])
+    ends = np.cumsum(size)
+    image = np.repeat(np.arange(len(images)), size)
+    found = matches(colour, image, ends)
+    covered = np.zeros(len(colour) + 1, np.int64)
+    covered[found[:, 0]] += 1
+    covered[found[:, 0] + found[:, 1]] -= 1
+    single = np.cumsum(covered[:-1]) == 0
+    # a colour cache: hits are pixels that are the last one before them in their place
+    cache_bits = np.array([min(8, n.bit_length() - 3) if n >= 64 else 0 for n in size.tolist()])
+    place = (colour * np.uint32(_CACHE_FACTOR)) >> (np.uint32(32) - np.maximum(cache_bits, 1).astype(np.uint32))[image]
+    low = np.uint64((1 << _PLACE_BITS) - 1)
+    order = (np.sort((image << 28 | place.astype(np.int64) << _PLACE_BITS).astype(np.uint64) | np.arange(len(colour), dtype=np.uint64)) & low).astype(np.int64)
+    hit = np.zeros(len(colour), bool)
+    hit[order[1:]] = (colour[order[1:]] == colour[order[:-1]]) & (image[order[1:]] == image[order[:-1]])
+    hit &= single
+    pays = (cache_bits > 0) & (np.bincount(image[hit], minlength=len(images)) * 3 >= size)  # a cache makes every code longer
+    hit &= pays[image]
+    starts = single.copy()
+    starts[found[:, 0]] = True
+    starts = np.flatnonzero(starts)
+    colour, place, hit, single = colour[starts], place[starts].astype(np.int64), hit[starts], single[starts]
+    base = image[starts] * _ALPHABETS[-1]
+    channels = np.ascontiguousarray(colour.astype("<u4")).view(np.uint8).reshape(-1, 4).astype(np.int64)  # blue, green, red, alpha
+    first = base + np.where(hit, 280 + place, channels[:, 1])
+    plain, copy = np.flatnonzero(single & ~hit), np.flatnonzero(~single)
+    kind, length_extra, length_bits = _split_number(found[:, 1])
+    first[copy] = base[copy] + 256 + kind
+    width = np.array([pixels.shape[1] for _, pixels, _ in images])[image[found[:, 0]]]
+    short = np.zeros(len(found), np.int64)
+    for w in np.unique(width).tolist():
+        short[width == w] = _distance_codes(found[width == w, 2], w)
+    far, far_extra, far_bits = _split_number(short)
+    far += base[copy] + _ALPHABETS[4]
+    others = [base[plain] + _ALPHABETS[k] + channels[plain, c] for k, c in ((1, 2), (2, 0), (3, 3))]
+    counts = np.bincount(np.concatenate((first, *others, far)), minlength=len(images) * int(_ALPHABETS[-1]))
+    lengths, codes, widths = _codes_of_all(counts)
+    # all of a pixel, or of a reference, is one number
+    value, bits = codes[first], widths[first]
+    for which in others:
+        value[plain] |= codes[which] << bits[plain]
+        bits[plain] += widths[which]
+    for part, more in ((length_extra, length_bits), (codes[far], widths[far]), (far_extra, far_bits)):
+        value[copy] |= part << bits[copy]
+        bits[copy] += more
+    code_value, code_width, fields = _code_fields(lengths, len(images))
+    lead = [[*before, (1 | cached << 1, 5) if cached else (0, 1), *([(0, 1)] if top else [])] for (before, _, top), cached in zip(images, np.where(pays, cache_bits, 0).tolist(), strict=True)]
+    n_lead, n_codes, n_pixels = np.array([len(x) for x in lead]), fields.reshape(-1, 5).sum(axis=1), np.bincount(image[starts], minlength=len(images))
+    count = n_lead + n_codes + n_pixels
+    at = np.cumsum(count) - count
+    values, sizes = np.zeros(int(count.sum()), np.int64), np.zeros(int(count.sum()), np.int64)
+    to = _ranges(at, n_lead)
+    values[to], sizes[to] = np.array([f for x in lead for f in x], np.int64).T
+    to = _ranges(at + n_lead, n_codes)
+    values[to], sizes[to] = code_value, code_width
+    to = _ranges(at + n_lead + n_codes, n_pixels)
+    values[to], sizes[to] = value, bits
+    return values, sizes, count
 
 
 def _entropy(*channels: np.ndarray) -> float:
@@ -683,17 +799,27 @@ def _entropy(*channels: np.ndarray) -> float:
     return float(len(channels) * size * np.log2(size) - (n * np.log2(n)).sum())
 
 
-def _one_pixel(pixel: tuple[int, int, int, int]) -> np.ndarray:
+def _one_pixel(pixel: tuple[int, int, int, int]) -> Fields:
     """An image of one colour, however large: alpha, red, green, blue."""
     a, r, g, b = pixel
-    return bits_of(*np.array([(0, 1), *(f for v in (g, r, b, a, 0) for f in ((0b101, 3), (v, 8)))]).T)
+    return [(0, 1), *((0b101 | v << 3, 11) for v in (g, r, b, a, 0))]
 
 
 _WIDEST = 9  # blocks of 512 pixels: one for a strip
 
 
 def compress(rgb: np.ndarray) -> bytes:
-    """(height, width, 3) of red, green, blue, at most 512 to a side, to a file: the transform with the least entropy, then ``image_bits``."""
+    """(height, width, 3) of red, green, blue, at most 512 to a side, to a file."""
+    return compress_all([rgb])[0]
+
+
+def compress_all(images: list[np.ndarray]) -> list[bytes]:
+    """As ``compress``, for images of at most a million pixels together."""
+    return [_file(stream) for stream in packed(*numbers([transformed(rgb) for rgb in images]))]
+
+
+def transformed(rgb: np.ndarray) -> tuple[Fields, np.ndarray, bool]:
+    """What a file begins with, and the pixels by the transform with the least entropy."""
     height, width, _ = rgb.shape
     pixels = np.full((height, width, 4), 255, np.uint8)
     pixels[..., 1:] = rgb
@@ -717,7 +843,7 @@ def compress(rgb: np.ndarray) -> bytes:
         turned = cross_colour(pixels, element, _WIDEST, -1)
         if (now := _entropy(turned[..., R], green, turned[..., B]) + 80) < cost:
             best, cost = (CROSS_COLOUR, element, turned), now
-    parts = [_number(1, 1)]
+    parts = [(1, 1)]
     colour = np.ascontiguousarray(pixels).view(">u4").ravel().astype(np.uint32)
     table = None
     if len(colour) >= 64 and len(np.unique(colour[:: max(1, len(colour) // 200)])) <= 128:  # else there are too many colours
@@ -731,18 +857,19 @@ def compress(rgb: np.ndarray) -> bytes:
         for x in range(1 << bundle):
             columns = index[:, x :: 1 << bundle]
             small[:, : columns.shape[1], G] |= (columns << (x * (8 >> bundle))).astype(np.uint8)
-        parts += [_number(PALETTE, 2), _number(len(colours) - 1, 8), image_bits(rising[None], False)]
+        value, bits, _ = numbers([([], rising[None], False)])
+        parts += [(PALETTE, 2), (len(colours) - 1, 8), *zip(value.tolist(), bits.tolist(), strict=True)]
         pixels = small
     elif best is None:
         parts = []
     elif best[0] == PREDICTOR:
-        parts += [_number(PREDICTOR, 2), _number(_WIDEST - 2, 3), _one_pixel((255, 0, best[1], 0))]
+        parts += [(PREDICTOR, 2), (_WIDEST - 2, 3), *_one_pixel((255, 0, best[1], 0))]
         pixels[..., 1:] = best[2]
         pixels[..., A] = 0
     else:
-        parts += [_number(CROSS_COLOUR, 2), _number(_WIDEST - 2, 3), _one_pixel(tuple(best[1][0, 0].tolist()))]
+        parts += [(CROSS_COLOUR, 2), (_WIDEST - 2, 3), *_one_pixel(tuple(best[1][0, 0].tolist()))]
         pixels = best[2]
-    return _wrap([*parts, _number(0, 1), image_bits(pixels, True)], width, height)
+    return [(0x2F | width - 1 << 8 | height - 1 << 22 | 1 << 36, 40), *parts, (0, 1)], pixels, True
 
 
 def _code_lengths(counts: Counter, alphabet: int, most: int = 15) -> np.ndarray:
@@ -937,10 +1064,31 @@ def payload_of(text: bytes) -> bytes:
     return text + b" " * ((-len(text) % ROW) if text else ROW)
 
 
-def write_strips(payload: bytes) -> bytes:
+def strips_of(payload: bytes) -> list[np.ndarray]:
     step = ROW * STRIP_ROWS
-    rows = (np.frombuffer(payload[at : at + step], np.uint8).reshape(-1, WIDTH, 3) for at in range(0, len(payload), step))
-    return b"".join(map(compress, rows))
+    return [np.frombuffer(payload[at : at + step], np.uint8).reshape(-1, WIDTH, 3) for at in range(0, len(payload), step)]
+
+
+def write_strips(payload: bytes) -> bytes:
+    return write_all([payload])[0]
+
+
+def write_all(payloads: list[bytes]) -> list[bytes]:
+    """The media of each payload; strips are coded ``TOGETHER`` pixels at a time, whatever payload they belong to."""
+    media: list[list[bytes]] = [[] for _ in payloads]
+    held: list[tuple[int, np.ndarray]] = []
+    pixels = 0
+    for k, strip in ((k, strip) for k, payload in enumerate(payloads) for strip in strips_of(payload)):
+        held.append((k, strip))
+        pixels += strip.shape[0] * WIDTH
+        if pixels >= TOGETHER:
+            for (of, _), file in zip(held, compress_all([x for _, x in held]), strict=True):
+                media[of].append(file)
+            held, pixels = [], 0
+    if held:
+        for (of, _), file in zip(held, compress_all([x for _, x in held]), strict=True):
+            media[of].append(file)
+    return [b"".join(files) for files in media]
 
 
 def read_strips(media: bytes) -> np.ndarray:
@@ -968,9 +1116,7 @@ def store(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def make():
-        def one(text: str | None) -> tuple:
-            raw = (text or "").encode()
-            media = write_strips(payload_of(raw))
+        def one(raw: bytes, media: bytes) -> tuple:
             pixels = read_strips(media)
             back = np.ascontiguousarray(pixels[..., 1:]).tobytes()
             row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(pixels))
@@ -978,7 +1124,9 @@ def store(docs: DataFrame, keep_media: bool = False) -> DataFrame:
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             given = batch.column(1).to_pylist()
-            known = {text: one(text) for text in dict.fromkeys(given)}  # copies beside each other are coded once
+            fresh = list(dict.fromkeys(given))  # copies beside each other are coded once
+            raw = [(text or "").encode() for text in fresh]
+            known = {text: one(r, m) for text, r, m in zip(fresh, raw, write_all([payload_of(r) for r in raw]), strict=True)}
             rows = list(zip(*(known[text] for text in given), strict=True))
             more = [pa.array(rows[-1], pa.binary())] if keep_media else []
             return pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=False)), *more], names=names + ["media"] * keep_media)

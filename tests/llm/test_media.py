@@ -59,6 +59,26 @@ def test_documents_are_read_back(sf):
     assert stored < 0.6 * size
 
 
+def test_files_side_by_side_are_those_written_alone(monkeypatch):
+    """Many short texts share each step of the coding, and each file stays its own: of any transform, size and number of strips."""
+    dice = random.Random(8)
+    given = [im.astype(np.uint8).tobytes() for im in images().values()]
+    given += [webp.payload_of(" ".join(dice.choice(["so", "it", "goes", "on", "\u00e9t\u00e9"]) for _ in range(dice.randrange(60))).encode()) for _ in range(250)]
+    given += [webp.payload_of(b""), webp.payload_of(b"x" * 192 * 600), webp.payload_of(bytes(dice.randrange(256) for _ in range(192 * 300)))]
+    dice.shuffle(given)
+    alone = [webp.write_strips(payload) for payload in given]
+    assert webp.write_all(given) == alone and webp.write_all([]) == []
+    for payload, media in zip(given, alone, strict=True):
+        assert webp.read_strips(media)[..., 1:].tobytes() == payload
+    plain, calls = webp.matches, []
+    monkeypatch.setattr(webp, "matches", lambda *a: (calls.append(1), plain(*a))[1])
+    webp.write_all([webp.payload_of(b"a short text of its own: %d" % k) for k in range(512)])
+    assert len(calls) <= 2 + 512 * 64 // webp.TOGETHER  # not one for each text
+    with monkeypatch.context() as m:
+        m.setattr(webp, "TOGETHER", 1)
+        assert webp.write_all(given) == alone
+
+
 @pytest.mark.parametrize("most", [15, 7])
 def test_code_lengths_fill_the_code_space(most):
     rng = np.random.default_rng(3)
