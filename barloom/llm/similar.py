@@ -4,14 +4,15 @@ Two texts are near where their sets of five-word shingles have a Jaccard similar
 least 0.8; groups are the components of that relation, and one row of each group stays.
 
 1. Rows with equal shingle sets become one node. Sets and rows are told apart by 128 bits.
-2. Each node has a SimHash, the bits that over half of its shingles' hashes have. All nodes
-   within ``simhash.RADIUS`` bits of each other are found exactly, as in operator 9
-   (``simhash_links``), and are joined to coarse groups, which may well be too large.
-3. A pair at 0.8 differs in 9.7 of 64 bits on average, beyond any radius that can be searched.
-   For such pairs there are min-wise keys beside it: each of ``BANDS`` keys is made of ``ROWS``
-   minima of the shingles' hashes. A pair of similarity s shares no key with probability
-   (1 - s^ROWS)^BANDS: 1.1e-6 at 0.8, below 1e-15 from 0.87 on. Nodes that share a key
-   join the coarse groups as well.
+2. Each node has a SimHash, the bits that over half of its shingles' hashes have. A pair at
+   0.8 differs in 9.7 of 64 bits on average, and in over ``WIDE`` bits with probability 9.5e-9
+   (1.1e-6 where a bit differs with 3 in 16, as for sets of 4 and 5). SimHashes are compared
+   bit-sliced, as in operator 9: all with all up to ``simhash.RADIUS`` bits, and up to ``WIDE``
+   bits, a radius that no search of all with all can have, in blocks.
+3. Nodes of one block share a key: each of ``BANDS`` keys is made of ``ROWS`` minima of the
+   shingles' hashes. A pair of similarity s shares no key with probability
+   (1 - s^ROWS)^BANDS: 1.1e-6 at 0.8, below 1e-15 from 0.87 on. Nodes whose SimHashes are
+   near by either search are joined to coarse groups, which may well be too large.
 4. Every coarse group is sent to one task with its shingle sets, each once. There the
    similarities are computed exactly, in integers, from postings: a node is compared with
    all nodes not yet linked, and those that it links leave the postings.
@@ -39,12 +40,13 @@ from pyspark.sql import functions as F
 
 from .common import TextBlock, materialize, mix, slices
 from .components import connected_components, join_spread
-from .simhash import SEED, links, majority_bits, shingle_hashes
+from .simhash import SEED, bucket_links, links, majority_bits, shingle_hashes
 
 SHINGLE = 5
 #: Similarity of at least NEAR[0] / NEAR[1].
 NEAR = (4, 5)
 ROWS, BANDS = 8, 75
+WIDE = 28
 LIMIT = 5_000
 _MINIMA = np.random.default_rng(SEED).integers(1, 2**31, (ROWS * BANDS, 2), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _WEIGHTS = np.random.default_rng(SEED + 1).integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -134,14 +136,29 @@ def prints(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.mapInArrow(run, "row binary, doc_id long, node binary, fp long, keys array<long>")
 
 
+def block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp) in order of both -> links (a, b) that join the SimHashes of one key within ``WIDE`` bits."""
+
+    def fresh():
+        for batch in batches:
+            key, fp = (batch.column(i).to_numpy() for i in (0, 1))
+            some = np.ones(len(key), bool)
+            some[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])  # copies are compared once
+            yield pa.record_batch([pa.array(np.zeros(int(some.sum()), np.int32)), pa.array(key[some]), pa.array(fp[some])], names=["which", "key", "fp"])
+
+    return bucket_links(fresh(), WIDE)
+
+
 def simhash_links(seen: DataFrame) -> DataFrame:
-    """Links (a, b) that join all nodes whose SimHashes a chain of steps within the radius joins; seen: written (node, fp)."""
-    by_print = materialize(seen.where("fp IS NOT NULL").groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
-    near = materialize(links(by_print.select("fp")).distinct(), "near")
+    """Links (a, b) that join all nodes whose SimHashes a chain of steps joins, each within the radius, or within ``WIDE`` bits in a block; seen: written (node, fp, keys)."""
+    some = seen.where("fp IS NOT NULL")
+    by_print = materialize(some.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    keyed = some.select(F.explode("keys").alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
+    in_blocks = keyed.mapInArrow(lambda batches: block_links(batches), "a long, b long")
+    near = materialize(links(by_print.select("fp")).unionByName(in_blocks).where("a <> b").distinct(), "near")
     ends = [by_print.select(F.col("fp").alias(end), F.col("node").alias(f"{end}_node")).hint("merge") for end in ("a", "b")]
     different = near.join(ends[0], "a").join(ends[1], "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    equal = seen.where("fp IS NOT NULL").select(F.col("fp").alias("key"), "node").distinct()
-    return different.unionByName(chained(equal))
+    return different.unionByName(chained(some.select(F.col("fp").alias("key"), "node").distinct()))
 
 
 def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,9 +333,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", li
     """One row of each group of near-duplicates; all columns stay."""
     rows = keyed_rows(docs, id_col, text_col)
     seen = materialize(prints(rows), "prints")
-    keyed = seen.select("node", F.explode("keys").alias("key")).select("key", "node")
-    edges = simhash_links(seen.select("node", "fp")).unionByName(chained(keyed)).distinct()
-    coarse = connected_components(edges)
+    coarse = connected_components(simhash_links(seen).distinct())
     coarse = materialize(coarse.union(coarse.select(F.col("root").alias("node"), "root").distinct()), "coarse")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("best")
     nodes = materialize(seen.groupBy("node").agg(best), "nodes")

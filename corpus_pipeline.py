@@ -28,9 +28,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts with a Jaccard similarity of 0.8 over five-word shingles the document with the smallest id stays.
 
-    Texts without words are one group. Of rows with the same smallest id one stays. Candidates are all texts whose
-    SimHashes differ in few bits, and for pairs near 0.8, which those miss, texts that share a min-wise key; both
-    are compared exactly.
+    Texts without words are one group. Of rows with the same smallest id one stays. Candidates are texts with near
+    SimHashes: within four bits all with all, and within 28 bits, as pairs at 0.8 need, in blocks of texts that share
+    a min-wise key. They are compared exactly.
     """
     return similar.keep_one(docs)
 

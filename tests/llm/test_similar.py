@@ -168,9 +168,36 @@ def test_simhash_links_join_all_within_the_radius(spark):
     """Equal fingerprints of different nodes, chains of steps of four bits, five bits apart; no fingerprint, no link."""
     prints = [0, 0b1111, 0b11111111, -1, -1, -1 ^ 0b11111, None, 1 << 40 | 0x5A5A5A5A5A << 8]
     rows = [(bytes([k]) * 16, p) for k, p in enumerate(prints)]
-    found = [(r.a[0], r.b[0]) for r in similar.simhash_links(spark.createDataFrame(rows, "node binary, fp long")).collect()]
+    found = [(r.a[0], r.b[0]) for r in similar.simhash_links(spark.createDataFrame(rows, "node binary, fp long").withColumn("keys", F.array().cast("array<long>"))).collect()]
     root = {k: k for k in range(len(rows))}
     for _ in root:
         for a, b in found:
             root[a] = root[b] = min(root[a], root[b])
     assert list(root.values()) == [0, 0, 0, 3, 3, 5, 6, 7]
+
+
+def test_near_simhashes_of_a_block_are_linked():
+    """Every candidate passes the SimHash: of one key those within 28 bits, of different keys none, over batches and among copies."""
+    import pyarrow as pa
+
+    low = lambda n: (1 << n) - 1
+    rows = [(1, 0), (1, 0), (1, low(28)), (2, low(29)), (2, 0), (3, 0), (4, low(28)), *((5, low(k)) for k in range(0, 60, 2))]
+    rows = sorted(rows)
+    batches = [pa.record_batch([pa.array([r[i] for r in part], pa.int64()) for i in (0, 1)], names=["key", "fp"]) for part in (rows[:1], rows[1:4], rows[4:4], rows[4:20], rows[20:])]
+    links = {frozenset(x) for batch in similar.block_links(iter(batches)) for x in zip(*(c.to_pylist() for c in batch.columns), strict=True) if x[0] != x[1]}
+    assert frozenset((0, low(28))) in links and frozenset((0, low(29))) not in links
+    joined, size = {0}, 0
+    while len(joined) > size:
+        size = len(joined)
+        joined |= {v for link in links if link & joined for v in link}
+    assert joined == {low(k) for k in range(0, 60, 2)}
+
+
+def test_no_pair_skips_the_simhash(spark, monkeypatch):
+    """Copies that share keys but have far fingerprints are no candidates."""
+    rows = [(k, " ".join(f"x{j}" for j in range(k % 2, 60 + k % 2))) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in similar.keep_one(docs).collect()) == [0]
+    plain = similar.prints
+    monkeypatch.setattr(similar, "prints", lambda *a: plain(*a).withColumn("fp", F.when(F.col("doc_id") % 2 == 0, F.lit(0)).otherwise(F.lit(-1)).cast("long")))
+    assert sorted(r.doc_id for r in similar.keep_one(docs).collect()) == [0, 1]
