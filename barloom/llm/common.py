@@ -18,7 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
+#: Slices of the pipeline's stages: their workers run all five, beside a JVM whose heap has grown to its limit.
+STAGE_BYTES = 1 << 20
 DEALT_MB = 16
+FILE_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,12 +52,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
-    Cuts the lineage: a lost executor costs a reread of files, never a recomputation.
+    Cuts the lineage: a lost executor costs a reread of files, never a recomputation. rows: about how many
+    there are, for narrow rows right after a shuffle; they go to a file for each ``FILE_ROWS``, one for each core
+    at least. Without that a small table has as many files as the shuffle has partitions, and on local disks
+    the executor's JVM starts several processes for each file.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/barloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

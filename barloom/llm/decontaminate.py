@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, TextBlock, _byte_table, map_slices, materialize, mix, powers, received, runs_of, send, slices, span_hashes, texts
+from .common import LOWER, SPACE, STAGE_BYTES, TextBlock, _byte_table, map_slices, materialize, mix, powers, received, runs_of, send, slices, span_hashes, texts
 
 #: Sampled positions are 1; no mask spans fewer than SPAN tokens. By enumeration of all placements of substitutions
 #: every stretch of 13 to 25 tokens with four fifths equal holds a seed of one of them (the last is for what the
@@ -211,7 +211,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share:
             index = received(sent)
             filters = _filters(index)
             for whole in batches:
-                for batch in slices(whole):
+                for batch in slices(whole, STAGE_BYTES):
                     block = TextBlock(batch.column(batch.schema.get_field_index("text")))
                     clean = np.ones(block.n, bool)
                     clean[[r[0] for r in hits_of(block, index, filters, least, share)]] = False

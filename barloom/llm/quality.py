@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, TextBlock, _byte_table, map_slices, materialize, slices, span_hashes, texts
+from .common import SPACE, STAGE_BYTES, TextBlock, _byte_table, map_slices, materialize, slices, span_hashes, texts
 
 TRAIN_DOCS = 4000
 _UPPER = _byte_table(bytes(range(65, 91)))
@@ -318,7 +318,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, STAGE_BYTES):
                 raw = raw_quality(chain, *line_features(TextBlock(batch.column(batch.schema.get_field_index("text")))))
                 yield batch.filter(pa.array(sigmoid(chain.slope * raw + chain.shift) >= 0.5))
 

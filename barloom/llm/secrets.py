@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TextBlock, _byte_table, map_slices, slices, texts
+from .common import STAGE_BYTES, TextBlock, _byte_table, map_slices, slices, texts
 
 KINDS = ("assign", "access", "hex", "github", "npm")
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
@@ -159,7 +159,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
     def run(batches):
         machine = automaton()
         for whole in batches:
-            for batch in slices(whole, column=text_col):
+            for batch in slices(whole, STAGE_BYTES, text_col):
                 at = batch.schema.get_field_index(text_col)
                 column = batch.column(at)
                 rows = spans_of(TextBlock(column), machine)

@@ -79,7 +79,7 @@ def majority_bits(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
         return out
     some = np.flatnonzero(count)
     begin = (np.cumsum(count) - count)[some]
-    step = 1 << 18  # hashes at a time, so that the unpacked bits stay small
+    step = 1 << 14  # hashes at a time: 64 bits of each are summed as 64-bit numbers
     ones = np.zeros((len(some), 64), np.int64)
     for lo in range(0, len(hashes), step):
         part = hashes[lo : lo + step]

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TextBlock, materialize, mix, slices
+from .common import STAGE_BYTES, TextBlock, materialize, mix, slices
 from .components import connected_components, join_spread
 from .simhash import SEED, bucket_links, links, majority_bits, shingle_hashes
 
@@ -101,9 +101,12 @@ def band_keys(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
         for k, (a, c) in enumerate(_MINIMA):
             found = np.minimum.reduceat((parts[k % 2] ^ c) * a, at)
             np.minimum(low[k, i:j], found, out=low[k, i:j])
+    keys = np.empty((n, BANDS), np.uint64)
     with np.errstate(over="ignore"):
-        mixed = mix(low.astype(np.uint64)).reshape(BANDS, ROWS, n) * _WEIGHTS[:, :, None]
-        return mix(mixed.sum(axis=1, dtype=np.uint64)).T
+        for band, weights in enumerate(_WEIGHTS):  # one at a time: the minima as 64 bits of all are many times the texts
+            mixed = mix(low[band * ROWS : (band + 1) * ROWS].astype(np.uint64)) * weights[:, None]
+            keys[:, band] = mix(mixed.sum(axis=0, dtype=np.uint64))
+    return keys
 
 
 def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -123,7 +126,7 @@ def prints(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, STAGE_BYTES):
                 hashes, begins = sets_of(TextBlock(batch.column(2)), shingle)
                 size = np.diff(begins)
                 some = np.flatnonzero(size)
@@ -149,13 +152,13 @@ def block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return bucket_links(fresh(), WIDE)
 
 
-def simhash_links(seen: DataFrame) -> DataFrame:
-    """Links (a, b) that join all nodes whose SimHashes a chain of steps joins, each within the radius, or within ``WIDE`` bits in a block; seen: written (node, fp, keys)."""
+def simhash_links(seen: DataFrame, about: int | None = None) -> DataFrame:
+    """Links (a, b) that join all nodes whose SimHashes a chain of steps joins, each within the radius, or within ``WIDE`` bits in a block; seen: written (node, fp, keys), of about so many rows."""
     some = seen.where("fp IS NOT NULL")
-    by_print = materialize(some.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    by_print = materialize(some.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints", about)
     keyed = some.select(F.explode("keys").alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
     in_blocks = keyed.mapInArrow(lambda batches: block_links(batches), "a long, b long")
-    near = materialize(links(by_print.select("fp")).unionByName(in_blocks).where("a <> b").distinct(), "near")
+    near = materialize(links(by_print.select("fp")).unionByName(in_blocks).where("a <> b").distinct(), "near", about and 2 * about)
     ends = [by_print.select(F.col("fp").alias(end), F.col("node").alias(f"{end}_node")).hint("merge") for end in ("a", "b")]
     different = near.join(ends[0], "a").join(ends[1], "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     return different.unionByName(chained(some.select(F.col("fp").alias("key"), "node").distinct()))
@@ -285,7 +288,7 @@ def shingle_sets(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, STAGE_BYTES):
                 hashes, begins = sets_of(TextBlock(batch.column(3)), shingle)
                 held = [hashes[a:b].tobytes() for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
                 yield pa.record_batch([*batch.columns[:3], pa.array(held, pa.binary())], names=["coarse", "part", "node", "shingles"])
@@ -293,9 +296,9 @@ def shingle_sets(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.mapInArrow(run, "coarse binary, part int, node binary, shingles binary")
 
 
-def dealt(rows: DataFrame, limit: int, salt: int) -> DataFrame:
+def dealt(rows: DataFrame, limit: int, salt: int, about: int | None = None) -> DataFrame:
     """Rows (coarse, node, ...) with the ``part`` of their coarse group, at most about ``limit`` nodes each, and how many ``parts`` there are."""
-    sizes = materialize(rows.groupBy("coarse").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / limit).cast("int")), "sizes")
+    sizes = materialize(rows.groupBy("coarse").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / limit).cast("int")), "sizes", about)
     return join_spread(rows, sizes, "coarse").withColumn("part", F.pmod(F.xxhash64("node", F.lit(salt)), F.col("parts")).cast("int"))
 
 
@@ -333,12 +336,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", li
     """One row of each group of near-duplicates; all columns stay."""
     rows = keyed_rows(docs, id_col, text_col)
     seen = materialize(prints(rows), "prints")
-    coarse = connected_components(simhash_links(seen).distinct())
-    coarse = materialize(coarse.union(coarse.select(F.col("root").alias("node"), "root").distinct()), "coarse")
+    n = seen.count()
+    coarse = connected_components(simhash_links(seen, n).distinct(), about=2 * n)
+    coarse = materialize(coarse.union(coarse.select(F.col("root").alias("node"), "root").distinct()), "coarse", n)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("best")
-    nodes = materialize(seen.groupBy("node").agg(best), "nodes")
-    wanted = materialize(nodes.join(coarse, "node").select(F.col("best.row").alias("row"), "node", F.col("root").alias("coarse")), "wanted")
-    wanted = materialize(dealt(wanted, limit, 1), "dealt")
+    nodes = materialize(seen.groupBy("node").agg(best), "nodes", n)
+    wanted = materialize(nodes.join(coarse, "node").select(F.col("best.row").alias("row"), "node", F.col("root").alias("coarse")), "wanted", n)
+    wanted = materialize(dealt(wanted, limit, 1, n), "dealt", n)
     # both joins of texts are shuffles at every size: the small side grows with the corpus, and a plan that
     # broadcasts it on small inputs says nothing of large ones
     held = shingle_sets(rows.join(wanted.select("row", "coarse", "part", "node").hint("merge"), "row").select("coarse", "part", "node", "text"))
@@ -356,7 +360,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", li
     named = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "best")
     first = named.groupBy("root").agg(F.min("best").alias("first"))
     # from a written table both sides of the last join are plain shuffles, which Spark splits where a node is hot
-    classes = materialize(named.join(first, "root").select("node", F.col("first.row").alias("stays")), "classes")
+    classes = materialize(named.join(first, "root").select("node", F.col("first.row").alias("stays")), "classes", n)
     away = seen.join(classes, "node").where("row <> stays").select(F.col("row").alias("__row")).distinct()
     out = docs.withColumn("__row", row_key(id_col, text_col)).join(away.hint("merge"), "__row", "left_anti")
     if seen.groupBy("row").count().where("count > 1").limit(1).count():

@@ -201,3 +201,53 @@ def test_no_pair_skips_the_simhash(spark, monkeypatch):
     plain = similar.prints
     monkeypatch.setattr(similar, "prints", lambda *a: plain(*a).withColumn("fp", F.when(F.col("doc_id") % 2 == 0, F.lit(0)).otherwise(F.lit(-1)).cast("long")))
     assert sorted(r.doc_id for r in similar.keep_one(docs).collect()) == [0, 1]
+
+
+def test_a_worker_stays_small():
+    """Four MB of texts, long or short, take a worker a few tens of MB, however many rows come at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Rows:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(3000)]
+    for length, rows in ((400, 2000), (8, 10_000)):
+        texts = [" ".join(rng.choices(words, k=length)) for _ in range(rows)]
+        batch = pa.record_batch([pa.array([b"0" * 16] * rows), pa.array(range(rows)), pa.array(texts)], names=["row", "doc_id", "text"])
+        tracemalloc.start()
+        out = list(similar.prints(Rows())(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sum(b.num_rows for b in out) == rows and peak < 80 << 20, peak >> 20
+
+
+def test_small_tables_have_few_files(spark, monkeypatch):
+    """However many partitions a shuffle has, the tables of a few rows between the steps are no files of a row each."""
+    from barloom.llm import common, components
+
+    monkeypatch.setattr(common, "FILE_ROWS", 30)
+    files, plain = {}, common.materialize
+
+    def counted(df, name, *rows):
+        out = plain(df, name, *rows)
+        files.setdefault(name, []).append((len(out.inputFiles()), out.count()))
+        return out
+
+    monkeypatch.setattr(similar, "materialize", counted)
+    monkeypatch.setattr(components, "materialize", counted)
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    rows = [(4 * k + j, " ".join(f"t{k}w{i}" for i in range(60)) + " x" * j) for k in range(40) for j in range(4)]
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "61")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        out = similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+        assert sorted(r.doc_id for r in out.collect()) == [4 * k for k in range(40)]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    most = max(spark.sparkContext.defaultParallelism, -(-4 * len(rows) // 30))
+    assert len(files["links"]) > 1 and max(n for name in files.keys() - {"prints", "roots"} for n, _ in files[name]) <= most < 61, files
