@@ -28,6 +28,7 @@ import hashlib
 import heapq
 import zlib
 from collections import Counter
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -97,12 +98,15 @@ def sixteen(stream: np.ndarray, more: int) -> np.ndarray:
 class Prefix:
     """A canonical prefix code. ``only``: its one symbol, read without bits."""
 
-    def __init__(self, lengths: np.ndarray):
-        used = np.flatnonzero(lengths)
+    def __init__(self, lengths: np.ndarray, used: np.ndarray | None = None):
+        """lengths: of every symbol, or with ``used`` of these, in rising order."""
+        if used is None:
+            used = np.flatnonzero(lengths)
+            lengths = lengths[used]
         if not len(used):
-            used = np.zeros(1, np.int64)
-        self.symbols = used[np.argsort(lengths[used], kind="stable")]
-        self.lengths = lengths[self.symbols]
+            used, lengths = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        order = lengths.astype(np.uint8).argsort(kind="stable")
+        self.symbols, self.lengths = used[order], lengths[order]
         self.only = int(self.symbols[0]) if len(used) == 1 else None
         if self.only is None and int((1 << (15 - self.lengths.astype(np.int64))).sum()) != 1 << 15:
             raise ValueError("code lengths do not fill the code space")
@@ -116,53 +120,72 @@ class Prefix:
         return np.repeat(entry, 1 << (self.width - self.lengths))[reversed_bits(self.width)]
 
 
-_OUTER: dict[bytes, tuple[list[int], int]] = {}  # codes of code lengths: files of one writer share few
+_OUTER: dict[tuple[int, int], tuple[list[tuple[int, int, int, int]], int]] = {}  # codes of code lengths: files of one writer share few
+_BEFORE = 16  # stands for the length before
 
 
-def read_prefix(bits: Bits, alphabet: int) -> Prefix:
-    lengths = np.zeros(alphabet, np.int64)
-    if bits.read(1):
-        two, wide = bits.read(1), bits.read(1)
-        lengths[bits.read(8 if wide else 1)] = 1
-        if two:
-            lengths[bits.read(8)] = 1
-        return Prefix(lengths)
+def _outer(n: int, three: int) -> tuple[list[tuple[int, int, int, int]], int]:
+    """For each value of the next bits how many it takes, a length, of how many symbols, and how many bits more say so; a mask of those bits."""
     outer = np.zeros(19, np.int64)
-    n = 4 + bits.read(4)
-    three = bits.read(3 * n)
     for k, i in enumerate(LENGTH_ORDER[:n]):
         outer[i] = three >> 3 * k & 7
-    known = outer.tobytes()
+    code = Prefix(outer)
+    runs = {16: (_BEFORE, 3, 2), 17: (0, 3, 3), 18: (0, 11, 7)}
+    return [(entry & 15, *runs.get(entry >> 4, (entry >> 4, 1, 0))) for entry in code.tables().tolist()], (1 << code.width) - 1
+
+
+def read_prefix(bits: Bits, alphabet: int) -> Prefix:
+    if bits.read(1):
+        kind = bits.read(2)
+        used = [bits.read(8 if kind & 2 else 1)]
+        if kind & 1:
+            used = sorted({used[0], bits.read(8)})
+        return Prefix(np.ones(len(used), np.int64), np.array(used))
+    n = 4 + bits.read(4)
+    known = n, bits.read(3 * n)
     if known not in _OUTER:
-        code = Prefix(outer)
         if len(_OUTER) > 64:
             _OUTER.clear()
-        _OUTER[known] = code.tables().tolist(), (1 << code.width) - 1
+        _OUTER[known] = _outer(*known)
     table, mask = _OUTER[known]
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    stream = bits.ahead(14 * left)
-    ahead = sixteen(stream, 32).data
-    out: list[int] = []
-    before, p = 8, 0
-    while len(out) < alphabet and left:
+    byte, shift = divmod(bits.at, 8)
+    ahead = int.from_bytes(bits.data[byte : byte + (shift + 14 * left + 7) // 8], "little") >> shift
+    used, lengths = [], []
+    at, before, past = 0, 8, bits.at
+    while at < alphabet and left:
         left -= 1
-        entry = table[ahead[p] & mask]
-        p += entry & 15
-        symbol = entry >> 4
-        if symbol < 16:
-            out.append(symbol)
-            before = symbol or before
-        else:
-            more, least, value = (2, 3, before) if symbol == 16 else (3, 3, 0) if symbol == 17 else (7, 11, 0)
-            out += [value] * (least + (ahead[p] & ((1 << more) - 1)))
-            p += more
-        if p > len(stream):
-            raise ValueError("the stream ends too early")
-    bits.at += p
-    if len(out) > alphabet:
+        taken, length, many, more = table[ahead & mask]
+        if more:
+            many += ahead >> taken & ((1 << more) - 1)
+            taken += more
+        ahead >>= taken
+        past += taken
+        if length == _BEFORE:
+            used += range(at, at + many)
+            lengths += [before] * many
+        elif length:
+            used.append(at)
+            lengths.append(length)
+            before = length
+        at += many
+    if past > 8 * len(bits.data):
+        raise ValueError("the stream ends too early")
+    bits.at = past
+    if at > alphabet:
         raise ValueError("a repeat runs past the alphabet")
-    lengths[: len(out)] = out
-    return Prefix(lengths)
+    return Prefix(np.array(lengths, np.int64), np.array(used, np.int64))
+
+
+_NEAR_STEPS: dict[int, np.ndarray] = {}  # by width: how far back each short distance code is
+
+
+def near_steps(width: int) -> np.ndarray:
+    if width not in _NEAR_STEPS:
+        if len(_NEAR_STEPS) > 64:
+            _NEAR_STEPS.clear()
+        _NEAR_STEPS[width] = np.array([max(1, dx + dy * width) for dx, dy in NEAR])
+    return _NEAR_STEPS[width]
 
 
 def read_image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
@@ -245,7 +268,7 @@ def _read_pixels(bits: Bits, codes: list[Prefix], n: int, width: int, cache_bits
     after_green = (entry & 15) + np.arange(size + 1, dtype=np.int32)
     after_red = after_green + (red & 15).take(next_bits.take(after_green) & r_mask)
     after_blue = after_red + (blue & 15).take(next_bits.take(after_red) & b_mask)
-    following = after_blue + (alpha & 15).take(next_bits.take(after_blue) & a_mask) if codes[3].width else after_blue.copy()
+    following = after_blue + (alpha & 15).take(next_bits.take(after_blue) & a_mask) if codes[3].width else after_blue  # where a pixel of the cache or a reference stands, nothing else is read of it
     pixels = np.ones(size + 1, np.int32)
     other = codes[0].symbols.max() >= 256
     if other:
@@ -258,38 +281,38 @@ def _read_pixels(bits: Bits, codes: list[Prefix], n: int, width: int, cache_bits
         following[at], pixels[at] = place, length
         distance = np.zeros(size + 1, np.int64)
         distance[at] = code
-    starts, done, p = [], 0, 0
-    try:
-        follow, many, add = following.data, pixels.data, starts.append
-        if other:
-            while done < n:
-                add(p)
-                done += many[p]
-                p = follow[p]
-        else:
-            for _ in range(n):
-                add(p)
-                p = follow[p]
-    except IndexError:
-        p = size + 1
+    starts, p = [], 0
+    follow, add = following.data, starts.append
+    with suppress(IndexError):  # past the end of the stream
+        for _ in range(n):
+            add(p)
+            p = follow[p]
     if p > size:
+        starts.pop()
+    at = np.array(starts, np.int64)
+    many = pixels[at].astype(np.int64)
+    done = np.cumsum(many)
+    last = int(np.searchsorted(done, n))  # references take several pixels: what comes after the last one is no part of the image
+    if last == len(at) or following[at[last]] > size:
         raise ValueError("the stream ends too early")
-    bits.at += p
-    at = np.array(starts)
-    symbol, many = entry[at].astype(np.int64) >> 4, pixels[at].astype(np.int64)
-    first = np.cumsum(many) - many
+    at, many, done = at[: last + 1], many[: last + 1], done[: last + 1]
+    bits.at += int(following[at[-1]])
+    symbol = entry[at].astype(np.int64) >> 4
+    first = done - many
     plain = symbol < 256
     q = at[plain]
     out = np.zeros(n, np.int64)
-    parts = ((alpha, after_blue, a_mask, 24), (red, after_green, r_mask, 16), (blue, after_red, b_mask, 0))
-    out[first[plain]] = symbol[plain] << 8 | sum((code[next_bits[after[q]] & mask].astype(np.int64) >> 4) << shift for code, after, mask, shift in parts)
+    colour = symbol[plain] << 8
+    for code, after, mask, shift in ((alpha, after_blue, a_mask, 24), (red, after_green, r_mask, 16), (blue, after_red, b_mask, 0)):
+        colour |= (code[next_bits[after[q]] & mask].astype(np.int64) >> 4 if len(code) > 1 else int(code[0]) >> 4) << shift
+    out[first[plain]] = colour
     if not other:
         return out.astype(np.uint32)
     source = np.arange(n)
     copied = np.flatnonzero((symbol >= 256) & (symbol < 280))
     if len(copied):
         code, length, to = distance[at[copied]], many[copied], first[copied]
-        near = np.array([max(1, dx + dy * width) for dx, dy in NEAR])
+        near = near_steps(width)
         back = np.where(code > 120, code - 120, near[np.minimum(code, 120) - 1])
         if (back > to).any() or int(to[-1] + length[-1]) > n:
             raise ValueError("a back-reference leaves the image")
@@ -301,7 +324,7 @@ def _read_pixels(bits: Bits, codes: list[Prefix], n: int, width: int, cache_bits
         # a pixel's place in the cache is known without its colour; a hit has the colour of the last pixel before it with that place
         place = _cache_place(out.astype(np.uint64), cache_bits)
         place[first[cached]] = symbol[cached] - 280
-        place = place[source]
+        place = place[source].astype(np.uint16)
         order = np.argsort(place, kind="stable")
         last = np.full(n, -1)
         same = place[order[1:]] == place[order[:-1]]
@@ -1105,7 +1128,8 @@ def feature_of(pixels: np.ndarray) -> str:
     """Height, and the mean and deviation of red, green and blue."""
     rgb = pixels[..., 1:].reshape(-1, 3)
     n = len(rgb)
-    total, square = rgb.sum(axis=0, dtype=np.int64), np.einsum("ij,ij->j", rgb, rgb, dtype=np.int64)
+    rows = rgb.T.astype(np.int64, order="C")
+    total, square = rows.sum(axis=1), np.einsum("ij,ij->i", rows, rows)
     mean, spread = total / n, np.sqrt(np.maximum(square / n - (total / n) ** 2, 0))
     return f"{pixels.shape[0]}:" + ":".join(f"{m:.3f},{s:.3f}" for m, s in zip(mean.tolist(), spread.tolist(), strict=True))
 

@@ -99,3 +99,22 @@ def test_cut_streams_are_refused():
         body = good[20:keep]
         with pytest.raises(ValueError):
             webp.decode(good[:16] + len(body).to_bytes(4, "little") + body)
+
+
+def test_reading_takes_few_calls():
+    """Prefix codes are read from one number each, short distances known by width: calls for a short file, counted."""
+    import cProfile
+    import pstats
+
+    dice = random.Random(2)
+    words = ["".join(dice.choice("abcdefghij") for _ in range(dice.randrange(2, 9))) for _ in range(90)]
+    files = [webp.write_strips(webp.payload_of(" ".join(dice.choice(words) for _ in range(300)).encode())) for _ in range(20)]
+    webp.read_strips(files[0])
+    profile = cProfile.Profile()
+    profile.enable()
+    for media in files:
+        webp.read_strips(media)
+    profile.disable()
+    calls = {f"{name}": n for (_, _, name), (_, n, *_) in pstats.Stats(profile).stats.items()}
+    assert calls["sixteen"] == calls["_read_pixels"] and calls["<method 'append' of 'list' objects>"] > 0
+    assert calls["read_prefix"] == 5 * calls["_read_pixels"]
