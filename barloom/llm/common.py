@@ -139,7 +139,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return out
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Callable[[np.uint64, int], np.ndarray] = powers) -> np.ndarray:
     """A 64-bit hash of each data[start:end]; equal bytes give equal hashes anywhere."""
     with np.errstate(over="ignore"):
         n = len(data)

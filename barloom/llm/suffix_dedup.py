@@ -9,9 +9,9 @@ A byte goes if it lies in a string of ``SIZE`` bytes that also starts anywhere e
    become pieces: the run's bytes and the SIZE - 1 after it, sent to the shard of their key.
 3. A shard sorts the suffixes of its distinct pieces in blocks: Larsson-Sadakane
    refinement in numpy (only groups that are not yet sorted are refined, the compared
-   length doubles each round). Kasai's pass gives the common prefixes of neighbours in the
-   array, in numpy too: many chains of positions advance together. Windows between which
-   all common prefixes reach SIZE are repeats.
+   length doubles each round). Equal windows are neighbours among the windows in the array. Whether
+   neighbours are equal over SIZE bytes is read from the ranks of the last round that compared no more
+   than SIZE bytes: those of both beginnings and of both ends.
 4. All windows of a key are in one shard, unless its pieces weigh over ``SPLIT``: then
    it is dealt over several. Each hands on its distinct windows as sorted fingerprints,
    packed by ranges, and those are merged across shards by binary search. A piece weighs
@@ -39,19 +39,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _INVERSE, _MIX, SPACE, TextBlock, materialize, mix, powers, slices, span_hashes, texts
+from .common import _BASE, _INVERSE, _MIX, SPACE, TextBlock, materialize, mix, powers, slices, span_hashes, texts, worker_cache
 
 SIZE, GRAM = 400, 128
 SPLIT = 1_000
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 HEAVY, LONG = 512, 32 << 10
 PASSAGE, CODE = 50, 3  # CODE: bytes for a word
 WORD_GRAM = 8 * CODE
 _PLACE = 22  # bits for a position in a chunk; the others of a word are the key's
-_CHUNK = 1 << 21
+_PACKED = 63  # bits of the number that holds two ranks and a suffix
+_CHUNK = 1 << 16  # arrays of so many numbers, and those of a slice's words, stay in a core's cache
+READ_BYTES = 1 << 18
 CHAIN = 256
 
 
+def kept_powers(base: np.uint64, n: int) -> np.ndarray:
+    """``powers``; a worker keeps those that a slice needs."""
+    if n > 2 * READ_BYTES:
+        return powers(base, n)
+    kept = worker_cache()
+    if ("powers", int(base)) not in kept:
+        kept["powers", int(base)] = powers(base, 2 * READ_BYTES)
+    return kept["powers", int(base)][:n]
+
+
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """Hash of the ``gram`` bytes from each position that has so many after it."""
     n = len(data) - gram + 1
@@ -59,9 +71,9 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_MIX[data] * powers(_BASE, len(data)), out=sums[1:])
+        np.cumsum(_MIX[data] * kept_powers(_BASE, len(data)), out=sums[1:])
         out = sums[gram:] - sums[:n]
-        out *= powers(_INVERSE, n)
+        out *= kept_powers(_INVERSE, n)
         out ^= out >> np.uint64(29)
         out *= np.uint64(0xBF58476D1CE4E5B9)
         out ^= out >> np.uint64(32)
@@ -82,14 +94,13 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 def window_keys(data: np.ndarray, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """For each window of ``size`` bytes its key, and the position of the string that gives it (the first of equals)."""
     width = size - gram + 1
-    hashes = gram_hashes(data, gram)
     n = len(data) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     keys, at = np.empty(n, np.int64), np.empty(n, np.int64)
     low = np.uint64((1 << _PLACE) - 1)
     for base in range(0, n, _CHUNK):
-        part = hashes[base : min(base + _CHUNK, n) + width - 1]
+        part = gram_hashes(data[base : min(base + _CHUNK, n) + size - 1], gram)
         least = sliding_least((part & ~low) | np.arange(len(part), dtype=np.uint64), width)
         keys[base : base + len(least)] = (least >> np.uint64(_PLACE)).view(np.int64)
         at[base : base + len(least)] = (least & low).view(np.int64) + base
@@ -100,7 +111,7 @@ def word_codes(block: TextBlock) -> TextBlock:
     """The same documents with CODE bytes for each word: 24 bits of its hash."""
     starts, ends = block.runs(~SPACE[block.bytes])
     out = TextBlock.__new__(TextBlock)
-    out.bytes = np.ascontiguousarray(span_hashes(block.bytes, starts, ends).view(np.uint8).reshape(-1, 8)[:, 8 - CODE :]).ravel()
+    out.bytes = np.ascontiguousarray(span_hashes(block.bytes, starts, ends, kept_powers).view(np.uint8).reshape(-1, 8)[:, 8 - CODE :]).ravel()
     out.offsets, out.n = CODE * np.searchsorted(starts, block.offsets), block.n
     return out
 
@@ -144,7 +155,7 @@ def read_keys(rows: DataFrame, size: int, gram: int, passage: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 2 << 20):
+            for batch in slices(whole, READ_BYTES):
                 block = TextBlock(batch.column(2))
                 words = word_codes(block)
                 digests = [hashlib.sha256(block.bytes[a:b]) for a, b in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True)]
@@ -174,7 +185,7 @@ def cut_pieces(rows: DataFrame, size: int, gram: int, split: int, words: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 2 << 20):
+            for batch in slices(whole, READ_BYTES):
                 block = TextBlock(batch.column(1))
                 if words:
                     block = word_codes(block)
@@ -210,54 +221,77 @@ def eight_bytes(data: np.ndarray, more: int = 0) -> np.ndarray:
     return eight[: len(data) + more]
 
 
-def refine(data: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Rank of each suffix by its first ``depth`` bytes (8 times a power of two), or by all of them; equal prefixes share a rank.
+def doublings(data: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(h, rank of each suffix by its first h bytes) for h = 8, 16 and so on to ``depth``, or until no two share a rank.
 
-    A rank is the place of the group's first suffix in sorted order. Bytes past the end are zero.
+    The array of ranks is one and the same each time. Larsson and Sadakane: only groups that are not sorted yet are refined.
     """
     n = len(data)
-    depth = depth or n
     eight = eight_bytes(data)
-    order = np.argsort(eight)
-    ordered = eight[order]
-    fresh = np.ones(n, bool)
-    fresh[1:] = ordered[1:] != ordered[:-1]
-    place = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    rest = np.argsort(eight)
+    ordered = eight[rest]
     rank = np.zeros(n + 1, np.int64)
-    rank[order] = place + 1
-    single = fresh & np.append(fresh[1:], True)
-    rest = order[~single]  # suffixes in groups that are not sorted yet
+    starts = np.flatnonzero(np.concatenate((np.ones(min(n, 1), bool), ordered[1:] != ordered[:-1])))
+    place = starts + 1
+    bits = np.int64(n.bit_length())
+    packs = 3 * bits <= _PACKED  # both ranks and the suffix fit one number, which is sorted as it is
     h = 8
-    while h < depth and len(rest):
-        key = rank[rest] << np.int64(32) | rank[np.minimum(rest + h, n)]
-        by = np.argsort(key)
-        rest, key = rest[by], key[by]
-        new = np.ones(len(rest), bool)
-        new[1:] = key[1:] != key[:-1]
-        old = np.ones(len(rest), bool)
-        old[1:] = (key[1:] >> 32) != (key[:-1] >> 32)
-        i = np.arange(len(rest))
-        inside = np.maximum.accumulate(np.where(new, i, 0)) - np.maximum.accumulate(np.where(old, i, 0))
-        rank[rest] = (key >> 32) + inside
-        rest = rest[~(new & np.append(new[1:], True))]
+    while True:
+        sizes = np.diff(starts, append=len(rest))
+        rank[rest] = np.repeat(place, sizes)
+        yield h, rank
+        rest = rest[np.repeat(sizes > 1, sizes)]  # suffixes in groups that are not sorted yet
+        if h >= depth or not len(rest):
+            return
+        key = rank[rest] << bits | rank[np.minimum(rest + h, n)]
+        if packs:
+            key = key << bits | rest
+            key.sort()
+            rest = key & np.int64((1 << int(bits)) - 1)
+            key >>= bits
+        else:
+            by = np.argsort(key)
+            rest, key = rest[by], key[by]
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        group = key[starts] >> bits
+        old = np.concatenate(([True], group[1:] != group[:-1]))
+        place = group + starts - np.maximum.accumulate(np.where(old, starts, 0))
         h *= 2
+
+
+def refine(data: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Rank of each suffix by its first ``depth`` bytes (8 times a power of two), or by all of them; equal prefixes share a rank.
+
+    A rank is the place of the group's first suffix in sorted order. Bytes past the end are zero.
+    """
+    for _, rank in doublings(data, depth or len(data)):
+        pass
     return rank
 
 
-def suffix_array(data: np.ndarray) -> np.ndarray:
-    """Starts of all suffixes in sorted order."""
-    n = len(data)
-    rank = refine(data)[:n]
+def array_of(rank: np.ndarray) -> np.ndarray:
+    """The suffix array, from the ranks of all suffixes by all of their bytes."""
+    n = len(rank)
+    array, every = np.zeros(n, np.int64), np.arange(n)
+    array[rank - 1] = every
+    if (array[rank - 1] == every).all():
+        return array
     # only a suffix and the same with zero bytes after it are still equal: the shorter one comes first
     return n - 1 - np.argsort(rank[::-1], kind="stable")
 
 
+def suffix_array(data: np.ndarray) -> np.ndarray:
+    """Starts of all suffixes in sorted order."""
+    return array_of(refine(data)[: len(data)])
+
+
 def kasai(data: bytes | np.ndarray, array: list[int] | np.ndarray, most: int | None = None, chain: int = CHAIN) -> np.ndarray:
     """Common prefix of each suffix with the one before it in the suffix array, up to ``most``.
 
     Going from a suffix to the next one in the text, a common prefix shrinks by one byte at
     most, so only bytes beyond that are compared. The text is cut into chains of ``chain``
-    positions that start afresh, and all chains take a step together.
+    positions that start afresh, and all chains take a step together. ``repeated_windows`` needs less
+    than these lengths; the tests compare the two.
     """
     data = np.frombuffer(data, np.uint8) if isinstance(data, bytes) else data
     array = np.asarray(array, np.int64)
@@ -312,23 +346,30 @@ def _equal_bytes(differ: np.ndarray) -> np.ndarray:
 def repeated_windows(pieces: list[bytes], windows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all windows of all pieces, in order: position in the joined pieces, class, and how many share the class.
 
-    Two windows have one class if, and only if, their bytes are equal: no common prefix
-    between their places in the suffix array is under ``size``.
+    Two windows have one class if, and only if, their bytes are equal. Equal ones are neighbours among the windows in
+    the suffix array, and are told by ranks that its sort has passed: by the first ``reach`` bytes, at most ``size``,
+    of a window and those of its end.
     """
     data = np.frombuffer(b"".join(pieces), np.uint8)
     length = windows + size - 1
     base = np.cumsum(length) - length
     at = np.repeat(base - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
-    array = suffix_array(data)
-    common = kasai(data, array, size)
+    reach, near = min(size, 8), eight_bytes(data) >> np.uint64(8 * (8 - min(size, 8)))
+    for h, rank in doublings(data, len(data)):
+        if h <= size < 2 * h:
+            reach, near = h, rank.copy()
+        elif h <= size:
+            reach, near = h, rank
     is_window = np.zeros(len(data), bool)
     is_window[at] = True
-    place = np.flatnonzero(is_window[array])  # suffixes that run on into the next piece lie between windows
-    fresh = np.minimum.reduceat(common[: place[-1] + 1], place[:-1] + 1) < size if len(place) > 1 else np.zeros(0, bool)
+    array = array_of(rank[: len(data)])
+    array = array[is_window[array]]  # suffixes that run on into the next piece lie between windows
+    first, last = near[array], near[array + (size - reach)]
+    fresh = (first[1:] != first[:-1]) | (last[1:] != last[:-1])
     kind = np.concatenate(([0], np.cumsum(fresh)))
     count = np.bincount(kind)
     classes = np.empty(len(data), np.int64)
-    classes[array[place]] = kind
+    classes[array] = kind
     return at, classes[at], count[classes[at]]
 
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -55,3 +56,51 @@ def test_periodic_text_is_cut_into_pieces(spark, monkeypatch):
 def test_other_columns_do_not_clash(spark):
     frame = spark.createDataFrame([(1, "a" * 500, 7, 8), (2, None, 7, 8)], "doc_id long, text string, uid long, keys long")
     assert {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(frame).collect()} == {1: 500, 2: 0}
+
+
+def pieces_of_copies(rng, n):
+    """Distinct pieces of 549 bytes, most of them cut from shared text."""
+    text = bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz      ,.", k=n // 3))
+    out = {text[a : a + 549]: None for a in (rng.randrange(len(text) - 549) for _ in range(n // 549))}
+    return list(out)
+
+
+@pytest.mark.parametrize("packed", [63, 0])
+def test_classes_from_ranks_equal_those_from_common_prefixes(monkeypatch, packed):
+    monkeypatch.setattr(suffix_dedup, "_PACKED", packed)
+    rng = random.Random(3)
+    for pieces, size in ((pieces_of_copies(rng, 40_000), 400), ([b"ab" * 300, b"ba" * 300, b"b" + bytes(500), bytes(450)], 400), ([bytes(9), b"\0\1" * 5, bytes(8)], 7)):
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        padded = data.tobytes() + bytes(2 * len(data) + 16)
+        for h, rank in suffix_dedup.doublings(data, len(data)) if data.all() else ():
+            starts = [padded[p : p + h] for p in range(len(data))]
+            first = {}
+            for i, x in enumerate(sorted(starts), 1):
+                first.setdefault(x, i)
+            assert rank[: len(data)].tolist() == [first[x] for x in starts]
+        array = suffix_dedup.suffix_array(data)
+        common = suffix_dedup.kasai(data, array, size)
+        windows = np.array([len(p) - size + 1 for p in pieces])
+        at, kinds, count = suffix_dedup.repeated_windows(pieces, windows, size)
+        place = np.empty(len(data), np.int64)
+        place[array] = np.arange(len(data))
+        order = np.argsort(place[at])
+        fresh = [common[a + 1 : b + 1].min() < size for a, b in zip(place[at][order], place[at][order][1:])]
+        assert kinds[order].tolist() == np.cumsum([0, *fresh]).tolist() and len(set(kinds.tolist())) < len(at)
+        assert count.tolist() == np.bincount(kinds)[kinds].tolist()
+
+
+def test_a_blocks_classes_cost_few_sorts():
+    pieces = pieces_of_copies(random.Random(4), 1 << 18)
+    windows = np.full(len(pieces), 150)
+    eight = suffix_dedup.eight_bytes(np.frombuffer(b"".join(pieces), np.uint8))
+
+    def least(work):
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            work()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert least(lambda: suffix_dedup.repeated_windows(pieces, windows, 400)) < 6 * least(lambda: np.argsort(eight, kind="stable"))
